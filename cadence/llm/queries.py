@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from .licenses import op4_licenses
 from .mixing import op9_mixing
+from .packing import op7_packing
 from .quality import op6_quality
+from .token_files import op3_token_files
 
 QUERIES = {
+    "op3_token_files": op3_token_files,
     "op4_licenses": op4_licenses,
     "op6_quality": op6_quality,
+    "op7_packing": op7_packing,
     "op9_mixing": op9_mixing,
 }
 
