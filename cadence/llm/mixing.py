@@ -83,6 +83,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3,
         .withColumn("lo", F.coalesce(F.lag("hi").over(upto), F.lit(0.0)))
         .withColumn("hi", F.when(F.lead("hi").over(upto).isNull(), F.lit(1.0)).otherwise(F.col("hi")))
     )
+    plan = staged(plan.select("source", "source_size", "target", "n_blocks", "draws", "lo", "hi"), "mixing-plan")
+    # tables that grow with the corpus are merged, never broadcast on a compressed-size guess
     taken_blocks = _drawn(spark, plan, repeats)
 
     in_cell = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,7 +93,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3,
     line = rows.withColumn("inner", F.coalesce(F.sum("size").over(in_cell), F.lit(0))).withColumn("nth", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size")))
     placed = (
         line.select(*key, "source", "bucket", "nth", "doc_id", "size", "inner")
-        .join(cells.select(*key, "bucket", "base"), ["no_source", "source_key", "bucket"])
+        .join(cells.select(*key, "bucket", "base").hint("merge"), ["no_source", "source_key", "bucket"])
         .join(plan.select(*key, "source_size", "target", "n_blocks"), ["no_source", "source_key"])
         .withColumn("a", F.col("base") + F.col("inner"))
         .withColumn("b", F.col("base") + F.col("inner") + F.col("size"))
@@ -106,11 +108,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3,
     overlap = F.least("b", cut("block + 1")) - F.greatest("a", cut("block"))
     spans = spans.withColumn("overlap", overlap).where("overlap > 0")
     taken = (
-        spans.join(taken_blocks, ["no_source", "source_key", "block"])
+        spans.join(taken_blocks.hint("merge"), ["no_source", "source_key", "block"])
         .groupBy("no_source", "source_key", "bucket", "nth")
         .agg(F.sum(F.col("overlap") * F.col("times")).alias("taken"))
     )
-    return placed.join(taken, ["no_source", "source_key", "bucket", "nth"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return placed.join(taken.hint("merge"), ["no_source", "source_key", "bucket", "nth"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def _drawn(spark: SparkSession, plan: DataFrame, repeats: int, stretch: int = 8192) -> DataFrame:
@@ -130,7 +132,7 @@ def _drawn(spark: SparkSession, plan: DataFrame, repeats: int, stretch: int = 81
     parts = met.groupBy("no_source", "source_key", "stretch").agg(F.count("*").alias("m"))
     along = Window.partitionBy("no_source", "source_key").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("no_source", "source_key", "stretch", F.coalesce(F.sum("m").over(along), F.lit(0)).alias("before"))
-    ranked = met.join(parts, ["no_source", "source_key", "stretch"]).withColumn(
+    ranked = met.join(parts.hint("merge"), ["no_source", "source_key", "stretch"]).withColumn(
         "rank", F.col("before") + F.row_number().over(Window.partitionBy("no_source", "source_key", "stretch").orderBy("i")) - 1
     )
     # a source at its cap is never read more than `repeats` times
