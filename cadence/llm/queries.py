@@ -5,14 +5,18 @@ from __future__ import annotations
 from .licenses import op4_licenses
 from .mixing import op9_mixing
 from .packing import op7_packing
+from .passages import op5_passages
 from .quality import op6_quality
+from .suffix import op8_suffix_arrays
 from .token_files import op3_token_files
 
 QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_licenses": op4_licenses,
+    "op5_passages": op5_passages,
     "op6_quality": op6_quality,
     "op7_packing": op7_packing,
+    "op8_suffix_arrays": op8_suffix_arrays,
     "op9_mixing": op9_mixing,
 }
 
