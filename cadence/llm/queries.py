@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .licenses import op4_licenses
 from .mixing import op9_mixing
+from .neardup import op1_near_duplicates
 from .packing import op7_packing
 from .passages import op5_passages
 from .quality import op6_quality
@@ -11,6 +12,7 @@ from .suffix import op8_suffix_arrays
 from .token_files import op3_token_files
 
 QUERIES = {
+    "op1_near_duplicates": op1_near_duplicates,
     "op3_token_files": op3_token_files,
     "op4_licenses": op4_licenses,
     "op5_passages": op5_passages,

@@ -271,8 +271,8 @@ def coverage(runs: np.ndarray, n: int) -> np.ndarray:
 
 
 def applied(grouped_docs: DataFrame, removed_rows: DataFrame, cut: Callable[[bytes, np.ndarray | None], tuple], columns: dict[str, pa.DataType], schema: str) -> DataFrame:
-    """All columns of the documents plus what `cut(text, runs)` gives for each."""
-    keep = [c for c in grouped_docs.columns if c != "_group"]
+    """The documents plus what `cut(text, runs)` gives for each; a column of the same name is replaced."""
+    keep = [c for c in grouped_docs.columns if c != "_group" and c not in columns]
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         got = np.concatenate([np.frombuffer(x, REMOVED) for x in answers.column("runs").to_pylist()]) if answers.num_rows else np.zeros(0, REMOVED)
