@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .caps import op10_embedding_caps
 from .licenses import op4_licenses
 from .mixing import op9_mixing
 from .neardup import op1_near_duplicates
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_suffix_arrays": op8_suffix_arrays,
     "op9_mixing": op9_mixing,
+    "op10_embedding_caps": op10_embedding_caps,
 }
 
 ORACLES: dict[str, str] = {}
