@@ -11,9 +11,11 @@ from .passages import op5_passages
 from .quality import op6_quality
 from .suffix import op8_suffix_arrays
 from .token_files import op3_token_files
+from .toxicity import op2_toxicity
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
+    "op2_toxicity": op2_toxicity,
     "op3_token_files": op3_token_files,
     "op4_licenses": op4_licenses,
     "op5_passages": op5_passages,
