@@ -59,10 +59,22 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repea
     return out.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, block_words: int = 32, buckets: int = 4096, size: Column | None = None) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken."""
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "source", (word_count(F.col("text")) if size is None else size).alias("size"))
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, block_words: int = 32, buckets: int = 4096, size: Column | None = None, carry: list[str] | None = None) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, taken.
+
+    `carry` names the documents' columns to return instead, with size and taken."""
+    size = word_count(F.col("text")) if size is None else size
+    if carry is not None:
+        # places are found on narrow rows; a row's number brings its columns back
+        wide = staged(docs.select(*carry).withColumn("_row", F.monotonically_increasing_id()), "mixing-rows")
+        got = _taken(wide.select("_row", "doc_id", "source", size.alias("size")), weights, repeats, block_words, buckets).select("_row", "size", "taken")
+        return wide.drop(*(c for c in ("size", "taken") if c in carry)).join(got.where("taken > 0").hint("merge"), "_row").drop("_row")
+    rows = docs.select(F.lit(0).alias("_row"), "doc_id", "source", size.alias("size"))
+    return _taken(rows, weights, repeats, block_words, buckets).drop("_row")
+
+
+def _taken(rows: DataFrame, weights: tuple[int, ...], repeats: int, block_words: int, buckets: int) -> DataFrame:
+    spark = rows.sparkSession
     # counted once, then only these narrow rows are read again
     rows = staged(rows.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "mixing-sizes")
     rows = rows.withColumn("bucket", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(buckets)))
@@ -92,7 +104,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3,
     key = [F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key")]
     line = rows.withColumn("inner", F.coalesce(F.sum("size").over(in_cell), F.lit(0))).withColumn("nth", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size")))
     placed = (
-        line.select(*key, "source", "bucket", "nth", "doc_id", "size", "inner")
+        line.select(*key, "source", "bucket", "nth", "_row", "doc_id", "size", "inner")
         .join(cells.select(*key, "bucket", "base").hint("merge"), ["no_source", "source_key", "bucket"])
         .join(plan.select(*key, "source_size", "target", "n_blocks"), ["no_source", "source_key"])
         .withColumn("a", F.col("base") + F.col("inner"))
@@ -112,7 +124,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3,
         .groupBy("no_source", "source_key", "bucket", "nth")
         .agg(F.sum(F.col("overlap") * F.col("times")).alias("taken"))
     )
-    return placed.join(taken.hint("merge"), ["no_source", "source_key", "bucket", "nth"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return placed.join(taken.hint("merge"), ["no_source", "source_key", "bucket", "nth"], "left").select("_row", "doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def _drawn(spark: SparkSession, plan: DataFrame, repeats: int, stretch: int = 8192) -> DataFrame:

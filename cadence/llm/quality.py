@@ -79,17 +79,19 @@ def repeat_words(w: spans.Words, n_texts: int) -> np.ndarray:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, source and the five measures of every document."""
+def measured(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, source (or the columns of `carry`) and the five measures of every document."""
+    names = list(dict.fromkeys(["doc_id", "source", *(carry or [])]))
+    names = [n for n in names if n not in MEASURES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 got = measure(texts_of(part))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), *(pa.array(got[m]) for m in MEASURES)], ["doc_id", "source", *MEASURES])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *(pa.array(got[m]) for m in MEASURES)], [*names, *MEASURES])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "source", "text").mapInArrow(run, f"doc_id {kind}, source string, " + ", ".join(f"{m} long" for m in MEASURES))
+    fields = [f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names]
+    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, ", ".join(fields + [f"{m} long" for m in MEASURES]))
 
 
 def base_failed() -> Column:
@@ -123,13 +125,23 @@ def host_verdicts(judged: DataFrame, host_limit: float = 0.5) -> DataFrame:
     return hosts.withColumn("one", F.lit(1)).join(F.broadcast(prior), "one").select("no_host", "host", "n", "failures", shrunk.alias("host_rate"), (shrunk <= host_limit).alias("trusted"))
 
 
-def judge(docs: DataFrame, host_limit: float = 0.5) -> DataFrame:
-    """Every document with its measures, its host's shrunk failure rate and `kept`."""
-    rows = measured(docs).withColumn("base_failed", base_failed()).withColumn("house_failed", house_failed())
-    rows = staged(rows.withColumn("no_host", F.col("source").isNull()).withColumn("host", F.coalesce("source", F.lit(""))), "quality")
+def judge(docs: DataFrame, host_limit: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+    """Every document with its measures, its host's shrunk failure rate and `kept`.
+
+    `carry` names further columns of the documents to return."""
+    host = [F.col("source").isNull().alias("no_host"), F.coalesce("source", F.lit("")).alias("host")]
+
+    def judged(kept_columns: list[str] | None) -> DataFrame:
+        rows = measured(docs, kept_columns).withColumn("base_failed", base_failed()).withColumn("house_failed", house_failed())
+        return rows.select("*", *host)
+
+    rows = staged(judged(None), "quality")
     hosts = host_verdicts(rows, host_limit).select("no_host", "host", "host_rate", "trusted")
+    if carry is not None:  # texts are measured again rather than stored; the verdicts are few
+        rows, hosts = judged(carry), staged(hosts, "hosts")
     kept = ~F.col("base_failed") & (F.col("trusted") | ~F.col("house_failed"))
-    return rows.join(hosts, ["no_host", "host"]).select("doc_id", "source", *MEASURES, "base_failed", "house_failed", "host_rate", kept.alias("kept"))
+    out = rows.join(hosts, ["no_host", "host"])
+    return out.select(*(c for c in rows.columns if c not in ("no_host", "host")), "host_rate", kept.alias("kept"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,84 @@
-"""The corpus pipeline: quality rules, near-duplicates, repeated passages, mixing, packing."""
+"""The corpus pipeline: quality rules, near-duplicates, repeated passages, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each result as
+Parquet in the shared folder and reads it again as the next stage's documents. All stages but
+the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cadence.llm import mixing, neardup, packing, passages, quality
+from cadence.llm.common import shared_dir, table
+
+#: Mixing and packing are not expressible in SQL together (tokenizers); see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules and their host's verdict keep."""
+    columns = docs.columns
+    judged = quality.judge(docs, carry=columns)
+    return judged.where("kept").select(*columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: the one with the smallest doc_id."""
+    found = neardup.classes(docs).where("not kept").select("doc_id").distinct()
+    # of rows that share the kept doc_id, one stays
+    rest = docs.join(found.hint("shuffle_hash"), "doc_id", "left_anti")
+    alone = rest.where("doc_id is null").select(*docs.columns)
+    return rest.where("doc_id is not null").dropDuplicates(["doc_id"]).select(*docs.columns).union(alone)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that a smaller doc_id holds; texts left empty go.
+
+    Untouched documents keep their text as it is."""
+    cut = passages.remove_passages(docs)
+    changed = F.col("n_removed") > 0
+    text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
+    left = cut.where(~changed | (F.col("kept_text") != ""))
+    return left.select(*(text.alias("text") if c == "text" else F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix reads them: whole rounds, and the rest of `taken` by a draw.
+
+    A document whose words are taken k times and a part more stands k times, and once more with
+    the chance of that part, drawn from its doc_id, so each source's words keep near its target.
+    """
+    taken = mixing.mix(docs, carry=docs.columns)
+    share = F.col("taken") / F.greatest(F.col("size"), F.lit(1))
+    whole = F.floor(share).cast("int")
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit("draw "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    times = whole + F.when(share - whole > draw, F.lit(1)).otherwise(F.lit(0))
+    return taken.withColumn("_times", times).where("_times > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+
+
+def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of at most 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("mixing sources to target weights", mixed_sources),
+    ("packing", packed_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        out = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(out)
+        docs = spark.read.schema(made.schema).parquet(out)
+    return docs
