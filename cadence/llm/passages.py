@@ -17,13 +17,15 @@ rows; extra columns pass through.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sha, table
-from .routing import Shard, Sizes, Units, applied, candidates, coverage, grouped, removed, told
+from .common import sha, staged, table
+from .routing import Shard, Sizes, Units, applied, candidates, copies, coverage, grouped, removed, told
 
 UNITS = Units(words=True)
 
@@ -103,9 +105,9 @@ class PassageShard(Shard):
         return flags
 
 
-def cut_words(text: bytes, runs: np.ndarray | None) -> tuple[int, int, str]:
+def cut_words(text: bytes, runs: np.ndarray | None, window: int = UNITS.window) -> tuple[int, int, str]:
     found = text.split()
-    if runs is None:
+    if runs is None or len(found) < window:
         return len(found), 0, b" ".join(found).decode()
     gone = coverage(runs, len(found))
     kept = [w for w, g in zip(found, gone.tolist(), strict=True) if not g]
@@ -116,9 +118,11 @@ def remove_passages(docs: DataFrame, units: Units = UNITS) -> DataFrame:
     """The documents with n_words, n_removed and kept_text (kept words joined by one space)."""
     sizes = Sizes.of(docs)
     dealt = grouped(docs, sizes)
-    rows = candidates(dealt.select("_group", "doc_id", "text"), told(docs, units, sizes), units, sizes)
+    same = staged(copies(docs, sizes), "copies")
+    # the same dealt table three times: Spark shuffles it once
+    rows = candidates(dealt, told(dealt, same, units, sizes), same, units, sizes)
     runs = removed(rows, lambda: PassageShard(units), sizes)
-    return applied(dealt, runs, cut_words, {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_text": pa.string()}, "n_words long, n_removed long, kept_text string")
+    return applied(dealt, runs, same, partial(cut_words, window=units.window), {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_text": pa.string()}, "n_words long, n_removed long, kept_text string")
 
 
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,8 @@ by content alone (see spans.anchor_runs), so equal windows have equal anchors. A
 stands in two documents therefore has an anchor hash that two documents share. Two shuffles
 find and route exactly those runs:
 
+0. whole texts that equal one with a smaller doc_id are known by their digest; they take no
+   part, as the first of them stands for all;
 1. all anchor hashes, packed into byte blocks, meet by hash; each hash found in two different
    documents is told to its documents (a hash collision only adds a candidate);
 2. documents emit the told runs, each a short stretch of text, to the shard of its anchor,
@@ -70,40 +72,56 @@ def grouped(docs: DataFrame, sizes: Sizes) -> DataFrame:
     return docs.withColumn("_group", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(sizes.groups)).cast("int"))
 
 
-def told(docs: DataFrame, units: Units, sizes: Sizes, limit: int = 1_000_000) -> DataFrame:
+def copies(docs: DataFrame, sizes: Sizes) -> DataFrame:
+    """(group, copy_id, copy_sig): documents whose whole text a smaller doc_id holds as well."""
+    raw = F.coalesce("text", F.lit("")).cast("binary")
+    marks = docs.where("doc_id is not null").select("doc_id", F.md5(raw).alias("digest"), F.crc32(raw).alias("sig"))
+    least = marks.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    found = marks.join(least.hint("merge"), "digest").where("doc_id > least")
+    return grouped(found, sizes).select("_group", F.col("doc_id").cast("long").alias("copy_id"), F.col("sig").alias("copy_sig"))
+
+
+def _answers(group_rows: DataFrame, copy_rows: DataFrame, *names: str) -> DataFrame:
+    """Answers for document groups and the copies among them, as one table."""
+    return group_rows.select("_group", *names, F.lit(None).cast("long").alias("copy_id"), F.lit(None).cast("long").alias("copy_sig")).union(
+        copy_rows.select("_group", *(F.lit(None).cast("binary").alias(n) for n in names), "copy_id", "copy_sig")
+    )
+
+
+def _is_copy(docs: pa.RecordBatch, texts: list[bytes], known: set[tuple[int, int]]) -> np.ndarray:
+    return np.array([(d, zlib.crc32(t)) in known for d, t in zip(docs.column("doc_id").to_pylist(), texts, strict=True)], bool)
+
+
+def _copies_of(answers: pa.Table) -> set[tuple[int, int]]:
+    got = zip(answers.column("copy_id").to_pylist(), answers.column("copy_sig").to_pylist(), strict=True)
+    return {x for x in got if x[0] is not None}
+
+
+def _filled(answers: pa.Table, name: str) -> list[bytes]:
+    return [x for x in answers.column(name).to_pylist() if x is not None]
+
+
+def told(grouped_docs: DataFrame, copy_rows: DataFrame, units: Units, sizes: Sizes) -> DataFrame:
     """(group, docs, keys): the anchors that stand in two or more documents, by document group."""
     n_parts, n_groups = sizes.parts, sizes.groups
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
-        held = 0
-
-        def flush() -> pa.RecordBatch:
-            key, owner = np.concatenate(keys), np.concatenate(owners)
-            part = (key % U(n_parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            key, owner, part = key[order], owner[order], part[order]
-            cut = np.flatnonzero(np.diff(part)) + 1
-            rows = [(int(p[0]), o.tobytes(), k.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()) for p, o, k in zip(np.split(part, cut), np.split(owner, cut), np.split(key, cut), strict=True) if len(p)]
-            keys.clear()
-            owners.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["part", "docs", "keys"])
-
-        for batch in batches:
+    def send(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        keys, owners = [np.zeros(0, U)], [np.zeros(0, "<i8")]
+        known = _copies_of(answers)
+        for batch in docs.select(["doc_id", "text"]).to_batches():
             for piece in slices(batch, "text", 1_000_000):
-                ids = piece.column("doc_id")
-                runs, _, _, _ = units.runs(texts_of(piece))
-                has = ~np.asarray(ids.is_null())[runs.doc] if len(runs.doc) else np.zeros(0, bool)
-                own = np.asarray(ids.fill_null(0).cast(pa.int64()))[runs.doc[has]]
-                keys.append(runs.key[has] >> U(16))
-                owners.append(own.astype("<i8"))
-                held += len(own)
-                if held >= limit:
-                    yield flush()
-                    held = 0
-        if held:
-            yield flush()
+                ids, texts = piece.column("doc_id"), texts_of(piece)
+                out = np.asarray(ids.is_null()) | _is_copy(piece, texts, known)
+                runs, _, _, _ = units.runs([b"" if o else t for o, t in zip(out.tolist(), texts, strict=True)])
+                keys.append(runs.key >> U(16))
+                owners.append(np.asarray(ids.fill_null(0).cast(pa.int64()))[runs.doc].astype("<i8"))
+        key, owner = np.concatenate(keys), np.concatenate(owners)
+        part = (key % U(n_parts)).astype(np.int32)
+        order = np.argsort(part, kind="stable")
+        key, owner, part = key[order], owner[order], part[order]
+        cut = np.flatnonzero(np.diff(part)) + 1
+        rows = [(int(p[0]), o.tobytes(), k.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()) for p, o, k in zip(np.split(part, cut), np.split(owner, cut), np.split(key, cut), strict=True) if len(p)]
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "docs": pa.array([r[1] for r in rows], pa.binary()), "keys": pa.array([r[2] for r in rows], pa.binary())})
 
     def meet(rows: pa.Table) -> pa.Table:
         owner = np.concatenate([np.frombuffer(x, "<i8") for x in rows.column("docs").to_pylist()])
@@ -124,7 +142,7 @@ def told(docs: DataFrame, units: Units, sizes: Sizes, limit: int = 1_000_000) ->
         got = [(int(g[0]), o.tobytes(), k.tobytes()) for g, o, k in zip(np.split(group, cut), np.split(owner, cut), np.split(key, cut), strict=True) if len(g)]
         return pa.table({"_group": pa.array([g[0] for g in got], pa.int32()), "docs": pa.array([g[1] for g in got], pa.binary()), "keys": pa.array([g[2] for g in got], pa.binary())})
 
-    sent = docs.select("doc_id", "text").mapInArrow(send, "part int, docs binary, keys binary")
+    sent = grouped_docs.groupBy("_group").cogroup(copy_rows.groupBy("_group")).applyInArrow(send, "part int, docs binary, keys binary")
     return sent.groupBy("part").applyInArrow(meet, "_group int, docs binary, keys binary")
 
 
@@ -132,7 +150,7 @@ CANDIDATE = "shard int, kind int, doc_id long, sig long, lo long, other long, bo
 _FIELDS = [f.split()[0] for f in CANDIDATE.split(", ")]
 
 
-def candidates(grouped_docs: DataFrame, told_rows: DataFrame, units: Units, sizes: Sizes) -> DataFrame:
+def candidates(grouped_docs: DataFrame, told_rows: DataFrame, copy_rows: DataFrame, units: Units, sizes: Sizes) -> DataFrame:
     """The told runs as rows for their shards.
 
     kind 1: a stretch of text (`body`) that starts at unit `lo` of a document; `other` is the
@@ -144,31 +162,34 @@ def candidates(grouped_docs: DataFrame, told_rows: DataFrame, units: Units, size
     def emit(docs: pa.Table, answers: pa.Table) -> pa.Table:
         out: dict[str, list] = {f: [] for f in _FIELDS}
         phrases: dict[bytes, list[int]] = {}
-        if answers.num_rows and docs.num_rows:
-            owner = np.concatenate([np.frombuffer(x, "<i8") for x in answers.column("docs").to_pylist()])
-            key = np.concatenate([np.frombuffer(x, "<u8") for x in answers.column("keys").to_pylist()])
+        blocks = _filled(answers, "docs")
+        if blocks and docs.num_rows:
+            known = _copies_of(answers)
+            owner = np.concatenate([np.frombuffer(x, "<i8") for x in blocks])
+            key = np.concatenate([np.frombuffer(x, "<u8") for x in _filled(answers, "keys")])
             wanted = np.unique(key ^ spans.mix(owner.view(U)))
             for batch in docs.select(["doc_id", "text"]).to_batches():
                 for piece in slices(batch, "text", 1_000_000):
-                    _emit_piece(piece, wanted, out, phrases)
+                    _emit_piece(piece, wanted, known, out, phrases)
         for phrase, (shard, low, high) in phrases.items():
             for f, v in zip(_FIELDS, (shard, 0, low, 0, 0, high, phrase), strict=True):
                 out[f].append(v)
         kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary()]
         return pa.table({f: pa.array(out[f], t) for f, t in zip(_FIELDS, kinds, strict=True)})
 
-    def _emit_piece(piece: pa.RecordBatch, wanted: np.ndarray, out: dict[str, list], phrases: dict[bytes, list[int]]) -> None:
+    def _emit_piece(piece: pa.RecordBatch, wanted: np.ndarray, known: set[tuple[int, int]], out: dict[str, list], phrases: dict[bytes, list[int]]) -> None:
         ids = piece.column("doc_id")
         texts = texts_of(piece)
+        left_out = np.asarray(ids.is_null()) | _is_copy(piece, texts, known)
+        texts = [b"" if o else t for o, t in zip(left_out.tolist(), texts, strict=True)]
         runs, data, w, first = units.runs(texts)
         if not len(runs.doc):
             return
-        null = np.asarray(ids.is_null())
         own = np.asarray(ids.fill_null(0).cast(pa.int64())).astype("<i8")
         key = runs.key >> U(16)
         code = key ^ spans.mix(own.view(U))[runs.doc]
         at = np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)
-        pick = np.flatnonzero((wanted[at] == code) & ~null[runs.doc])
+        pick = np.flatnonzero(wanted[at] == code)
         if not len(pick):
             return
         raw = data.tobytes()
@@ -197,7 +218,8 @@ def candidates(grouped_docs: DataFrame, told_rows: DataFrame, units: Units, size
             out["other"].append(p - a)
             out["body"].append(body)
 
-    return grouped_docs.groupBy("_group").cogroup(told_rows.groupBy("_group")).applyInArrow(emit, CANDIDATE)
+    right = _answers(told_rows, copy_rows, "docs", "keys")
+    return grouped_docs.groupBy("_group").cogroup(right.groupBy("_group")).applyInArrow(emit, CANDIDATE)
 
 
 class Shard:
@@ -270,19 +292,25 @@ def coverage(runs: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def applied(grouped_docs: DataFrame, removed_rows: DataFrame, cut: Callable[[bytes, np.ndarray | None], tuple], columns: dict[str, pa.DataType], schema: str) -> DataFrame:
+WHOLE = np.array([(0, 0, 0, 1 << 40)], REMOVED)
+
+
+def applied(grouped_docs: DataFrame, removed_rows: DataFrame, copy_rows: DataFrame, cut: Callable[[bytes, np.ndarray | None], tuple], columns: dict[str, pa.DataType], schema: str) -> DataFrame:
     """The documents plus what `cut(text, runs)` gives for each; a column of the same name is replaced."""
     keep = [c for c in grouped_docs.columns if c != "_group" and c not in columns]
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        got = np.concatenate([np.frombuffer(x, REMOVED) for x in answers.column("runs").to_pylist()]) if answers.num_rows else np.zeros(0, REMOVED)
+        known = _copies_of(answers)
+        got = np.concatenate([np.zeros(0, REMOVED), *(np.frombuffer(x, REMOVED) for x in _filled(answers, "runs"))])
         got = got[np.lexsort((got["sig"], got["doc"]))]
         ids = docs.column("doc_id").to_pylist()
         rows = []
         for doc_id, text in zip(ids, docs.column("text").cast(pa.binary()).to_pylist(), strict=True):
             text = text or b""
             mine = None
-            if doc_id is not None and len(got):
+            if (doc_id, zlib.crc32(text)) in known:
+                mine = WHOLE
+            elif doc_id is not None and len(got):
                 a, b = np.searchsorted(got["doc"], [doc_id, doc_id + 1]) if doc_id < (1 << 63) - 1 else (np.searchsorted(got["doc"], doc_id), len(got))
                 if b > a:
                     mine = got[a:b]
@@ -292,4 +320,5 @@ def applied(grouped_docs: DataFrame, removed_rows: DataFrame, cut: Callable[[byt
         return pa.table({**{c: docs.column(c) for c in keep}, **new})
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in grouped_docs.schema if f.name in keep)
-    return grouped_docs.groupBy("_group").cogroup(removed_rows.groupBy("_group")).applyInArrow(run, f"{fields}, {schema}")
+    right = _answers(removed_rows, copy_rows, "runs")
+    return grouped_docs.groupBy("_group").cogroup(right.groupBy("_group")).applyInArrow(run, f"{fields}, {schema}")

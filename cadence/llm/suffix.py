@@ -18,13 +18,14 @@ rows; extra columns pass through; strings may start and end inside a UTF-8 chara
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import sha, table
-from .routing import Shard, Sizes, Units, applied, candidates, coverage, grouped, removed, told
+from .common import sha, staged, table
+from .routing import Shard, Sizes, Units, applied, candidates, copies, coverage, grouped, removed, told
 
 UNITS = Units(words=False)
 
@@ -139,8 +140,8 @@ class SuffixShard(Shard):
             self.batch()
 
 
-def cut_bytes(text: bytes, runs: np.ndarray | None) -> tuple[int, int, int, bytes]:
-    if runs is None:
+def cut_bytes(text: bytes, runs: np.ndarray | None, window: int = UNITS.window) -> tuple[int, int, int, bytes]:
+    if runs is None or len(text) < window:
         return len(text), 0, 0, text
     gone = coverage(runs, len(text))
     spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
@@ -151,10 +152,12 @@ def remove_strings(docs: DataFrame, units: Units = UNITS, batch_bytes: int = 500
     """The documents with n_bytes, n_removed, n_spans and kept_bytes."""
     sizes = Sizes.of(docs)
     dealt = grouped(docs, sizes)
-    rows = candidates(dealt.select("_group", "doc_id", "text"), told(docs, units, sizes), units, sizes)
+    same = staged(copies(docs, sizes), "copies")
+    # the same dealt table three times: Spark shuffles it once
+    rows = candidates(dealt, told(dealt, same, units, sizes), same, units, sizes)
     runs = removed(rows, lambda: SuffixShard(units, batch_bytes), sizes)
     kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_bytes": pa.binary()}
-    return applied(dealt, runs, cut_bytes, kinds, "n_bytes long, n_removed long, n_spans long, kept_bytes binary")
+    return applied(dealt, runs, same, partial(cut_bytes, window=units.window), kinds, "n_bytes long, n_removed long, n_spans long, kept_bytes binary")
 
 
 def op8_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
