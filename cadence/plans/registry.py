@@ -98,7 +98,7 @@ def sg_derivative(spark, d):
     return series.derivative(grid(spark, d, 3600), "v", "rate", 4).select("series", "i", *r6("rate"))
 
 
-@query("gradient", f"{g()} SELECT series, i, round(CASE WHEN lag(i) OVER w IS NULL THEN lead(v) OVER w - v WHEN lead(i) OVER w IS NULL THEN v - lag(v) OVER w ELSE (lead(v) OVER w - lag(v) OVER w) / 2 END, 9) AS grad FROM g WINDOW w AS ({W})")
+@query("gradient", f"{g()} SELECT series, i, round(CASE WHEN lag(i) OVER w IS NULL THEN lead(v) OVER w - v WHEN lead(i) OVER w IS NULL THEN v - lag(v) OVER w ELSE (lead(v) OVER w + 0 * v - lag(v) OVER w) / 2 END, 9) AS grad FROM g WINDOW w AS ({W})")
 def gradient(spark, d):
     return grid(spark, d).select("series", "i", F.round(series.gradient("v"), 9).alias("grad"))
 
@@ -199,7 +199,7 @@ def dip_then_rise(spark, d):
 
 @query(
     "big_drops",
-    f"""{g()}, {SPREAD}, sl AS (SELECT series, i, v, CASE WHEN lag(i) OVER w IS NULL THEN lead(v) OVER w - v WHEN lead(i) OVER w IS NULL THEN v - lag(v) OVER w ELSE (lead(v) OVER w - lag(v) OVER w) / 2 END AS s FROM g WINDOW w AS ({W})),
+    f"""{g()}, {SPREAD}, sl AS (SELECT series, i, v, CASE WHEN lag(i) OVER w IS NULL THEN lead(v) OVER w - v WHEN lead(i) OVER w IS NULL THEN v - lag(v) OVER w ELSE (lead(v) OVER w + 0 * v - lag(v) OVER w) / 2 END AS s FROM g WINDOW w AS ({W})),
 t AS (SELECT sl.*, spread, lag(s) OVER w AS l, lead(s) OVER w AS r, coalesce(s < -0.1 * spread, false) AS fall FROM sl JOIN sp USING (series) WINDOW w AS ({W})),
 u AS (SELECT *, row_number() OVER ({W}) - row_number() OVER (PARTITION BY series, fall ORDER BY i) AS grp FROM t)
 SELECT series, min(i) AS onset, min(CASE WHEN s <= l AND s <= r THEN i END) AS steepest, max(i) AS bottom, round(arg_min(v, i) - arg_max(v, i), 5) AS drop_size FROM u WHERE fall GROUP BY series, grp HAVING min(CASE WHEN s <= l AND s <= r THEN i END) IS NOT NULL AND arg_min(v, i) - arg_max(v, i) >= 0.5 * max(spread) AND max(i) - min(i) <= 25""",
@@ -324,7 +324,7 @@ def answer_fields(spark, d):
     return cycles.fields(cycles.answer_json(cycles.averages(cycles.assemble(starts(spark, d))))).select("clip", "field", "value")
 
 
-@query("tolerance_score", "SELECT clip, field, expected, actual, round(actual - expected, 6) AS error, coalesce(CASE WHEN field = 'cycle_count' THEN actual = expected ELSE abs(actual - expected) <= 0.6 END, false) AS passed FROM (SELECT e.clip, e.field, e.expected, a.actual FROM (SELECT CAST(o_orderkey AS VARCHAR) AS clip, CASE WHEN o_orderkey % 3 = 0 THEN 'cycle_count' ELSE 'x' END AS field, CAST(o_orderkey % 7 AS DOUBLE) AS expected FROM orders) e LEFT JOIN (SELECT CAST(o_orderkey AS VARCHAR) AS clip, CASE WHEN o_orderkey % 3 = 0 THEN 'cycle_count' ELSE 'x' END AS field, (o_orderkey % 7) + (o_orderkey % 5) * 0.25 AS actual FROM orders WHERE o_orderkey % 11 <> 0) a USING (clip, field))")
+@query("tolerance_score", "SELECT clip, field, expected, actual, round(actual - expected, 6) AS error, coalesce(CASE WHEN field = 'cycle_count' THEN actual = expected ELSE abs(actual - expected) <= 0.6 END, false) AS passed FROM (SELECT e.clip, e.field, e.expected, a.actual FROM (SELECT CAST(o_orderkey AS VARCHAR) AS clip, CASE WHEN o_orderkey % 3 = 0 THEN 'cycle_count' ELSE 'x' END AS field, CAST(o_orderkey % 7 AS DOUBLE) AS expected FROM orders) e LEFT JOIN (SELECT CAST(o_orderkey AS VARCHAR) AS clip, CASE WHEN o_orderkey % 3 = 0 THEN 'cycle_count' ELSE 'x' END AS field, CAST((o_orderkey % 7) + (o_orderkey % 5) * 0.25 AS DOUBLE) AS actual FROM orders WHERE o_orderkey % 11 <> 0) a USING (clip, field))")
 def tolerance_score(spark, d):
     o = load(spark, d, "orders").select(F.col("o_orderkey").alias("k"))
     field = F.when(F.col("k") % 3 == 0, "cycle_count").otherwise("x").alias("field")
