@@ -7,11 +7,12 @@ on the shingles, is at least `threshold`. Classes are the connected components o
 
 Not all pairs of a bucket are looked at, yet no link between classes is lost:
 1. star rounds link each bucket's rows to one centre, which folds large groups of near copies;
-2. then every pair of a bucket whose two sides lie in different classes is verified, starting
-   from rows outside the bucket's largest class; pairs inside a class cannot change anything.
+2. then every pair of a bucket whose two sides lie in different classes is compared, in blocks
+   inside a task (in the pair's smallest shared bucket only), and just enough links come out to
+   connect what is linked; pairs inside a class cannot change anything.
 
 Scale: signatures are map-only; bands travel as 64-bit keys; buckets are counted with partial
-sums before anything is joined to them; whole texts are sent only for rows in some pair. No
+sums before anything is joined to them; shingle sets are sent only for rows that share one. No
 table is broadcast, components run on written tables, the driver sees a few counts.
 
 Defined results: a text without words (null, empty) and a row without doc_id stay alone (class
@@ -26,11 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import darts, spans
-from .common import slices, staged, table, texts_of
+from .common import shuffle_partitions, slices, staged, table, texts_of
 from .components import components
 
 U = np.uint64
@@ -76,43 +77,155 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>")
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard of two (sorted distinct hashes, counts)."""
-    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
-    hit = b[0][at] == a[0]
-    low = int(np.minimum(a[1][hit], b[1][at[hit]]).sum())
-    return low / (int(a[1].sum()) + int(b[1].sum()) - low)
+def cells_of(texts: list[bytes]) -> list[bytes]:
+    """Each text's shingle occurrences as a set (the n-th occurrence is an element of its own).
 
+    Sorted 40-bit hashes, 5 bytes each; plain Jaccard of these sets is weighted Jaccard."""
+    key, own, count = shingles(texts)
+    cell, own, _ = darts.unit_cells(key, own, count.astype(float))
+    cell >>= U(24)
+    order = np.lexsort((cell, own))
+    cut = np.searchsorted(own[order], np.arange(len(texts) + 1))
+    raw = np.ascontiguousarray(cell[order]).view(np.uint8).reshape(-1, 8)[:, :5]
+    return [raw[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough. `texts`: id, text, one row per id."""
+
+def opened(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 5, 8), np.uint8)
+    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return wide.view("<u8").ravel()
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard of two sorted sets."""
+    if not len(a) or not len(b):
+        return 0.0
+    low = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+    return low / (len(a) + len(b) - low)
+
+
+def celled(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """(id, cells) of the documents whose doc_id is in `some`; the smallest text stands for an id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, "text", 1_500_000):
+                yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(cells_of(texts_of(piece)), pa.binary())], ["id", "cells"])
+
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text").join(some.hint("shuffle_hash"), "id", "left_semi")
+    return texts.mapInArrow(run, "id long, cells binary").groupBy("id").agg(F.min("cells").alias("cells"))
+
+
+def verified(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, kept = None, None
         for batch in batches:
-            for piece in slices(batch, "text_a", 1_000_000):
-                ids_a, ids_b = piece.column("a").to_pylist(), piece.column("b").to_pylist()
-                raw_b = piece.column("text_b")
-                fresh: dict[int, int] = {}
-                todo = []
-                for k, b in enumerate(ids_b):
-                    if b != last and b not in fresh:
-                        fresh[b] = len(todo)
-                        todo.append(raw_b[k].as_py().encode())
-                key, own, count = shingles(texts_of(piece, "text_a") + todo)
-                cut = np.searchsorted(own, np.arange(len(ids_a) + len(todo) + 1))
-                get = lambda k: (key[cut[k] : cut[k + 1]], count[cut[k] : cut[k + 1]])  # noqa: E731, B023
-                ok = []
-                for k, b in enumerate(ids_b):
-                    other = kept if b == last and b not in fresh else get(len(ids_a) + fresh[b])
-                    ok.append(similarity(get(k), other) >= threshold)
-                if ids_b[-1] in fresh:
-                    last, kept = ids_b[-1], tuple(x.copy() for x in get(len(ids_a) + fresh[ids_b[-1]]))
-                good = pa.array(ok)
-                yield pa.RecordBatch.from_arrays([piece.column("a").filter(good), piece.column("b").filter(good)], ["a", "b"])
-
-    met = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    return met.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+            raw = zip(batch.column("cells_a").to_pylist(), batch.column("cells_b").to_pylist(), strict=True)
+            good = pa.array([similarity(opened(x), opened(y)) >= threshold for x, y in raw], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
+
+    side = lambda c: cells.select(F.col("id").alias(c), F.col("cells").alias(f"cells_{c}")).hint("merge")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "cells_a", "cells_b").mapInArrow(run, "a long, b long")
+
+
+class Crowd:
+    """The rows of one bucket (or of two blocks of it), compared across classes."""
+
+    def __init__(self, rows: list[tuple], threshold: float):
+        self.bucket, lo, hi = rows[0][:3]
+        self.cross = lo != hi
+        self.half = np.array([r[3] for r in rows], np.int64)
+        self.ids = np.array([r[4] for r in rows], np.int64)
+        self.root = np.array([r[5] for r in rows], np.int64)
+        self.others = [r[6] for r in rows]
+        self.sets = [opened(r[7]) for r in rows]
+        self.threshold = threshold
+
+    def pairs(self) -> np.ndarray:
+        """Which pairs are this bucket's to compare: of two classes, sharing no smaller bucket."""
+        low = [[b for b in o if b < self.bucket] for o in self.others]
+        names, count = np.unique(np.concatenate([np.array(x, np.int64) for x in low]), return_counts=True)
+        names = names[count > 1]
+        member = np.zeros((len(low), len(names)), np.float32)
+        for k, x in enumerate(low):
+            at = np.searchsorted(names, x)
+            ok = (at < len(names)) & (names[np.minimum(at, len(names) - 1)] == x) if len(names) else np.zeros(len(x), bool)
+            member[k, at[ok]] = 1
+        todo = (self.root[:, None] != self.root[None, :]) & ~(member @ member.T > 0)
+        if self.cross:
+            todo &= self.half[:, None] != self.half[None, :]
+        return todo
+
+    def edges(self) -> list[tuple[int, int]]:
+        """Links enough to connect all that is linked here."""
+        todo = self.pairs()
+        a, b = np.nonzero(np.triu(todo, 1))
+        if len(a) <= 60 * len(self.ids):
+            good = np.array([similarity(self.sets[x], self.sets[y]) >= self.threshold for x, y in zip(a, b, strict=True)], bool)
+            linked = np.zeros_like(todo)
+            linked[a[good], b[good]] = linked[b[good], a[good]] = True
+        else:
+            linked = todo & (self.all_similarities() >= self.threshold)
+        n = len(linked)
+        label = np.arange(n)
+        while True:
+            new = np.minimum(label, np.where(linked, label[None, :], n).min(axis=1))
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        return [(int(self.ids[k]), int(self.ids[label[k]])) for k in np.flatnonzero(label != np.arange(n))]
+
+    def all_similarities(self) -> np.ndarray:
+        """Set sizes in common as one matrix product, over stretches of the elements."""
+        size = np.array([len(x) for x in self.sets])
+        row = np.repeat(np.arange(len(size)), size)
+        _, place, count = np.unique(np.concatenate(self.sets), return_inverse=True, return_counts=True)
+        use = count > 1
+        column = (np.cumsum(use) - 1)[place]
+        keep = use[place]
+        row, column = row[keep], column[keep]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        common = np.zeros((len(size), len(size)), np.float32)
+        for lo in range(0, int(use.sum()), 4096):
+            a, b = np.searchsorted(column, [lo, lo + 4096])
+            part = np.zeros((len(size), 4096), np.float32)
+            part[row[a:b], column[a:b] - lo] = 1
+            common += part @ part.T
+        return common / np.maximum(size[:, None] + size[None, :] - common, 1)
+
+
+def crossed(mixed: DataFrame, cells: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
+    """Links (a, b) between classes that meet in a bucket. mixed: bucket, id, root.
+
+    Pairs are compared in blocks inside a task and never written out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group: list[tuple] = []
+
+        def close() -> pa.RecordBatch:
+            found = Crowd(group, threshold).edges() if len(group) > 1 else []
+            group.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "lo", "hi", "half", "id", "root", "buckets", "cells")), strict=True):
+                if group and row[:3] != group[0][:3]:
+                    yield close()
+                group.append(row)
+        if group:
+            yield close()
+
+    own = mixed.groupBy("id").agg(F.collect_set("bucket").alias("buckets")).join(cells.hint("merge"), "id")
+    size = mixed.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks"))
+    dealt = mixed.select("bucket", "id", "root").join(size.hint("merge"), "bucket").withColumn("half", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("bucket", F.least("half", "other").alias("lo"), F.greatest("half", "other").alias("hi"), "half", "id", "root")
+    rows = dealt.join(own.hint("merge"), "id").select("bucket", "lo", "hi", "half", "id", "root", "buckets", "cells")
+    parts = shuffle_partitions(mixed.sparkSession)
+    return rows.repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(run, "a long, b long")
 
 
 def links(docs: DataFrame, reps: DataFrame, threshold: float, rounds: int = 2) -> DataFrame:
@@ -121,9 +234,7 @@ def links(docs: DataFrame, reps: DataFrame, threshold: float, rounds: int = 2) -
     crowd = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     rows = staged(rows.join(crowd.hint("merge"), "bucket").select("bucket", "id"), "buckets")
     some = rows.select("id").distinct()
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text").join(some.hint("merge"), "id", "left_semi")
-    # rows that share a doc_id: the smallest text stands for it, as in `reps`
-    texts = staged(texts.groupBy("id").agg(F.min("text").alias("text")), "near-texts")
+    cells = staged(celled(docs, some), "near-cells")
 
     edges = tested = roots = None
     for turn in range(rounds):
@@ -138,18 +249,16 @@ def links(docs: DataFrame, reps: DataFrame, threshold: float, rounds: int = 2) -
             centre = where.where("not main").groupBy("bucket").agg(F.min(F.struct(rank.alias("r"), "id", "root")).alias("c")).select("bucket", F.col("c.id").alias("b"), F.col("c.root").alias("root_b"))
             pairs = where.join(centre.hint("merge"), "bucket").where("id <> b and root <> root_b")
         pairs = pairs.select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-        edges, tested, roots = _grow(pairs, texts, edges, tested, threshold)
-    where = _mixed(_classed(rows, roots))
-    few = where.where("not main").select("bucket", F.col("id").alias("b"), F.col("root").alias("root_b"))
-    pairs = where.join(few.hint("merge"), "bucket").where("root <> root_b").select(F.greatest("id", "b").alias("a"), F.least("id", "b").alias("b")).distinct()
-    return _grow(pairs, texts, edges, tested, threshold)[2]
+        edges, tested, roots = _grow(pairs, cells, edges, tested, threshold)
+    fresh = staged(crossed(staged(_mixed(_classed(rows, roots)), "mixed"), cells, threshold), "links")
+    return staged(components(edges.union(fresh)), "roots")
 
 
-def _grow(pairs: DataFrame, texts: DataFrame, edges: DataFrame | None, tested: DataFrame | None, threshold: float):
+def _grow(pairs: DataFrame, cells: DataFrame, edges: DataFrame | None, tested: DataFrame | None, threshold: float):
     if tested is not None:
         pairs = pairs.join(tested.hint("merge"), ["a", "b"], "left_anti")
     pairs = staged(pairs, "pairs")
-    fresh = staged(verified(pairs, texts, threshold), "links")
+    fresh = staged(verified(pairs, cells, threshold), "links")
     edges = fresh if edges is None else edges.union(fresh)
     return edges, pairs if tested is None else tested.union(pairs), staged(components(edges), "roots")
 
