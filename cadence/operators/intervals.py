@@ -98,3 +98,22 @@ def widened(mode: Column, a: Column, b: Column, centre: Column, half: Column, le
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda x, y: x | y, conditions)
+
+
+def repeats_on_grid(samples: DataFrame, step: float, t: str = "t") -> DataFrame:
+    """How many slots of a regular grid of `step` show each sample: those up to the next sample.
+
+    A slot shows the latest sample at or before it, so the counts are differences of places on
+    the grid; no slot is ever a row."""
+    w = Window.partitionBy(KEY).orderBy(t)
+    first = F.min(t).over(Window.partitionBy(KEY))
+    place = F.ceil((F.col(t) - first) / step - 1e-6)
+    return samples.withColumn("_p", place).withColumn("_q", F.lead("_p").over(w)).select(KEY, t, F.coalesce(F.col("_q") - F.col("_p"), F.lit(1)).cast("long").alias("shown"))
+
+
+def running(starts: DataFrame, instants: DataFrame, slack: float = 1e-6) -> DataFrame:
+    """The phase that runs at each instant (clip, t), and since when."""
+    left = instants.withColumnRenamed("clip", KEY)
+    right = starts.select(F.col("clip").alias(KEY), F.col("time"), "phase")
+    out = asof_latest(left, right, KEY, "t", "time", ["phase"], slack)
+    return out.withColumnRenamed(KEY, "clip").withColumn("running_for", F.col("t") - F.col("asof_time"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cadence.functions import geometry as geo
-from cadence.operators import cycles, intervals, patterns, search, series, tracks
+from cadence.operators import cycles, intervals, masks, patterns, phases, search, series, tracks
 from cadence.sources.tables import load, regular_grid, strided
 from cadence.streaming import online
 
@@ -291,6 +291,11 @@ def majority_window(spark, d):
     return intervals.majority(_voted(spark, d), 5.0)
 
 
+@query("repeats_on_grid", f"{g(3600)}, k AS (SELECT series, CAST(i AS DOUBLE) AS t, min(i) OVER (PARTITION BY series) AS f FROM g WHERE v IS NOT NULL) SELECT series, t, CAST(coalesce(lead(ceil((t - f) / 0.4 - 1e-6)) OVER (PARTITION BY series ORDER BY t) - ceil((t - f) / 0.4 - 1e-6), 1) AS BIGINT) AS shown FROM k")
+def repeats_on_grid(spark, d):
+    return intervals.repeats_on_grid(grid(spark, d, 3600).where("v is not null").select("series", F.col("i").cast("double").alias("t")), 0.4)
+
+
 # ---- cycles ------------------------------------------------------------------------------------
 
 _PHASE = "CASE event_type WHEN 'signup' THEN 'digging' WHEN 'view' THEN 'hauling' WHEN 'click' THEN 'dumping' WHEN 'purchase' THEN 'swinging' END"
@@ -345,6 +350,28 @@ def phase_search(spark, d):
     return search.phase_search(events, longest_wait=10.0)
 
 
+def made_up_signals(spark, d) -> DataFrame:
+    """Daily means of a user stand for all signals of a clip."""
+    rows = series.derivative(grid(spark, d, 86400, "user_id").withColumn("v", F.coalesce("v", F.lit(0.0))), "v", "rate", 2)
+    scaled = F.col("v") / 100
+    return rows.select(
+        "series", F.col("i").cast("double").alias("t"), scaled.alias("height"), *((F.coalesce("rate", F.lit(0.0)) / 100).alias(c) for c in ("dh_dt", "dx_dt", "pile_truck_pos_dt")), (F.abs(F.coalesce("rate", F.lit(0.0))) / 100).alias("speed_2d"),
+        F.when(F.col("v") > 60, 1.0).otherwise(0.0).alias("over"), (1.5 - scaled).alias("aspect_ratio"), (-F.coalesce("rate", F.lit(0.0)) / 100).alias("aspect_ratio_dt"), scaled.alias("pile_truck_pos"), (scaled / 2).alias("cabin_pile_truck_pos"),
+    )
+
+
+@query("phase_starts")
+def phase_starts(spark, d):
+    return phases.phase_starts(made_up_signals(spark, d))
+
+
+@query("running_phase", f"{_CYCLES}, l AS (SELECT CAST(user_id AS VARCHAR) AS clip, epoch(ts) AS t, event_id FROM events WHERE event_type = 'error') SELECT l.clip, l.event_id, s.phase, round(l.t - s.time, 3) AS running_for FROM l ASOF LEFT JOIN s ON l.clip = s.clip AND l.t + 1e-6 >= s.time")
+def running_phase(spark, d):
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))") / 1e6
+    instants = load(spark, d, "events").where("event_type = 'error'").select(F.col("user_id").cast("string").alias("clip"), micros.alias("t"), "event_id")
+    return intervals.running(starts(spark, d), instants).select("clip", "event_id", "phase", F.round("running_for", 3).alias("running_for"))
+
+
 _RATE = f"{g()}, n AS (SELECT series, 5.0 AS noise FROM g GROUP BY 1), w AS (SELECT DISTINCT series, i - i % 20 AS a, i - i % 20 + 19 AS b FROM g)"
 
 
@@ -446,6 +473,28 @@ def containment(spark, d):
     return geo.inner_share(rows, rows.where((F.col("x") + F.col("y")) % 3 == 0)).select("clip", "sample", *r6("containment"))
 
 
+@query("mask_components")
+def mask_components(spark, d):
+    return masks.large_components(pixels(spark, d))
+
+
+@query("geodesic_bands")
+def geodesic_bands(spark, d):
+    seeds = pixels(spark, d).groupBy("clip").agg(F.min("y").alias("sy"), F.min("x").alias("sx"))
+    return masks.bands(masks.geodesic_distance(pixels(spark, d), seeds))
+
+
+@query("interior_points")
+def interior_points(spark, d):
+    return masks.interior_points(pixels(spark, d), 3)
+
+
+@query("prompt_grid", f"{_PIX}, b AS (SELECT clip, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM px GROUP BY 1) SELECT clip, r * 3 + c AS nth, round(y0 + (0.55 + 0.35 * r) * (y1 - y0), 6) AS py, round(x0 + (0.15 + 0.35 * c) * (x1 - x0), 6) AS px FROM b, range(2) t(r), range(3) u(c)")
+def prompt_grid(spark, d):
+    boxes = pixels(spark, d).groupBy("clip").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    return masks.grid_points(boxes).select("clip", F.col("nth").cast("long").alias("nth"), *r6("py", "px"))
+
+
 def _flags(spark, d) -> DataFrame:
     line = load(spark, d, "lineitem")
     return line.groupBy(F.col("l_suppkey").alias("key"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("nr")).agg(F.bool_or(F.col("l_returnflag") == "R").alias("hit"))
