@@ -6,6 +6,7 @@ from .caps import op10_embedding_caps
 from .licenses import op4_licenses
 from .mixing import op9_mixing
 from .neardup import op1_near_duplicates
+from .oracles import ORACLES  # noqa: F401
 from .packing import op7_packing
 from .passages import op5_passages
 from .quality import op6_quality
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_embedding_caps": op10_embedding_caps,
 }
 
-ORACLES: dict[str, str] = {}
+
