@@ -53,10 +53,10 @@ class PassageShard(Shard):
         self.bounds.clear()
         self.automaton.make_automaton()
 
-    def stretch(self, doc: int, sig: int, lo: int, other: int, body: bytes) -> None:
+    def stretch(self, doc: int, sig: int, lo: int, windows: int, body: bytes) -> None:
         if self.automaton is None:
             self.compile()
-        n = body.count(b" ") + 2 - self.units.window
+        n = windows
         known = self.stretches.get(body)
         if known is None:
             flags = self.judge(doc, body, n)
@@ -121,7 +121,7 @@ def remove_passages(docs: DataFrame, units: Units = UNITS) -> DataFrame:
     same = staged(copies(docs, sizes), "copies")
     # the same dealt table three times: Spark shuffles it once
     rows = candidates(dealt, told(dealt, same, units, sizes), same, units, sizes)
-    runs = removed(rows, lambda: PassageShard(units), sizes)
+    runs = removed(rows, lambda: PassageShard(units), units, sizes)
     return applied(dealt, runs, same, partial(cut_words, window=units.window), {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_text": pa.string()}, "n_words long, n_removed long, kept_text string")
 
 

@@ -109,7 +109,7 @@ def told(grouped_docs: DataFrame, copy_rows: DataFrame, units: Units, sizes: Siz
         keys, owners = [np.zeros(0, U)], [np.zeros(0, "<i8")]
         known = _copies_of(answers)
         for batch in docs.select(["doc_id", "text"]).to_batches():
-            for piece in slices(batch, "text", 1_000_000):
+            for piece in slices(batch, "text", 600_000):
                 ids, texts = piece.column("doc_id"), texts_of(piece)
                 out = np.asarray(ids.is_null()) | _is_copy(piece, texts, known)
                 runs, _, _, _ = units.runs([b"" if o else t for o, t in zip(out.tolist(), texts, strict=True)])
@@ -153,9 +153,11 @@ _FIELDS = [f.split()[0] for f in CANDIDATE.split(", ")]
 def candidates(grouped_docs: DataFrame, told_rows: DataFrame, copy_rows: DataFrame, units: Units, sizes: Sizes) -> DataFrame:
     """The told runs as rows for their shards.
 
-    kind 1: a stretch of text (`body`) that starts at unit `lo` of a document; `other` is the
-    anchor's place in it. For words also kind 0, once per group of documents: an anchor's phrase
-    with the smallest (`doc_id`) and largest (`other`) document that holds it there.
+    kind 1: a stretch of text (`body`) that starts at unit `lo` of a document and holds `other`
+    windows. A stretch that a smaller doc_id of the same group holds too is decided on the spot:
+    it goes as kind 2, without its text and spread over all tasks, so a passage that stands in
+    very many documents sends one row per group to its shard. For words also kind 0, once per
+    group: an anchor's phrase with the smallest (`doc_id`) and largest (`other`) document there.
     """
     n_shards, window, gram = sizes.shards, units.window, units.gram
 
@@ -169,8 +171,14 @@ def candidates(grouped_docs: DataFrame, told_rows: DataFrame, copy_rows: DataFra
             key = np.concatenate([np.frombuffer(x, "<u8") for x in _filled(answers, "keys")])
             wanted = np.unique(key ^ spans.mix(owner.view(U)))
             for batch in docs.select(["doc_id", "text"]).to_batches():
-                for piece in slices(batch, "text", 1_000_000):
+                for piece in slices(batch, "text", 600_000):
                     _emit_piece(piece, wanted, known, out, phrases)
+        least: dict[bytes, int] = {}
+        for doc, body in zip(out["doc_id"], out["body"], strict=True):
+            least[body] = min(least.get(body, doc), doc)
+        for k, (doc, body) in enumerate(zip(out["doc_id"], out["body"], strict=True)):
+            if doc > least[body]:
+                out["kind"][k], out["shard"][k], out["body"][k] = 2, -1 - (doc * 31 + out["lo"][k]) % 100_003, b""
         for phrase, (shard, low, high) in phrases.items():
             for f, v in zip(_FIELDS, (shard, 0, low, 0, 0, high, phrase), strict=True):
                 out[f].append(v)
@@ -215,7 +223,7 @@ def candidates(grouped_docs: DataFrame, told_rows: DataFrame, copy_rows: DataFra
             out["doc_id"].append(int(own[d]))
             out["sig"].append(sigs[d])
             out["lo"].append(a - int(first[d]))
-            out["other"].append(p - a)
+            out["other"].append(b - a + 1)
             out["body"].append(body)
 
     right = _answers(told_rows, copy_rows, "docs", "keys")
@@ -231,7 +239,7 @@ class Shard:
 
     def phrase(self, low: int, high: int, body: bytes) -> None: ...
 
-    def stretch(self, doc: int, sig: int, lo: int, other: int, body: bytes) -> None: ...
+    def stretch(self, doc: int, sig: int, lo: int, windows: int, body: bytes) -> None: ...
 
     def finish(self) -> None: ...
 
@@ -240,9 +248,9 @@ class Shard:
         self.rows.append((doc, sig, start, windows + self.units.window - 1))
 
 
-def removed(rows: DataFrame, make: Callable[[], Shard], sizes: Sizes, n_out: int = 500_000) -> DataFrame:
+def removed(rows: DataFrame, make: Callable[[], Shard], units: Units, sizes: Sizes, n_out: int = 500_000) -> DataFrame:
     """(group, runs): REMOVED records by document group."""
-    n_groups = sizes.groups
+    n_groups, window = sizes.groups, units.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, at = None, None
@@ -260,6 +268,9 @@ def removed(rows: DataFrame, make: Callable[[], Shard], sizes: Sizes, n_out: int
         found: list = []
         for batch in batches:
             for number, kind, doc, sig, lo, other, body in zip(*(batch.column(f).to_pylist() for f in _FIELDS), strict=True):
+                if kind == 2:
+                    found.append((doc, sig, lo, other + window - 1))
+                    continue
                 if number != at:
                     if shard is not None:
                         shard.finish()

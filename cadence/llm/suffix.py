@@ -98,10 +98,10 @@ class SuffixShard(Shard):
         self.index: dict[bytes, int] = {}
         self.held = 0
 
-    def stretch(self, doc: int, sig: int, lo: int, other: int, body: bytes) -> None:
+    def stretch(self, doc: int, sig: int, lo: int, windows: int, body: bytes) -> None:
         first = self.met.setdefault(body, doc)
         if first < doc:  # a smaller doc_id holds the whole stretch
-            self.remove(doc, sig, lo, len(body) - self.units.window + 1)
+            self.remove(doc, sig, lo, windows)
             return
         at = self.index.get(body)
         if at is None:
@@ -155,7 +155,7 @@ def remove_strings(docs: DataFrame, units: Units = UNITS, batch_bytes: int = 500
     same = staged(copies(docs, sizes), "copies")
     # the same dealt table three times: Spark shuffles it once
     rows = candidates(dealt, told(dealt, same, units, sizes), same, units, sizes)
-    runs = removed(rows, lambda: SuffixShard(units, batch_bytes), sizes)
+    runs = removed(rows, lambda: SuffixShard(units, batch_bytes), units, sizes)
     kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_bytes": pa.binary()}
     return applied(dealt, runs, same, partial(cut_bytes, window=units.window), kinds, "n_bytes long, n_removed long, n_spans long, kept_bytes binary")
 

@@ -73,7 +73,7 @@ def test_levels_merge_geometrically():
     shard = suffix.SuffixShard(Units(words=False), batch_bytes=60)
     rng = random.Random(1)
     for doc in range(200):
-        shard.stretch(doc, 0, 0, 0, bytes(rng.randrange(97, 123) for _ in range(70)))
+        shard.stretch(doc, 0, 0, 21, bytes(rng.randrange(97, 123) for _ in range(70)))
     shard.finish()
     sizes = [len(x) for x in shard.family.levels]
     assert len(sizes) <= 8 and all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
