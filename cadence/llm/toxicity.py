@@ -4,11 +4,12 @@ Kernel: the gap-weighted subsequence kernel of order 3 (every common subsequence
 letters counts decay^(span in s + span in t)), normalised, between a word and a landmark word.
 Letters may be missing, inserted or separated by marks and the word still comes close. A
 sentence is the pooled vector of its words: for each landmark the best kernel value (words
-whose best value with a toxic landmark is below `FLOOR`, or that lack too many of its letters,
-count as zero). Nystroem whitening (K_mm^-1/2) turns that into features of a linear SVM
+whose best value with a toxic landmark is below `FLOOR`, or that of its weakest variant if less,
+or that lack too many of its letters, count as zero). Nystroem whitening (K_mm^-1/2) turns that into features of a linear SVM
 (squared hinge) trained on labelled sentences: those near a landmark in toxic texts against
 those in the others. A text's margin is that of its worst sentence; a logistic curve fitted on
-held-back training texts maps it to 0..1.
+held-back training texts maps it to 0..1. Insults common in the training texts are also trained
+with one letter inserted or missing.
 
 Training reads a bounded sample: at most `per_class` labelled texts of either class, chosen by a
 hash of doc_id from rows whose crc32(doc_id) mod 5 is not 0. Landmarks are the words most
@@ -40,6 +41,10 @@ from pyspark.sql import functions as F
 from .common import slices, table
 
 ORDER, DECAY, FLOOR = 3, 0.6, 0.48
+#: an insult in this share of the toxic training texts is trained with its variants
+COMMON = 0.01
+#: letters that variants get inserted, besides doubled ones
+INSERTED = "xen"
 LONGEST = 24
 _DROP = re.compile(r"[\W\d_]+")
 _SPACED = re.compile(r"\b[^\W\d_](?:[\s.\-_*]{1,2}[^\W\d_]\b){3,}")
@@ -98,19 +103,39 @@ def subsequence_kernel(s: np.ndarray, t: np.ndarray, pad: int) -> np.ndarray:
     return (DECAY * DECAY) * (same * prime[:ls, :lt]).sum(axis=(0, 1))
 
 
+def variants(word: str) -> list[str]:
+    """The word with one letter inserted, or one of its inner letters missing."""
+    out = {word[:k] + c + word[k:] for k in range(1, len(word)) for c in INSERTED + word[k]}
+    out.update(word[:k] + word[k + 1 :] for k in range(1, len(word) - 1) if len(word) > ORDER)
+    return sorted(out - {word})
+
+
 @dataclass
 class Kernel:
-    """Kernel values of words with fixed landmarks, of which the first `toxic` are insults."""
+    """Kernel values of words with fixed landmarks, of which the first `toxic` are insults.
+
+    Insults in `common` also count words as far off as their own variants."""
 
     landmarks: list[str]
     toxic: int
+    common: tuple[str, ...] = ()
 
     def __post_init__(self):
         self.codes = _codes(self.landmarks)
         self.own = self._own(self.codes)
         self.masks = self._masks(self.codes)
         letters = np.bitwise_count(self.masks).astype(np.int64)
-        self.needed = np.where(letters > 4, letters - 1, letters)
+        wide = np.array([w in self.common for w in self.landmarks], bool)
+        short = wide & (letters <= 4) & (letters > ORDER)
+        self.needed = np.where((letters > 4) | short, letters - 1, letters)
+        # of a short insult an inner letter may be missing, not one at its ends
+        ends = self._masks(_codes([w[0] + w[-1] for w in self.landmarks]))
+        self.ends = np.where(short, ends, np.uint64(0))
+        self.floors = np.full(self.toxic, FLOOR, np.float32)
+        for j in np.flatnonzero(wide[: self.toxic]):
+            some = _codes(variants(self.landmarks[j]))
+            k = subsequence_kernel(some, np.repeat(self.codes[j : j + 1], len(some), axis=0), -1) / np.sqrt(self._own(some) * self.own[j])
+            self.floors[j] = min(FLOOR, 0.999 * float(k.min()))
 
     @staticmethod
     def _masks(codes: np.ndarray) -> np.ndarray:
@@ -122,8 +147,9 @@ class Kernel:
     def _own(codes: np.ndarray) -> np.ndarray:
         return np.maximum(subsequence_kernel(codes, codes, -1), 1e-30)
 
-    def values(self, words: list[str], floor: float = FLOOR) -> dict[str, np.ndarray]:
-        """word -> kernel with each landmark, for the words that reach the floor with an insult."""
+    def values(self, words: list[str], floor: float | None = None) -> dict[str, np.ndarray]:
+        """word -> kernel with each landmark, for the words that reach the floor with an insult
+        (that insult's own floor, if none is given)."""
         words = sorted((w for w in words if len(w) >= ORDER), key=len)
         if not words or not self.toxic:
             return {}
@@ -131,7 +157,7 @@ class Kernel:
         masks = self._masks(codes)
         size = np.array([len(w) for w in words])
         least = [len(x) - 2 for x in self.landmarks]
-        near = [(np.bitwise_count(masks & m) >= k) & (size >= n) for m, k, n in zip(self.masks[: self.toxic], self.needed[: self.toxic], least, strict=False)]
+        near = [(np.bitwise_count(masks & m) >= k) & (masks & e == e) & (size >= n) for m, k, e, n in zip(self.masks[: self.toxic], self.needed[: self.toxic], self.ends[: self.toxic], least, strict=False)]
         used = np.flatnonzero(np.logical_or.reduce(near))
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         own = np.ones(len(words), np.float32)
@@ -148,7 +174,7 @@ class Kernel:
                 out[a, b] = np.minimum(k, 1.0)
         w = np.concatenate([np.flatnonzero(x) for x in near])
         fill(w, np.concatenate([np.full(int(x.sum()), j) for j, x in enumerate(near)]))
-        hot = np.flatnonzero(out[:, : self.toxic].max(axis=1) >= floor)
+        hot = np.flatnonzero((out[:, : self.toxic] >= (self.floors if floor is None else floor)).any(axis=1))
         rest = len(self.landmarks) - self.toxic
         if rest and len(hot):
             fill(np.tile(hot, rest), np.repeat(np.arange(self.toxic, len(self.landmarks)), len(hot)))
@@ -234,8 +260,9 @@ def pick_landmarks(texts: list[str], labels: np.ndarray, toxic: int = 48, other:
         if len(out) < toxic and (not taken or word not in among or among[word][taken].max() < 0.55):
             out.append(word)
             taken.append(k)
-    near = Kernel(out, len(out)).values([w for w in seen[0] if w not in out])
-    return Kernel(out + sorted(near, key=lambda w: (-float(near[w].max()), w))[:other], len(out))
+    common = tuple(w for w in out if seen[1][w] >= max(3, COMMON * n[1]))
+    near = Kernel(out, len(out), common).values([w for w in seen[0] if w not in out])
+    return Kernel(out + sorted(near, key=lambda w: (-float(near[w].max()), w))[:other], len(out), common)
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 50.0, steps: int = 60) -> tuple[np.ndarray, float]:
@@ -285,17 +312,24 @@ def train(texts: list[str], labels: list[int]) -> Model:
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held[:] = True
 
-    def fit_on(pick: np.ndarray) -> None:
+    made = [v for w in kernel.common for v in variants(w)]
+    known = kernel.values(made)
+    made = [known[v] for v in made if v in known]
+
+    def fit_on(pick: np.ndarray, made: list[np.ndarray]) -> None:
         x, sign = [np.zeros(m)] * 20, [-1.0] * 20  # plain sentences
+        x += made
+        sign += [1.0] * len(made)
         for k in np.flatnonzero(pick):
             x += found[k]
             sign += [1.0 if y[k] else -1.0] * len(found[k])
         weight, model.bias = fit_svm(np.array(x) @ whiten, np.array(sign))
         model.weight = whiten @ weight
 
-    fit_on(~held if not held.all() else held)
-    model.slope, model.shift = fit_curve(model.margins([f for f, h in zip(found, held, strict=True) if h]), 2.0 * y[held] - 1)
-    fit_on(np.ones(len(y), bool))
+    fit_on(~held if not held.all() else held, [v for k, v in enumerate(made) if k % 4])
+    back = [f for f, h in zip(found, held, strict=True) if h] + [[v] for v in made[::4]]
+    model.slope, model.shift = fit_curve(model.margins(back), np.append(2.0 * y[held] - 1, np.ones(len(made[::4]))))
+    fit_on(np.ones(len(y), bool), made)
     return model
 
 
