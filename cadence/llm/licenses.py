@@ -79,23 +79,27 @@ def fuzzy(norm: bytes, notices: tuple[tuple[str, str, int], ...] = NOTICES) -> l
     """(label, start, end, edits) of each notice found; byte offsets in the normalised text."""
     automaton, checks = _matcher(notices)
     text = norm.decode("latin-1")
-    windows: dict[int, list[list[int]]] = {}
+    windows: dict[int, list[tuple[int, int]]] = {}
     for end, (size, where) in automaton.iter(text):
         for n, offset in where:
             notice, _, edits = notices[n]
             begin = end - size + 1 - offset
             lo, hi = max(0, begin - edits - 1), begin + len(notice) + edits + 1
-            mine = windows.setdefault(n, [])
-            if mine and lo <= mine[-1][1]:
-                mine[-1][1] = max(hi, mine[-1][1])
-            else:
-                mine.append([lo, hi])
+            windows.setdefault(n, []).append((lo, min(hi + 1, len(text))))
     found = []
     for n, ranges in windows.items():
-        notice, label, _ = notices[n]
-        for lo, hi in ranges:
-            for m in checks[n].finditer(text, lo, min(hi + 1, len(text))):
+        notice, label, edits = notices[n]
+        left: list[list[int]] = []
+        for lo, hi in sorted(ranges):
+            if left and lo <= left[-1][1]:
+                left[-1][1] = max(hi, left[-1][1])
+            else:
+                left.append([lo, hi])
+        while left:  # the best match of a window, then what stands before and behind it
+            lo, hi = left.pop()
+            if hi - lo >= len(notice) - edits + 2 and (m := checks[n].search(text, lo, hi)):
                 found.append((label, m.start() + 1, m.end(), sum(m.fuzzy_counts)))
+                left += [[lo, m.start() + 1], [m.end(), hi]]
     return sorted(set(found), key=lambda x: (x[1], x[2], x[0]))
 
 
