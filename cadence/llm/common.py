@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import inspect
 import math
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,6 +39,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _named(c: str) -> Column:
+    return F.col("`" + c.replace("`", "``") + "`")
+
+
+def carried(docs: DataFrame, *own: str) -> DataFrame:
+    """The columns `own`, and all others in one struct, out of the way of an operator's names."""
+    rest = [_named(c).alias(c) for c in docs.columns if c not in own]
+    return docs.select(*own, F.struct(*(rest or [F.lit(0).alias("none")])).alias("carried"))
+
+
+def restored(df: DataFrame, columns: list[str], *own: str, results: list[str] = ()) -> DataFrame:
+    """The `columns` that `carried` packed, then the results; a column named like one gives way."""
+    back = [_named(c) if c in own else F.col("carried").getField(c).alias(c) for c in columns if c not in results]
+    return df.select(*back, *results)
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
@@ -65,7 +83,43 @@ def parts_for(df: DataFrame, mb: float) -> int:
     return max(shuffle_partitions(df.sparkSession), math.ceil(est / (mb * 1e6)))
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def _give_back() -> None:
+    """Hand freed memory to the system: idle Python workers stay for a minute and keep theirs else."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(f: Callable) -> Callable:
+    """`f` for mapInArrow or a grouped applyInArrow, which gives freed memory back at its end."""
+    if inspect.isgeneratorfunction(f):
+
+        def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from f(batches)
+            _give_back()
+
+        return stream
+
+    if len(inspect.signature(f).parameters) == 1:
+
+        def one(rows: pa.Table) -> pa.Table:
+            out = f(rows)
+            _give_back()
+            return out
+
+        return one
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = f(left, right)
+        _give_back()
+        return out
+
+    return two
+
+
+def slices(batch: pa.RecordBatch, column: str, limit: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each slice has about `limit` bytes of `column`, one row at least."""
     n = batch.num_rows
     if not n:

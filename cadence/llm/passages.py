@@ -1,18 +1,20 @@
 """Repeated-phrase automata: remove passages that an earlier document already holds.
 
-Anchor phrases of `gram` words that stand in two documents are found by hash, then confirmed by
-their text in the shard that owns them, and compiled into that shard's Aho-Corasick automaton
-(pyahocorasick). Every stretch of every document that can hold a shared window streams through
-its shard's automaton in ascending doc_id order; around each confirmed phrase the windows of
-`window` words are compared exactly, and a window first met in a smaller doc_id is removed.
+Phrases of `gram` words (content-chosen, so that every window of `window` words holds one) that
+stand in two documents are confirmed by meeting each other. The confirmed phrases of a group of
+documents are compiled into that group's Aho-Corasick automaton (pyahocorasick, over words), and
+all documents of the group stream through it. Every place the automaton reports sends the
+stretch of windows around it to the shard of its phrase; there the stretches of all groups are
+extended by exact comparison, and a window met in a smaller doc_id is removed.
 
 Scale: see routing.py. Three shuffles: packed hashes, candidate stretches, removed runs; the
-texts are dealt once and that exchange is used twice. A shard holds its own phrases and
-distinct windows only, and their number per shard stays level as shards grow with the input.
+texts are dealt once and that exchange is used three times. Automata and shards hold their own
+group's phrases and stretches only, and both stay level in size as the input grows.
 
 Defined results: null text has no words; a document without an id is left whole and removes
 nothing; rows that share a doc_id never remove each other's words; an empty table gives no
-rows; extra columns pass through.
+rows; extra columns pass through, but those named like a result give way to it; very long texts
+are cut into windows like any other.
 """
 
 from __future__ import annotations
@@ -22,87 +24,45 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import sha, staged, table
-from .routing import Shard, Sizes, Units, applied, candidates, copies, coverage, grouped, removed, told
+from . import spans
+from .common import carried, restored, sha, staged, table
+from .routing import REMOVED, Sizes, Stretches, Units, applied, candidates, copies, coverage, grouped, removed, told, window_ranks
 
 UNITS = Units(words=True)
 
 
-class PassageShard(Shard):
-    def __init__(self, units: Units = UNITS):
-        super().__init__(units)
-        self.bounds: dict[bytes, tuple[int, int]] = {}
-        self.automaton = None
-        self.stretches: dict[bytes, tuple[int, list[bool]]] = {}
-        self.windows: dict[bytes, int] = {}
-
-    def phrase(self, low: int, high: int, body: bytes) -> None:
-        was = self.bounds.get(body)
-        self.bounds[body] = (low, high) if was is None else (min(low, was[0]), max(high, was[1]))
-
-    def compile(self) -> None:
-        """Phrases that two documents hold, word for word, make up the automaton."""
-        import ahocorasick
-
-        self.automaton = ahocorasick.Automaton()
-        for phrase, (low, high) in self.bounds.items():
-            if low < high:
-                self.automaton.add_word(f" {phrase.decode('latin-1')} ", len(phrase) + 2)
-        self.bounds.clear()
-        self.automaton.make_automaton()
-
-    def stretch(self, doc: int, sig: int, lo: int, windows: int, body: bytes) -> None:
-        if self.automaton is None:
-            self.compile()
-        n = windows
-        known = self.stretches.get(body)
-        if known is None:
-            flags = self.judge(doc, body, n)
-            self.stretches[body] = (doc, flags)
-        elif known[1] is not None and known[0] < doc:
-            flags = [True] * n  # a smaller doc_id holds the whole stretch
-        else:
-            flags = known[1]
-        if flags is None:
-            return
-        a = 0
-        while a < n:
-            if not flags[a]:
-                a += 1
-                continue
-            b = a
-            while b < n and flags[b]:
-                b += 1
-            self.remove(doc, sig, lo + a, b - a)
-            a = b
-
-    def judge(self, doc: int, body: bytes, n: int) -> list[bool] | None:
-        """For each window: was it met in a smaller doc_id? None where no confirmed phrase stands."""
-        if not len(self.automaton):
-            return None
-        hit = np.zeros(n, bool)
-        text = f" {body.decode('latin-1')} "
-        for end, size in self.automaton.iter(text):
-            p = text.count(" ", 0, end - size + 2) - 1  # first word of the phrase
-            hit[max(0, p + self.units.gram - self.units.window) : p + 1] = True
-        if not hit.any():
-            return None
-        start = [0]
-        at = body.find(b" ")
-        while at >= 0:
-            start.append(at + 1)
-            at = body.find(b" ", at + 1)
-        start.append(len(body) + 1)
-        flags = []
-        for k in range(n):
-            if not hit[k]:
-                flags.append(False)
-                continue
-            first = self.windows.setdefault(body[start[k] : start[k + self.units.window] - 1], doc)
-            flags.append(first < doc)
-        return flags
+def word_ids(data: np.ndarray, w: spans.Words) -> np.ndarray:
+    """A number for each word, the same where the words are equal byte for byte."""
+    _, head, ids = np.unique(w.hash, return_index=True, return_inverse=True)
+    size = w.end - w.start
+    like = head[ids]
+    same = size == size[like]
+    at = np.flatnonzero(same & (like != np.arange(len(like))))
+    for k in range(0, len(at), 100_000):
+        part = at[k : k + 100_000]
+        n = size[part]
+        index = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        unlike = data[index + np.repeat(w.start[part], n)] != data[index + np.repeat(w.start[like[part]], n)]
+        same[part] = ~np.logical_or.reduceat(unlike, np.cumsum(n) - n)
+    if not same.all():  # hashes of unlike words met
+        raw, names = data.tobytes(), {}
+        ids = np.array([names.setdefault(raw[a:b], len(names)) for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)], np.int64)
+    return ids
+
+
+def decide(shard: Stretches, window: int = UNITS.window) -> np.ndarray:
+    """REMOVED records of one shard: windows whose word sequence a smaller doc_id holds."""
+    if not len(shard):
+        return np.zeros(0, REMOVED)
+    w = spans.words(spans.Joined(shard.body, np.zeros(1, np.int64), np.array([len(shard.body)])))  # each body ends in a space
+    win = shard.win.astype(np.int64)
+    words = win + window - 1
+    at = np.arange(int(win.sum())) + np.repeat(np.cumsum(words) - words - (np.cumsum(win) - win), win)
+    docs, rank = np.repeat(shard.doc, win), window_ranks(word_ids(shard.body, w), window, at)
+    low = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(low, rank, docs)
+    return shard.removals(low[rank] < docs, window)
 
 
 def cut_words(text: bytes, runs: np.ndarray | None, window: int = UNITS.window) -> tuple[int, int, str]:
@@ -114,15 +74,20 @@ def cut_words(text: bytes, runs: np.ndarray | None, window: int = UNITS.window)
     return len(found), len(found) - len(kept), b" ".join(kept).decode()
 
 
+RESULTS = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_text": pa.string()}
+
+
 def remove_passages(docs: DataFrame, units: Units = UNITS) -> DataFrame:
     """The documents with n_words, n_removed and kept_text (kept words joined by one space)."""
     sizes = Sizes.of(docs)
-    dealt = grouped(docs, sizes)
-    same = staged(copies(docs, sizes), "copies")
+    wide = carried(docs, "doc_id", "text")
+    dealt = grouped(wide, sizes)
+    same = staged(copies(dealt), "copies")
     # the same dealt table three times: Spark shuffles it once
     rows = candidates(dealt, told(dealt, same, units, sizes), same, units, sizes)
-    runs = removed(rows, lambda: PassageShard(units), units, sizes)
-    return applied(dealt, runs, same, partial(cut_words, window=units.window), {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_text": pa.string()}, "n_words long, n_removed long, kept_text string")
+    runs = removed(rows, partial(decide, window=units.window), units, sizes)
+    out = applied(wide, dealt, runs, same, partial(cut_words, window=units.window), RESULTS, "n_words long, n_removed long, kept_text string")
+    return restored(out, docs.columns, "doc_id", "text", results=list(RESULTS))
 
 
 def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

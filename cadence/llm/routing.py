@@ -26,9 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from . import spans
-from .common import parts_for, slices, texts_of
+from .common import parts_for, slices, texts_of, tidy
 
 U = np.uint64
 #: A removed run: units start .. start + length of the row of `doc` whose text has checksum `sig`.
@@ -64,21 +65,29 @@ class Sizes:
 
     @classmethod
     def of(cls, docs: DataFrame) -> Sizes:
-        return cls(parts_for(docs, 8), parts_for(docs, 8), parts_for(docs, 4))
+        return cls(parts_for(docs, 8), parts_for(docs, 2), parts_for(docs, 2))
+
+
+_PRIME, _FACTOR = (1 << 31) - 1, 1327217885
+
+
+def group_of(ids: np.ndarray, n: int) -> np.ndarray:
+    """The group of each doc_id: a hash that sums and products below 2**63 can tell in SQL too."""
+    return (np.mod(np.mod(ids, _PRIME) * _FACTOR, _PRIME) % n).astype(np.int32)
 
 
 def grouped(docs: DataFrame, sizes: Sizes) -> DataFrame:
-    """The documents with the group that tells and answers are sent to."""
-    return docs.withColumn("_group", F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(sizes.groups)).cast("int"))
+    """The documents that have an id, with the group that tells and answers are sent to."""
+    spread = F.pmod(F.pmod(F.col("doc_id").cast("long"), F.lit(_PRIME)) * F.lit(_FACTOR), F.lit(_PRIME))
+    return docs.where("doc_id is not null").withColumn("_group", (spread % F.lit(sizes.groups)).cast("int"))
 
 
-def copies(docs: DataFrame, sizes: Sizes) -> DataFrame:
+def copies(dealt: DataFrame) -> DataFrame:
     """(group, copy_id, copy_sig): documents whose whole text a smaller doc_id holds as well."""
     raw = F.coalesce("text", F.lit("")).cast("binary")
-    marks = docs.where("doc_id is not null").select("doc_id", F.md5(raw).alias("digest"), F.crc32(raw).alias("sig"))
-    least = marks.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1")
-    found = marks.join(least.hint("merge"), "digest").where("doc_id > least")
-    return grouped(found, sizes).select("_group", F.col("doc_id").cast("long").alias("copy_id"), F.col("sig").alias("copy_sig"))
+    marks = dealt.select("_group", F.col("doc_id").cast("long").alias("copy_id"), F.md5(raw).alias("digest"), F.crc32(raw).alias("copy_sig"))
+    least = marks.groupBy("digest").agg(F.min("copy_id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    return marks.join(least.hint("merge"), "digest").where("copy_id > least").select("_group", "copy_id", "copy_sig")
 
 
 def _answers(group_rows: DataFrame, copy_rows: DataFrame, *names: str) -> DataFrame:
@@ -135,164 +144,293 @@ def told(grouped_docs: DataFrame, copy_rows: DataFrame, units: Units, sizes: Siz
         shared = np.minimum.reduceat(owner, start) != np.maximum.reduceat(owner, start)
         pick = np.repeat(shared, np.diff(np.append(start, len(key))))
         key, owner = key[pick], owner[pick]
-        group = np.mod(owner, n_groups).astype(np.int32)
+        group = group_of(owner, n_groups)
         order = np.argsort(group, kind="stable")
         key, owner, group = key[order], owner[order], group[order]
         cut = np.flatnonzero(np.diff(group)) + 1
         got = [(int(g[0]), o.tobytes(), k.tobytes()) for g, o, k in zip(np.split(group, cut), np.split(owner, cut), np.split(key, cut), strict=True) if len(g)]
         return pa.table({"_group": pa.array([g[0] for g in got], pa.int32()), "docs": pa.array([g[1] for g in got], pa.binary()), "keys": pa.array([g[2] for g in got], pa.binary())})
 
-    sent = grouped_docs.groupBy("_group").cogroup(copy_rows.groupBy("_group")).applyInArrow(send, "part int, docs binary, keys binary")
-    return sent.groupBy("part").applyInArrow(meet, "_group int, docs binary, keys binary")
+    sent = grouped_docs.groupBy("_group").cogroup(copy_rows.groupBy("_group")).applyInArrow(tidy(send), "part int, docs binary, keys binary")
+    return sent.groupBy("part").applyInArrow(tidy(meet), "_group int, docs binary, keys binary")
 
 
-CANDIDATE = "shard int, kind int, doc_id long, sig long, lo long, other long, body binary"
+#: Stretches packed by shard: doc_id, text checksum, first unit and number of windows of each, its size and its bytes.
+CANDIDATE = "shard int, docs binary, sigs binary, los binary, wins binary, sizes binary, bodies binary"
 _FIELDS = [f.split()[0] for f in CANDIDATE.split(", ")]
+_KINDS = ("<i8", "<u4", "<i8", "<i4", "<i4", "u1")
+
+
+def gathered(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """data[start : start + size] of each stretch, end to end."""
+    out = np.empty(int(size.sum()), data.dtype)
+    ends = np.cumsum(size)
+    step = 0
+    while step < len(size):  # the index of a part at a time
+        done = int(ends[step - 1]) if step else 0
+        stop = max(step + 1, int(np.searchsorted(ends, done + 1_000_000, "right")))
+        n = size[step:stop]
+        at = np.arange(int(n.sum())) + np.repeat(start[step:stop] - (np.cumsum(n) - n), n)
+        out[done : done + len(at)] = data[at]
+        step = stop
+    return out
+
+
+@dataclass
+class Stretches:
+    """Stretches of text: each holds `win` windows from unit `lo` of the text `sig` of `doc` on."""
+
+    doc: np.ndarray
+    sig: np.ndarray
+    lo: np.ndarray
+    win: np.ndarray
+    size: np.ndarray
+    body: np.ndarray
+
+    @property
+    def start(self) -> np.ndarray:
+        return np.cumsum(self.size, dtype=np.int64) - self.size
+
+    def __len__(self) -> int:
+        return len(self.doc)
+
+    def take(self, order: np.ndarray) -> Stretches:
+        return Stretches(self.doc[order], self.sig[order], self.lo[order], self.win[order], self.size[order], gathered(self.body, self.start[order], self.size[order].astype(np.int64)))
+
+    @classmethod
+    def join(cls, parts: list[Stretches]) -> Stretches:
+        if not parts:
+            return cls(*(np.zeros(0, k) for k in _KINDS))
+        return cls(*(np.concatenate([getattr(p, f) for p in parts]) for f in ("doc", "sig", "lo", "win", "size", "body")))
+
+    def keys(self) -> np.ndarray:
+        """A hash of each stretch's bytes."""
+        return spans.range_hash(spans.prefix_hash(spans._BYTE[self.body]), self.start, self.start + self.size)
+
+    def held_before(self, key: np.ndarray) -> np.ndarray:
+        """Which stretches equal one of a smaller doc_id here. key: a hash; bytes decide."""
+        order = np.lexsort((self.doc, self.size, key))
+        same = np.zeros(len(order), bool)
+        same[1:] = (key[order][1:] == key[order][:-1]) & (self.size[order][1:] == self.size[order][:-1])
+        head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+        later = order[same & (self.doc[order] > self.doc[head])]
+        head = head[same & (self.doc[order] > self.doc[head])]
+        out = np.zeros(len(self), bool)
+        start, size = self.start, self.size.astype(np.int64)
+        for k in range(0, len(later), 4096):
+            a, b = later[k : k + 4096], head[k : k + 4096]
+            unlike = gathered(self.body, start[a], size[a]) != gathered(self.body, start[b], size[b])
+            out[a] = ~np.logical_or.reduceat(unlike, np.cumsum(size[a]) - size[a])
+        return out
+
+    def packed(self, shard: np.ndarray) -> list[tuple]:
+        """Rows of CANDIDATE, one for each shard."""
+        order = np.argsort(shard, kind="stable")
+        cut = np.flatnonzero(np.diff(shard[order])) + 1
+        whole, shard = self.take(order), shard[order]
+        ends = np.append(cut, len(shard))
+        edge = np.concatenate([[0], np.cumsum(whole.size, dtype=np.int64)])
+        return [(int(shard[a]), *(np.ascontiguousarray(x[a:b].astype(k)).tobytes() for x, k in zip((whole.doc, whole.sig, whole.lo, whole.win, whole.size), _KINDS, strict=False)), whole.body[edge[a] : edge[b]].tobytes()) for a, b in zip(np.concatenate([[0], cut]), ends, strict=True) if b > a]
+
+    def removals(self, flags: np.ndarray, window: int) -> np.ndarray:
+        """REMOVED records of the flagged windows; flags: all windows of all stretches in a row."""
+        if not flags.any():
+            return np.zeros(0, REMOVED)
+        win = self.win.astype(np.int64)
+        first = np.cumsum(win) - win
+        begin = flags.copy()
+        inner = np.ones(len(flags), bool)
+        inner[first] = False
+        begin[1:] &= ~(flags[:-1] & inner[1:])
+        stop = flags.copy()
+        stop[:-1] &= ~(flags[1:] & inner[1:])
+        a, b = np.flatnonzero(begin), np.flatnonzero(stop)
+        of = np.searchsorted(first, a, "right") - 1
+        out = np.empty(len(a), REMOVED)
+        out["doc"], out["sig"], out["start"], out["length"] = self.doc[of], self.sig[of], self.lo[of] + a - first[of], b - a + window
+        return out
+
+
+@dataclass
+class Piece:
+    """A slice of a group's texts as the emitter sees it."""
+
+    own: np.ndarray
+    sig: np.ndarray
+    runs: spans.Runs
+    first: np.ndarray
+    data: np.ndarray
+    start: np.ndarray | None
+    codes: np.ndarray | None
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, known: set[tuple[int, int]], units: Units) -> Piece:
+        texts = texts_of(batch)
+        sig = np.array([zlib.crc32(t) for t in texts], "<u4")
+        ids = batch.column("doc_id").to_pylist()
+        texts = [b"" if (d, s) in known else t for d, s, t in zip(ids, sig.tolist(), texts, strict=True)]
+        runs, data, w, first = units.runs(texts)
+        if w is None:
+            return cls(np.array(ids, "<i8"), sig, runs, first, data, None, None, spans._BYTE[data])
+        plain, start = spans.single_spaced(data, w)
+        return cls(np.array(ids, "<i8"), sig, runs, first, plain, start, (w.hash >> U(32)).astype(np.uint32), w.hash)
+
+    def stretches(self, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: int) -> tuple[Stretches, np.ndarray]:
+        """The windows lo .. hi of each, and a hash of their bytes."""
+        a = lo if self.start is None else self.start[lo]
+        b = hi + window if self.start is None else self.start[hi + window]
+        body = gathered(self.data, a, b - a)
+        key = spans.range_hash(spans.prefix_hash(self.values), lo, hi + window)
+        return Stretches(self.own[doc], self.sig[doc], lo - self.first[doc], (hi - lo + 1).astype("<i4"), (b - a).astype("<i4"), body), key
+
+    def hits(self, automaton, phrase_key: np.ndarray, units: Units) -> tuple[np.ndarray, ...]:
+        """(text, lo, hi, phrase key) around every place where the automaton finds a phrase."""
+        doc, at, which = [], [], []
+        for d, (a, b) in enumerate(zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True)):
+            if b - a >= units.window:
+                for end, k in automaton.iter(tuple(self.codes[a:b].tolist())):
+                    doc.append(d)
+                    at.append(a + end - units.gram + 1)
+                    which.append(k)
+        doc, at = np.array(doc, np.int64), np.array(at, np.int64)
+        lo = np.maximum(self.first[doc], at + units.gram - units.window)
+        hi = np.minimum(at, self.first[doc + 1] - units.window)
+        ok = hi >= lo
+        return doc[ok], lo[ok], hi[ok], phrase_key[np.array(which, np.int64)][ok]
 
 
 def candidates(grouped_docs: DataFrame, told_rows: DataFrame, copy_rows: DataFrame, units: Units, sizes: Sizes) -> DataFrame:
-    """The told runs as rows for their shards.
+    """Stretches for their shards, as rows of CANDIDATE.
 
-    kind 1: a stretch of text (`body`) that starts at unit `lo` of a document and holds `other`
-    windows. A stretch that a smaller doc_id of the same group holds too is decided on the spot:
-    it goes as kind 2, without its text and spread over all tasks, so a passage that stands in
-    very many documents sends one row per group to its shard. For words also kind 0, once per
-    group: an anchor's phrase with the smallest (`doc_id`) and largest (`other`) document there.
+    Bytes: the told runs. Words: the told phrases of a group of documents make up an
+    Aho-Corasick automaton over words; all documents of the group stream through it, and each
+    place it finds gives the stretch of windows around it. A stretch that a smaller doc_id of the
+    same group holds too is decided on the spot: it goes to a negative shard, without its text,
+    so a passage that stands in very many documents sends one text per group to its shard.
     """
     n_shards, window, gram = sizes.shards, units.window, units.gram
 
     def emit(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        out: dict[str, list] = {f: [] for f in _FIELDS}
-        phrases: dict[bytes, list[int]] = {}
+        rows: list[tuple] = []
         blocks = _filled(answers, "docs")
         if blocks and docs.num_rows:
             known = _copies_of(answers)
             owner = np.concatenate([np.frombuffer(x, "<i8") for x in blocks])
             key = np.concatenate([np.frombuffer(x, "<u8") for x in _filled(answers, "keys")])
             wanted = np.unique(key ^ spans.mix(owner.view(U)))
-            for batch in docs.select(["doc_id", "text"]).to_batches():
-                for piece in slices(batch, "text", 600_000):
-                    _emit_piece(piece, wanted, known, out, phrases)
-        least: dict[bytes, int] = {}
-        for doc, body in zip(out["doc_id"], out["body"], strict=True):
-            least[body] = min(least.get(body, doc), doc)
-        for k, (doc, body) in enumerate(zip(out["doc_id"], out["body"], strict=True)):
-            if doc > least[body]:
-                out["kind"][k], out["shard"][k], out["body"][k] = 2, -1 - (doc * 31 + out["lo"][k]) % 100_003, b""
-        for phrase, (shard, low, high) in phrases.items():
-            for f, v in zip(_FIELDS, (shard, 0, low, 0, 0, high, phrase), strict=True):
-                out[f].append(v)
-        kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.binary()]
-        return pa.table({f: pa.array(out[f], t) for f, t in zip(_FIELDS, kinds, strict=True)})
-
-    def _emit_piece(piece: pa.RecordBatch, wanted: np.ndarray, known: set[tuple[int, int]], out: dict[str, list], phrases: dict[bytes, list[int]]) -> None:
-        ids = piece.column("doc_id")
-        texts = texts_of(piece)
-        left_out = np.asarray(ids.is_null()) | _is_copy(piece, texts, known)
-        texts = [b"" if o else t for o, t in zip(left_out.tolist(), texts, strict=True)]
-        runs, data, w, first = units.runs(texts)
-        if not len(runs.doc):
-            return
-        own = np.asarray(ids.fill_null(0).cast(pa.int64())).astype("<i8")
-        key = runs.key >> U(16)
-        code = key ^ spans.mix(own.view(U))[runs.doc]
-        at = np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)
-        pick = np.flatnonzero(wanted[at] == code)
-        if not len(pick):
-            return
-        raw = data.tobytes()
-        sigs = {d: zlib.crc32(texts[d]) for d in np.unique(runs.doc[pick]).tolist()}
-        doc, lo, hi, spot = (x[pick].tolist() for x in (runs.doc, runs.lo, runs.hi, runs.at))
-        shard = (key[pick] % U(n_shards)).astype(np.int32).tolist()
-        for d, a, b, p, s in zip(doc, lo, hi, spot, shard, strict=True):
-            if w is None:
-                body = raw[a : b + window]
-            else:
-                body = b" ".join(raw[w.start[a] : w.end[b + window - 1]].split())
-                phrase = b" ".join(raw[w.start[p] : w.end[p + gram - 1]].split())
-                me = int(own[d])
-                seen = phrases.get(phrase)
-                if seen is None:
-                    phrases[phrase] = [s, me, me]
-                elif me < seen[1]:
-                    seen[1] = me
-                elif me > seen[2]:
-                    seen[2] = me
-            out["shard"].append(s)
-            out["kind"].append(1)
-            out["doc_id"].append(int(own[d]))
-            out["sig"].append(sigs[d])
-            out["lo"].append(a - int(first[d]))
-            out["other"].append(b - a + 1)
-            out["body"].append(body)
+            pieces = [Piece.of(part, known, units) for batch in docs.select(["doc_id", "text"]).to_batches() for part in slices(batch, "text", 600_000)]
+            parts, keys, shards = [], [], []
+            for piece, (doc, lo, hi, at) in zip(pieces, _places(pieces, wanted), strict=True):
+                if len(doc):
+                    got, body_key = piece.stretches(doc, lo, hi, window)
+                    parts.append(got)
+                    keys.append(body_key ^ at)
+                    shards.append((at % U(n_shards)).astype(np.int32))
+            if parts:
+                whole, shard = Stretches.join(parts), np.concatenate(shards)
+                here = whole.held_before(np.concatenate(keys))
+                rows = whole.take(np.flatnonzero(~here)).packed(shard[~here])
+                if here.any():
+                    told_off = whole.take(np.flatnonzero(here))
+                    told_off.size, told_off.body = np.zeros(len(told_off), "<i4"), np.zeros(0, np.uint8)
+                    rows += told_off.packed(np.full(len(told_off), -1 - int(told_off.doc[0]) % 1_000_003, np.int32))
+        return pa.table({f: pa.array([r[k] for r in rows], pa.binary() if k else pa.int32()) for k, f in enumerate(_FIELDS)})
+
+    def _places(pieces: list[Piece], wanted: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        told_runs = []
+        for piece in pieces:
+            code = (piece.runs.key >> U(16)) ^ spans.mix(piece.own.view(U))[piece.runs.doc]
+            spot = np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)
+            told_runs.append(np.flatnonzero(wanted[spot] == code))
+        if not units.words:
+            return [(p.runs.doc[k], p.runs.lo[k], p.runs.hi[k], p.runs.key[k] >> U(16)) for p, k in zip(pieces, told_runs, strict=True)]
+        import ahocorasick
+
+        automaton, phrase_key = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), []
+        for piece, k in zip(pieces, told_runs, strict=True):
+            _, one = np.unique(piece.runs.key[k], return_index=True)
+            for p, key in zip(piece.runs.at[k[one]].tolist(), (piece.runs.key[k[one]] >> U(16)).tolist(), strict=True):
+                words = tuple(piece.codes[p : p + gram].tolist())
+                if words not in automaton:
+                    automaton.add_word(words, len(phrase_key))
+                    phrase_key.append(key)
+        if not phrase_key:
+            return [(np.zeros(0, np.int64),) * 4 for _ in pieces]
+        automaton.make_automaton()
+        return [piece.hits(automaton, np.array(phrase_key, U), units) for piece in pieces]
 
     right = _answers(told_rows, copy_rows, "docs", "keys")
-    return grouped_docs.groupBy("_group").cogroup(right.groupBy("_group")).applyInArrow(emit, CANDIDATE)
-
-
-class Shard:
-    """Decides the runs of one shard. Subclasses see documents in ascending doc_id order."""
-
-    def __init__(self, units: Units):
-        self.units = units
-        self.rows: list[tuple[int, int, int, int]] = []
-
-    def phrase(self, low: int, high: int, body: bytes) -> None: ...
-
-    def stretch(self, doc: int, sig: int, lo: int, windows: int, body: bytes) -> None: ...
-
-    def finish(self) -> None: ...
-
-    def remove(self, doc: int, sig: int, start: int, windows: int) -> None:
-        """All units of `windows` consecutive windows from unit `start` on."""
-        self.rows.append((doc, sig, start, windows + self.units.window - 1))
+    return grouped_docs.groupBy("_group").cogroup(right.groupBy("_group")).applyInArrow(tidy(emit), CANDIDATE)
+
+
+def window_ranks(units: np.ndarray, window: int, starts: np.ndarray) -> np.ndarray:
+    """Order-preserving numbers of the `window` units from each start on, by prefix multiplying.
+
+    Exact, no hashing: numbers of short runs are put side by side in 63 bits and numbered again,
+    only at the places that the starts come to need."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    n = len(units)
+    names, rank = np.unique(units, return_inverse=True)
+    lengths, bits = [1], [max(1, (len(names) - 1).bit_length())]
+    while lengths[-1] < window:
+        lengths.append(min(window, lengths[-1] * (63 // bits[-1])))
+        bits.append(n.bit_length())
+    need = np.zeros(n, bool)
+    need[starts] = True
+    steps = []
+    for short, long, width in zip(lengths[-2::-1], lengths[:0:-1], bits[-2::-1], strict=True):
+        offsets = [*range(0, long - short, short), long - short]
+        at = np.flatnonzero(need)
+        steps.append((at, offsets, width))
+        for o in offsets[1:]:
+            need[at + o] = True
+    for at, offsets, width in reversed(steps):
+        key = np.zeros(len(at), np.int64)
+        for o in offsets:
+            key = (key << width) | rank[at + o]
+        rank = np.empty(n, np.int64)
+        rank[at] = np.unique(key, return_inverse=True)[1]
+    return rank[starts]
+
+
+def removed(rows: DataFrame, decide: Callable[[Stretches], np.ndarray], units: Units, sizes: Sizes) -> DataFrame:
+    """(group, runs): REMOVED records by document group. decide: those of one shard."""
+    n_groups, window = sizes.groups, units.window
 
+    def dealt_out(got: np.ndarray) -> pa.RecordBatch:
+        group = group_of(got["doc"], n_groups)
+        order = np.argsort(group, kind="stable")
+        got, group = got[order], group[order]
+        cut = np.flatnonzero(np.diff(group)) + 1
+        parts = [(int(g[0]), x.tobytes()) for g, x in zip(np.split(group, cut), np.split(got, cut), strict=True) if len(g)]
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], ["_group", "runs"])
 
-def removed(rows: DataFrame, make: Callable[[], Shard], units: Units, sizes: Sizes, n_out: int = 500_000) -> DataFrame:
-    """(group, runs): REMOVED records by document group."""
-    n_groups, window = sizes.groups, units.window
+    def judged(held: list[Stretches]) -> np.ndarray:
+        shard = Stretches.join(held)
+        here = shard.held_before(shard.keys())  # a whole stretch again: its first one stands for it
+        again = shard.take(np.flatnonzero(here))
+        return np.concatenate([again.removals(np.ones(int(again.win.sum()), bool), window), decide(shard.take(np.flatnonzero(~here)))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, at = None, None
-
-        def drain(found: list) -> pa.RecordBatch:
-            got = np.array(found, REMOVED)
-            found.clear()
-            group = np.mod(got["doc"], n_groups).astype(np.int32)
-            order = np.argsort(group, kind="stable")
-            got, group = got[order], group[order]
-            cut = np.flatnonzero(np.diff(group)) + 1
-            parts = [(int(g[0]), x.tobytes()) for g, x in zip(np.split(group, cut), np.split(got, cut), strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int32()), pa.array([p[1] for p in parts], pa.binary())], ["_group", "runs"])
-
-        found: list = []
+        at, held = None, []
         for batch in batches:
-            for number, kind, doc, sig, lo, other, body in zip(*(batch.column(f).to_pylist() for f in _FIELDS), strict=True):
-                if kind == 2:
-                    found.append((doc, sig, lo, other + window - 1))
-                    continue
-                if number != at:
-                    if shard is not None:
-                        shard.finish()
-                        found += shard.rows
-                    shard, at = make(), number
-                if kind:
-                    shard.stretch(doc, sig, lo, other, body)
+            for number, *raw in zip(*(batch.column(f).to_pylist() for f in _FIELDS), strict=True):
+                if held and number != at:
+                    yield dealt_out(judged(held))
+                    held.clear()
+                got = Stretches(*(np.frombuffer(x, k) for x, k in zip(raw, _KINDS, strict=True)))
+                if number < 0:
+                    yield dealt_out(got.removals(np.ones(int(got.win.sum()), bool), window))
                 else:
-                    shard.phrase(doc, other, body)
-            if shard is not None:
-                found += shard.rows
-                shard.rows = []
-            if len(found) >= n_out:
-                yield drain(found)
-        if shard is not None:
-            shard.finish()
-            found += shard.rows
-        if found:
-            yield drain(found)
-
-    dealt = rows.repartition(max(sizes.parts, 1), "shard").sortWithinPartitions("shard", "kind", "doc_id", "sig", "lo")
-    return dealt.mapInArrow(run, "_group int, runs binary")
+                    at = number
+                    held.append(got)
+        if held:
+            yield dealt_out(judged(held))
+
+    dealt = rows.repartition(max(sizes.parts, 1), "shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(tidy(run), "_group int, runs binary")
 
 
 def coverage(runs: np.ndarray, n: int) -> np.ndarray:
@@ -306,30 +444,35 @@ def coverage(runs: np.ndarray, n: int) -> np.ndarray:
 WHOLE = np.array([(0, 0, 0, 1 << 40)], REMOVED)
 
 
-def applied(grouped_docs: DataFrame, removed_rows: DataFrame, copy_rows: DataFrame, cut: Callable[[bytes, np.ndarray | None], tuple], columns: dict[str, pa.DataType], schema: str) -> DataFrame:
-    """The documents plus what `cut(text, runs)` gives for each; a column of the same name is replaced."""
-    keep = [c for c in grouped_docs.columns if c != "_group" and c not in columns]
+def applied(wide: DataFrame, dealt: DataFrame, removed_rows: DataFrame, copy_rows: DataFrame, cut: Callable[[bytes, np.ndarray | None], tuple], results: dict[str, pa.DataType], schema: str) -> DataFrame:
+    """The rows of `wide` plus what `cut(text, runs)` gives for each; rows without id need no shuffle."""
+    keep = wide.columns
+
+    def made(rows: list[tuple]) -> list[pa.Array]:
+        return [pa.array([r[k] for r in rows], t) for k, t in enumerate(results.values())]
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         known = _copies_of(answers)
         got = np.concatenate([np.zeros(0, REMOVED), *(np.frombuffer(x, REMOVED) for x in _filled(answers, "runs"))])
         got = got[np.lexsort((got["sig"], got["doc"]))]
-        ids = docs.column("doc_id").to_pylist()
         rows = []
-        for doc_id, text in zip(ids, docs.column("text").cast(pa.binary()).to_pylist(), strict=True):
+        for doc_id, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").cast(pa.binary()).to_pylist(), strict=True):
             text = text or b""
             mine = None
-            if (doc_id, zlib.crc32(text)) in known:
+            if (known or len(got)) and (doc_id, sig := zlib.crc32(text)) in known:
                 mine = WHOLE
-            elif doc_id is not None and len(got):
-                a, b = np.searchsorted(got["doc"], [doc_id, doc_id + 1]) if doc_id < (1 << 63) - 1 else (np.searchsorted(got["doc"], doc_id), len(got))
-                if b > a:
-                    mine = got[a:b]
-                    mine = mine[mine["sig"] == zlib.crc32(text)]
+            elif len(got):
+                mine = got[np.searchsorted(got["doc"], doc_id) : np.searchsorted(got["doc"], doc_id, "right")]
+                mine = mine[mine["sig"] == sig]
             rows.append(cut(text, mine if mine is not None and len(mine) else None))
-        new = {c: pa.array([r[k] for r in rows], t) for k, (c, t) in enumerate(columns.items())}
-        return pa.table({**{c: docs.column(c) for c in keep}, **new})
+        return pa.table({**{c: docs.column(c) for c in keep}, **dict(zip(results, made(rows), strict=True))})
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([*part.columns, *made([cut(t, None) for t in texts_of(part)])], [*keep, *results])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in grouped_docs.schema if f.name in keep)
+    both = StructType([*wide.schema.fields, *StructType.fromDDL(schema).fields])
     right = _answers(removed_rows, copy_rows, "runs")
-    return grouped_docs.groupBy("_group").cogroup(right.groupBy("_group")).applyInArrow(run, f"{fields}, {schema}")
+    done = dealt.groupBy("_group").cogroup(right.groupBy("_group")).applyInArrow(tidy(run), both)
+    return done.union(wide.where("doc_id is null").mapInArrow(tidy(whole), both))

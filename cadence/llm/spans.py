@@ -94,6 +94,16 @@ def words(j: Joined) -> Words:
     return Words(start, end, doc, first, range_hash(prefix, start, end))
 
 
+def single_spaced(data: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The words with one space after each, and where each starts there (with the closing end)."""
+    keep = ~_SPACE[data]
+    keep[w.end] = True  # the space behind a word; a join ends in one
+    plain = data.copy()
+    plain[w.end] = 0x20
+    size = w.end - w.start + 1
+    return plain[keep], np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+
+
 def grams(values: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k values."""
     n = len(values) - k + 1

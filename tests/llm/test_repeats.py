@@ -2,10 +2,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from cadence.llm import passages, suffix
-from cadence.llm.routing import Units
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_words int"
@@ -70,14 +70,68 @@ def test_strings_equal_brute_force(docs, batch):
 
 
 def test_levels_merge_geometrically():
-    shard = suffix.SuffixShard(Units(words=False), batch_bytes=60)
-    rng = random.Random(1)
+    family, rng = suffix.Family(), random.Random(1)
+    seen: dict[bytes, int] = {}
     for doc in range(200):
-        shard.stretch(doc, 0, 0, 21, bytes(rng.randrange(97, 123) for _ in range(70)))
-    shard.finish()
-    sizes = [len(x) for x in shard.family.levels]
+        text = bytes(rng.choice(b"ab") for _ in range(70)) if doc % 3 else bytes(rng.randrange(97, 123) for _ in range(70))
+        data, starts = np.frombuffer(text, np.uint8), np.arange(70 - 8 + 1)
+        level, place = suffix.Level.of(data, starts, np.full(len(starts), doc), 8)
+        low = family.scan(level)[place]
+        assert low.tolist() == [seen.setdefault(text[k : k + 8], doc) for k in range(len(starts))]
+        family.add(level)
+        for x in family.levels:
+            words = x.strings(0, len(x)).tolist()
+            assert words == sorted(set(words))
+    sizes = [len(x) for x in family.levels]
     assert len(sizes) <= 8 and all(a > 2 * b for a, b in zip(sizes, sizes[1:], strict=False))
-    assert not shard.rows
+    assert sum(sizes) <= sum(len(x.data) for x in family.levels)
+
+
+def test_blocks_of_two_arrays_walk_in_step():
+    rng = random.Random(2)
+    levels = []
+    for doc in (0, 1):
+        text = bytes(rng.choice(b"abc") for _ in range(3000))
+        levels.append(suffix.Level.of(np.frombuffer(text, np.uint8), np.arange(2993), np.full(2993, doc), 8)[0])
+    whole = sorted([*levels[0].strings(0, len(levels[0])).tolist(), *levels[1].strings(0, len(levels[1])).tolist()])
+    for block in (1, 7, 10_000):
+        got = [levels[int(b)].strings(int(k), int(k) + 1)[0] for in_b, at, _ in suffix.in_step(*levels, block=block) for b, k in zip(in_b, at, strict=True)]
+        assert got == whole
+    assert len(suffix.merged(*levels)) == len(set(whole))
+
+
+def test_equal_hashes_of_unlike_words_stay_apart():
+    data = np.frombuffer(b"ab cd ab ef ", np.uint8)
+    w = passages.spans.words(passages.spans.join([b"ab cd ab ef"]))
+    w.hash[:] = 7
+    ids = passages.word_ids(data, w)
+    assert ids[0] == ids[2] and len(set(ids.tolist())) == 3
+
+
+def test_clashing_names_and_rows_without_id(spark):
+    rng = random.Random(5)
+    say = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    passage = say(70)
+    rows = [(None, passage, 1, "a", "x", 5), (3, f"{say(9)} {passage}", 2, "b", "y", 6), (7, f"{passage} {say(4)}", 3, "c", "z", 7), (None, None, 4, None, None, 8)]
+    df = spark.createDataFrame(rows, "doc_id int, text string, _group int, carried string, `odd.name` string, n_removed int")
+    for got in (passages.remove_passages(df), suffix.remove_strings(df)):
+        assert got.columns[:5] == ["doc_id", "text", "_group", "carried", "odd.name"]
+        by = {r._group: r for r in got.collect()}
+        assert by[1].n_removed == by[2].n_removed == by[4].n_removed == 0 and by[3].n_removed >= 70 and by[4].carried is None
+
+
+def test_texts_above_the_slice_limit(spark):
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    passage, long = say(60), say(140_000)  # some 800 kB
+    rows = [(1, f"{long} {passage} {say(10)}"), (2, f"{say(10)} {passage}"), (3, f"{say(120_000)} {passage} {long}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in passages.remove_passages(df).collect()}
+    assert got == {1: 0, 2: 60, 3: 140_060} or (got[1], got[2]) == (0, 60) and got[3] >= 140_060
+    want = {r[0]: len(r[1]) for r in rows}
+    out = {r.doc_id: r for r in suffix.remove_strings(df).collect()}
+    assert out[1].n_removed == 0 and out[2].n_removed >= len(passage) and out[3].n_removed >= len(long) + len(passage)
+    assert all(out[k].n_bytes == want[k] for k in want)
 
 
 def test_no_rows(docs):
