@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, staged, table
+from .common import shuffle_partitions, staged, table, tidy
 from .components import components
 
 
@@ -143,7 +143,7 @@ def filtered(vectors: DataFrame, q: int, threshold: float, recall: float, per_ve
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(got, pa.list_(pa.int64()))], [*piece.schema.names, "filters"])
 
     kind = vectors.schema["embedding"].dataType.simpleString()
-    return vectors.mapInArrow(run, f"id long, mult long, embedding {kind}, filters array<long>")
+    return vectors.mapInArrow(tidy(run), f"id long, mult long, embedding {kind}, filters array<long>")
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -279,7 +279,7 @@ def linked(members: DataFrame, threshold: float, least_large: int = 65) -> DataF
         yield from close()
         yield from settle()
 
-    return members.mapInArrow(run, "kind int, a long, b long")
+    return members.mapInArrow(tidy(run), "kind int, a long, b long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, per_vector: int = 24, least: int = 16, block: int = 2048, recall: float = 0.99) -> DataFrame:

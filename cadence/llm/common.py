@@ -60,9 +60,18 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    spark._cadence_staged = [*getattr(spark, "_cadence_staged", []), path]
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what `staged` wrote in this session; for when all results have been read."""
+    for path in getattr(spark, "_cadence_staged", []):
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    spark._cadence_staged = []
+
+
 def size_in_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of `df`; only sizes partitions, never changes results."""
     try:

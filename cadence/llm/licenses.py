@@ -20,7 +20,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import slices, table, texts_of
+from .common import slices, table, texts_of, tidy
 
 # fixed values: the exact phrases and their labels
 PHRASES = (
@@ -145,7 +145,7 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        run,
+        tidy(run),
         f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
         "spans array<struct<label:string,first:long,last:long,edits:long>>",
     )

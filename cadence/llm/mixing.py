@@ -13,7 +13,10 @@ forms over the per-source sums (a water level), no loop.
 
 Scale: no Python, no global sort. Ranks and word positions are two-level prefix sums: sums per
 (source, bucket), a window over those few sums, then a window within each bucket, so a source
-with a third of all rows is spread over `buckets` groups. Slots meet their source through an
+with a third of all rows is spread over thousands of buckets, more as the input grows. A block
+has 32 words, and more in a source of over 2^27 words, so a source has at most `most_blocks`
+blocks, the schedule stays below the 2^31 slots after which its points repeat, and no product
+passes 2^63. Slots meet their source through an
 equi-join on a slice of [0, 1), not a range join. One window runs over the per-source sums in a
 single partition; its input is one row per source.
 
@@ -27,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import staged, table
+from .common import parts_for, staged, table
 
 GOLDEN = 1327217885  # odd, nearest to 2^31 / golden ratio
 MODULUS = 1 << 31
@@ -59,7 +62,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repea
     return out.select("source", "source_size", "weight", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, block_words: int = 32, buckets: int = 4096, size: Column | None = None, carry: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3, block_words: int = 32, most_blocks: int = 1 << 22, size: Column | None = None, carry: list[str] | None = None) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken.
 
     `carry` names the documents' columns to return instead, with size and taken."""
@@ -67,24 +70,26 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), repeats: int = 3,
     if carry is not None:
         # places are found on narrow rows; a row's number brings its columns back
         wide = staged(docs.select(*carry).withColumn("_row", F.monotonically_increasing_id()), "mixing-rows")
-        got = _taken(wide.select("_row", "doc_id", "source", size.alias("size")), weights, repeats, block_words, buckets).select("_row", "size", "taken")
+        got = _taken(wide.select("_row", "doc_id", "source", size.alias("size")), weights, repeats, block_words, most_blocks).select("_row", "size", "taken")
         return wide.drop(*(c for c in ("size", "taken") if c in carry)).join(got.where("taken > 0").hint("merge"), "_row").drop("_row")
     rows = docs.select(F.lit(0).alias("_row"), "doc_id", "source", size.alias("size"))
-    return _taken(rows, weights, repeats, block_words, buckets).drop("_row")
+    return _taken(rows, weights, repeats, block_words, most_blocks).drop("_row")
 
 
-def _taken(rows: DataFrame, weights: tuple[int, ...], repeats: int, block_words: int, buckets: int) -> DataFrame:
+def _taken(rows: DataFrame, weights: tuple[int, ...], repeats: int, block_words: int, most_blocks: int) -> DataFrame:
     spark = rows.sparkSession
+    # the leading bits of a hash: their number follows the input and never changes the order
+    bits = min(31, max(12, (parts_for(rows, 4) - 1).bit_length()))
     # counted once, then only these narrow rows are read again
     rows = staged(rows.withColumn("h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), "mixing-sizes")
-    rows = rows.withColumn("bucket", F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(buckets)))
+    rows = rows.withColumn("bucket", F.shiftright(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), 32 - bits))
     cells = rows.groupBy("source", "bucket").agg(F.sum("size").alias("cell_size"))
     per_bucket = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("base", F.coalesce(F.sum("cell_size").over(per_bucket), F.lit(0)))
     targets = source_targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, repeats)
 
     # blocks: equal parts of a source's line; draws: how many of them the target asks for
-    plan = targets.withColumn("n_blocks", F.ceil(F.col("source_size") / F.lit(block_words)).cast("long")).withColumn(
+    plan = targets.withColumn("n_blocks", F.ceil(F.col("source_size") / F.greatest(F.lit(block_words), F.ceil(F.col("source_size") / F.lit(most_blocks)))).cast("long")).withColumn(
         "draws", F.when(F.col("source_size") > 0, F.col("target") * F.col("n_blocks") / F.greatest(F.col("source_size"), F.lit(1))).otherwise(F.lit(0.0))
     )
     upto = Window.orderBy(F.col("source").asc_nulls_last())
@@ -116,7 +121,8 @@ def _taken(rows: DataFrame, weights: tuple[int, ...], repeats: int, block_words:
         F.explode(F.sequence(F.greatest(F.floor(F.col("a") / per).cast("long") - 1, F.lit(0)), F.least(F.floor(F.col("b") / per).cast("long") + 1, F.col("n_blocks") - 1))).alias("block"),
     )
     # block j holds words [floor(j*size/n), floor((j+1)*size/n)) of its source
-    cut = lambda j: F.expr(f"(({j}) * source_size) div n_blocks")
+    # (with quotient and remainder: the plain product would pass 2**63)
+    cut = lambda j: F.expr(f"({j}) * (source_size div n_blocks) + (({j}) * (source_size % n_blocks)) div n_blocks")
     overlap = F.least("b", cut("block + 1")) - F.greatest("a", cut("block"))
     spans = spans.withColumn("overlap", overlap).where("overlap > 0")
     taken = (

@@ -16,8 +16,9 @@ sums before anything is joined to them; shingle sets are sent only for rows that
 table is broadcast, components run on written tables, the driver sees a few counts.
 
 Defined results: a text without words (null, empty) and a row without doc_id stay alone (class
-= doc_id); rows that share a doc_id share its class; `n_copies` counts identical texts; an empty
-table gives no rows; extra columns are ignored.
+= doc_id); rows that share a doc_id but not the text have classes of their own, by their texts;
+`n_copies` counts identical texts; an empty table gives no rows; extra columns are ignored; very
+long texts are signed whole.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import darts, spans
-from .common import shuffle_partitions, slices, staged, table, texts_of
+from .common import shuffle_partitions, slices, staged, table, texts_of, tidy
 from .components import components
 
 U = np.uint64
@@ -64,7 +65,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text", 1_500_000):
+            for piece in slices(batch, "text"):
                 texts = texts_of(piece)
                 key, own, count = shingles(texts)
                 sig = darts.signatures(key, own, count.astype(float), len(texts), bands * rows)
@@ -74,7 +75,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 flat = pa.array(keys.ravel())
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * bands, flat)], ["doc_id", "digest", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, digest binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, digest binary, bands array<long>")
 
 
 def cells_of(texts: list[bytes]) -> list[bytes]:
@@ -104,16 +105,21 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return low / (len(a) + len(b) - low)
 
 
+def text_digest() -> Column:
+    """The digest of the text; the same bytes as `signed` gives for a text that has words."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+
+
 def celled(docs: DataFrame, some: DataFrame) -> DataFrame:
-    """(id, cells) of the documents whose doc_id is in `some`; the smallest text stands for an id."""
+    """(id, cells) of the texts in `some`: doc_id, digest, id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, "text", 1_500_000):
+            for piece in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(cells_of(texts_of(piece)), pa.binary())], ["id", "cells"])
 
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text").join(some.hint("shuffle_hash"), "id", "left_semi")
-    return texts.mapInArrow(run, "id long, cells binary").groupBy("id").agg(F.min("cells").alias("cells"))
+    texts = docs.where("doc_id is not null").withColumn("digest", text_digest()).join(some.hint("shuffle_hash"), ["doc_id", "digest"]).select("id", "text")
+    return texts.mapInArrow(tidy(run), "id long, cells binary").groupBy("id").agg(F.min("cells").alias("cells"))
 
 
 def verified(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
@@ -126,7 +132,7 @@ def verified(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
     side = lambda c: cells.select(F.col("id").alias(c), F.col("cells").alias(f"cells_{c}")).hint("merge")
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "cells_a", "cells_b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "cells_a", "cells_b").mapInArrow(tidy(run), "a long, b long")
 
 
 class Crowd:
@@ -225,15 +231,15 @@ def crossed(mixed: DataFrame, cells: DataFrame, threshold: float, block: int = 1
     dealt = dealt.select("bucket", F.least("half", "other").alias("lo"), F.greatest("half", "other").alias("hi"), "half", "id", "root")
     rows = dealt.join(own.hint("merge"), "id").select("bucket", "lo", "hi", "half", "id", "root", "buckets", "cells")
     parts = shuffle_partitions(mixed.sparkSession)
-    return rows.repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(run, "a long, b long")
+    return rows.repartition(parts, "bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(tidy(run), "a long, b long")
 
 
 def links(docs: DataFrame, reps: DataFrame, threshold: float, rounds: int = 2) -> DataFrame:
-    """(node, root) over class representatives. reps: id, bands."""
+    """(node, root) over class representatives. reps: id, doc_id, digest, bands."""
     rows = staged(reps.select("id", F.explode("bands").alias("bucket")), "bands")
     crowd = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     rows = staged(rows.join(crowd.hint("merge"), "bucket").select("bucket", "id"), "buckets")
-    some = rows.select("id").distinct()
+    some = reps.select("id", "doc_id", "digest").join(rows.select("id").distinct().hint("merge"), "id", "left_semi")
     cells = staged(celled(docs, some), "near-cells")
 
     edges = tested = roots = None
@@ -275,20 +281,26 @@ def _mixed(rows: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per document: doc_id, class_id (the smallest doc_id of its class), n_copies, kept."""
+    """One row per document: doc_id, class_id (the smallest doc_id of its class), n_copies, kept, and
+    `digest` of its text (null without words). Of a class, the text that is kept is marked."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signs = staged(signed(docs, bands, rows), "signatures")
     whole = signs.where("digest is not null and doc_id is not null")
-    copies = whole.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n_copies"))
-    copies = staged(copies, "copies")
-    # one set of bands per id; an id with several texts takes part with the first
-    one = whole.join(copies.select(F.col("id").alias("doc_id"), "digest").hint("merge"), ["doc_id", "digest"], "left_semi").groupBy(F.col("doc_id").alias("id")).agg(F.min("bands").alias("bands"))
-    roots = links(docs, one, threshold)
-    found = copies.join(roots.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left").select("digest", "n_copies", F.coalesce("root", "id").alias("root"))
+    copies = whole.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"))
+    # the texts of one id are told apart: the first goes by the id, others by a made-up negative number
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("digest"))
+    other = F.lit(-(1 << 62)) - F.shiftrightunsigned(F.xxhash64("doc_id", "digest"), 3)
+    copies = staged(copies.withColumn("id", F.when(nth == 1, F.col("doc_id")).otherwise(other)), "copies")
+    reps = whole.join(copies.select("doc_id", "digest", "id").hint("merge"), ["doc_id", "digest"]).groupBy("id").agg(F.first("doc_id").alias("doc_id"), F.first("digest").alias("digest"), F.min("bands").alias("bands"))
+    roots = links(docs, staged(reps, "texts"), threshold)
+    found = copies.join(roots.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left").select("digest", "doc_id", "n_copies", F.coalesce("root", "id").alias("root"))
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    found = found.join(first.hint("merge"), "root").select("digest", "n_copies", F.col("first.doc_id").alias("class_id"), F.col("first.digest").alias("kept_digest"))
     out = signs.select("doc_id", "digest").join(found.hint("merge"), "digest", "left")
-    class_id = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("root", "doc_id"))
-    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), F.coalesce(class_id == F.col("doc_id"), F.lit(True)).alias("kept"))
+    kept = F.coalesce((F.col("class_id") == F.col("doc_id")) & (F.col("kept_digest") == F.col("digest")), F.lit(True))
+    class_id = F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id"))
+    return out.select("doc_id", class_id.alias("class_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"), kept.alias("kept"), "digest")
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents")).drop("digest")

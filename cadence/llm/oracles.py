@@ -26,13 +26,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 MIXING = rf"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^{_GAP}]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
-e AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % 4096 AS bucket FROM d),
-l AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY bucket, h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM e),
+e AS (SELECT * FROM d),
+l AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM e),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS z FROM e GROUP BY 1),
 w AS (SELECT *, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS weight, 3 * z AS most FROM s),
 x AS (SELECT *, sum(z) OVER () - coalesce(sum(most) OVER o, 0) AS room, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS rest FROM w WINDOW o AS (ORDER BY most / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 y AS (SELECT *, room / rest * weight >= most AS is_full FROM x),
-t AS (SELECT source, z, CASE WHEN is_full THEN CAST(most AS DOUBLE) ELSE (SELECT arg_min(room / rest, most / weight) FROM y WHERE NOT is_full) * weight END AS target, CAST(ceil(z / 32) AS BIGINT) AS nb FROM y),
+t AS (SELECT source, z, CASE WHEN is_full THEN CAST(most AS DOUBLE) ELSE (SELECT arg_min(room / rest, most / weight) FROM y WHERE NOT is_full) * weight END AS target, CAST(ceil(z / greatest(32, ceil(z / 4194304))) AS BIGINT) AS nb FROM y),
 u AS (SELECT *, CASE WHEN z > 0 THEN target * nb / z ELSE 0 END AS draws FROM t),
 v AS (SELECT *, coalesce(sum(draws) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) / greatest(sum(draws) OVER (), 1e-300), 0) AS lo,
  CASE WHEN row_number() OVER (ORDER BY source NULLS LAST) = count(*) OVER () THEN 1 ELSE sum(draws) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) / greatest(sum(draws) OVER (), 1e-300) END AS hi FROM u),

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, table, tidy
 from .tokens import encoder, with_end
 
 WINDOW = 1024
@@ -160,7 +160,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * len(names))], names)
 
         for batch in batches:
-            for piece in slices(batch, "text", 4_000_000):
+            for piece in slices(batch, "text", 1_000_000):
                 ids = enc.encode([t or "" for t in piece.column("text").to_pylist()])
                 for doc_id, raw in zip(piece.column("doc_id").to_pylist(), ids, strict=True):
                     packer.add(doc_id, with_end(raw))
@@ -168,7 +168,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW) ->
         packer.finish()
         yield drain()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), SCHEMA)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import spans
-from .common import slices, staged, table, texts_of
+from .common import slices, staged, table, texts_of, tidy
 
 # fixed values: the symbols that count
 SYMBOLS = b"#*$%&|<>"
@@ -79,6 +80,9 @@ def repeat_words(w: spans.Words, n_texts: int) -> np.ndarray:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
+SALTS = 32
+
+
 def measured(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """doc_id, source (or the columns of `carry`) and the five measures of every document."""
     names = list(dict.fromkeys(["doc_id", "source", *(carry or [])]))
@@ -90,8 +94,8 @@ def measured(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
                 got = measure(texts_of(part))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *(pa.array(got[m]) for m in MEASURES)], [*names, *MEASURES])
 
-    fields = [f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names]
-    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, ", ".join(fields + [f"{m} long" for m in MEASURES]))
+    both = StructType([*(docs.schema[n] for n in names), *(StructField(m, LongType()) for m in MEASURES)])
+    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(tidy(run), both)
 
 
 def base_failed() -> Column:
@@ -125,10 +129,11 @@ def host_verdicts(judged: DataFrame, host_limit: float = 0.5) -> DataFrame:
     return hosts.withColumn("one", F.lit(1)).join(F.broadcast(prior), "one").select("no_host", "host", "n", "failures", shrunk.alias("host_rate"), (shrunk <= host_limit).alias("trusted"))
 
 
-def judge(docs: DataFrame, host_limit: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+def judge(docs: DataFrame, host_limit: float = 0.5, carry: list[str] | None = None, broadcast_hosts: int = 200_000) -> DataFrame:
     """Every document with its measures, its host's shrunk failure rate and `kept`.
 
-    `carry` names further columns of the documents to return."""
+    `carry` names further columns of the documents to return (see `common.carried`, which keeps
+    clashing names apart). Verdicts of up to `broadcast_hosts` hosts, by count, are broadcast."""
     host = [F.col("source").isNull().alias("no_host"), F.coalesce("source", F.lit("")).alias("host")]
 
     def judged(kept_columns: list[str] | None) -> DataFrame:
@@ -136,11 +141,15 @@ def judge(docs: DataFrame, host_limit: float = 0.5, carry: list[str] | None = No
         return rows.select("*", *host)
 
     rows = staged(judged(None), "quality")
-    hosts = host_verdicts(rows, host_limit).select("no_host", "host", "host_rate", "trusted")
-    if carry is not None:  # texts are measured again rather than stored; the verdicts are few
-        rows, hosts = judged(carry), staged(hosts, "hosts")
+    hosts = staged(host_verdicts(rows, host_limit).select("no_host", "host", "host_rate", "trusted"), "hosts")
+    if carry is not None:  # texts are measured again rather than stored
+        rows = judged(carry)
     kept = ~F.col("base_failed") & (F.col("trusted") | ~F.col("house_failed"))
-    out = rows.join(hosts, ["no_host", "host"])
+    if hosts.count() <= broadcast_hosts:
+        out = rows.join(F.broadcast(hosts), ["no_host", "host"])
+    else:  # a host's documents are spread over `SALTS` keys
+        salted = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["no_host", "host", "salt"]).drop("salt")
     return out.select(*(c for c in rows.columns if c not in ("no_host", "host")), "host_rate", kept.alias("kept"))
 
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts_for, slices, staged, table
+from .common import parts_for, shared_dir, slices, table, tidy
 from .tokens import encoder, with_end
 
 MAGIC = b"CDNTOK1\n"
 _HEAD = struct.Struct("<8sII32s")
-SEGMENT_SCHEMA = "part int, seq int, n_docs long, n_tokens long, image binary"
+SEGMENT_SCHEMA = "part int, seq int, n_docs long, n_tokens long, low long, high long, image binary"
 
 
 def train_dictionary(samples: list[bytes], size: int = 65536) -> bytes:
@@ -128,14 +129,14 @@ class Segment:
 
 
 def sample_dictionary(docs: DataFrame, tokenizer: str | None = None, sample: int = 1000, longest: int = 20_000) -> bytes:
-    """Trained on at most `sample` documents of at most `longest` characters each."""
-    rows = docs.where(F.length("text").between(1, longest)).select("text").limit(sample).collect()
+    """Trained on at most `sample` documents, least by a hash, of at most `longest` characters each."""
+    rows = docs.where(F.length("text").between(1, longest)).select("doc_id", "text").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(sample).collect()
     enc = encoder(tokenizer)
     return train_dictionary([np.frombuffer(with_end(x), "<u4").astype("<u2" if len(enc.size) <= 65536 else "<u4").tobytes() for x in enc.encode([r.text for r in rows])])
 
 
 def write_tokens(docs: DataFrame, dictionary: bytes, tokenizer: str | None = None, segment_bytes: int = 4_000_000) -> DataFrame:
-    """Tokenise, compress and store all documents in ascending doc_id order; returns the stored table."""
+    """Tokenise, compress and cut all documents, in ascending doc_id order, into segment rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -146,16 +147,17 @@ def write_tokens(docs: DataFrame, dictionary: bytes, tokenizer: str | None = Non
 
         def flush() -> pa.RecordBatch:
             nonlocal seq
+            known = [x for x in out.ids if x is not None] or [None]
             row = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(out.ids)], pa.int64()), pa.array([sum(out.tokens)], pa.int64()), pa.array([out.image()], pa.binary())],
-                ["part", "seq", "n_docs", "n_tokens", "image"],
+                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(out.ids)], pa.int64()), pa.array([sum(out.tokens)], pa.int64()), pa.array([known[0]], pa.int64()), pa.array([known[-1]], pa.int64()), pa.array([out.image()], pa.binary())],
+                ["part", "seq", "n_docs", "n_tokens", "low", "high", "image"],
             )
             seq += 1
             out.clear()
             return row
 
         for batch in batches:
-            for piece in slices(batch, "text", 4_000_000):
+            for piece in slices(batch, "text", 1_000_000):
                 ids = enc.encode([t or "" for t in piece.column("text").to_pylist()])
                 for doc_id, raw in zip(piece.column("doc_id").to_pylist(), ids, strict=True):
                     out.add(doc_id, with_end(raw))
@@ -166,7 +168,7 @@ def write_tokens(docs: DataFrame, dictionary: bytes, tokenizer: str | None = Non
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = rows.repartitionByRange(parts_for(docs, 12), "doc_id").sortWithinPartitions("doc_id", "text")
-    return staged(ordered.mapInArrow(run, SEGMENT_SCHEMA), "tokens")
+    return ordered.mapInArrow(tidy(run), SEGMENT_SCHEMA)
 
 
 def read_tokens(segments: DataFrame, dictionary: bytes) -> DataFrame:
@@ -189,11 +191,40 @@ def read_tokens(segments: DataFrame, dictionary: bytes) -> DataFrame:
                     ["part", "seq", "doc_id", "inner", "n_tokens", "ids_crc32"],
                 )
 
-    rows = segments.select("part", "seq", "image").mapInArrow(run, "part int, seq int, doc_id long, inner long, n_tokens long, ids_crc32 long")
+    rows = segments.select("part", "seq", "image").mapInArrow(tidy(run), "part int, seq int, doc_id long, inner long, n_tokens long, ids_crc32 long")
     return rows.join(bases, ["part", "seq"]).select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def save(docs: DataFrame, path: str, tokenizer: str | None = None) -> None:
+    """Token files at `path`: segments, and the dictionary beside them under its hash."""
+    dictionary = sample_dictionary(docs, tokenizer)
+    spark = docs.sparkSession
+    digest = hashlib.sha256(dictionary).hexdigest()
+    spark.createDataFrame([(digest, bytearray(dictionary))], "digest string, dictionary binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/dictionaries/{digest}")
+    write_tokens(docs, dictionary, tokenizer).write.mode("overwrite").parquet(f"{path}/segments")
+
+
+def opened(spark: SparkSession, path: str) -> tuple[DataFrame, bytes]:
+    """The segments at `path` and the dictionary that their headers name."""
+    segments = spark.read.parquet(f"{path}/segments")
+    head = segments.select(F.substring("image", 1, _HEAD.size).alias("head")).first()
+    if head is None:
+        return segments, b""
+    digest = _HEAD.unpack(bytes(head["head"]))[3].hex()
+    return segments, bytes(spark.read.parquet(f"{path}/dictionaries/{digest}").first()["dictionary"])
+
+
+def document(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
+    """The ids of the documents with this doc_id: only segments that can hold it are read."""
+    segments, dictionary = opened(spark, path)
+    found = []
+    for row in segments.where((F.col("low") <= doc_id) & (F.col("high") >= doc_id)).select("part", "seq", "image").orderBy("part", "seq").collect():
+        seg = Segment(bytes(row["image"]), dictionary)
+        found += [seg.read(int(k)) for k in np.flatnonzero((seg.doc_id == doc_id) & (seg.has_id == 1))]
+    return found
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    dictionary = sample_dictionary(docs)
-    return read_tokens(write_tokens(docs, dictionary), dictionary)
+    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    save(table(spark, sf_dir, "documents"), path)
+    return read_tokens(*opened(spark, path))

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, table, tidy
 
 ORDER, DECAY, FLOOR = 3, 0.6, 0.48
 #: an insult in this share of the toxic training texts is trained with its variants
@@ -338,9 +338,13 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1200, longest: int = 100_000) -> Model:
-    """A model of at most `per_class` training texts of each class, of at most `longest` characters."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 1200, longest: int = 20_000) -> Model:
+    """A model of at most `per_class` training texts of each class, of at most `longest` characters.
+
+    These bounds keep what the driver collects below 2 * per_class * longest characters."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out("doc_id"))
+    short = docs.where(F.length("text") <= longest).select("doc_id").distinct()
+    marked = marked.join(short.hint("merge"), "doc_id", "left_semi")  # before the draw, so that it is full
     chosen = None
     for kind in (0, 1):
         one = marked.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
@@ -358,12 +362,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = packed.value
         for batch in batches:
-            for piece in slices(batch, "text", 3_000_000):
+            for piece in slices(batch, "text", 1_000_000):
                 got = own.scores([t or "" for t in piece.column("text").to_pylist()])
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(got.astype(np.float64))], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    scored = docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, score double")
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
