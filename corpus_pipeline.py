@@ -9,11 +9,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadence.llm import mixing, neardup, packing, passages, quality
-from cadence.llm.common import shared_dir, table
+from cadence.llm.common import carried, restored, shared_dir, table
 
 #: Mixing and packing are not expressible in SQL together (tokenizers); see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
@@ -21,29 +21,39 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules and their host's verdict keep."""
-    columns = docs.columns
-    judged = quality.judge(docs, carry=columns)
-    return judged.where("kept").select(*columns)
+    own = ("doc_id", "text", "source")
+    judged = quality.judge(carried(docs, *own), carry=["text", "carried"])
+    return restored(judged.where("kept"), docs.columns, *own)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: the one with the smallest doc_id."""
-    found = neardup.classes(docs).where("not kept").select("doc_id").distinct()
-    # of rows that share the kept doc_id, one stays
-    rest = docs.join(found.hint("shuffle_hash"), "doc_id", "left_anti")
-    alone = rest.where("doc_id is null").select(*docs.columns)
-    return rest.where("doc_id is not null").dropDuplicates(["doc_id"]).select(*docs.columns).union(alone)
+    """One document of each class of near-duplicates: the one with the smallest doc_id.
+
+    Of rows that repeat a doc_id with the very same text one stays, the least by its other
+    columns; rows that share a doc_id with unlike texts all stay, as do rows without doc_id."""
+    found = neardup.classes(docs).where("not kept").select("doc_id", "digest").distinct()
+    wide = carried(docs, "doc_id", "text")
+    known = wide.where("doc_id is not null").withColumn("digest", neardup.text_digest())
+    rest = known.join(found.hint("shuffle_hash"), ["doc_id", "digest"], "left_anti")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy(F.to_json("carried")))
+    one = rest.withColumn("nth", nth).where("nth = 1").select(*wide.columns)
+    return restored(one.union(wide.where("doc_id is null")), docs.columns, "doc_id", "text")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that a smaller doc_id holds; texts left empty go.
 
     Untouched documents keep their text as it is."""
-    cut = passages.remove_passages(docs)
+    cut = passages.remove_passages(carried(docs, "doc_id", "text"))
     changed = F.col("n_removed") > 0
     text = F.when(changed, F.col("kept_text")).otherwise(F.col("text"))
     left = cut.where(~changed | (F.col("kept_text") != ""))
-    return left.select(*(text.alias("text") if c == "text" else F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns))
+    left = left.withColumn("text", text).withColumn("n_new", F.when(changed, F.length("kept_text").cast("long")))
+    columns = []
+    for c in docs.columns:
+        was = F.col(c) if c in ("doc_id", "text") else F.col("carried").getField(c)
+        columns.append((F.coalesce("n_new", was.cast("long")) if c == "n_chars" else was).alias(c))
+    return left.select(*columns)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,12 +62,14 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     A document whose words are taken k times and a part more stands k times, and once more with
     the chance of that part, drawn from its doc_id, so each source's words keep near its target.
     """
-    taken = mixing.mix(docs, carry=docs.columns)
+    own = ("doc_id", "text", "source")
+    taken = mixing.mix(carried(docs, *own), carry=[*own, "carried"])
     share = F.col("taken") / F.greatest(F.col("size"), F.lit(1))
     whole = F.floor(share).cast("int")
     draw = F.conv(F.substring(F.md5(F.concat(F.lit("draw "), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     times = whole + F.when(share - whole > draw, F.lit(1)).otherwise(F.lit(0))
-    return taken.withColumn("_times", times).where("_times > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    read = taken.withColumn("_times", times).where("_times > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return restored(read, docs.columns, *own)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
