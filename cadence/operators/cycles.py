@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # fixed values: the phases in order, and how many a cycle needs
@@ -72,3 +72,42 @@ def matches(labels: DataFrame, windows: DataFrame, tolerance: float = 0.6) -> Da
     m = labels.join(windows, ["clip", "phase", "nth"], "left")
     inside = (F.col("t") >= F.col("a") - tolerance) & (F.col("t") <= F.col("b") + tolerance)
     return m.select("*", F.coalesce(inside, F.lit(False)).alias("contains"), (F.col("a") - F.col("t")).alias("start_error"), ((F.col("a") + F.col("b")) / 2 - F.col("t")).alias("centre_error"))
+
+
+def typed_number(raw: Column, path: str) -> tuple[Column, Column]:
+    """(value, error) of a JSON field: a number and nothing else counts, not even a boolean."""
+    doc = F.try_parse_json(raw)
+    kind = F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
+    number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    error = F.when(doc.isNull() & raw.isNotNull(), "not JSON").when(kind.isNull(), "missing").when(~number, "not a number")
+    return F.when(number, F.try_variant_get(doc, path, "double")), error
+
+
+def zipped(a: DataFrame, b: DataFrame, key: str = "clip") -> DataFrame:
+    """(clip, n, apart): the n-th starts side by side, of clips where both sides have as many."""
+    w = Window.partitionBy(key).orderBy("time", "phase")
+    numbered = lambda df, name: df.select(key, F.col("time").alias(name), F.row_number().over(w).alias("n"), F.count("*").over(Window.partitionBy(key)).alias(f"n_{name}"))
+    both = numbered(a, "left").join(numbered(b, "right"), [key, "n"])
+    return both.where("n_left = n_right").select(key, "n", (F.col("right") - F.col("left")).alias("apart"))
+
+
+def report_line(tolerance: float, width: int) -> Column:
+    """One line of the report: field, expected, actual, signed error, verdict."""
+    error = F.col("actual") - F.col("expected")
+    return F.format_string(f"%-{width}s %9.3f %9.3f %+8.3f %s", F.col("field"), F.col("expected"), F.col("actual"), error, F.when(F.abs(error) <= tolerance, "PASS").otherwise("FAIL"))
+
+
+def banner(starts: DataFrame, cycles: DataFrame, instants: DataFrame, slack: float = 1e-6) -> DataFrame:
+    """What runs at each instant (clip, t, ...): the phase, and how many cycles are complete.
+
+    Both are running values over the union of instants, starts and cycle ends: no range join."""
+    names = [c for c in instants.columns if c not in ("clip", "t")]
+    blank = [F.lit(None).cast(instants.schema[c].dataType).alias(c) for c in names]
+    rows = instants.select("clip", (F.col("t") + slack).alias("t"), *names, F.lit(2).alias("kind"), F.lit(None).cast("string").alias("phase"))
+    rows = rows.union(starts.select("clip", "time", *blank, F.lit(0), "phase")).union(cycles.select("clip", "end_time", *blank, F.lit(1), F.lit(None).cast("string")))
+    upto = Window.partitionBy("clip").orderBy("t", "kind", "phase").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    now = F.last(F.when(F.col("kind") == 0, F.col("phase")), True).over(upto)
+    any_start = F.max(F.col("kind") == 0).over(Window.partitionBy("clip"))
+    idle = F.when(any_start, "LOOKING FOR DIG START").otherwise("NO PHASE FOUND")
+    out = rows.withColumn("headline", F.coalesce(F.upper(now), idle)).withColumn("complete", F.count_if(F.col("kind") == 1).over(upto))
+    return out.where("kind = 2").select("clip", (F.col("t") - slack).alias("t"), *names, "headline", "complete")

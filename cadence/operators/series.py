@@ -148,3 +148,24 @@ def theil_sen(df: DataFrame, v: str, samples: int) -> DataFrame:
     pick = [n // 2] if n % 2 else [n // 2 - 1, n // 2]
     median = reduce(lambda a, b: a + b, [F.get(ranked, F.lit(k)) for k in pick]) / len(pick)
     return df.withColumn("slope", median).drop("_a")
+
+
+def scaled(v: str) -> Column:
+    """0 at the series' least value, 1 at its greatest; NULL where they are equal."""
+    whole = Window.partitionBy(KEY)
+    lo, hi = F.min(v).over(whole), F.max(v).over(whole)
+    return F.try_divide(F.col(v) - lo, F.nullif(hi - lo, F.lit(0.0)))
+
+
+def probe(df: DataFrame, rate_hz: float, t: str = "t") -> DataFrame:
+    """Frames, duration (last time plus a median step), frames a second, stride and the true rate."""
+    steps = df.withColumn("_d", F.col(t) - F.lag(t).over(Window.partitionBy(KEY).orderBy(t)))
+    out = steps.groupBy(KEY).agg(F.count("*").alias("frames"), (F.max(t) - F.min(t) + F.median("_d")).alias("duration"))
+    out = out.withColumn("fps", F.try_divide("frames", "duration"))
+    out = out.withColumn("stride", F.greatest(F.lit(1), F.bround(F.col("fps") / rate_hz)).cast("long"))
+    return out.withColumn("actual_rate", F.col("fps") / F.col("stride"))
+
+
+def clock(sample_time: Column, sample_frame_time: Column, frame_time: Column) -> Column:
+    """A frame's time on the samples' clock."""
+    return sample_time + (frame_time - sample_frame_time)

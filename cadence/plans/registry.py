@@ -489,7 +489,7 @@ def interior_points(spark, d):
     return masks.interior_points(pixels(spark, d), 3)
 
 
-@query("prompt_grid", f"{_PIX}, b AS (SELECT clip, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM px GROUP BY 1) SELECT clip, r * 3 + c AS nth, round(y0 + (0.55 + 0.35 * r) * (y1 - y0), 6) AS py, round(x0 + (0.15 + 0.35 * c) * (x1 - x0), 6) AS px FROM b, range(2) t(r), range(3) u(c)")
+@query("prompt_grid", f"{_PIX}, b AS (SELECT clip, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM px GROUP BY 1) SELECT clip, r * 3 + c AS nth, CAST(round(y0 + (0.55 + 0.35 * r) * (y1 - y0), 6) AS DOUBLE) AS py, CAST(round(x0 + (0.15 + 0.35 * c) * (x1 - x0), 6) AS DOUBLE) AS px FROM b, range(2) t(r), range(3) u(c)")
 def prompt_grid(spark, d):
     boxes = pixels(spark, d).groupBy("clip").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
     return masks.grid_points(boxes).select("clip", F.col("nth").cast("long").alias("nth"), *r6("py", "px"))
