@@ -46,6 +46,12 @@ class Window:
     b: float
     votes: float = 0.0
     weak: bool = False
+    core: tuple[float, float] | None = None
+
+    @property
+    def heart(self) -> tuple[float, float]:
+        """Where most cues agree; the window itself if no vote made it."""
+        return self.core or (self.a, self.b)
 
 
 def islands(mask: np.ndarray) -> list[tuple[int, int]]:
@@ -193,7 +199,7 @@ class Cues:
 
     def height_takeoff(self, anchor: float, dig: Window | None) -> Event | None:
         v, (_, after) = self.s.v["height"], self.s.sides("height")
-        inside = (self.t >= dig.a) & (self.t <= dig.b) if dig else self.t <= anchor
+        inside = (self.t >= dig.heart[0]) & (self.t <= dig.heart[1]) if dig else self.t <= anchor
         level = np.nanmax(v[inside]) if np.isfinite(v[inside]).any() else -np.inf
         k = self.s.first((v > level) & (np.nan_to_num(after) >= FLAT), anchor)
         return None if k is None else Event(self.t[k], self.t[k] + TAKEOFF, self.t[k] + TAKEOFF / 2, "fixed", "height")
@@ -203,7 +209,7 @@ class Cues:
         loose = self.s.knees("pile_truck_pos", 1, 2 * FLAT, STEEP / 2)
         for a, b in self.s.knees("pile_truck_pos", 1):
             near = (self.t >= self.t[a]) & (self.t <= self.t[b] + LOOKAHEAD)
-            if self.t[b] >= anchor and x[a] < 0.5 and (self.s.v["over"][near] <= 0).any():
+            if self.t[b] >= anchor and x[a] < 1 and (self.s.v["over"][near] <= 0).any():
                 a, b = next(((c, d) for c, d in loose if c <= b and d >= a), (a, b))
                 return Event(max(self.t[a], anchor), self.t[b], (self.t[a] + self.t[b]) / 2, "span", "pile_truck_pos")
         return None
@@ -306,11 +312,11 @@ class Search:
         v = self.s.v
         if phase == "swinging":
             return np.ones(len(self.t), bool)
-        inside = (self.t >= dig.a) & (self.t <= dig.b) if dig else np.zeros(len(self.t), bool)
+        inside = (self.t >= dig.heart[0]) & (self.t <= dig.heart[1]) if dig else np.zeros(len(self.t), bool)
         level = float(np.nanmedian(v["height"][inside])) if inside.any() else self.low
         with np.errstate(invalid="ignore"):
             if phase == "digging":
-                return (v["over"] <= 0) & (v["pile_truck_pos"] < 0.5)
+                return (v["over"] <= 0) & (v["pile_truck_pos"] < 1)
             if phase == "hauling":
                 return (v["height"] > level) & (v["over"] <= 0)
             return (v["pile_truck_pos"] - v["cabin_pile_truck_pos"] > 0) & (v["height"] > level)
@@ -351,7 +357,7 @@ class Search:
         mid = (self.t[a] + self.t[b]) / 2
         agree = [w for w in windows.values() if w.a <= self.t[b] + 1e-9 and w.b >= self.t[a] - 1e-9]
         lo, hi = max(min(w.a for w in agree), mid - MAX_HALF, start), min(max(w.b for w in agree), mid + MAX_HALF)
-        return Window(lo, max(hi, lo), votes, votes <= total / 2)
+        return Window(lo, max(hi, lo), votes, votes <= total / 2, (float(self.t[a]), float(self.t[b])))
 
     def dump(self, start: float, gate: np.ndarray, dig: Window | None) -> Window | None:
         """The candidate of the first visit with most support; of equals the earlier."""
@@ -379,18 +385,23 @@ class Search:
         longest = max((b - a for a, b in spans), default=0.0)
         return [x for x in spans if x[1] - x[0] >= 0.5 * longest]
 
-    def dig(self, anchor: float, reach: int = 2) -> Window | None:
-        """A digging window in the next open stretches: cues first, else where the bucket settles."""
+    def dig(self, anchor: float, reach: int | None = 2, settle: bool = True) -> Window | None:
+        """A digging window in the next open stretches: cues first, else where the bucket settles.
+
+        The search for a strong dig looks at all stretches (reach None) and at cues alone."""
         edges = [(self.t[0], self.t[0]), *self.visits(), (self.t[-1], self.t[-1])]
         stretches = [(a[1], b[0]) for a, b in zip(edges, edges[1:], strict=False) if b[0] > a[1]]
-        for lo, hi in [x for x in stretches if x[1] > anchor][:reach]:
-            start = max(lo, anchor)
+        for lo, hi in [x for x in stretches if x[1] > anchor + 1e-6][:reach]:
+            start, top = max(lo, anchor), min(self.climb(lo, hi), hi)
+            if top <= start:
+                continue
             w = self.step("digging", start, None)
-            if w is not None and start <= (w.a + w.b) / 2 <= self.climb(lo, hi):
-                return Window(w.a, min(w.b, hi), w.votes, w.weak)
-            k = self.settled(start, hi)
+            if w is not None and start - 1e-9 <= sum(w.heart) / 2 <= top:
+                return Window(w.a, min(w.b, top), w.votes, w.weak, w.core)
+            k = self.settled(start, top, lo, hi) if settle else None
             if k is not None:
-                return Window(max(start, self.t[k] - MIN_HALF), min(hi, self.t[k] + MIN_HALF), 0.0, True)
+                a, b = max(start, self.t[k] - MIN_HALF), min(top, self.t[k] + MIN_HALF)
+                return Window(a, b, 0.0, True, (a, b))
         return None
 
     def climb(self, lo: float, hi: float) -> float:
@@ -407,41 +418,53 @@ class Search:
         back = np.flatnonzero(v[: up[-1] + 1] <= low + 0.1 * (high - low)) if len(up) else []
         return float(self.t[k[back[-1]]] if len(back) else self.t[k[0]])
 
-    def settled(self, lo: float, hi: float) -> int | None:
+    def settled(self, start: float, top: float, lo: float, hi: float) -> int | None:
+        """First sample from start to top that lies in the pile: low, on its side, off the truck and calm.
+
+        Low is a quarter of the way from the stretch's pile level to its height on arrival."""
         v, s = self.s.v, self.s
+        inside = (self.t >= lo) & (self.t <= hi)
+        if not np.isfinite(v["height"][inside]).any():
+            return None
         calm = max(SIGMA * s.noise("speed_2d"), 0.02 * float(np.nanmax(v["speed_2d"]) - np.nanmin(v["speed_2d"])))
-        pile, arrival = np.nanpercentile(v["height"], 5), np.nanmax(v["height"])
-        ok = (v["height"] <= pile + 0.1 * (arrival - pile)) & (v["pile_truck_pos"] < 0.5) & (v["over"] <= 0) & (v["speed_2d"] <= calm)
-        k = s.first(ok, lo)
-        return k if k is not None and self.t[k] <= hi else None
+        pile, above = np.nanpercentile(v["height"][inside], [5, 95])
+        if hi < self.t[-1]:  # a truck follows
+            above = v["height"][max(int(np.searchsorted(self.t, hi)) - 1, 0)]
+        ok = (v["height"] <= pile + 0.25 * (above - pile)) & (v["pile_truck_pos"] < 1) & (v["over"] <= 0) & (v["speed_2d"] <= calm)
+        k = s.first(ok, start)
+        return k if k is not None and self.t[k] <= top else None
 
     def run(self) -> tuple[list[tuple[str, Window, bool]], str | None]:
-        """(phase, window, abandoned) in order, and the phase at which the search stopped."""
+        """(phase, window, abandoned) in order, and the phase at which the search stopped.
+
+        A phase that is missed, or begins after the next dig the cues find, abandons its cycle
+        for that dig; a weak window counts only if such a dig follows."""
         found: list[list] = []
-        dig = self.dig(self.t[0])
-        if dig is None:
-            return [], PHASES[0]
+        at, nth, dig, opened = self.t[0], 0, None, 0
         while True:
-            found.append([PHASES[0], dig, False])
-            opened, at, stop = len(found) - 1, dig.b, None
-            for phase in PHASES[1:]:
-                w = self.step(phase, at, dig)
-                again = self.dig(at + 1e-3)
-                strong = again is not None and not again.weak
-                if w is None or (strong and again.b < w.a) or (w.weak and not strong and again is None and w.votes == 0):
-                    stop = phase
+            phase = PHASES[nth % len(PHASES)]
+            following = lambda: self.dig(at, None, settle=False)  # noqa: B023, E731
+            if phase == PHASES[0]:
+                w = self.dig(at) or following()
+                if w is None:
                     break
-                found.append([phase, w, False])
-                at = w.b
-            nxt = self.dig(at + 1e-3)
-            if stop is not None:
-                if nxt is None or nxt.weak:
-                    return [tuple(f) for f in found], stop
-                for f in found[opened:]:
-                    f[2] = True
-            elif nxt is None:
-                return [tuple(f) for f in found], PHASES[0]
-            dig = nxt
+                dig, opened = w, len(found)
+            else:
+                w, again = self.step(phase, at, dig), following()
+                late = w is not None and again is not None and again.b <= w.a + 1e-9
+                if w is not None and not late and w.weak and again is None:
+                    break
+                if w is None or late:
+                    if again is None:
+                        break
+                    for f in found[opened:]:
+                        f[2] = True
+                    w, phase, nth, dig, opened = again, PHASES[0], 0, again, len(found)
+            found.append([phase, w, False])
+            if w.b <= at + 1e-6:
+                break
+            at, nth = w.b, nth + 1
+        return [tuple(f) for f in found], phase
 
     def start(self, phase: str, w: Window) -> tuple[float, bool]:
         """When the phase began inside its window; the middle (a fallback) if nothing moved."""
@@ -453,6 +476,8 @@ class Search:
         apex = int(np.nanargmax(v))
         if phase == "digging":
             return float(self.t[k[apex]]), False
+        if np.isfinite(v).sum() < 5:  # too few samples to tell movement from noise
+            return (w.a + w.b) / 2, True
         d = np.diff(v[np.isfinite(v)])
         band = SIGMA * (1.4826 * float(np.median(np.abs(d - np.median(d)))) / np.sqrt(2) if len(d) >= 4 else np.nan)
         if np.isfinite(band) and v[apex] <= band:

@@ -5,10 +5,14 @@ All of them share one partitioning and ordering, so a chain costs one shuffle an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from heapq import heappop, heappush, heappushpop
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import WindowSpec
 
 KEY, ORDER = "series", "i"
@@ -40,10 +44,12 @@ def moving_average(v: str, width: int, align: str = "trailing", min_fraction: fl
 
 def interpolated(v: str) -> Column:
     """Gaps filled on a straight line by sample number; ends stay open."""
-    back, ahead = along().rowsBetween(Window.unboundedPreceding, 0), along().rowsBetween(0, Window.unboundedFollowing)
+    # what lies ahead is what lies behind in descending order: a running value, linear in the series
+    behind = Window.partitionBy(KEY).orderBy(F.col(ORDER).desc())
+    back, ahead = along().rowsBetween(Window.unboundedPreceding, 0), behind.rowsBetween(Window.unboundedPreceding, 0)
     at = F.when(F.col(v).isNotNull(), F.col(ORDER))
     i0, v0 = F.last(at, True).over(back), F.last(v, True).over(back)
-    i1, v1 = F.first(at, True).over(ahead), F.first(v, True).over(ahead)
+    i1, v1 = F.last(at, True).over(ahead), F.last(v, True).over(ahead)
     return F.when(i1 == i0, F.col(v)).otherwise(v0 + (v1 - v0) * F.try_divide(F.col(ORDER) - i0, i1 - i0))
 
 
@@ -113,9 +119,28 @@ def side_changes(df: DataFrame, v: str, samples: int) -> DataFrame:
     return df.withColumn("before", trend(-samples, 0)).withColumn("after", trend(0, samples))
 
 
-def expanding_median(v: str = "v") -> Column:
-    """Median of the past, without the current sample."""
-    return F.percentile(v, F.lit(0.5)).over(along().rowsBetween(Window.unboundedPreceding, -1))
+def expanding_median(df: DataFrame, v: str = "v", out: str = "past") -> DataFrame:
+    """Adds the median of the past, without the current sample.
+
+    Two heaps per series, fed in order as sorted batches stream by: n log n in a series, and no
+    series is held whole (the heaps keep its numbers only)."""
+    rows = df.repartition(KEY).sortWithinPartitions(KEY, ORDER)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, low, high = None, [], []
+        for batch in batches:
+            medians = []
+            for key, x in zip(batch.column(KEY).to_pylist(), batch.column(v).to_pylist(), strict=True):
+                if key != at:
+                    at, low, high = key, [], []
+                medians.append(None if not low else -low[0] if len(low) > len(high) else (high[0] - low[0]) / 2)
+                if x is not None:
+                    heappush(high, -heappushpop(low, -x))
+                    if len(high) > len(low):
+                        heappush(low, -heappop(high))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(medians, pa.float64())], [*batch.schema.names, out])
+
+    return rows.mapInArrow(run, StructType([*df.schema.fields, StructField(out, DoubleType())]))
 
 
 def persists(hit: Column, samples: int) -> Column:

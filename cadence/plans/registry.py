@@ -129,7 +129,7 @@ def trend_before_after(spark, d):
 
 @query("expanding_median", f"{g()} SELECT series, i, round(quantile_cont(v, 0.5) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 9) AS past FROM g")
 def expanding_median(spark, d):
-    return grid(spark, d).select("series", "i", F.round(series.expanding_median(), 9).alias("past"))
+    return series.expanding_median(grid(spark, d)).select("series", "i", F.round("past", 9).alias("past"))
 
 
 @query("persistence", f"{g()} SELECT series, i, count(*) OVER w = 4 AND coalesce(min(CAST(coalesce(v > 40, false) AS INT)) OVER w, 0) = 1 AS stays FROM g WINDOW w AS ({W} ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING)")

@@ -36,7 +36,8 @@ def test_starts_are_found_in_order():
     assert [f[0] for f in kept][:8] == [*PHASES, *PHASES]
     for k, f in enumerate(kept[:8]):
         true = TRUE[f[0]] + PERIOD * (k // 4)
-        assert abs(f[1] - true) < 2.5, (f, true)
+        # a still bucket has no sharp dig start; the others are graded at 0.6 s
+        assert abs(f[1] - true) < (2.5 if f[0] == PHASES[0] else 0.6), (f, true)
         assert f[2] - 1e-6 <= f[1] <= f[3] + 1e-6
     assert all(a[2] <= b[2] for a, b in zip(kept, kept[1:], strict=False))
 
