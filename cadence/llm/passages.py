@@ -32,10 +32,10 @@ from .routing import REMOVED, Sizes, Stretches, Units, applied, candidates, copi
 UNITS = Units(words=True)
 
 
-def word_ids(data: np.ndarray, w: spans.Words) -> np.ndarray:
+def word_ids(data: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.ndarray) -> np.ndarray:
     """A number for each word, the same where the words are equal byte for byte."""
-    _, head, ids = np.unique(w.hash, return_index=True, return_inverse=True)
-    size = w.end - w.start
+    _, head, ids = np.unique(code, return_index=True, return_inverse=True)
+    size = end - start
     like = head[ids]
     same = size == size[like]
     at = np.flatnonzero(same & (like != np.arange(len(like))))
@@ -43,11 +43,11 @@ def word_ids(data: np.ndarray, w: spans.Words) -> np.ndarray:
         part = at[k : k + 100_000]
         n = size[part]
         index = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        unlike = data[index + np.repeat(w.start[part], n)] != data[index + np.repeat(w.start[like[part]], n)]
+        unlike = data[index + np.repeat(start[part], n)] != data[index + np.repeat(start[like[part]], n)]
         same[part] = ~np.logical_or.reduceat(unlike, np.cumsum(n) - n)
     if not same.all():  # hashes of unlike words met
         raw, names = data.tobytes(), {}
-        ids = np.array([names.setdefault(raw[a:b], len(names)) for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)], np.int64)
+        ids = np.array([names.setdefault(raw[a:b], len(names)) for a, b in zip(start.tolist(), end.tolist(), strict=True)], np.int64)
     return ids
 
 
@@ -55,11 +55,16 @@ def decide(shard: Stretches, window: int = UNITS.window) -> np.ndarray:
     """REMOVED records of one shard: windows whose word sequence a smaller doc_id holds."""
     if not len(shard):
         return np.zeros(0, REMOVED)
-    w = spans.words(spans.Joined(shard.body, np.zeros(1, np.int64), np.array([len(shard.body)])))  # each body ends in a space
+    found = []
+    for a, b, at in shard.parts():  # each body ends in a space
+        body = shard.body[at : at + int(shard.size[a:b].sum(dtype=np.int64))]
+        w = spans.words(spans.Joined(body, np.zeros(1, np.int64), np.array([len(body)])))
+        found.append((w.start + at, w.end + at, w.hash))
+    start, end, code = (np.concatenate(x) for x in zip(*found, strict=True))
     win = shard.win.astype(np.int64)
     words = win + window - 1
     at = np.arange(int(win.sum())) + np.repeat(np.cumsum(words) - words - (np.cumsum(win) - win), win)
-    docs, rank = np.repeat(shard.doc, win), window_ranks(word_ids(shard.body, w), window, at)
+    docs, rank = np.repeat(shard.doc, win), window_ranks(word_ids(shard.body, start, end, code), window, at)
     low = np.full(int(rank.max()) + 1, np.iinfo(np.int64).max)
     np.minimum.at(low, rank, docs)
     return shard.removals(low[rank] < docs, window)

@@ -65,7 +65,7 @@ class Sizes:
 
     @classmethod
     def of(cls, docs: DataFrame) -> Sizes:
-        return cls(parts_for(docs, 8), parts_for(docs, 2), parts_for(docs, 2))
+        return cls(parts_for(docs, 8), parts_for(docs, 2), parts_for(docs, 1))
 
 
 _PRIME, _FACTOR = (1 << 31) - 1, 1327217885
@@ -205,7 +205,21 @@ class Stretches:
 
     def keys(self) -> np.ndarray:
         """A hash of each stretch's bytes."""
-        return spans.range_hash(spans.prefix_hash(spans._BYTE[self.body]), self.start, self.start + self.size)
+        out = np.empty(len(self), U)
+        for a, b, at in self.parts():
+            start = self.start[a:b] - at
+            body = self.body[at : at + int(start[-1]) + int(self.size[b - 1])]
+            out[a:b] = spans.range_hash(spans.prefix_hash(spans._BYTE[body]), start, start + self.size[a:b])
+        return out
+
+    def parts(self, limit: int = 1_000_000) -> Iterator[tuple[int, int, int]]:
+        """(first, behind the last, first byte) of stretches that make up about `limit` bytes."""
+        ends, a = np.cumsum(self.size, dtype=np.int64), 0
+        while a < len(self):
+            at = int(ends[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, at + limit, "right")))
+            yield a, b, at
+            a = b
 
     def held_before(self, key: np.ndarray) -> np.ndarray:
         """Which stretches equal one of a smaller doc_id here. key: a hash; bytes decide."""
@@ -262,7 +276,7 @@ class Piece:
     data: np.ndarray
     start: np.ndarray | None
     codes: np.ndarray | None
-    values: np.ndarray
+    values: np.ndarray | None
 
     @classmethod
     def of(cls, batch: pa.RecordBatch, known: set[tuple[int, int]], units: Units) -> Piece:
@@ -272,7 +286,7 @@ class Piece:
         texts = [b"" if (d, s) in known else t for d, s, t in zip(ids, sig.tolist(), texts, strict=True)]
         runs, data, w, first = units.runs(texts)
         if w is None:
-            return cls(np.array(ids, "<i8"), sig, runs, first, data, None, None, spans._BYTE[data])
+            return cls(np.array(ids, "<i8"), sig, runs, first, data, None, None, None)
         plain, start = spans.single_spaced(data, w)
         return cls(np.array(ids, "<i8"), sig, runs, first, plain, start, (w.hash >> U(32)).astype(np.uint32), w.hash)
 
@@ -281,7 +295,7 @@ class Piece:
         a = lo if self.start is None else self.start[lo]
         b = hi + window if self.start is None else self.start[hi + window]
         body = gathered(self.data, a, b - a)
-        key = spans.range_hash(spans.prefix_hash(self.values), lo, hi + window)
+        key = spans.range_hash(spans.prefix_hash(spans._BYTE[self.data] if self.values is None else self.values), lo, hi + window)
         return Stretches(self.own[doc], self.sig[doc], lo - self.first[doc], (hi - lo + 1).astype("<i4"), (b - a).astype("<i4"), body), key
 
     def hits(self, automaton, phrase_key: np.ndarray, units: Units) -> tuple[np.ndarray, ...]:
@@ -409,6 +423,7 @@ def removed(rows: DataFrame, decide: Callable[[Stretches], np.ndarray], units: U
 
     def judged(held: list[Stretches]) -> np.ndarray:
         shard = Stretches.join(held)
+        held.clear()
         here = shard.held_before(shard.keys())  # a whole stretch again: its first one stands for it
         again = shard.take(np.flatnonzero(here))
         return np.concatenate([again.removals(np.ones(int(again.win.sum()), bool), window), decide(shard.take(np.flatnonzero(~here)))])
@@ -419,7 +434,6 @@ def removed(rows: DataFrame, decide: Callable[[Stretches], np.ndarray], units: U
             for number, *raw in zip(*(batch.column(f).to_pylist() for f in _FIELDS), strict=True):
                 if held and number != at:
                     yield dealt_out(judged(held))
-                    held.clear()
                 got = Stretches(*(np.frombuffer(x, k) for x, k in zip(raw, _KINDS, strict=True)))
                 if number < 0:
                     yield dealt_out(got.removals(np.ones(int(got.win.sum()), bool), window))
