@@ -53,7 +53,7 @@ def test_noise_and_median(spark):
     steps = np.where(np.arange(400) > 200, 1.0, 0.0) + rng.normal(0, 0.01, 400)
     noise = series.noise_scale(frame(spark, steps)).first().noise
     assert 0.007 < noise < 0.012
-    assert column(frame(spark, [0, 1, 2, 3, 100]).withColumn("m", series.expanding_median()), "m") == [None, 0, 0.5, 1, 1.5]
+    assert column(series.expanding_median(frame(spark, [0, 1, 2, 3, 100]), "v", "m"), "m") == [None, 0, 0.5, 1, 1.5]
 
 
 def test_drop_knee_excursion(spark):
