@@ -4,8 +4,8 @@ Phrases of `gram` words (content-chosen, so that every window of `window` words
 stand in two documents are confirmed by meeting each other. The confirmed phrases of a group of
 documents are compiled into that group's Aho-Corasick automaton (pyahocorasick, over words), and
 all documents of the group stream through it. Every place the automaton reports sends the
-stretch of windows around it to the shard of its phrase; there the stretches of all groups are
-extended by exact comparison, and a window met in a smaller doc_id is removed.
+stretch of windows that it anchors to the shard of its phrase; there the stretches of all groups
+are compared exactly, and a window met in a smaller doc_id is removed.
 
 Scale: see routing.py. Three shuffles: packed hashes, candidate stretches, removed runs; the
 texts are dealt once and that exchange is used three times. Automata and shards hold their own

@@ -298,20 +298,18 @@ class Piece:
         key = spans.range_hash(spans.prefix_hash(spans._BYTE[self.data] if self.values is None else self.values), lo, hi + window)
         return Stretches(self.own[doc], self.sig[doc], lo - self.first[doc], (hi - lo + 1).astype("<i4"), (b - a).astype("<i4"), body), key
 
-    def hits(self, automaton, phrase_key: np.ndarray, units: Units) -> tuple[np.ndarray, ...]:
-        """(text, lo, hi, phrase key) around every place where the automaton finds a phrase."""
-        doc, at, which = [], [], []
-        for d, (a, b) in enumerate(zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True)):
+    def hits(self, automaton, units: Units) -> tuple[np.ndarray, ...]:
+        """(text, lo, hi, anchor key) of the windows that have their anchor where the automaton finds a phrase.
+
+        Any other window around such a place has another anchor, and is found there if that is told."""
+        at = []
+        for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True):
             if b - a >= units.window:
-                for end, k in automaton.iter(tuple(self.codes[a:b].tolist())):
-                    doc.append(d)
-                    at.append(a + end - units.gram + 1)
-                    which.append(k)
-        doc, at = np.array(doc, np.int64), np.array(at, np.int64)
-        lo = np.maximum(self.first[doc], at + units.gram - units.window)
-        hi = np.minimum(at, self.first[doc + 1] - units.window)
-        ok = hi >= lo
-        return doc[ok], lo[ok], hi[ok], phrase_key[np.array(which, np.int64)][ok]
+                at += [a + end - units.gram + 1 for end, _ in automaton.iter(tuple(self.codes[a:b].tolist()))]
+        at = np.array(at, np.int64)
+        k = np.searchsorted(self.runs.at, at)  # anchors ascend
+        k = k[(k < len(self.runs.at)) & (self.runs.at[np.minimum(k, len(self.runs.at) - 1)] == at)] if len(at) else at
+        return self.runs.doc[k], self.runs.lo[k], self.runs.hi[k], self.runs.key[k] >> U(16)
 
 
 def candidates(grouped_docs: DataFrame, told_rows: DataFrame, copy_rows: DataFrame, units: Units, sizes: Sizes) -> DataFrame:
@@ -319,7 +317,7 @@ def candidates(grouped_docs: DataFrame, told_rows: DataFrame, copy_rows: DataFra
 
     Bytes: the told runs. Words: the told phrases of a group of documents make up an
     Aho-Corasick automaton over words; all documents of the group stream through it, and each
-    place it finds gives the stretch of windows around it. A stretch that a smaller doc_id of the
+    place it finds gives the stretch of windows anchored there. A stretch that a smaller doc_id of the
     same group holds too is decided on the spot: it goes to a negative shard, without its text,
     so a passage that stands in very many documents sends one text per group to its shard.
     """
@@ -361,18 +359,15 @@ def candidates(grouped_docs: DataFrame, told_rows: DataFrame, copy_rows: DataFra
             return [(p.runs.doc[k], p.runs.lo[k], p.runs.hi[k], p.runs.key[k] >> U(16)) for p, k in zip(pieces, told_runs, strict=True)]
         import ahocorasick
 
-        automaton, phrase_key = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE), []
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
         for piece, k in zip(pieces, told_runs, strict=True):
             _, one = np.unique(piece.runs.key[k], return_index=True)
-            for p, key in zip(piece.runs.at[k[one]].tolist(), (piece.runs.key[k[one]] >> U(16)).tolist(), strict=True):
-                words = tuple(piece.codes[p : p + gram].tolist())
-                if words not in automaton:
-                    automaton.add_word(words, len(phrase_key))
-                    phrase_key.append(key)
-        if not phrase_key:
+            for p in piece.runs.at[k[one]].tolist():
+                automaton.add_word(tuple(piece.codes[p : p + gram].tolist()))
+        if not len(automaton):
             return [(np.zeros(0, np.int64),) * 4 for _ in pieces]
         automaton.make_automaton()
-        return [piece.hits(automaton, np.array(phrase_key, U), units) for piece in pieces]
+        return [piece.hits(automaton, units) for piece in pieces]
 
     right = _answers(told_rows, copy_rows, "docs", "keys")
     return grouped_docs.groupBy("_group").cogroup(right.groupBy("_group")).applyInArrow(tidy(emit), CANDIDATE)
