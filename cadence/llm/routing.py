@@ -288,7 +288,7 @@ class Piece:
         if w is None:
             return cls(np.array(ids, "<i8"), sig, runs, first, data, None, None, None)
         plain, start = spans.single_spaced(data, w)
-        return cls(np.array(ids, "<i8"), sig, runs, first, plain, start, (w.hash >> U(32)).astype(np.uint32), w.hash)
+        return cls(np.array(ids, "<i8"), sig, runs, first, plain, start, (w.hash >> U(48)).astype("<u2"), w.hash)
 
     def stretches(self, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: int) -> tuple[Stretches, np.ndarray]:
         """The windows lo .. hi of each, and a hash of their bytes."""
@@ -298,15 +298,18 @@ class Piece:
         key = spans.range_hash(spans.prefix_hash(spans._BYTE[self.data] if self.values is None else self.values), lo, hi + window)
         return Stretches(self.own[doc], self.sig[doc], lo - self.first[doc], (hi - lo + 1).astype("<i4"), (b - a).astype("<i4"), body), key
 
+    def letters(self, a: int, b: int) -> str:
+        """Words a .. b as the automaton reads them: two letters each, of 256 by the word's hash.
+
+        So a node has few branches; phrases of the same letters only add a place to compare."""
+        return self.codes[a:b].tobytes().decode("latin-1")
+
     def hits(self, automaton, units: Units) -> tuple[np.ndarray, ...]:
         """(text, lo, hi, anchor key) of the windows that have their anchor where the automaton finds a phrase.
 
         Any other window around such a place has another anchor, and is found there if that is told."""
-        at = []
-        for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True):
-            if b - a >= units.window:
-                at += [a + end - units.gram + 1 for end, _ in automaton.iter(tuple(self.codes[a:b].tolist()))]
-        at = np.array(at, np.int64)
+        ends = (end for end, _ in automaton.iter(self.letters(0, len(self.codes))) if end & 1)
+        at = np.fromiter(ends, np.int64) // 2 - units.gram + 1
         k = np.searchsorted(self.runs.at, at)  # anchors ascend
         k = k[(k < len(self.runs.at)) & (self.runs.at[np.minimum(k, len(self.runs.at) - 1)] == at)] if len(at) else at
         return self.runs.doc[k], self.runs.lo[k], self.runs.hi[k], self.runs.key[k] >> U(16)
@@ -359,11 +362,11 @@ def candidates(grouped_docs: DataFrame, told_rows: DataFrame, copy_rows: DataFra
             return [(p.runs.doc[k], p.runs.lo[k], p.runs.hi[k], p.runs.key[k] >> U(16)) for p, k in zip(pieces, told_runs, strict=True)]
         import ahocorasick
 
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for piece, k in zip(pieces, told_runs, strict=True):
             _, one = np.unique(piece.runs.key[k], return_index=True)
             for p in piece.runs.at[k[one]].tolist():
-                automaton.add_word(tuple(piece.codes[p : p + gram].tolist()))
+                automaton.add_word(piece.letters(p, p + gram))
         if not len(automaton):
             return [(np.zeros(0, np.int64),) * 4 for _ in pieces]
         automaton.make_automaton()
