@@ -130,7 +130,15 @@ class Segment:
 
 def sample_dictionary(docs: DataFrame, tokenizer: str | None = None, sample: int = 1000, longest: int = 20_000) -> bytes:
     """Trained on at most `sample` documents, least by a hash, of at most `longest` characters each."""
-    rows = docs.where(F.length("text").between(1, longest)).select("doc_id", "text").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(sample).collect()
+    mark = F.xxhash64("doc_id", "text")
+    rows = docs.where(F.length("text").between(1, longest)).select("doc_id", "text")
+    total = docs.count()
+    if total > 8 * sample:  # each task sends its least rows to the driver: few of them, at any number of tasks
+        few = rows.where(mark < F.lit(int((8 * sample / total) * 2**64) - 2**63))
+        kept = few.orderBy(mark, "doc_id", "text").limit(sample).collect()
+    else:
+        kept = []
+    rows = kept if len(kept) == sample else rows.orderBy(mark, "doc_id", "text").limit(sample).collect()
     enc = encoder(tokenizer)
     return train_dictionary([np.frombuffer(with_end(x), "<u4").astype("<u2" if len(enc.size) <= 65536 else "<u4").tobytes() for x in enc.encode([r.text for r in rows])])
 
