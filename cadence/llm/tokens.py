@@ -9,6 +9,7 @@ Strings of special tokens in a text are ordinary text.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 
@@ -16,7 +17,7 @@ import numpy as np
 
 END_ID = 0
 _WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_PAIRS = tuple(x for c in "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f" for x in (c + " ", " " + c))
+_BLANKS = "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"
 _SPLIT = re.compile(r"(?<=\S) (?=\S)")
 _POINTS = frozenset(".,;:!?|")
 
@@ -27,11 +28,16 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _beside_space(text: str) -> bool:
+    """Whether white space stands beside a space."""
+    return "  " in text or any(c in text and (c + " " in text or " " + c in text) for c in _BLANKS)
+
+
 def _chunks(text: str) -> tuple[list[str], str]:
     """The chunks that follow a single space each, and what stands before the first of them."""
     if not text:
         return [], ""
-    if text[0] == " " or text[-1] == " " or "  " in text or any(p in text for p in _PAIRS) or (not text.isascii() and _WIDE.search(text)):
+    if text[0] == " " or text[-1] == " " or _beside_space(text) or (not text.isascii() and _WIDE.search(text)):
         parts = _SPLIT.split(text)
     else:
         parts = text.split(" ")  # every space stands between two other characters
@@ -42,7 +48,7 @@ def _chunks(text: str) -> tuple[list[str], str]:
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str | None = None, keep: int = 500_000):
+    def __init__(self, path: str | None = None, keep: int = 800_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
@@ -57,6 +63,15 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without the end id."""
+        collecting = gc.isenabled()
+        gc.disable()  # no cycles arise here, and the many small objects would set collections off
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         get = self.known.get
         rows: list[tuple[str, list]] = []
         holes: list[tuple[list, int, str]] = []
@@ -90,8 +105,8 @@ class Encoder:
             else:
                 bare.add(c)
         bare = list(bare)
-        joint = [c for c in bare if not c[-1].isspace() and not c[0].isspace()]
-        odd = [c for c in bare if c[-1].isspace() or c[0].isspace()]
+        joint = [c for c in bare if c.strip() == c]
+        odd = [c for c in bare if c.strip() != c] if len(joint) < len(bare) else []
         out.update(self._joined(joint))
         if odd:
             out.update(zip(odd, self._alone([f" {c}" for c in odd]).values(), strict=True))
