@@ -73,4 +73,20 @@ n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1), m AS (SELECT a AS ve
 SELECT x.vec_id, coalesce(n.n, 0) AS n_links, least(x.vec_id, coalesce(m.low, x.vec_id)) AS component_id, x.vec_id <= coalesce(m.low, x.vec_id) AS kept FROM embeddings x LEFT JOIN n USING (vec_id) LEFT JOIN m USING (vec_id)
 """
 
-ORACLES = {"op1_near_duplicates": NEAR_DUPLICATES, "op5_passages": PASSAGES, "op6_quality": QUALITY, "op9_mixing": MIXING, "op10_embedding_caps": EMBEDDINGS}
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+t AS (SELECT r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY 1, 2 HAVING count(DISTINCT r) >= 10), v AS (SELECT lang, count(*) AS v FROM k GROUP BY 1),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+s AS (SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total, any_value(coalesce(v.v, 0)) AS v FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source LEFT JOIN v ON v.lang = g.lang GROUP BY 1, 2),
+p AS (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n, CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 2)) // (total + 2 * s.v) AS BIGINT) AS p FROM s JOIN k ON k.lang = s.lang LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+l AS (SELECT lang, sum(total) AS total, any_value(v) AS v FROM s GROUP BY 1),
+q AS (SELECT p.lang, term, CAST(1 + (CAST(1000000000 AS HUGEINT) * (sum(n) + 2)) // (any_value(total) + 2 * any_value(v)) AS BIGINT) AS q FROM p JOIN l ON l.lang = p.lang GROUP BY 1, 2),
+w AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(w.value, 0) AS BIGINT) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN w ON w.lang = a.lang AND w.source = a.source AND w.item = b.source
+UNION ALL SELECT p.lang, source, 'term', p.term, (p - q) * (p - q) // (p + q) FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE n > 0 AND p > q)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r QUALIFY part = 'pair' OR rank <= 10
+"""
+
+ORACLES = {"op1_near_duplicates": NEAR_DUPLICATES, "op5_passages": PASSAGES, "op6_quality": QUALITY, "op9_mixing": MIXING, "op10_embedding_caps": EMBEDDINGS, "op13_source_divergence": DIVERGENCE}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .caps import op10_embedding_caps
+from .divergence import op13_source_divergence
 from .licenses import op4_licenses
 from .mixing import op9_mixing
 from .neardup import op1_near_duplicates
@@ -13,6 +14,7 @@ from .quality import op6_quality
 from .suffix import op8_suffix_arrays
 from .token_files import op3_token_files
 from .toxicity import op2_toxicity
+from .variants import op12_spelling_variants
 
 QUERIES = {
     "op1_near_duplicates": op1_near_duplicates,
@@ -25,6 +27,6 @@ QUERIES = {
     "op8_suffix_arrays": op8_suffix_arrays,
     "op9_mixing": op9_mixing,
     "op10_embedding_caps": op10_embedding_caps,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_source_divergence": op13_source_divergence,
 }
-
-
