@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .caps import op10_embedding_caps
 from .divergence import op13_source_divergence
+from .forest import op11_hash_forest
 from .licenses import op4_licenses
 from .mixing import op9_mixing
 from .neardup import op1_near_duplicates
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_suffix_arrays": op8_suffix_arrays,
     "op9_mixing": op9_mixing,
     "op10_embedding_caps": op10_embedding_caps,
+    "op11_hash_forest": op11_hash_forest,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_source_divergence": op13_source_divergence,
 }
