@@ -70,7 +70,7 @@ def test_against_plain_version(spark):
     want = plain(docs)
     assert answer(divergence.source_divergence(df)) == want
     # many small shards and folds give the same
-    assert answer(divergence.source_divergence(df, shard_rows=40)) == want
+    assert answer(divergence.source_divergence(df, most=20)) == want
     extra = df.selectExpr("*", "1 AS term", "2 AS n", "3 AS bucket", "4 AS part")
     assert answer(divergence.source_divergence(extra)) == want
 
