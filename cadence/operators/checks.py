@@ -7,9 +7,12 @@ sort of the series and one equi-join with the labels, not a range join.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order_stats import Ranked
 from .series import KEY, ORDER
 
 #: fixed values: the rules that veto each phase, and those that are only reported
@@ -63,24 +66,74 @@ def rules(side: str = "side") -> dict[str, Column]:
 def first_matches_ruled(rows: DataFrame, hit: Column, labels: DataFrame, phase: str, tolerance: float, back: int = 1) -> DataFrame:
     """`first_matches` where the hard rules of `phase` must hold too; soft ones at the match are reported.
 
-    dig_h and dig_x are medians of the samples from the onset's latest dig on, before each sample:
-    every onset has its own, so its samples are laid out once per onset of the series."""
-    own = [KEY, "truth"]
-    past = Window.partitionBy(*own).orderBy(ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    since = F.col(ORDER) >= F.col("dig")
-    laid = anchored(labels, phase, back).join(rows.withColumn("_hit", F.coalesce(hit, F.lit(False))), KEY)
-    for name, source in (("dig_h", "height"), ("dig_x", "bucket_x")):
-        laid = laid.withColumn(name, F.when(since, F.percentile(F.when(since, F.col(source)), 0.5).over(past)))
-    rule = rules()
-    allowed = F.col("_hit")
-    for r in HARD[phase]:
-        allowed = allowed & F.coalesce(rule[r], F.lit(False))
-    scan = laid.where(F.col(ORDER) >= F.col("anchor")).withColumn("_ok", allowed)
-    first = F.min(F.when(F.col("_ok"), F.col(ORDER))).over(Window.partitionBy(*own))
-    scan = scan.withColumn("a", first)
-    stop = F.min(F.when(~F.col("_ok") & (F.col(ORDER) > F.col("a")), F.col(ORDER)))
-    soft = [F.max(F.when(F.col(ORDER) == F.col("a"), F.coalesce(rule[r], F.lit(False)))).alias(r) for r in SOFT[phase]]
-    got = scan.groupBy(*own, "anchor", "a").agg(F.coalesce(stop - 1, F.max(ORDER)).alias("b"), *soft).withColumn("b", F.when(F.col("a").isNotNull(), F.col("b")))
+    dig_h and dig_x are medians of the samples from the onset's latest dig on, before each sample.
+    Each series is one group: its heights are ranked once, a median since any dig is then a look-up
+    of log n steps, and a scan reads on in stretches of doubling length until it has its match."""
+    rule, hard, soft = rules(), HARD[phase], SOFT[phase]
+    past = {"H1": ("height", "dig_h"), "P2": ("height", "dig_h"), "H3": ("bucket_x", "dig_x")}
+    fixed = [r for r in (*hard, *soft) if r not in past]
+    told = sorted({past[r][0] for r in (*hard, *soft) if r in past})
+    samples = rows.select(KEY, ORDER, F.coalesce(hit, F.lit(False)).alias("hit"), F.col("side").cast("double").alias("side"), *(F.coalesce(rule[r], F.lit(False)).alias(r) for r in fixed), *(F.col(c).cast("double").alias(c) for c in told))
+    # renamed onto itself, as labels may come from the same rows
+    onsets = anchored(labels, phase, back).select(KEY, "truth", "anchor", "dig").toDF(KEY, "truth", "anchor", "dig")
+
+    def scan(series: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        series = series.sort_values(ORDER)
+        at = series[ORDER].to_numpy()
+        ranked = {c: Ranked(series[c].to_numpy(np.float64)) for c in told}
+        value = {c: series[c].to_numpy(np.float64) for c in told}
+        side = series["side"].to_numpy(np.float64)
+        allowed = series["hit"].to_numpy(bool)
+        for r in hard:
+            if r in fixed:
+                allowed = allowed & series[r].to_numpy(bool)
+
+        def holds(r: str, places: np.ndarray, dig: int | None) -> np.ndarray:
+            if r in fixed:
+                return series[r].to_numpy(bool)[places]
+            if dig is None:
+                return np.zeros(len(places), bool)
+            c = past[r][0]
+            begin = np.full(len(places), np.searchsorted(at, dig))
+            with np.errstate(invalid="ignore"):
+                over = value[c][places] - ranked[c].median(np.minimum(begin, places), places)
+                return (places >= begin) & ((over if c == "height" else over * side[places]) > 0)
+
+        def passing(places: np.ndarray, dig: int | None) -> np.ndarray:
+            ok = allowed[places].copy()
+            for r in hard:
+                some = np.flatnonzero(ok)
+                if r not in fixed and len(some):
+                    ok[some] = holds(r, places[some], dig)
+            return ok
+
+        def first_place(begin: int, wanted: bool, dig: int | None) -> int:
+            """The first place from `begin` on that passes (or does not); the number of samples if none does."""
+            size = 64
+            while begin < len(at):
+                places = np.arange(begin, min(begin + size, len(at)))
+                found = np.flatnonzero(passing(places, dig) == wanted)
+                if len(found):
+                    return int(places[found[0]])
+                begin, size = begin + size, size * 2
+            return len(at)
+
+        out = []
+        for truth, anchor, dig in zip(asked["truth"].tolist(), asked["anchor"].tolist(), asked["dig"].tolist(), strict=True):
+            dig = None if dig is None or dig != dig else dig
+            a = first_place(int(np.searchsorted(at, anchor)), True, dig)
+            if a == len(at):
+                out.append((asked[KEY].iloc[0], truth, anchor, None, None, *(None for _ in soft)))
+                continue
+            end = first_place(a + 1, False, dig)
+            out.append((asked[KEY].iloc[0], truth, anchor, at[a], at[end] - 1 if end < len(at) else at[-1], *(bool(holds(r, np.array([a]), dig)[0]) for r in soft)))
+        columns = [KEY, "truth", "anchor", "a", "b", *soft]
+        return pd.DataFrame(out, columns=columns).astype({"a": "Int64", "b": "Int64", **dict.fromkeys(soft, "boolean")})
+
+    kinds = {**dict(rows.dtypes), **dict(onsets.dtypes)}
+    schema = f"{KEY} {kinds[KEY]}, truth {kinds['truth']}, anchor {kinds['anchor']}, a {kinds[ORDER]}, b {kinds[ORDER]}" + "".join(f", {r} boolean" for r in soft)
+    # a label without samples has no scan
+    got = samples.groupBy(KEY).cogroup(onsets.groupBy(KEY)).applyInPandas(lambda x, y: scan(x, y) if len(x) and len(y) else pd.DataFrame(columns=[KEY, "truth", "anchor", "a", "b", *soft]), schema)
     return matched(got, tolerance)
 
 

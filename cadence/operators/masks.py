@@ -51,7 +51,13 @@ def label(mask: np.ndarray) -> np.ndarray:
     return out
 
 
-def geodesic(mask: np.ndarray, y: int, x: int, most: int = 2000) -> np.ndarray:
+def grown_components(ys: np.ndarray, xs: np.ndarray) -> np.ndarray:
+    """The number of each pixel's 8-connected component, from 0."""
+    grid, oy, ox = _grid(ys, xs)
+    return label(grid)[ys - oy, xs - ox] - 1
+
+
+def geodesic(mask: np.ndarray, y: int, x: int, most: int = 1999) -> np.ndarray:
     """Steps to each pixel inside the mask from the pixel nearest to (y, x); -1 where none leads."""
     out = np.full(mask.shape, -1, np.int64)
     ys, xs = np.nonzero(mask)
@@ -70,29 +76,47 @@ def geodesic(mask: np.ndarray, y: int, x: int, most: int = 2000) -> np.ndarray:
     return out
 
 
-def depth(mask: np.ndarray) -> np.ndarray:
-    """Chessboard distance of each pixel to the outside."""
-    inner = np.pad(mask, 1)
-    out = np.zeros(inner.shape, np.int64)
-    while inner.any():
-        out[inner] += 1
-        inner = inner & ~_around(~inner)
-    return out[1:-1, 1:-1]
+#: fixed values: what a step to the next pixel and one across a corner count in the depth
+STRAIGHT, ACROSS = 0.955, 1.3693
 
 
-def spread_points(mask: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """k pixels deep inside and far from one another, chosen greedily."""
+def depth(mask: np.ndarray) -> np.ndarray:
+    """Distance of each pixel to the outside, in straight and diagonal steps: one pass down, one up."""
+    far = float(sum(mask.shape)) * ACROSS
+    out = np.where(np.pad(mask, 1), far, 0.0)
+
+    def sweep(rows: np.ndarray) -> None:
+        """Each row from the one before it, then along the row both ways; in place."""
+        along = STRAIGHT * np.arange(rows.shape[1])
+        for y in range(len(rows)):
+            row = rows[y]
+            if y:
+                above = rows[y - 1]
+                row = np.minimum(row, above + STRAIGHT)
+                row[1:] = np.minimum(row[1:], above[:-1] + ACROSS)
+                row[:-1] = np.minimum(row[:-1], above[1:] + ACROSS)
+            row = np.minimum.accumulate(row - along) + along
+            rows[y] = (np.minimum.accumulate((row + along)[::-1])[::-1]) - along
+    sweep(out)
+    sweep(out[::-1])
+    return np.round(out[1:-1, 1:-1], 9)
+
+
+def spread_points(mask: np.ndarray, k: int, least: int = 25) -> list[tuple[int, int]]:
+    """k points deep inside a mask and far from one another, chosen greedily: depth times (1 + distance to those chosen).
+
+    A mask below `least` pixels has none; of equals the first by row, then column, is taken."""
     ys, xs = np.nonzero(mask)
-    if not len(ys):
+    if len(ys) < least:
         return []
-    deep = depth(mask)[ys, xs].astype(float)
-    far = np.ones(len(ys))
+    deep = depth(mask)[ys, xs]
+    far = np.full(len(ys), np.inf)
     out: list[tuple[int, int]] = []
     for _ in range(min(k, len(ys))):
-        pick = int(np.argmax(deep * far))
+        pick = int(np.argmax(np.round(deep * (1.0 + far), 9) if out else deep))
         out.append((int(ys[pick]), int(xs[pick])))
-        d = np.hypot(ys - ys[pick], xs - xs[pick])
-        far = d if len(out) == 1 else np.minimum(far, d)
+        far = np.minimum(far, np.hypot(ys - ys[pick], xs - xs[pick]))
+        deep[pick] = -1.0
     return out
 
 
@@ -125,18 +149,18 @@ def geodesic_distance(pixels: DataFrame, seeds: DataFrame) -> DataFrame:
 
 def bands(distances: DataFrame, far: float = 0.82, middle: tuple[float, float] = (0.5, 0.75)) -> DataFrame:
     """Pixels of the far end and of the middle part of the reach, by geodesic distance."""
-    reach = distances.groupBy("clip", "sample").agg(F.max("steps").alias("reach"))
-    share = F.try_divide(F.col("steps"), F.col("reach"))
-    name = F.when(share >= far, "far").when((share >= middle[0]) & (share < middle[1]), "middle")
+    reach = distances.groupBy("clip", "sample").agg(F.max("steps").alias("reach")).where("reach > 0")
+    at = lambda share: F.col("steps") >= share * F.col("reach")
+    name = F.when(at(far), "far").when(at(middle[0]) & ~at(middle[1]), "middle")
     return distances.join(reach, ["clip", "sample"]).withColumn("band", name).where("band is not null").drop("reach")
 
 
-def interior_points(pixels: DataFrame, k: int = 5) -> DataFrame:
-    """(clip, sample, nth, y, x): k points deep inside each mask."""
+def interior_points(pixels: DataFrame, k: int = 5, least: int = 25) -> DataFrame:
+    """(clip, sample, nth, y, x): k points deep inside each mask of at least `least` pixels."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         grid, oy, ox = _grid(pdf["y"].to_numpy(), pdf["x"].to_numpy())
-        rows = [(pdf["clip"].iloc[0], pdf["sample"].iloc[0], n, y + oy, x + ox) for n, (y, x) in enumerate(spread_points(grid, k))]
+        rows = [(pdf["clip"].iloc[0], pdf["sample"].iloc[0], n, y + oy, x + ox) for n, (y, x) in enumerate(spread_points(grid, k, least))]
         return pd.DataFrame(rows, columns=["clip", "sample", "nth", "y", "x"])
 
     kind = pixels.schema["clip"].dataType.simpleString()

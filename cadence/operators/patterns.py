@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order_stats import Least, next_higher
 from .series import KEY, ORDER, along, gradient
 
 #: The nine shapes: trend before x trend after.
@@ -68,30 +69,50 @@ def shape(steeper: float = 1.5) -> tuple[Column, Column]:
     return name, detail
 
 
+def tops(v: np.ndarray) -> np.ndarray:
+    """Local maxima; a plateau counts once, at its middle."""
+    v = np.asarray(v, np.float64)
+    if len(v) < 3:
+        return np.zeros(0, np.int64)
+    first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))  # where runs of equal values begin
+    last = np.append(first[1:], len(v)) - 1
+    level = v[first]
+    inner = np.zeros(len(first), bool)
+    inner[1:-1] = (level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])
+    return (first[inner] + last[inner]) // 2
+
+
 def peaks(v: np.ndarray, prominence: float) -> list[tuple[int, float, int, int]]:
-    """(peak, prominence, left base, right base); a plateau counts once, at its middle."""
+    """(peak, prominence, left base, right base) of the local maxima that stand out far enough.
+
+    A base is the lowest sample up to the next higher one, the nearest of equals. A stack of
+    falling values finds the higher ones, a table of minima the bases: n log n in a series."""
+    v = np.asarray(v, np.float64)
+    top = tops(v)
+    if not len(top):
+        return []
+    before, behind = next_higher(v)
+    left = Least(v, last=True).at(before[top] + 1, top)
+    right = Least(v).at(top, behind[top] - 1)
+    rise = v[top] - np.maximum(v[left], v[right])
+    return [(int(t), float(r), int(a), int(b)) for t, r, a, b in zip(top, rise, left, right, strict=True) if r >= prominence]
+
+
+def widths(v: np.ndarray, found: list[tuple[int, float, int, int]], share: float = 0.5) -> list[tuple[float, float, float]]:
+    """(width, left, right) of each peak at `share` of its prominence below the top, between samples on straight lines.
+
+    A side ends at its base if the level is not reached before."""
+    v = np.asarray(v, np.float64)
     out = []
-    n = len(v)
-    i = 1
-    while i < n - 1:
-        if not v[i] > v[i - 1]:
-            i += 1
-            continue
-        j = i
-        while j < n - 1 and v[j + 1] == v[i]:
-            j += 1
-        if j < n - 1 and v[j + 1] < v[i]:
-            top = (i + j) // 2
-            higher = np.flatnonzero(v[:top] > v[top])
-            lo = int(higher[-1]) + 1 if len(higher) else 0
-            higher = np.flatnonzero(v[top + 1 :] > v[top])
-            hi = top + int(higher[0]) if len(higher) else n - 1
-            left = top - int(np.argmin(v[lo : top + 1][::-1]))
-            right = top + int(np.argmin(v[top : hi + 1]))
-            rise = v[top] - max(v[left], v[right])
-            if rise >= prominence:
-                out.append((top, float(rise), left, right))
-        i = j + 1
+    for top, rise, left, right in found:
+        level = v[top] - rise * share
+        below = np.flatnonzero(v[left : top + 1][::-1] <= level)
+        a = top - int(below[0]) if len(below) else left
+        below = np.flatnonzero(v[top : right + 1] <= level)
+        b = top + int(below[0]) if len(below) else right
+        at_a = a + (level - v[a]) / (v[a + 1] - v[a]) if v[a] < level else float(a)
+        at_b = b - (level - v[b]) / (v[b - 1] - v[b]) if v[b] < level else float(b)
+        out.append((at_b - at_a, at_a, at_b))
     return out
 
 
@@ -99,25 +120,61 @@ def excursions(df: DataFrame, v: str = "v", direction: str = "peak", least: floa
     """Peaks (or dips) of a prominence of `least` spreads: start, apex, finish by strict descent.
 
     A peak's bases depend on all samples up to the next higher one, so a series is one group of
-    a grouped Pandas function. df needs `spread`; rows without v are left out."""
+    a grouped Pandas function; its work is n log n. df needs `spread`; rows without v are left out."""
     sign = 1.0 if direction == "peak" else -1.0
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(ORDER)
         x, at = sign * pdf["v"].to_numpy(), pdf[ORDER].to_numpy()
-        rows = []
-        for top, rise, _, _ in peaks(x, least * float(pdf["spread"].iloc[0])):
-            a = b = top
-            while a > 0 and x[a - 1] < x[a]:
-                a -= 1
-            while b < len(x) - 1 and x[b + 1] < x[b]:
-                b += 1
-            rows.append((pdf[KEY].iloc[0], at[a], at[top], at[b], rise))
-        return pd.DataFrame(rows, columns=[KEY, "start", "apex", "finish", "prominence"])
+        found = peaks(x, least * float(pdf["spread"].iloc[0]))
+        top = np.array([p[0] for p in found], np.int64)
+        # a flank runs on while it falls strictly: to where the next step does not
+        up, down = np.append(True, ~(x[:-1] < x[1:])), np.append(~(x[1:] < x[:-1]), True)
+        begins, ends = np.flatnonzero(up), np.flatnonzero(down)
+        a = begins[np.searchsorted(begins, top, "right") - 1] if len(top) else top
+        b = ends[np.searchsorted(ends, top, "left")] if len(top) else top
+        return pd.DataFrame({KEY: pdf[KEY].iloc[0], "start": at[a], "apex": at[top], "finish": at[b], "prominence": [p[1] for p in found]}, columns=[KEY, "start", "apex", "finish", "prominence"])
 
     return df.where(F.col(v).isNotNull()).select(KEY, ORDER, F.col(v).alias("v"), "spread").groupBy(KEY).applyInPandas(find, f"{KEY} string, start long, apex long, finish long, prominence double")
 
 
+def wide_peaks(df: DataFrame, v: str = "v", least: float = 0.15, width: float = 0.0, share: float = 0.5) -> DataFrame:
+    """(series, top, prominence, left_base, right_base, width, left, right): tops of `least` spreads that are wide enough.
+
+    Widths are in samples, at `share` of the prominence. df needs `spread`; rows without v are left out."""
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(ORDER)
+        x, at = pdf["v"].to_numpy(), pdf[ORDER].to_numpy()
+        found = peaks(x, least * float(pdf["spread"].iloc[0]))
+        rows = [(pdf[KEY].iloc[0], at[t], rise, at[a], at[b], w, lo, hi) for (t, rise, a, b), (w, lo, hi) in zip(found, widths(x, found, share), strict=True) if w >= width]
+        return pd.DataFrame(rows, columns=[KEY, "top", "prominence", "left_base", "right_base", "width", "left", "right"])
+
+    return df.where(F.col(v).isNotNull()).select(KEY, ORDER, F.col(v).alias("v"), "spread").groupBy(KEY).applyInPandas(find, f"{KEY} string, top long, prominence double, left_base long, right_base long, width double, left double, right double")
+
+
+def settle_windows(df: DataFrame, v: str = "v", direction: str = "dip", least: float = 0.5, recovered: float = 0.8, flat: float = FLAT) -> DataFrame:
+    """(series, context_a, context_b, a, b): after each dip (or peak), from `recovered` of the way back to where it lies flat.
+
+    The way back is measured to the level the excursion returns to, so the sample that has come
+    far enough stands on its trailing flank; flanks of a series never overlap, so each sample is
+    held against one level only. The next flat sample is a running value from the far end.
+    df needs `spread` and `after`; rows without v are left out."""
+    sign = 1.0 if direction == "peak" else -1.0
+    rows = df.where(F.col(v).isNotNull()).select(KEY, ORDER, (F.col(v) * sign).alias("x"), (F.abs("after") < flat).alias("calm"))
+    found = excursions(df, v, direction, least)
+    back = Window.partitionBy(KEY).orderBy(F.col(ORDER).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("settled", F.coalesce(F.last(F.when(F.col("calm"), F.col(ORDER)), True).over(back), F.max(ORDER).over(Window.partitionBy(KEY))))
+    ends = rows.select(KEY, F.col(ORDER).alias("finish"), F.col("x").alias("bottom"))
+    marks = found.join(ends, [KEY, "finish"]).select(KEY, F.col("apex").alias(ORDER), F.struct("start", "apex", "finish", "bottom").alias("of"))
+    behind = along().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    flank = rows.join(marks, [KEY, ORDER], "left").withColumn("top", F.last(F.when(F.col("of").isNotNull(), F.col("x")), True).over(behind)).withColumn("of", F.last("of", True).over(behind))
+    level = F.col("of.bottom") + (1 - recovered) * (F.col("top") - F.col("of.bottom"))
+    there = flank.where((F.col(ORDER) <= F.col("of.finish")) & (F.col("x") <= level))
+    first = there.groupBy(KEY, F.col("of.start").alias("context_a"), F.col("of.apex").alias("apex"), F.col("of.finish").alias("context_b")).agg(F.min(F.struct(ORDER, "settled")).alias("w"))
+    return first.select(KEY, "context_a", "context_b", F.col(f"w.{ORDER}").alias("a"), F.col("w.settled").alias("b"))
+
+
 def long_stretches(spans: DataFrame, share: float = 0.5) -> DataFrame:
     """Stretches at least `share` as long as the series' longest."""
     return spans.withColumn("_m", F.max(F.col("b") - F.col("a")).over(Window.partitionBy(KEY))).where(F.col("b") - F.col("a") >= share * F.col("_m")).drop("_m")
