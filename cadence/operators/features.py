@@ -25,7 +25,7 @@ def assemble(boxes: DataFrame, scene: DataFrame, half: int, dt: float) -> DataFr
     """(series, i, t, b*, c* edges) and one scene row per series -> features, in units of the reach.
 
     scene: series, px, py, reach and the truck's tx0..ty1 (NULL without a truck). y grows
-    downwards and is turned over once, in `height`."""
+    downwards and is turned over in `height`, `rel_cabin_y` and `rel_truck_y`: positive is above."""
     # one row per series; joined on its key
     j = boxes.join(scene, "series")
     mid = lambda p, a, b: (F.col(p + a) + F.col(p + b)) / 2 / F.col("reach")
@@ -37,7 +37,7 @@ def assemble(boxes: DataFrame, scene: DataFrame, half: int, dt: float) -> DataFr
     known = F.col("tx0").isNotNull()
     j = j.withColumn("speed_x", F.abs("dx_dt")).withColumn("speed_2d", F.hypot("dx_dt", "dy_dt"))
     j = j.withColumn("rel_cabin_x", F.col("bucket_x") - F.col("cabin_x")).withColumn("rel_cabin_y", F.col("cabin_y") - F.col("bucket_y"))
-    j = j.withColumn("rel_truck_x", F.col("bucket_x") - mid("t", "x0", "x1")).withColumn("rel_truck_y", F.col("bucket_y") - mid("t", "y0", "y1"))
+    j = j.withColumn("rel_truck_x", F.col("bucket_x") - mid("t", "x0", "x1")).withColumn("rel_truck_y", mid("t", "y0", "y1") - F.col("bucket_y"))
     j = j.withColumn("truck_overlap", F.when(known & F.col("bx0").isNotNull(), overlap_fraction(mine, truck)))
     j = j.withColumn("over", F.when(known, F.coalesce(over_truck(mine, truck), F.lit(0.0))).otherwise(F.coalesce("truck_overlap", F.lit(0.0))))
     j = j.withColumn("aspect_ratio", aspect_ratio(mine)).withColumn("radius", F.hypot(F.col("bucket_x") - F.col("px") / F.col("reach"), F.col("bucket_y") - F.col("py") / F.col("reach")))
@@ -52,7 +52,7 @@ def signals(features: DataFrame, half: int, dt: float) -> DataFrame:
     rel = features.where("rel_truck_x is not null").withColumn("x", F.col("rel_truck_x")).withColumn("y", F.col("rel_truck_y"))
     line = axis(rel)
     out = projected(rel, line).withColumnRenamed("pos", "pile_truck_pos").drop("x", "y")
-    cabin = out.withColumn("x", F.col("rel_truck_x") - F.col("rel_cabin_x")).withColumn("y", F.col("rel_truck_y") + F.col("rel_cabin_y"))
+    cabin = out.withColumn("x", F.col("rel_truck_x") - F.col("rel_cabin_x")).withColumn("y", F.col("rel_truck_y") - F.col("rel_cabin_y"))
     return derivative(projected(cabin, line).withColumnRenamed("pos", "cabin_pile_truck_pos").drop("x", "y"), "pile_truck_pos", "pile_truck_pos_dt", half, dt)
 
 

@@ -15,7 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from .cycles import PHASES
-from .patterns import peaks
+from .order_stats import Ranked
+from .patterns import peaks, widths
 
 # fixed values: window widths and limits in seconds, thresholds, and the weight of each cue
 MIN_HALF, MAX_HALF, SLOPE_SIDE, LOOKAHEAD, TAKEOFF, NEAR = 0.75, 1.2, 1.0, 1.0, 1.5, 5.0
@@ -26,7 +27,7 @@ WEIGHTS = {
     "dumping": {"height_second_hump": 2, "dh_near_0": 1, "dx_positive": 1, "overlapping": 1},
     "swinging": {"x_takeoff": 3, "height_peak": 1, "dh_positive_falling": 1},
 }
-RATE = {"digging": ("speed_2d", -1), "hauling": ("dh_dt", 1), "dumping": ("aspect_ratio_dt", -1), "swinging": ("pile_truck_pos_dt", -1)}
+RATE = {"digging": ("speed_2d", -1), "hauling": ("dh_dt", 1), "dumping": ("aspect_ratio_dt", -1), "swinging": ("pile_truck_pos_dt", 0)}  # 0: either way
 SIGNALS = ("height", "dh_dt", "dx_dt", "speed_2d", "over", "aspect_ratio", "aspect_ratio_dt", "pile_truck_pos", "pile_truck_pos_dt", "cabin_pile_truck_pos")
 
 
@@ -92,7 +93,7 @@ class Series:
             slope = np.full(len(v), np.nan)
             if len(v) > n:
                 k = np.arange(n + 1) - n / 2
-                slope[n:] = np.lib.stride_tricks.sliding_window_view(v, n + 1) @ k / (k @ k) * n / self.spread(name)
+                slope[n:] = np.lib.stride_tricks.sliding_window_view(v, n + 1) @ k / (k @ k) * SIDE / float(np.median(np.diff(self.t))) / self.spread(name)
             return slope, np.concatenate([slope[n:], np.full(min(n, len(v)), np.nan)])[: len(v)]
 
         return self.once("sides", name, make=make)
@@ -129,9 +130,24 @@ class Series:
 
         return self.once("bumps", name, sign, least, make=make)
 
-    def knees(self, name: str, sign: int, flat: float = FLAT, steep: float = STEEP) -> list[tuple[int, int]]:
+    def knees(self, name: str, sign: int, flat: float = FLAT, steep: float = STEEP, within: np.ndarray | None = None) -> list[tuple[int, int]]:
         before, after = self.sides(name)
-        return islands(np.nan_to_num((np.abs(before) < flat) & (after * sign >= steep)).astype(bool))
+        with np.errstate(invalid="ignore"):
+            hit = (np.abs(before) < flat) & (after * sign >= steep)
+        return islands(hit if within is None else hit & within)
+
+    def peaks(self, name: str, least: float) -> list[tuple[int, float, int, int]]:
+        """Tops of a prominence of `least` spreads."""
+        return self.once("peaks", name, least, make=lambda: peaks(np.nan_to_num(self.v[name]), least * self.spread(name)))
+
+    def place(self, time: float) -> int:
+        """The first sample at or after a time."""
+        return int(np.searchsorted(self.t, time))
+
+    def noise_of(self, v: np.ndarray) -> float:
+        v = v[np.isfinite(v)]
+        d = np.diff(v)
+        return 1.4826 * float(np.median(np.abs(d - np.median(d)))) / np.sqrt(2) if len(v) >= 3 else np.nan
 
     def first(self, mask: np.ndarray, start: float) -> int | None:
         k = np.flatnonzero(mask & (self.t >= start - 1e-9))
@@ -147,121 +163,149 @@ class Series:
 
 
 class Cues:
-    """The cue finders: each gives the first event from an anchor on, or None."""
+    """The cue finders: each gives the first event from an anchor on, or None.
+
+    `dig` is this cycle's digging window, `gate` the phase's gate over the samples."""
 
     def __init__(self, s: Series):
         self.s, self.t = s, s.t
 
-    def _at(self, k: int, key: str, **more) -> Event:
-        return Event(self.t[k], self.t[k], self.t[k], key=key, **more)
+    def _event(self, a: int, b: int, centre: int, key: str, mode: str = "centre", **more) -> Event:
+        return Event(self.t[a], self.t[b], self.t[centre], mode, key, **more)
+
+    def _height_drop(self, anchor: float):
+        return next((d for d in self.s.drops("height", 0.5, 6.0) if self.t[d[2]] >= anchor), None)
+
+    def _falls_from(self, anchor: float) -> float | None:
+        """When the next big height drop sets on."""
+        return next((self.t[d[0]] for d in self.s.drops("height", 0.5, 6.0) if self.t[d[0]] >= anchor), None)
 
-    def speed_min(self, anchor: float, dig: Window | None) -> Event | None:
+    def speed_min(self, anchor: float, dig: Window | None, gate: np.ndarray) -> Event | None:
+        """Where speed stops falling after its next hump."""
         for _, apex, _ in self.s.bumps("speed_2d", 1, 0.5):
             if self.t[apex] >= anchor:
-                return self._at(self.s.descent("speed_2d", apex), "speed_2d")
+                low = self.s.descent("speed_2d", apex)
+                return self._event(apex, low, low, "speed_2d")
         return None
 
-    def _height_drop(self, anchor: float):
-        return next((d for d in self.s.drops("height", 0.5, 6.0) if self.t[d[2]] >= anchor), None)
-
-    def height_drop_end(self, anchor: float, dig: Window | None) -> Event | None:
+    def height_drop_end(self, anchor: float, dig: Window | None, gate: np.ndarray) -> Event | None:
         d = self._height_drop(anchor)
-        return self._at(d[2], "height") if d else None
+        return self._event(d[0], d[2], d[2], "height") if d else None
 
-    def dh_back_to_0(self, anchor: float, dig: Window | None) -> Event | None:
+    def dh_back_to_0(self, anchor: float, dig: Window | None, gate: np.ndarray) -> Event | None:
         d = self._height_drop(anchor)
         k = self.s.first(self.s.v["dh_dt"] >= -self.s.noise("dh_dt"), self.t[d[1]]) if d else None
-        return None if k is None else self._at(k, "dh_dt")
-
-    def dx_crossing(self, anchor: float, dig: Window | None) -> Event | None:
-        v = self.s.v["dx_dt"]
-        for _, apex, _ in self.s.bumps("dx_dt", -1, 0.5):
-            if self.t[apex] < anchor:
-                continue
-            k = self.s.first(v >= -self.s.noise("dx_dt"), self.t[apex])
-            if k is None:
-                return None
-            top = k
-            while top + 1 < len(v) and v[top + 1] >= v[top]:
-                top += 1
-            low = self.s.descent("dx_dt", top)
-            return Event(self.t[k], self.t[low], (self.t[k] + self.t[low]) / 2, "span", "dx_dt")
-        return None
-
-    def x_drop_end(self, anchor: float, dig: Window | None) -> Event | None:
-        v = self.s.v["pile_truck_pos"]
-        d = next((d for d in self.s.drops("pile_truck_pos", 0.5, 6.0) if self.t[d[2]] >= anchor), None)
+        return None if k is None else self._event(d[1], k, k, "dh_dt")
+
+    def dx_crossing(self, anchor: float, dig: Window | None, gate: np.ndarray) -> Event | None:
+        """From where the rate toward the truck is back at 0 after a dip, over the next little peak, to the drop's end."""
+        name = "pile_truck_pos_dt"
+        v = self.s.v[name]
+        dip = next((d for d in self.s.bumps(name, -1, 0.5) if self.t[d[1]] >= anchor), None)
+        up = self.s.first(v >= -self.s.noise(name), self.t[dip[1]]) if dip else None
+        if up is None:
+            return None
+        top = up
+        while top + 1 < len(v) and v[top + 1] >= v[top]:
+            top += 1
+        return self._event(up, self.s.descent(name, top), up, name, "span")
+
+    def x_drop_end(self, anchor: float, dig: Window | None, gate: np.ndarray) -> Event | None:
+        """Arrival at the pile: within a tenth of the drop of the lowest place before it rises again, noise let pass."""
+        name = "pile_truck_pos"
+        v = self.s.v[name]
+        d = next((d for d in self.s.drops(name, 0.5, 6.0) if self.t[d[2]] >= anchor), None)
         if d is None:
             return None
-        low = self.s.descent("pile_truck_pos", d[1])
-        k = self.s.first(v <= v[low] + 0.1 * (v[d[0]] - v[low]), self.t[d[1]])
-        return None if k is None else Event(self.t[k], self.t[k] + 2.4, self.t[k] + 1.2, "fixed", "pile_truck_pos")
-
-    def height_takeoff(self, anchor: float, dig: Window | None) -> Event | None:
+        low = self.s.descent(name, d[2], self.s.noise(name))
+        near = np.flatnonzero(v[d[0] : low + 1] <= v[low] + 0.1 * (v[d[0]] - v[low]))
+        a = d[0] + int(near[0]) if len(near) else low
+        return Event(self.t[a], min(self.t[a] + 2 * MAX_HALF, self.t[-1]), self.t[a], "fixed", name)
+
+    def height_takeoff(self, anchor: float, dig: Window | None, gate: np.ndarray) -> Event | None:
+        """After the dig, the first rise above its tallest height that goes on rising."""
+        if dig is None:
+            return None
         v, (_, after) = self.s.v["height"], self.s.sides("height")
-        inside = (self.t >= dig.heart[0]) & (self.t <= dig.heart[1]) if dig else self.t <= anchor
-        level = np.nanmax(v[inside]) if np.isfinite(v[inside]).any() else -np.inf
-        k = self.s.first((v > level) & (np.nan_to_num(after) >= FLAT), anchor)
-        return None if k is None else Event(self.t[k], self.t[k] + TAKEOFF, self.t[k] + TAKEOFF / 2, "fixed", "height")
-
-    def truck_x_takeoff(self, anchor: float, dig: Window | None) -> Event | None:
-        x = self.s.v["pile_truck_pos"]
-        loose = self.s.knees("pile_truck_pos", 1, 2 * FLAT, STEEP / 2)
-        for a, b in self.s.knees("pile_truck_pos", 1):
-            near = (self.t >= self.t[a]) & (self.t <= self.t[b] + LOOKAHEAD)
-            if self.t[b] >= anchor and x[a] < 1 and (self.s.v["over"][near] <= 0).any():
-                a, b = next(((c, d) for c, d in loose if c <= b and d >= a), (a, b))
-                return Event(max(self.t[a], anchor), self.t[b], (self.t[a] + self.t[b]) / 2, "span", "pile_truck_pos")
+        inside = (self.t >= dig.heart[0]) & (self.t <= dig.heart[1])
+        level = np.nanmax(v[inside]) if np.isfinite(v[inside]).any() else np.inf
+        k = self.s.first((v > level) & (np.nan_to_num(after) >= FLAT), dig.heart[1])
+        return None if k is None else Event(self.t[k], self.t[k] + TAKEOFF, self.t[k], "fixed", "height")
+
+    def truck_x_takeoff(self, anchor: float, dig: Window | None, gate: np.ndarray) -> Event | None:
+        """The first sharp bend toward the truck, before it, that passes the gate; as wide as the looser bend around it."""
+        name = "pile_truck_pos"
+        before_truck = self.s.v[name] < 1
+        sharp = self.s.knees(name, 1, within=before_truck)
+        loose = self.s.knees(name, 1, 2 * FLAT, STEEP / 2, before_truck)
+        for p, q in sharp:
+            if self.t[q] < anchor:
+                continue
+            a, b = max(self.t[p], anchor), self.t[q]
+            if gate[self.s.place(a) : self.s.place(b + LOOKAHEAD) + 1].any():
+                bend = next(((self.t[c], self.t[d]) for c, d in loose if self.t[c] <= b and self.t[d] >= a), (a, b))
+                a, b = max(min(a, bend[0]), anchor), max(b, bend[1])
+                return Event(a, b, (a + b) / 2, "span", name)
         return None
 
     def dump_candidates(self, anchor: float) -> list[Event]:
-        return [self._at(d[1], "aspect_ratio") for d in self.s.drops("aspect_ratio", 0.3, 2.5) if self.t[d[1]] >= anchor]
+        """Every tip: a drop of the aspect ratio by 30 % of its spread, centred where it is steepest."""
+        return [self._event(d[0], d[2], d[1], "aspect_ratio") for d in self.s.drops("aspect_ratio", 0.3, 2.5) if self.t[d[1]] >= anchor]
 
-    def height_second_hump(self, anchor: float, dig: Window | None) -> Event | None:
+    def height_second_hump(self, anchor: float, dig: Window | None, gate: np.ndarray) -> Event | None:
+        """The climb into the last top before the next big drop: from a tenth to nine tenths of its rise."""
         v = self.s.v["height"]
-        end = next((self.t[d[0]] for d in self.s.drops("height", 0.5, 6.0) if self.t[d[0]] >= anchor), np.inf)
-        tops = [p for p in peaks(np.nan_to_num(v), 0.03 * self.s.spread("height")) if anchor <= self.t[p[0]] <= end + 1e-9]
-        if not tops:
+        end = self._falls_from(anchor)
+        tops = [p[0] for p in self.s.peaks("height", 0.03)]
+        before = [] if end is None else [p for p in tops if anchor <= self.t[p] <= end + 1e-9]
+        if not before:
             return None
-        top, _, left, _ = tops[-1]
-        rise = [k for k in range(left, top + 1) if v[k] >= v[left] + 0.1 * (v[top] - v[left])]
-        return Event(self.t[rise[0]], self.t[top], self.t[rise[0]], key="height", before_end=True)
-
-    def x_takeoff(self, anchor: float, dig: Window | None) -> Event | None:
+        top = before[-1]
+        lo = max(max((p for p in tops if p < top), default=0), self.s.place(anchor))
+        base = float(np.nanmin(v[lo : top + 1]))
+        rise = v[top] - base
+        low = np.flatnonzero(~(v[lo : top + 1] > base + 0.1 * rise))
+        q = lo + int(low[-1]) if len(low) else lo
+        half = np.flatnonzero(v[q : top + 1] >= base + 0.5 * rise)
+        m = q + int(half[0]) if len(half) else q
+        high = np.flatnonzero(v[m : top + 1] >= base + 0.9 * rise)
+        return self._event(q, m + int(high[0]) if len(high) else top, q, "height", before_end=True)
+
+    def x_takeoff(self, anchor: float, dig: Window | None, gate: np.ndarray) -> Event | None:
+        """The first bend away from rest along the line, either way."""
         spans = sorted(self.s.knees("pile_truck_pos", 1) + self.s.knees("pile_truck_pos", -1))
+        return self._clipped(spans, anchor, "pile_truck_pos")
+
+    def _clipped(self, spans: list[tuple[int, int]], anchor: float, key: str) -> Event | None:
         hit = next(((a, b) for a, b in spans if self.t[b] >= anchor), None)
-        return None if hit is None else Event(max(self.t[hit[0]], anchor), self.t[hit[1]], max((self.t[hit[0]] + self.t[hit[1]]) / 2, anchor), key="pile_truck_pos")
+        if hit is None:
+            return None
+        a, b = max(self.t[hit[0]], anchor), self.t[hit[1]]
+        return Event(a, b, (a + b) / 2, key=key)
 
-    def height_peak(self, anchor: float, dig: Window | None) -> Event | None:
+    def height_peak(self, anchor: float, dig: Window | None, gate: np.ndarray) -> Event | None:
+        """The climb into the last wide top before the next big drop, where it is within 20 % of the top."""
         v = self.s.v["height"]
-        end = next((self.t[d[0]] for d in self.s.drops("height", 0.5, 6.0) if self.t[d[0]] >= anchor), np.inf)
-        tops = [p for p in peaks(np.nan_to_num(v), 0.15 * self.s.spread("height")) if anchor <= self.t[p[0]] <= end + 1e-9 and self._width(v, p) >= 2.0]
-        if not tops:
+        end = self._falls_from(anchor)
+        found, two_seconds = self.s.peaks("height", 0.15), 2.0 / float(np.median(np.diff(self.t)))
+        wide = [p for p, w in zip(found, widths(np.nan_to_num(v), found), strict=True) if w[0] >= two_seconds]
+        before = [] if end is None else [p for p in wide if anchor <= self.t[p[0]] <= end + 1e-9]
+        if not before:
             return None
-        top, _, left, right = tops[-1]
-        base = max(v[left], v[right])
-        k = next(k for k in range(left, top + 1) if v[k] >= base + 0.8 * (v[top] - base))
-        return self._at(k, "height")
-
-    def _width(self, v: np.ndarray, p: tuple) -> float:
-        """Seconds between the places where the peak has lost half its prominence."""
-        top, rise = p[0], v[p[0]] - p[1] / 2
-        a = b = top
-        while a > 0 and v[a - 1] > rise:
-            a -= 1
-        while b < len(v) - 1 and v[b + 1] > rise:
-            b += 1
-        return float(self.t[b] - self.t[a])
-
-    def dh_positive_falling(self, anchor: float, dig: Window | None) -> Event | None:
+        top, _, left, _ = before[-1]
+        lo = max(left, self.s.place(anchor))
+        base = float(np.nanmin(v[lo : top + 1]))
+        near = np.flatnonzero(v[lo : top + 1] >= base + 0.8 * (v[top] - base))
+        k = lo + int(near[0]) if len(near) else top
+        return self._event(k, top, k, "height")
+
+    def dh_positive_falling(self, anchor: float, dig: Window | None, gate: np.ndarray) -> Event | None:
         v = self.s.v["dh_dt"]
-        hits = islands(np.nan_to_num((v > self.s.noise("dh_dt")) & (np.gradient(v, self.t) < 0)).astype(bool))
-        hit = next(((a, b) for a, b in hits if self.t[b] >= anchor), None)
-        return None if hit is None else Event(max(self.t[hit[0]], anchor), self.t[hit[1]], (max(self.t[hit[0]], anchor) + self.t[hit[1]]) / 2, key="dh_dt")
+        return self._clipped(islands(np.nan_to_num((v > self.s.noise("dh_dt")) & (np.gradient(v, self.t) < 0)).astype(bool)), anchor, "dh_dt")
 
     def checks(self) -> dict[str, np.ndarray]:
         v = self.s.v
-        return {"dh_near_0": np.abs(v["dh_dt"]) <= 3 * self.s.noise("dh_dt"), "dx_positive": v["dx_dt"] > 0, "overlapping": v["over"] > 0}
+        return {"dh_near_0": np.abs(v["dh_dt"]) <= 3 * self.s.noise("dh_dt"), "dx_positive": v["pile_truck_pos_dt"] > 0, "overlapping": v["over"] > 0}
 
     def half_width(self, e: Event) -> float:
         """Timing error: noise over the change of slope at the centre, within limits."""
@@ -306,35 +350,41 @@ class Search:
 
     def __init__(self, s: Series):
         self.s, self.t, self.cues = s, s.t, Cues(s)
-        self.low = float(np.nanpercentile(s.v["height"], 10)) if np.isfinite(s.v["height"]).any() else 0.0
 
-    def gate(self, phase: str, dig: Window | None) -> np.ndarray:
+    def level(self, anchor: float, dig: Window | None) -> np.ndarray:
+        """This cycle's dig height: the median in its window, or of what was seen since the anchor."""
+        v = self.s.v["height"]
+        if dig is not None:
+            inside = v[(self.t >= dig.heart[0]) & (self.t <= dig.heart[1])]
+            return np.full(len(v), float(np.nanmedian(inside)) if np.isfinite(inside).any() else np.nan)
+        k, at = self.s.place(anchor), np.arange(len(v))
+        return self.s.once("ranked", make=lambda: Ranked(v)).median(np.minimum(k, at), at)
+
+    def gate(self, phase: str, anchor: float, dig: Window | None) -> np.ndarray:
         v = self.s.v
-        if phase == "swinging":
-            return np.ones(len(self.t), bool)
-        inside = (self.t >= dig.heart[0]) & (self.t <= dig.heart[1]) if dig else np.zeros(len(self.t), bool)
-        level = float(np.nanmedian(v["height"][inside])) if inside.any() else self.low
         with np.errstate(invalid="ignore"):
             if phase == "digging":
                 return (v["over"] <= 0) & (v["pile_truck_pos"] < 1)
             if phase == "hauling":
-                return (v["height"] > level) & (v["over"] <= 0)
-            return (v["pile_truck_pos"] - v["cabin_pile_truck_pos"] > 0) & (v["height"] > level)
+                return (v["height"] > self.level(anchor, dig)) & (v["over"] <= 0)
+            if phase == "dumping":
+                return (v["pile_truck_pos"] - v["cabin_pile_truck_pos"] > 0) & (v["height"] > self.level(anchor, dig))
+        return np.ones(len(self.t), bool)
 
     def passes(self, e: Event, gate: np.ndarray) -> bool:
-        return bool(gate[(self.t >= e.a - 1e-9) & (self.t <= e.b + LOOKAHEAD + 1e-9)].any())
+        return bool(gate[self.s.place(e.a) : self.s.place(e.b + LOOKAHEAD) + 1].any())
 
     def event(self, name: str, start: float, gate: np.ndarray, dig: Window | None) -> Event | None:
-        """The cue's first event that passes the gate."""
+        """The cue's first event that passes the gate; after so many that don't, the next as it is."""
+        e = getattr(self.cues, name)(start, dig, gate)
         for _ in range(RETRIES):
-            e = getattr(self.cues, name)(start, dig)
             if e is None or self.passes(e, gate):
-                return e
-            start = max(e.b, start) + 1e-3
-        return None
+                break
+            e = getattr(self.cues, name)(e.b + 1e-3, dig, gate)
+        return e
 
     def step(self, phase: str, anchor: float, dig: Window | None) -> Window | None:
-        gate = self.gate(phase, dig)
+        gate = self.gate(phase, anchor, dig)
         k = self.s.first(gate, anchor)
         if k is None:
             return None
@@ -355,28 +405,27 @@ class Search:
             return None
         a, b, votes, _ = got
         mid = (self.t[a] + self.t[b]) / 2
-        agree = [w for w in windows.values() if w.a <= self.t[b] + 1e-9 and w.b >= self.t[a] - 1e-9]
-        lo, hi = max(min(w.a for w in agree), mid - MAX_HALF, start), min(max(w.b for w in agree), mid + MAX_HALF)
+        agree = [w for w in windows.values() if w.a <= self.t[b] and w.b >= self.t[a]]
+        lo, hi = max(min((w.a for w in agree), default=self.t[a]), mid - MAX_HALF, start), min(max((w.b for w in agree), default=self.t[b]), mid + MAX_HALF)
         return Window(lo, max(hi, lo), votes, votes <= total / 2, (float(self.t[a]), float(self.t[b])))
 
     def dump(self, start: float, gate: np.ndarray, dig: Window | None) -> Window | None:
-        """The candidate of the first visit with most support; of equals the earlier."""
-        visits = [(self.t[a], self.t[b]) for a, b in islands(self.s.v["over"] > 0) if self.t[b] >= start]
-        end = visits[0][1] if visits else np.inf
+        """Of the tips inside the first visit to the truck that ends after the start, the one with most support; of equals the earlier."""
+        visit = next(((self.t[a], self.t[b]) for a, b in islands(self.s.v["over"] > 0) if self.t[b] > start), None)
         weights, best = WEIGHTS["dumping"], None
         hump = self.event("height_second_hump", start, gate, dig)
         for e in self.cues.dump_candidates(start):
-            if e.centre > end + MIN_HALF or not self.passes(e, gate):
+            if not self.passes(e, gate) or visit is not None and not visit[0] - 1e-9 <= e.centre <= visit[1] + 1e-9:
                 continue
             w = self.cues.widen(e, start)
             votes = 0.0
             if hump is not None:
                 h = self.cues.widen(hump, start)
                 votes += weights["height_second_hump"] * (h.a <= w.b and h.b >= w.a)
-            near = (self.t >= w.a - 1e-9) & (self.t <= w.b + 1e-9)
-            votes += sum(weights[n] for n, mask in self.cues.checks().items() if mask[near].any())
+            for n, mask in self.cues.checks().items():
+                votes += weights[n] * any(self.t[q] >= w.a and self.t[p] <= w.b for p, q in islands(np.nan_to_num(mask).astype(bool)))
             if best is None or votes > best.votes:
-                best = Window(w.a, w.b, votes, votes <= sum(weights.values()) / 2)
+                best = Window(w.a, w.b, votes, votes <= sum(weights.values()) / 2, (w.a, w.b))
         return best
 
     def visits(self) -> list[tuple[float, float]]:
@@ -391,122 +440,164 @@ class Search:
         The search for a strong dig looks at all stretches (reach None) and at cues alone."""
         edges = [(self.t[0], self.t[0]), *self.visits(), (self.t[-1], self.t[-1])]
         stretches = [(a[1], b[0]) for a, b in zip(edges, edges[1:], strict=False) if b[0] > a[1]]
-        for lo, hi in [x for x in stretches if x[1] > anchor + 1e-6][:reach]:
-            start, top = max(lo, anchor), min(self.climb(lo, hi), hi)
+        for n, (lo, hi) in [x for x in enumerate(stretches) if x[1][1] > anchor + 1e-6][:reach]:
+            last = n == len(stretches) - 1
+            start, top = max(lo, anchor), self.climb(lo, hi, last)
             if top <= start:
                 continue
             w = self.step("digging", start, None)
             if w is not None and start - 1e-9 <= sum(w.heart) / 2 <= top:
                 return Window(w.a, min(w.b, top), w.votes, w.weak, w.core)
-            k = self.settled(start, top, lo, hi) if settle else None
+            k = self.settled(start, top, self.levels(lo, hi, last)) if settle else None
             if k is not None:
                 a, b = max(start, self.t[k] - MIN_HALF), min(top, self.t[k] + MIN_HALF)
                 return Window(a, b, 0.0, True, (a, b))
         return None
 
-    def climb(self, lo: float, hi: float) -> float:
-        """When the climb out of a stretch starts; a stretch that ends the series has no end."""
-        if hi >= self.t[-1]:
-            return np.inf
+    def levels(self, lo: float, hi: float, last: bool) -> tuple[float, float]:
+        """A stretch's pile level, and its height on arriving over the truck; the last one has no truck behind it."""
+        v = self.s.v["height"]
+        inside = v[(self.t >= lo) & (self.t <= hi)]
+        if not np.isfinite(inside).any():
+            return np.nan, np.nan
+        return float(np.nanpercentile(inside, 5)), float(np.nanpercentile(inside, 95)) if last else float(v[max(self.s.place(hi) - 1, 0)])
+
+    def climb(self, lo: float, hi: float, last: bool) -> float:
+        """When the lift to the truck leaves the pile: a tenth up, before the last rise through halfway; else the stretch's end."""
+        pile, above = self.levels(lo, hi, last)
+        if last or not above > pile:
+            return hi
+        v = self.s.v["height"]
         k = np.flatnonzero((self.t >= lo) & (self.t <= hi))
-        v = self.s.v["height"][k]
-        if len(k) < 2 or not np.isfinite(v).any():
+        mid = (pile + above) / 2
+        up = k[1:][(v[k[1:] - 1] < mid) & (v[k[1:]] >= mid)]
+        if not len(up):
             return hi
-        low, high = np.nanmin(v), np.nanmax(v)
-        mid = (low + high) / 2
-        up = np.flatnonzero((v[:-1] < mid) & (v[1:] >= mid)) + 1
-        back = np.flatnonzero(v[: up[-1] + 1] <= low + 0.1 * (high - low)) if len(up) else []
-        return float(self.t[k[back[-1]]] if len(back) else self.t[k[0]])
+        back = np.flatnonzero(~(v[k[0] : up[-1] + 1] > pile + 0.1 * (above - pile)))
+        return float(self.t[k[0] + back[-1]] if len(back) else self.t[k[0]])
 
-    def settled(self, start: float, top: float, lo: float, hi: float) -> int | None:
+    def settled(self, start: float, top: float, levels: tuple[float, float]) -> int | None:
         """First sample from start to top that lies in the pile: low, on its side, off the truck and calm.
 
         Low is a quarter of the way from the stretch's pile level to its height on arrival."""
         v, s = self.s.v, self.s
-        inside = (self.t >= lo) & (self.t <= hi)
-        if not np.isfinite(v["height"][inside]).any():
-            return None
         calm = max(SIGMA * s.noise("speed_2d"), 0.02 * float(np.nanmax(v["speed_2d"]) - np.nanmin(v["speed_2d"])))
-        pile, above = np.nanpercentile(v["height"][inside], [5, 95])
-        if hi < self.t[-1]:  # a truck follows
-            above = v["height"][max(int(np.searchsorted(self.t, hi)) - 1, 0)]
-        ok = (v["height"] <= pile + 0.25 * (above - pile)) & (v["pile_truck_pos"] < 1) & (v["over"] <= 0) & (v["speed_2d"] <= calm)
-        k = s.first(ok, start)
-        return k if k is not None and self.t[k] <= top else None
-
-    def run(self) -> tuple[list[tuple[str, Window, bool]], str | None]:
-        """(phase, window, abandoned) in order, and the phase at which the search stopped.
-
-        A phase that is missed, or begins after the next dig the cues find, abandons its cycle
-        for that dig; a weak window counts only if such a dig follows."""
+        with np.errstate(invalid="ignore"):
+            ok = (self.t >= start) & (self.t <= top) & (v["height"] <= levels[0] + 0.25 * (levels[1] - levels[0])) & (v["pile_truck_pos"] < 1) & (v["over"] <= 0) & (v["speed_2d"] <= calm)
+        k = np.flatnonzero(ok)
+        return int(k[0]) if len(k) else None
+
+    def run(self) -> tuple[list[tuple[str, Window, bool]], list[tuple], tuple | None]:
+        """(phase, window, abandoned) in order; gaps (phase, from, to, why); and (phase, from, why) where the search stopped.
+
+        Each phase is searched for behind the window of the one before, round and round. A strong
+        dig is one that the cues find. A phase that is missed, or begins after such a dig, abandons
+        its cycle for it; a weak window counts only if such a dig follows. No stop: the series was
+        read to its end."""
         found: list[list] = []
-        at, nth, dig, opened = self.t[0], 0, None, 0
-        while True:
+        gaps: list[tuple] = []
+        at, nth, dig, opened = float(self.t[0]), 0, None, 0
+        stop = None
+        while at < self.t[-1]:
             phase = PHASES[nth % len(PHASES)]
-            following = lambda: self.dig(at, None, settle=False)  # noqa: B023, E731
+            strong = lambda: self.dig(at, None, settle=False)  # noqa: B023, E731
             if phase == PHASES[0]:
-                w = self.dig(at) or following()
+                w = self.dig(at)
                 if w is None:
-                    break
+                    w = strong()
+                    if w is None:
+                        stop = (phase, at, NO_DIG)
+                        break
+                    gaps.append((phase, at, w.a, NO_NEAR_DIG))
                 dig, opened = w, len(found)
             else:
-                w, again = self.step(phase, at, dig), following()
+                w, again = self.step(phase, at, dig), strong()
                 late = w is not None and again is not None and again.b <= w.a + 1e-9
                 if w is not None and not late and w.weak and again is None:
+                    stop = (phase, at, WEAK.format(w.a))
                     break
                 if w is None or late:
                     if again is None:
+                        stop = (phase, at, NO_WINDOW)
                         break
+                    gaps.append((phase, at, again.a, (LATE.format(w.a) if late else NO_WINDOW) + ABANDONED))
                     for f in found[opened:]:
                         f[2] = True
                     w, phase, nth, dig, opened = again, PHASES[0], 0, again, len(found)
             found.append([phase, w, False])
             if w.b <= at + 1e-6:
+                stop = (phase, at, STUCK)
                 break
             at, nth = w.b, nth + 1
-        return [tuple(f) for f in found], phase
+        return [tuple(f) for f in found], gaps, stop
 
     def start(self, phase: str, w: Window) -> tuple[float, bool]:
-        """When the phase began inside its window; the middle (a fallback) if nothing moved."""
+        """When the phase began inside its window; the middle (a fallback) if nothing moved faster than noise.
+
+        A dig begins where speed is least; the others where the rate, walked back from its fastest,
+        was last within three times its own noise."""
         name, sign = RATE[phase]
-        k = np.flatnonzero((self.t >= w.a - 1e-9) & (self.t <= w.b + 1e-9))
-        v = sign * self.s.v[name][k] if len(k) else np.zeros(0)
-        if not len(k) or not np.isfinite(v).any():
-            return (w.a + w.b) / 2, True
-        apex = int(np.nanargmax(v))
-        if phase == "digging":
-            return float(self.t[k[apex]]), False
-        if np.isfinite(v).sum() < 5:  # too few samples to tell movement from noise
-            return (w.a + w.b) / 2, True
-        d = np.diff(v[np.isfinite(v)])
-        band = SIGMA * (1.4826 * float(np.median(np.abs(d - np.median(d)))) / np.sqrt(2) if len(d) >= 4 else np.nan)
-        if np.isfinite(band) and v[apex] <= band:
-            return (w.a + w.b) / 2, True
-        calm = np.flatnonzero(~(v[:apex] > (band if np.isfinite(band) else 0.0)))
-        return float(self.t[k[calm[-1] + 1 if len(calm) else 0]]), False
-
-
-STARTS = "series string, nth int, phase string, time double, win_a double, win_b double, weak boolean, fallback boolean, abandoned boolean, stop string"
-
-
-def find(frame: pd.DataFrame) -> tuple[list[tuple], str | None]:
-    """(phase, time, window a, b, weak, fallback, abandoned) of one series, and where it stopped."""
+        v = self.s.v[name]
+        signed = np.abs(v) if sign == 0 else sign * v
+        k = np.flatnonzero((self.t >= w.a) & (self.t <= w.b) & np.isfinite(v))
+        middle = (w.a + w.b) / 2, True
+        if phase == PHASES[0]:
+            return (float(self.t[k[np.argmax(signed[k])]]), False) if len(k) else middle
+        if len(k) < 5:  # too few samples to tell movement from noise
+            return middle
+        band = SIGMA * self.s.noise_of(signed[k])
+        i = int(k[np.argmax(signed[k])])
+        if not np.isfinite(band) or signed[i] <= band:
+            return middle
+        while i > k[0] and np.isfinite(signed[i - 1]) and signed[i - 1] > band:
+            i -= 1
+        return float(self.t[i]), False
+
+
+# fixed values: why a search stopped, and why a cycle was given up
+NO_DIG = "no dig found after this point: the clip may end before another cycle starts"
+NO_NEAR_DIG = "no dig in the next two open stretches; restarted at the next strong dig"
+NO_WINDOW = "no window found"
+STUCK = "did not move forward"
+WEAK = "only a low-agreement window ({:.1f} s) and no dig after it: the clip may end before this stage"
+LATE = "its window ({:.1f} s) came after a strong dig"
+ABANDONED = "; cycle abandoned, restarted at the dig"
+
+STARTS = "series string, nth int, phase string, time double, win_a double, win_b double, weak boolean, fallback boolean, abandoned boolean, stop string, stop_from double, why string"
+GAPS = "series string, nth int, phase string, from double, to double, why string"
+
+
+def find(frame: pd.DataFrame) -> tuple[list[tuple], list[tuple], tuple | None]:
+    """(phase, time, window a, b, weak, fallback, abandoned) of one series, its gaps, and where and why it stopped."""
     frame = frame.sort_values("t")
     s = Series(frame["t"].to_numpy(float), {c: frame[c].to_numpy(float) for c in SIGNALS})
     s.v["over"] = np.nan_to_num(s.v["over"])
     with np.errstate(invalid="ignore"):
         search = Search(s)
-        found, stop = search.run()
-        return [(p, *((x := search.start(p, w))[:1]), w.a, w.b, bool(w.weak), x[1], gone) for p, w, gone in found], stop
+        found, gaps, stop = search.run()
+        return [(p, *((x := search.start(p, w))[:1]), w.a, w.b, bool(w.weak), x[1], gone) for p, w, gone in found], gaps, stop
+
+
+def _searched(pdf: pd.DataFrame) -> tuple[list[tuple], list[tuple], tuple | None]:
+    return find(pdf) if len(pdf) > 4 else ([], [], (PHASES[0], None, NO_DIG))
 
 
 def phase_starts(signals: DataFrame) -> DataFrame:
-    """signals (series, t and SIGNALS) -> phase starts, and one closing row per series with its stop."""
+    """signals (series, t and SIGNALS) -> phase starts, and one closing row per series: its stop, NULL if it was read to the end."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         name = pdf["series"].iloc[0]
-        found, stop = find(pdf) if len(pdf) > 4 else ([], PHASES[0])
-        rows = [(name, n, *f, None) for n, f in enumerate(found)] + [(name, len(found), None, None, None, None, None, None, None, stop)]
+        found, _, stop = _searched(pdf)
+        rows = [(name, n, *f, None, None, None) for n, f in enumerate(found)] + [(name, len(found), *[None] * 7, *(stop or (None, None, None)))]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in STARTS.split(", ")])
 
     return signals.select("series", "t", *SIGNALS).groupBy("series").applyInPandas(run, STARTS)
+
+
+def phase_gaps(signals: DataFrame) -> DataFrame:
+    """The cycles that the search gave up: the phase it looked for, from when, the dig it went on from, and why."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(pdf["series"].iloc[0], n, *g) for n, g in enumerate(_searched(pdf)[1])], columns=[c.split()[0] for c in GAPS.split(", ")])
+
+    return signals.select("series", "t", *SIGNALS).groupBy("series").applyInPandas(run, GAPS.replace("from double", "`from` double").replace("to double", "`to` double"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadence.functions import geometry as geo
@@ -351,12 +351,20 @@ def phase_search(spark, d):
 
 
 def made_up_signals(spark, d) -> DataFrame:
-    """Daily means of a user stand for all signals of a clip."""
-    rows = series.derivative(grid(spark, d, 86400, "user_id").withColumn("v", F.coalesce("v", F.lit(0.0))), "v", "rate", 2)
-    scaled = F.col("v") / 100
-    return rows.select(
-        "series", F.col("i").cast("double").alias("t"), scaled.alias("height"), *((F.coalesce("rate", F.lit(0.0)) / 100).alias(c) for c in ("dh_dt", "dx_dt", "pile_truck_pos_dt")), (F.abs(F.coalesce("rate", F.lit(0.0))) / 100).alias("speed_2d"),
-        F.when(F.col("v") > 60, 1.0).otherwise(0.0).alias("over"), (1.5 - scaled).alias("aspect_ratio"), (-F.coalesce("rate", F.lit(0.0)) / 100).alias("aspect_ratio_dt"), scaled.alias("pile_truck_pos"), (scaled / 2).alias("cabin_pile_truck_pos"),
+    """Daily means of a user's event types, one type a place, stand for the signals of a clip."""
+    rows = grid(spark, d, 86400, "user_id")
+    day = F.floor(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))") / 86400).cast("long")
+    kinds = {"height": "view", "pos": "click", "aspect": "purchase", "over": "error", "cabin": "signup"}
+    daily = load(spark, d, "events").groupBy(F.col("user_id").cast("string").alias("series"), day.alias("day")).agg(*(F.round(F.avg(F.when(F.col("event_type") == kind, F.col("value"))), 6).alias(name) for name, kind in kinds.items()))
+    daily = daily.withColumn("i", F.col("day") - F.min("day").over(Window.partitionBy("series"))).drop("day")
+    wide = rows.join(daily, ["series", "i"], "left").select("series", "i", *(F.coalesce(F.col(name), F.col("v"), F.lit(50.0)).alias(name) for name in kinds))
+    for source, out in (("height", "dh"), ("pos", "dpos"), ("aspect", "daspect"), ("cabin", "dx")):
+        wide = series.derivative(wide, source, out, 2)
+    rate = lambda c: F.coalesce(F.col(c), F.lit(0.0)) / 100
+    return wide.select(
+        "series", F.col("i").cast("double").alias("t"), (F.col("height") / 100).alias("height"), rate("dh").alias("dh_dt"), rate("dx").alias("dx_dt"), F.hypot(rate("dx"), rate("dh")).alias("speed_2d"),
+        F.when(F.col("over") > 60, 1.0).otherwise(0.0).alias("over"), (0.5 + F.col("aspect") / 100).alias("aspect_ratio"), rate("daspect").alias("aspect_ratio_dt"),
+        (F.col("pos") / 60).alias("pile_truck_pos"), (rate("dpos") * 100 / 60).alias("pile_truck_pos_dt"), (F.col("cabin") / 200).alias("cabin_pile_truck_pos"),
     )
 
 
@@ -365,6 +373,11 @@ def phase_starts(spark, d):
     return phases.phase_starts(made_up_signals(spark, d))
 
 
+@query("phase_gaps")
+def phase_gaps(spark, d):
+    return phases.phase_gaps(made_up_signals(spark, d))
+
+
 @query("running_phase", f"{_CYCLES}, l AS (SELECT CAST(user_id AS VARCHAR) AS clip, epoch(ts) AS t, event_id FROM events WHERE event_type = 'error') SELECT l.clip, l.event_id, s.phase, round(l.t - s.time, 3) AS running_for FROM l ASOF LEFT JOIN s ON l.clip = s.clip AND l.t + 1e-6 >= s.time")
 def running_phase(spark, d):
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))") / 1e6
