@@ -186,7 +186,7 @@ SELECT lang, source, 'term' AS part, item, CAST(value AS BIGINT) AS value FROM b
     return kept.groupBy("lang", "bucket").cogroup(everywhere.groupBy("lang", "bucket")).applyInArrow(tidy(run), _PARTS)
 
 
-def source_divergence(docs: DataFrame, least_docs: int = 10, top: int = 10, shard_mb: float = 16, most: int = 500_000) -> DataFrame:
+def source_divergence(docs: DataFrame, least_docs: int = 10, top: int = 10, shard_mb: float = 4, most: int = 500_000) -> DataFrame:
     """lang, source, part, item, value, rank: see the module."""
     # by the input's size alone: every shard tells a sum for each pair of sources
     size = size_in_bytes(docs)
