@@ -2,14 +2,20 @@
 
 A notice of m characters that may hold k edits is split into k + 1 pieces; by the pigeonhole
 principle one piece stands unchanged in every match. All pieces form one Aho-Corasick automaton
-that runs over the normalised text; around each hit the `regex` library's bounded-error
-matching (`{e<=k}`) verifies the notice and reports its span and number of edits.
-
-Scale: map-only, one pass, no shuffle; memory is that of one slice of texts.
-
-Defined results: null text has no words and no notice (score 0, labels empty); a notice that
-overlaps another of its label counts once for the label; repeated rows are answered alike; an
-empty table gives no rows; extra columns are ignored.
+that runs over the normalised text. A hit says where the notice would begin, give or take k, so
+its window has a bounded length; windows that lack more than k of the notice's characters can't
+hold a match and go. In the others the `regex` library's bounded-error matching (`{e<=k}`)
+verifies the notice and reports its span and number of edits; equal windows of a text are
+verified once. Of overlapping matches of a label the one with fewest edits stands.
+
+Scale: map-only, one pass, no shuffle; the work is linear in a text's length, however often it
+repeats a piece or a notice, and memory is that of one slice of texts.
+
+Defined results: null text has no words and no notice (score 0, labels empty); a null doc_id keeps
+its row; very long texts are read whole; a notice that overlaps another of its label counts once
+for the label, of equal edits the earlier one; edits are counted in UTF-8 bytes, so a character
+beyond ASCII counts for each of its bytes; repeated rows are answered alike; an empty table gives
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -75,44 +82,69 @@ def _matcher(notices: tuple[tuple[str, str, int], ...]):
     return automaton, checks
 
 
+def _likely(text: np.ndarray, begins: np.ndarray, notice: str, edits: int) -> np.ndarray:
+    """The begins whose windows lack at most `edits` of the notice's characters."""
+    size = len(notice) + 2 * edits + 3
+    wanted = {ord(c): notice.count(c) for c in set(notice)}
+    out = []
+    for at in range(0, len(begins), 4096):
+        some = begins[at : at + 4096]
+        window = text[(some - edits - 1)[:, None] + np.arange(size)]
+        lacking = np.zeros(len(some), np.int64)
+        for c, n in wanted.items():
+            lacking += np.maximum(n - (window == c).sum(axis=1), 0)
+        out.append(some[lacking <= edits])
+    return np.concatenate(out) if out else begins
+
+
 def fuzzy(norm: bytes, notices: tuple[tuple[str, str, int], ...] = NOTICES) -> list[tuple[str, int, int, int]]:
     """(label, start, end, edits) of each notice found; byte offsets in the normalised text."""
     automaton, checks = _matcher(notices)
     text = norm.decode("latin-1")
-    windows: dict[int, list[tuple[int, int]]] = {}
+    begins: dict[int, set[int]] = {}
     for end, (size, where) in automaton.iter(text):
         for n, offset in where:
-            notice, _, edits = notices[n]
-            begin = end - size + 1 - offset
-            lo, hi = max(0, begin - edits - 1), begin + len(notice) + edits + 1
-            windows.setdefault(n, []).append((lo, min(hi + 1, len(text))))
-    found = []
-    for n, ranges in windows.items():
+            begins.setdefault(n, set()).add(end - size + 1 - offset)
+    if not begins:
+        return []
+    margin = max(len(x[0]) + 2 * x[2] + 3 for x in notices)
+    edge = np.zeros(margin, np.uint8)
+    padded = np.concatenate([edge, np.frombuffer(norm, np.uint8), edge])
+    matches: dict[str, set[tuple[int, int, int]]] = {}
+    for n, places in begins.items():
         notice, label, edits = notices[n]
-        left: list[list[int]] = []
-        for lo, hi in sorted(ranges):
-            if left and lo <= left[-1][1]:
-                left[-1][1] = max(hi, left[-1][1])
-            else:
-                left.append([lo, hi])
-        while left:  # the best match of a window, then what stands before and behind it
-            lo, hi = left.pop()
-            if hi - lo >= len(notice) - edits + 2 and (m := checks[n].search(text, lo, hi)):
-                found.append((label, m.start() + 1, m.end(), sum(m.fuzzy_counts)))
-                left += [[lo, m.start() + 1], [m.end(), hi]]
-    return sorted(set(found), key=lambda x: (x[1], x[2], x[0]))
+        known: dict[str, tuple[int, int, int] | None] = {}
+        likely = _likely(padded, np.sort(np.fromiter((p for p in places if p > -margin // 2), np.int64)) + margin, notice, edits) - margin
+        for begin in likely.tolist():
+            lo = max(0, begin - edits - 1)
+            window = text[lo : begin + len(notice) + edits + 2]
+            if window not in known:
+                m = checks[n].search(window)
+                known[window] = (m.start() + 1, m.end(), sum(m.fuzzy_counts)) if m else None
+            hit = known[window]
+            if hit is not None:
+                matches.setdefault(label, set()).add((hit[2], lo + hit[0], lo + hit[1]))
+    found = []
+    for label, hits in matches.items():
+        taken = bytearray(len(norm))
+        for edits, start, end in sorted(hits):
+            if not any(taken[start:end]):
+                taken[start:end] = b"\1" * (end - start)
+                found.append((label, start, end, edits))
+    return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 
 def scan(text: bytes) -> dict:
     """All base places and fuzzy notices of one text."""
     norm, n_words = normalise(text)
+    gaps = np.flatnonzero(np.frombuffer(norm, np.uint8) == 32)  # the k-th word stands behind the k-th
     starts: list[int] = []
     base: set[str] = set()
     for phrase, label in PHRASES:
         needle = b" " + phrase.encode() + b" "
         at = norm.find(needle)
         while at >= 0:
-            starts.append(norm.count(b" ", 0, at))
+            starts.append(at)
             base.add(label)
             at = norm.find(needle, at + 1)
     spans = fuzzy(norm)
@@ -121,12 +153,12 @@ def scan(text: bytes) -> dict:
     return {
         "n_words": n_words,
         "n_base": len(starts),
-        "first_word": min(starts, default=None),
-        "last_word": max(starts, default=None),
+        "first_word": int(np.searchsorted(gaps, min(starts))) if starts else None,
+        "last_word": int(np.searchsorted(gaps, max(starts))) if starts else None,
         "base_labels": ",".join(sorted(base)),
         "labels": ",".join(sorted(labels)),
         "score": 1.0 if base else max(0.0, best),
-        "spans": [{"label": s[0], "first": norm.count(b" ", 0, s[1]) - 1, "last": norm.count(b" ", 0, s[2]) - 1, "edits": s[3]} for s in spans],
+        "spans": [{"label": s[0], "first": int(np.searchsorted(gaps, s[1])) - 1, "last": int(np.searchsorted(gaps, s[2])) - 1, "edits": s[3]} for s in spans],
     }
 
 
