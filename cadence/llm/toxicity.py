@@ -7,20 +7,23 @@ sentence is the pooled vector of its words: for each landmark the best kernel va
 whose best value with a toxic landmark is below `FLOOR`, or that of its weakest variant if less,
 or that lack too many of its letters, count as zero). Nystroem whitening (K_mm^-1/2) turns that into features of a linear SVM
 (squared hinge) trained on labelled sentences: those near a landmark in toxic texts against
-those in the others. A text's margin is that of its worst sentence; a logistic curve fitted on
-held-back training texts maps it to 0..1. Insults common in the training texts are also trained
-with one letter inserted or missing.
+those in the others. Insults common in the training texts are also trained with one letter
+inserted or missing. A text is judged by the margin of its worst sentence, by how many of its
+words come near each insult, and by their share of its words: a word that plain texts hold now
+and then, too, tells little alone and much when it comes again and again. A logistic curve over
+these, fitted on texts whose sentences the SVM had not seen, gives the score from 0 to 1.
 
 Training reads a bounded sample: at most `per_class` labelled texts of either class, chosen by a
-hash of doc_id from rows whose crc32(doc_id) mod 5 is not 0. Landmarks are the words most
-typical of toxic training texts, kept unlike one another, and the words of the other texts that
-come nearest to them. Inputs are texts alone.
+hash of doc_id from rows whose crc32(doc_id) mod 5 is not 0. Landmarks are the words, and the
+stems that come twice in a text, most typical of toxic training texts, kept unlike one another,
+and the words of the other texts that come nearest to them. Inputs are texts alone.
 
 Scale: the sample is a fixed bound, so it is collected and the model (some hundred kB) travels
 with the task. Scoring is map-only; each worker scores a distinct word once (bounded table).
 
-Defined results: null and empty texts get the score of a text without known words; labels that
-are null are not used, and of several labels of one doc_id the largest counts; without both
+Defined results: null and empty texts get the score of a text without known words; very long texts
+are scored whole (only training reads none above `longest`); a row without doc_id is scored and
+counts as not held out; labels that are null are not used, and of several labels of one doc_id the largest counts; without both
 classes the score is the share of toxic labels; repeated rows score alike; an empty table gives
 no rows; extra columns are ignored.
 """
@@ -190,8 +193,7 @@ class Model:
     kernel: Kernel
     weight: np.ndarray
     bias: float = 0.0
-    slope: float = 1.0
-    shift: float = 0.0
+    curve: np.ndarray | None = None
     constant: float | None = None
     known: dict = field(default_factory=dict)
 
@@ -206,25 +208,31 @@ class Model:
             got = [values[p] for p in ps if p in values]
             self.known[w] = np.maximum.reduce(got) if got else None
 
-    def sentences(self, texts: list[str]) -> list[list[np.ndarray]]:
-        """For each text the vectors of its sentences that hold a word near a landmark."""
+    def sentences(self, texts: list[str]) -> tuple[list[list[np.ndarray]], np.ndarray]:
+        """For each text the vectors of its sentences that hold a word near a landmark; and per text
+        how many of its words come nearest to each insult, and how many words it has."""
         if len(self.known) > 400_000:
             self.known = {}
-        sets = [set(tokens(t)) for t in texts]
-        if sets:
-            self.learn(set().union(*sets))
+        listed = [tokens(t) for t in texts]
+        if listed:
+            self.learn(set().union(*listed))
         known, out = self.known, []
-        for text, words in zip(texts, sets, strict=True):
+        counts = np.zeros((len(texts), self.kernel.toxic + 1))
+        for k, (text, words) in enumerate(zip(texts, listed, strict=True)):
             found: list[np.ndarray] = []
-            if any(known[w] is not None for w in words):
+            near = [v for v in map(known.get, words) if v is not None]
+            counts[k, -1] = len(words)
+            for v in near:
+                counts[k, int(v[: self.kernel.toxic].argmax())] += 1
+            if near:
                 for sentence in _SENTENCE.split(text):
                     got = [v for v in map(known.get, tokens(sentence)) if v is not None]
                     if got:
                         found.append(np.maximum.reduce(got))
                 if not found:  # a word spelt across a sentence's end
-                    found.append(np.maximum.reduce([known[w] for w in words if known[w] is not None]))
+                    found.append(np.maximum.reduce(near))
             out.append(found)
-        return out
+        return out, counts
 
     def margins(self, found: list[list[np.ndarray]]) -> np.ndarray:
         """The largest margin of a text's sentences; plain sentences have the bias."""
@@ -237,22 +245,41 @@ class Model:
     def scores(self, texts: list[str]) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(self.sentences(texts)) + self.shift, -35, 35)))
+        found, counts = self.sentences(texts)
+        return 1 / (1 + np.exp(-np.clip(evidence(self.margins(found), counts) @ self.curve, -35, 35)))
+
+
+def evidence(margins: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """What a text is judged by: its margin, the share of near words, both together, how often they come again, each count, and 1."""
+    hits = counts[:, :-1]
+    total, margins = hits.sum(axis=1), np.clip(margins, -2, 2)
+    share = np.log1p(100 * total / np.maximum(counts[:, -1], 1))
+    return np.column_stack([margins, share, margins * share, np.log1p(np.maximum(total - 1, 0)), np.log1p(hits), np.ones(len(margins))])
+
+
+def stems(words: list[str]) -> set[str]:
+    """The beginnings, of four to eight letters, that two words of a text share (or one word twice)."""
+    seen = Counter(w[:k] for w in words for k in range(4, min(len(w), 8) + 1))
+    return {stem for stem, n in seen.items() if n > 1}
 
 
 def pick_landmarks(texts: list[str], labels: np.ndarray, toxic: int = 48, other: int = 64, least_z: float = 3.5) -> Kernel:
-    """Words typical of toxic texts, unlike one another, and the others' words nearest to them."""
+    """Words and stems typical of toxic texts, unlike one another, and the others' words nearest to them."""
     seen = (Counter(), Counter())
+    twice = (Counter(), Counter())
     for text, label in zip(texts, labels, strict=True):
-        seen[label].update({p for w in set(tokens(text)) for p in parts(clean(w)) if len(p) >= ORDER})
+        words = [p for w in tokens(text) for p in parts(clean(w)) if len(p) >= ORDER]
+        seen[label].update(set(words))
+        twice[label].update(stems(words))
     n = np.maximum(np.bincount(labels, minlength=2), 1)
-    scored = []
-    for word, hits in seen[1].items():
-        p, q = hits / n[1], (seen[0][word] + 0.5) / n[0]
-        z = (p - q) / np.sqrt(p / n[1] + q / n[0])
-        if hits >= 3 and p > 4 * q and z >= least_z:
-            scored.append((z, word))
-    ranked = [w for _, w in sorted(scored, reverse=True)[:400]]
+    scored = {}
+    for counts in (seen, twice):
+        for word, hits in counts[1].items():
+            p, q = hits / n[1], (counts[0][word] + 0.5) / n[0]
+            z = (p - q) / np.sqrt(p / n[1] + q / n[0])
+            if hits >= 3 and p > 4 * q and z >= least_z:
+                scored[word] = max(z, scored.get(word, 0.0))
+    ranked = sorted(scored, key=lambda w: (-round(scored[w], 6), -len(w), w))[:400]
     among = Kernel(ranked, len(ranked)).values(ranked, floor=0.0)
     out: list[str] = []
     taken: list[int] = []
@@ -260,9 +287,10 @@ def pick_landmarks(texts: list[str], labels: np.ndarray, toxic: int = 48, other:
         if len(out) < toxic and (not taken or word not in among or among[word][taken].max() < 0.55):
             out.append(word)
             taken.append(k)
-    common = tuple(w for w in out if seen[1][w] >= max(3, COMMON * n[1]))
+    common = tuple(w for w in out if max(seen[1][w], twice[1][w]) >= max(3, COMMON * n[1]))
     near = Kernel(out, len(out), common).values([w for w in seen[0] if w not in out])
-    return Kernel(out + sorted(near, key=lambda w: (-float(near[w].max()), w))[:other], len(out), common)
+    kernel = Kernel(out + sorted(near, key=lambda w: (-float(near[w].max()), w))[:other], len(out), common)
+    return kernel
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 50.0, steps: int = 60) -> tuple[np.ndarray, float]:
@@ -282,19 +310,23 @@ def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 50.0, steps: int = 60) -
     return v[:-1], float(v[-1])
 
 
-def fit_curve(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic curve through the margins (regularised targets, Newton steps); rising at least gently."""
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """Logistic curve over the columns of x, the last of which is 1 (regularised targets, balanced classes, Newton steps)."""
     pos, neg = (y > 0).sum(), (y < 0).sum()
     target = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
-    weight = np.where(y > 0, 1 / max(pos, 1), 1 / max(neg, 1))
-    v = np.array([2.0, 0.0])
-    a = np.stack([margin, np.ones_like(margin)], axis=1)
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a @ v, -35, 35)))
-        g = a.T @ (weight * (p - target)) + 1e-3 * (v - [2.0, 0.0])
-        h = (a * (weight * p * (1 - p))[:, None]).T @ a + 1e-3 * np.eye(2)
-        v = v - np.linalg.solve(h, g)
-    return max(float(v[0]), 0.1), float(v[1])
+    weight = np.where(y > 0, 0.5 / max(pos, 1), 0.5 / max(neg, 1)) * len(y)
+    hold = np.diag(np.append(np.full(x.shape[1] - 1, ridge), 1e-3))
+    v = np.zeros(x.shape[1])
+    v[0] = 1.0
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ v, -35, 35)))
+        g = x.T @ (weight * (p - target)) + hold @ v
+        h = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + hold
+        step = np.linalg.solve(h, g)
+        v = v - step / max(1.0, float(np.abs(step).max()))
+        if np.abs(step).max() < 1e-8:
+            break
+    return v
 
 
 def train(texts: list[str], labels: list[int]) -> Model:
@@ -307,14 +339,12 @@ def train(texts: list[str], labels: list[int]) -> Model:
     value, vector = np.linalg.eigh((gram + gram.T) / 2 + 0.01 * np.eye(m))
     whiten = (vector / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
     model = Model(kernel, np.zeros(m))
-    found = model.sentences(texts)
-    held = np.arange(len(y)) % 4 == 0
-    if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held[:] = True
+    found, counts = model.sentences(texts)
+    fold = np.arange(len(y)) % 4
 
-    made = [v for w in kernel.common for v in variants(w)]
-    known = kernel.values(made)
-    made = [known[v] for v in made if v in known]
+    made = [(w, v) for w in kernel.common for v in variants(w)]
+    known = kernel.values([v for _, v in made])
+    made = [(w, known[v]) for w, v in made if v in known]
 
     def fit_on(pick: np.ndarray, made: list[np.ndarray]) -> None:
         x, sign = [np.zeros(m)] * 20, [-1.0] * 20  # plain sentences
@@ -326,10 +356,28 @@ def train(texts: list[str], labels: list[int]) -> Model:
         weight, model.bias = fit_svm(np.array(x) @ whiten, np.array(sign))
         model.weight = whiten @ weight
 
-    fit_on(~held if not held.all() else held, [v for k, v in enumerate(made) if k % 4])
-    back = [f for f, h in zip(found, held, strict=True) if h] + [[v] for v in made[::4]]
-    model.slope, model.shift = fit_curve(model.margins(back), np.append(2.0 * y[held] - 1, np.ones(len(made[::4]))))
-    fit_on(np.ones(len(y), bool), made)
+    # insults that plain texts don't hold tell enough alone, in a text of usual length
+    plain = (counts[y == 0, : kernel.toxic] > 0).mean(axis=0)
+    pure = {w for j, w in enumerate(kernel.landmarks[: kernel.toxic]) if plain[j] < 0.1 * max((counts[y == 1, j] > 0).mean(), 1e-9) and plain[j] < 0.005}
+    alone = [(w, v) for w, v in made if w in pure]
+    usual = float(np.median(counts[:, -1]))
+    rows, sign = [], []
+    for k in range(4):
+        own = fold == k
+        if len(set(y[own])) < 2 or len(set(y[~own])) < 2:
+            own[:] = True
+        fit_on(~own if not own.all() else own, [v for n, (_, v) in enumerate(made) if n % 4 != k])
+        rows.append(evidence(model.margins([f for f, o in zip(found, own, strict=True) if o]), counts[own]))
+        sign.append(2.0 * y[own] - 1)
+        single = [v for n, (_, v) in enumerate(alone) if n % 16 == k]
+        if single:
+            one = np.zeros((len(single), kernel.toxic + 1))
+            one[np.arange(len(single)), [int(v[: kernel.toxic].argmax()) for v in single]] = 1
+            one[:, -1] = usual
+            rows.append(evidence(model.margins([[v] for v in single]), one))
+            sign.append(np.ones(len(single)))
+    model.curve = fit_curve(np.vstack(rows), np.concatenate(sign))
+    fit_on(np.ones(len(y), bool), [v for _, v in made])
     return model
 
 
