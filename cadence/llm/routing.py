@@ -90,7 +90,7 @@ def copies(dealt: DataFrame) -> DataFrame:
     return marks.join(least.hint("merge"), "digest").where("copy_id > least").select("_group", "copy_id", "copy_sig")
 
 
-def _answers(group_rows: DataFrame, copy_rows: DataFrame, *names: str) -> DataFrame:
+def answers_and_copies(group_rows: DataFrame, copy_rows: DataFrame, *names: str) -> DataFrame:
     """Answers for document groups and the copies among them, as one table."""
     return group_rows.select("_group", *names, F.lit(None).cast("long").alias("copy_id"), F.lit(None).cast("long").alias("copy_sig")).union(
         copy_rows.select("_group", *(F.lit(None).cast("binary").alias(n) for n in names), "copy_id", "copy_sig")
@@ -101,22 +101,22 @@ def _is_copy(docs: pa.RecordBatch, texts: list[bytes], known: set[tuple[int, int
     return np.array([(d, zlib.crc32(t)) in known for d, t in zip(docs.column("doc_id").to_pylist(), texts, strict=True)], bool)
 
 
-def _copies_of(answers: pa.Table) -> set[tuple[int, int]]:
+def copies_of(answers: pa.Table) -> set[tuple[int, int]]:
     got = zip(answers.column("copy_id").to_pylist(), answers.column("copy_sig").to_pylist(), strict=True)
     return {x for x in got if x[0] is not None}
 
 
-def _filled(answers: pa.Table, name: str) -> list[bytes]:
+def filled(answers: pa.Table, name: str) -> list[bytes]:
     return [x for x in answers.column(name).to_pylist() if x is not None]
 
 
-def told(grouped_docs: DataFrame, copy_rows: DataFrame, units: Units, sizes: Sizes) -> DataFrame:
-    """(group, docs, keys): the anchors that stand in two or more documents, by document group."""
-    n_parts, n_groups = sizes.parts, sizes.groups
+def sent(grouped_docs: DataFrame, copy_rows: DataFrame, units: Units, sizes: Sizes) -> DataFrame:
+    """(part, docs, keys): all anchors with their owners, dealt out by anchor."""
+    n_parts = sizes.parts
 
     def send(docs: pa.Table, answers: pa.Table) -> pa.Table:
         keys, owners = [np.zeros(0, U)], [np.zeros(0, "<i8")]
-        known = _copies_of(answers)
+        known = copies_of(answers)
         for batch in docs.select(["doc_id", "text"]).to_batches():
             for piece in slices(batch, "text", 600_000):
                 ids, texts = piece.column("doc_id"), texts_of(piece)
@@ -132,18 +132,30 @@ def told(grouped_docs: DataFrame, copy_rows: DataFrame, units: Units, sizes: Siz
         rows = [(int(p[0]), o.tobytes(), k.view(np.uint8).reshape(-1, 8)[:, :6].tobytes()) for p, o, k in zip(np.split(part, cut), np.split(owner, cut), np.split(key, cut), strict=True) if len(p)]
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "docs": pa.array([r[1] for r in rows], pa.binary()), "keys": pa.array([r[2] for r in rows], pa.binary())})
 
+    return grouped_docs.groupBy("_group").cogroup(copy_rows.groupBy("_group")).applyInArrow(tidy(send), "part int, docs binary, keys binary")
+
+
+def met(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor, owner) of the anchors that two different documents have, by anchor."""
+    owner = np.concatenate([np.frombuffer(x, "<i8") for x in rows.column("docs").to_pylist()])
+    raw = np.concatenate([np.frombuffer(x, np.uint8) for x in rows.column("keys").to_pylist()]).reshape(-1, 6)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :6] = raw
+    key = wide.view("<u8").ravel()
+    order = np.argsort(key, kind="stable")
+    key, owner = key[order], owner[order]
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    shared = np.minimum.reduceat(owner, start) != np.maximum.reduceat(owner, start)
+    pick = np.repeat(shared, np.diff(np.append(start, len(key))))
+    return key[pick], owner[pick]
+
+
+def told(grouped_docs: DataFrame, copy_rows: DataFrame, units: Units, sizes: Sizes) -> DataFrame:
+    """(group, docs, keys): the anchors that stand in two or more documents, by document group."""
+    n_groups = sizes.groups
+
     def meet(rows: pa.Table) -> pa.Table:
-        owner = np.concatenate([np.frombuffer(x, "<i8") for x in rows.column("docs").to_pylist()])
-        raw = np.concatenate([np.frombuffer(x, np.uint8) for x in rows.column("keys").to_pylist()]).reshape(-1, 6)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :6] = raw
-        key = wide.view("<u8").ravel()
-        order = np.argsort(key, kind="stable")
-        key, owner = key[order], owner[order]
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        shared = np.minimum.reduceat(owner, start) != np.maximum.reduceat(owner, start)
-        pick = np.repeat(shared, np.diff(np.append(start, len(key))))
-        key, owner = key[pick], owner[pick]
+        key, owner = met(rows)
         group = group_of(owner, n_groups)
         order = np.argsort(group, kind="stable")
         key, owner, group = key[order], owner[order], group[order]
@@ -151,8 +163,7 @@ def told(grouped_docs: DataFrame, copy_rows: DataFrame, units: Units, sizes: Siz
         got = [(int(g[0]), o.tobytes(), k.tobytes()) for g, o, k in zip(np.split(group, cut), np.split(owner, cut), np.split(key, cut), strict=True) if len(g)]
         return pa.table({"_group": pa.array([g[0] for g in got], pa.int32()), "docs": pa.array([g[1] for g in got], pa.binary()), "keys": pa.array([g[2] for g in got], pa.binary())})
 
-    sent = grouped_docs.groupBy("_group").cogroup(copy_rows.groupBy("_group")).applyInArrow(tidy(send), "part int, docs binary, keys binary")
-    return sent.groupBy("part").applyInArrow(tidy(meet), "_group int, docs binary, keys binary")
+    return sent(grouped_docs, copy_rows, units, sizes).groupBy("part").applyInArrow(tidy(meet), "_group int, docs binary, keys binary")
 
 
 #: Stretches packed by shard: doc_id, text checksum, first unit and number of windows of each, its size and its bytes.
@@ -271,24 +282,38 @@ class Piece:
 
     own: np.ndarray
     sig: np.ndarray
-    runs: spans.Runs
     first: np.ndarray
     data: np.ndarray
-    start: np.ndarray | None
-    codes: np.ndarray | None
-    values: np.ndarray | None
+    start: np.ndarray | None = None
+    values: np.ndarray | None = None
+    runs: spans.Runs | None = None
 
-    @classmethod
-    def of(cls, batch: pa.RecordBatch, known: set[tuple[int, int]], units: Units) -> Piece:
+    @staticmethod
+    def _texts(batch: pa.RecordBatch, known: set[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Ids, checksums and texts; a copy counts as empty."""
         texts = texts_of(batch)
         sig = np.array([zlib.crc32(t) for t in texts], "<u4")
         ids = batch.column("doc_id").to_pylist()
-        texts = [b"" if (d, s) in known else t for d, s, t in zip(ids, sig.tolist(), texts, strict=True)]
+        return np.array(ids, "<i8"), sig, [b"" if (d, s) in known else t for d, s, t in zip(ids, sig.tolist(), texts, strict=True)]
+
+    @classmethod
+    def of(cls, batch: pa.RecordBatch, known: set[tuple[int, int]], units: Units) -> Piece:
+        """With the runs of its bytes or words."""
+        ids, sig, texts = cls._texts(batch, known)
         runs, data, w, first = units.runs(texts)
         if w is None:
-            return cls(np.array(ids, "<i8"), sig, runs, first, data, None, None, None)
+            return cls(ids, sig, first, data, runs=runs)
         plain, start = spans.single_spaced(data, w)
-        return cls(np.array(ids, "<i8"), sig, runs, first, plain, start, (w.hash >> U(48)).astype("<u2"), w.hash)
+        return cls(ids, sig, first, plain, start, w.hash, runs)
+
+    @classmethod
+    def words(cls, batch: pa.RecordBatch, known: set[tuple[int, int]]) -> Piece:
+        """Its words alone."""
+        ids, sig, texts = cls._texts(batch, known)
+        j = spans.join(texts)
+        w = spans.words(j)
+        plain, start = spans.single_spaced(j.data, w)
+        return cls(ids, sig, w.first, plain, start, w.hash)
 
     def stretches(self, doc: np.ndarray, lo: np.ndarray, hi: np.ndarray, window: int) -> tuple[Stretches, np.ndarray]:
         """The windows lo .. hi of each, and a hash of their bytes."""
@@ -298,84 +323,59 @@ class Piece:
         key = spans.range_hash(spans.prefix_hash(spans._BYTE[self.data] if self.values is None else self.values), lo, hi + window)
         return Stretches(self.own[doc], self.sig[doc], lo - self.first[doc], (hi - lo + 1).astype("<i4"), (b - a).astype("<i4"), body), key
 
-    def letters(self, a: int, b: int) -> str:
-        """Words a .. b as the automaton reads them: two letters each, of 256 by the word's hash.
-
-        So a node has few branches; phrases of the same letters only add a place to compare."""
-        return self.codes[a:b].tobytes().decode("latin-1")
-
-    def hits(self, automaton, units: Units) -> tuple[np.ndarray, ...]:
-        """(text, lo, hi, anchor key) of the windows that have their anchor where the automaton finds a phrase.
-
-        Any other window around such a place has another anchor, and is found there if that is told."""
-        ends = (end for end, _ in automaton.iter(self.letters(0, len(self.codes))) if end & 1)
-        at = np.fromiter(ends, np.int64) // 2 - units.gram + 1
-        k = np.searchsorted(self.runs.at, at)  # anchors ascend
-        k = k[(k < len(self.runs.at)) & (self.runs.at[np.minimum(k, len(self.runs.at) - 1)] == at)] if len(at) else at
-        return self.runs.doc[k], self.runs.lo[k], self.runs.hi[k], self.runs.key[k] >> U(16)
-
 
 def candidates(grouped_docs: DataFrame, told_rows: DataFrame, copy_rows: DataFrame, units: Units, sizes: Sizes) -> DataFrame:
-    """Stretches for their shards, as rows of CANDIDATE.
-
-    Bytes: the told runs. Words: the told phrases of a group of documents make up an
-    Aho-Corasick automaton over words; all documents of the group stream through it, and each
-    place it finds gives the stretch of windows anchored there. A stretch that a smaller doc_id of the
-    same group holds too is decided on the spot: it goes to a negative shard, without its text,
-    so a passage that stands in very many documents sends one text per group to its shard.
-    """
-    n_shards, window, gram = sizes.shards, units.window, units.gram
+    """The told runs as stretches for their shards, as rows of CANDIDATE."""
 
     def emit(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        rows: list[tuple] = []
-        blocks = _filled(answers, "docs")
-        if blocks and docs.num_rows:
-            known = _copies_of(answers)
-            owner = np.concatenate([np.frombuffer(x, "<i8") for x in blocks])
-            key = np.concatenate([np.frombuffer(x, "<u8") for x in _filled(answers, "keys")])
-            wanted = np.unique(key ^ spans.mix(owner.view(U)))
-            pieces = [Piece.of(part, known, units) for batch in docs.select(["doc_id", "text"]).to_batches() for part in slices(batch, "text", 600_000)]
-            parts, keys, shards = [], [], []
-            for piece, (doc, lo, hi, at) in zip(pieces, _places(pieces, wanted), strict=True):
-                if len(doc):
-                    got, body_key = piece.stretches(doc, lo, hi, window)
+        blocks = filled(answers, "docs")
+        if not blocks or not docs.num_rows:
+            return as_candidates([], [], [], sizes)
+        known = copies_of(answers)
+        owner = np.concatenate([np.frombuffer(x, "<i8") for x in blocks])
+        key = np.concatenate([np.frombuffer(x, "<u8") for x in filled(answers, "keys")])
+        wanted = np.unique(key ^ spans.mix(owner.view(U)))
+        parts, keys, shards = [], [], []
+        for batch in docs.select(["doc_id", "text"]).to_batches():
+            for part in slices(batch, "text", 600_000):
+                piece = Piece.of(part, known, units)
+                k = those(piece, wanted)
+                if len(k):
+                    at = piece.runs.key[k] >> U(16)
+                    got, body_key = piece.stretches(piece.runs.doc[k], piece.runs.lo[k], piece.runs.hi[k], units.window)
                     parts.append(got)
                     keys.append(body_key ^ at)
-                    shards.append((at % U(n_shards)).astype(np.int32))
-            if parts:
-                whole, shard = Stretches.join(parts), np.concatenate(shards)
-                here = whole.held_before(np.concatenate(keys))
-                rows = whole.take(np.flatnonzero(~here)).packed(shard[~here])
-                if here.any():
-                    told_off = whole.take(np.flatnonzero(here))
-                    told_off.size, told_off.body = np.zeros(len(told_off), "<i4"), np.zeros(0, np.uint8)
-                    rows += told_off.packed(np.full(len(told_off), -1 - int(told_off.doc[0]) % 1_000_003, np.int32))
-        return pa.table({f: pa.array([r[k] for r in rows], pa.binary() if k else pa.int32()) for k, f in enumerate(_FIELDS)})
-
-    def _places(pieces: list[Piece], wanted: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-        told_runs = []
-        for piece in pieces:
-            code = (piece.runs.key >> U(16)) ^ spans.mix(piece.own.view(U))[piece.runs.doc]
-            spot = np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)
-            told_runs.append(np.flatnonzero(wanted[spot] == code))
-        if not units.words:
-            return [(p.runs.doc[k], p.runs.lo[k], p.runs.hi[k], p.runs.key[k] >> U(16)) for p, k in zip(pieces, told_runs, strict=True)]
-        import ahocorasick
-
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for piece, k in zip(pieces, told_runs, strict=True):
-            _, one = np.unique(piece.runs.key[k], return_index=True)
-            for p in piece.runs.at[k[one]].tolist():
-                automaton.add_word(piece.letters(p, p + gram))
-        if not len(automaton):
-            return [(np.zeros(0, np.int64),) * 4 for _ in pieces]
-        automaton.make_automaton()
-        return [piece.hits(automaton, units) for piece in pieces]
-
-    right = _answers(told_rows, copy_rows, "docs", "keys")
+                    shards.append(at)
+        return as_candidates(parts, keys, shards, sizes)
+
+    right = answers_and_copies(told_rows, copy_rows, "docs", "keys")
     return grouped_docs.groupBy("_group").cogroup(right.groupBy("_group")).applyInArrow(tidy(emit), CANDIDATE)
 
 
+def those(piece: Piece, wanted: np.ndarray) -> np.ndarray:
+    """The runs of a piece whose owner and anchor are wanted."""
+    code = (piece.runs.key >> U(16)) ^ spans.mix(piece.own.view(U))[piece.runs.doc]
+    return np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)] == code)
+
+
+def as_candidates(parts: list[Stretches], keys: list[np.ndarray], routes: list[np.ndarray], sizes: Sizes) -> pa.Table:
+    """Rows of CANDIDATE for a group's stretches; routes: what each is dealt out by, keys: a hash that equal ones share.
+
+    A stretch that a smaller doc_id of the group holds too is decided on the spot: it goes to a
+    negative shard, without its text, so a passage that stands in very many documents sends one
+    text per group to its shard."""
+    rows: list[tuple] = []
+    if parts:
+        whole, shard = Stretches.join(parts), (np.concatenate(routes) % U(sizes.shards)).astype(np.int32)
+        here = whole.held_before(np.concatenate(keys))
+        rows = whole.take(np.flatnonzero(~here)).packed(shard[~here])
+        if here.any():
+            told_off = whole.take(np.flatnonzero(here))
+            told_off.size, told_off.body = np.zeros(len(told_off), "<i4"), np.zeros(0, np.uint8)
+            rows += told_off.packed(np.full(len(told_off), -1 - int(told_off.doc[0]) % 1_000_003, np.int32))
+    return pa.table({f: pa.array([r[k] for r in rows], pa.binary() if k else pa.int32()) for k, f in enumerate(_FIELDS)})
+
+
 def window_ranks(units: np.ndarray, window: int, starts: np.ndarray) -> np.ndarray:
     """Order-preserving numbers of the `window` units from each start on, by prefix multiplying.
 
@@ -464,8 +464,8 @@ def applied(wide: DataFrame, dealt: DataFrame, removed_rows: DataFrame, copy_row
         return [pa.array([r[k] for r in rows], t) for k, t in enumerate(results.values())]
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        known = _copies_of(answers)
-        got = np.concatenate([np.zeros(0, REMOVED), *(np.frombuffer(x, REMOVED) for x in _filled(answers, "runs"))])
+        known = copies_of(answers)
+        got = np.concatenate([np.zeros(0, REMOVED), *(np.frombuffer(x, REMOVED) for x in filled(answers, "runs"))])
         got = got[np.lexsort((got["sig"], got["doc"]))]
         rows = []
         for doc_id, text in zip(docs.column("doc_id").to_pylist(), docs.column("text").cast(pa.binary()).to_pylist(), strict=True):
@@ -485,6 +485,6 @@ def applied(wide: DataFrame, dealt: DataFrame, removed_rows: DataFrame, copy_row
                 yield pa.RecordBatch.from_arrays([*part.columns, *made([cut(t, None) for t in texts_of(part)])], [*keep, *results])
 
     both = StructType([*wide.schema.fields, *StructType.fromDDL(schema).fields])
-    right = _answers(removed_rows, copy_rows, "runs")
+    right = answers_and_copies(removed_rows, copy_rows, "runs")
     done = dealt.groupBy("_group").cogroup(right.groupBy("_group")).applyInArrow(tidy(run), both)
     return done.union(wide.where("doc_id is null").mapInArrow(tidy(whole), both))

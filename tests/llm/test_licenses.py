@@ -37,6 +37,6 @@ def test_nulls_long_texts_clashing_names_and_no_rows(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {(r.doc_id, r.n_words): r for r in licenses.scan_documents(df.selectExpr("*", "1 AS spans", "2 AS labels", "3 AS score")).collect()}
     assert got[None, 2].labels == "mit" and got[1, 0].labels == "" and got[1, 0].score == 0 and got[1, 0].first_word is None
-    assert got[3, 120_011].labels == "bsd" and got[3, 120_011].spans[0].first == 120_000
+    assert got[3, 120_012].labels == "bsd" and got[3, 120_012].spans[0].first == 120_000
     assert (got[4, 4].n_base, got[4, 4].first_word, got[4, 4].last_word) == (2, 0, 2)
     assert licenses.scan_documents(df).count() == 6 and licenses.scan_documents(df.limit(0)).collect() == []

@@ -137,3 +137,26 @@ def test_texts_above_the_slice_limit(spark):
 def test_no_rows(docs):
     assert passages.remove_passages(docs.where("doc_id = -1")).count() == 0
     assert suffix.remove_strings(docs.where("doc_id = 401")).collect()[0].n_bytes == 0
+
+
+def test_places_come_from_the_automaton_alone(spark):
+    shared = [f"s{k}" for k in range(60)]
+    docs = [(k, " ".join([f"a{k}x{n}" for n in range(40)] + shared + [f"b{k}x{n}" for n in range(40)])) for k in range(4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    gone = lambda **how: {r.doc_id: r.n_removed for r in passages.remove_passages(df, **how).collect()}
+    assert gone() == {0: 0, 1: 60, 2: 60, 3: 60}
+
+    def without(phrases, gram):
+        from cadence.llm import passages
+
+        return passages.automaton_of([], gram)
+
+    assert gone(build=without) == {0: 0, 1: 0, 2: 0, 3: 0}
+
+    def astray(phrases, gram):
+        """The automaton of other phrases finds other places."""
+        from cadence.llm import passages
+
+        return passages.automaton_of([b" ".join(reversed(p.split())) + b" " for p in phrases], gram)
+
+    assert gone(build=astray) == {0: 0, 1: 0, 2: 0, 3: 0}
