@@ -141,7 +141,7 @@ def shape_search(read: DataFrame, names: list[str], labels: DataFrame, phase: st
     """Every feature with every shape, scored on all onsets of `phase` and ranked.
 
     read: series (one per clip and feature), clip, feature, i, shape. A shape's next stretch is a
-    column of its own, so the samples are never multiplied by the shapes."""
+    column of its own; only the samples that are an onset's anchor are laid out by shape."""
     ahead = Window.partitionBy("clip", "feature").orderBy(F.col(ORDER).desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = F.max(ORDER).over(Window.partitionBy("clip", "feature"))
     out = read
@@ -153,9 +153,37 @@ def shape_search(read: DataFrame, names: list[str], labels: DataFrame, phase: st
         hit = F.coalesce(F.col("shape") == name, F.lit(False))
         out = out.withColumn(f"_s{k}", F.last(F.when(hit, F.struct(F.col(ORDER).alias("a"), F.col(f"_e{k}").alias("b"))), True).over(ahead))
     both = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"_s{k}").alias("s")) for k, n in enumerate(names))))
-    places = out.select("clip", "feature", F.col(ORDER).alias("anchor"), both.alias("x")).select("clip", "feature", "anchor", F.col("x.name").alias("shape"), F.col("x.s.a").alias("a"), F.col("x.s.b").alias("b"))
     onsets = anchored(labels, phase, back).select(F.col(KEY).alias("clip"), "truth", "anchor")
-    m = matched(onsets.join(places, ["clip", "anchor"]), tolerance)
+    asked = out.withColumnRenamed(ORDER, "anchor").join(onsets, ["clip", "anchor"])
+    places = asked.select("clip", "feature", "truth", "anchor", both.alias("x")).select("clip", "feature", "truth", "anchor", F.col("x.name").alias("shape"), F.col("x.s.a").alias("a"), F.col("x.s.b").alias("b"))
+    m = matched(places, tolerance)
     near = lambda c: F.count_if(F.coalesce(F.abs(c) <= tolerance, F.lit(False)))
     worst = lambda c: F.when(F.count(c) == F.count("*"), F.max(F.abs(c)))  # noqa: E731  NULL where an onset has no match
     return m.groupBy("feature", "shape").agg(F.count_if("contains").alias("contains"), F.count("*").alias("n"), near("start_error").alias("start_within"), near("centre_error").alias("centre_within"), worst("start_error").alias("worst_start"), worst("centre_error").alias("worst_centre"))
+
+
+def context_search(read: DataFrame, labels: DataFrame, phase: str, tolerance: float, contexts: tuple[str, ...], shapes: tuple[str, ...], back: int = 1) -> DataFrame:
+    """Every feature with every context (length, word) and every timing (side, shape), scored on each clip's onsets of `phase`.
+
+    A cue is: over the last `length` the feature was <word>, and its short shape of `side` is
+    <shape> now. (clip, feature, length, word, side, shape, contains, timed, n, worst); worst is
+    NULL where an onset has no match. read: clip, feature, i, words (map of length to word), forms
+    (map of side to shape). Samples become runs first; an onset takes the first run that ends at
+    or behind its anchor, a running value from the far end: no pairs of samples and onsets."""
+    cue = ["clip", "feature", "length", "word", "side", "shape"]
+    hits = read.select("clip", "feature", ORDER, F.explode("words").alias("length", "word"), "forms").select("clip", "feature", ORDER, "length", "word", F.explode("forms").alias("side", "shape")).where("word is not null and shape is not null")
+    run = F.col(ORDER) - F.row_number().over(Window.partitionBy(*cue).orderBy(ORDER))
+    runs = hits.withColumn("_r", run).groupBy(*cue, "_r").agg(F.min(ORDER).alias("a"), F.max(ORDER).alias("b")).drop("_r")
+    onsets = anchored(labels, phase, back).select(F.col(KEY).alias("clip"), "truth", "anchor")
+    sizes = read.select("clip", "feature", F.map_keys("words").alias("l"), F.map_keys("forms").alias("s")).distinct()
+    each = lambda names: F.explode(F.array(*map(F.lit, names)))
+    asked = onsets.join(sizes, "clip").withColumn("length", F.explode("l")).withColumn("side", F.explode("s")).withColumn("word", each(contexts)).withColumn("shape", each(shapes))
+    none = F.lit(None).cast("long")
+    both = runs.select(*cue, F.col("b").alias("at"), F.lit(0).alias("kind"), F.struct("a", "b").alias("run"), none.alias("truth")).union(
+        asked.select(*cue, "anchor", F.lit(1), F.lit(None).cast(f"struct<a:{dict(runs.dtypes)['a']},b:{dict(runs.dtypes)['b']}>"), "truth")
+    )
+    behind = Window.partitionBy(*cue).orderBy(F.desc("at"), "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("run", F.last("run", True).over(behind)).where("kind = 1").select(*cue, "truth", F.greatest("at", "run.a").alias("a"), F.col("run.b").alias("b"))
+    found = matched(found.withColumn("a", F.when(F.col("b").isNotNull(), F.col("a"))), tolerance)
+    worst = F.when(F.count("start_error") == F.count("*"), F.max(F.abs("start_error")))
+    return found.groupBy(*cue).agg(F.count_if("contains").alias("contains"), F.count_if(F.coalesce(F.abs("start_error") <= tolerance, F.lit(False))).alias("timed"), F.count("*").alias("n"), worst.alias("worst"))

@@ -67,13 +67,6 @@ def score(expected: DataFrame, actual: DataFrame, tolerance: float = 0.6, key: s
     return both.withColumn("error", off).withColumn("passed", F.coalesce(F.when(exact, off == 0).otherwise(F.abs(off) <= tolerance), F.lit(False)))
 
 
-def matches(labels: DataFrame, windows: DataFrame, tolerance: float = 0.6) -> DataFrame:
-    """Labels (clip, phase, nth, t) against windows (clip, phase, nth, a, b): contained, start and centre error."""
-    m = labels.join(windows, ["clip", "phase", "nth"], "left")
-    inside = (F.col("t") >= F.col("a") - tolerance) & (F.col("t") <= F.col("b") + tolerance)
-    return m.select("*", F.coalesce(inside, F.lit(False)).alias("contains"), (F.col("a") - F.col("t")).alias("start_error"), ((F.col("a") + F.col("b")) / 2 - F.col("t")).alias("centre_error"))
-
-
 def typed_number(raw: Column, path: str) -> tuple[Column, Column]:
     """(value, error) of a JSON field: a number and nothing else counts, not even a boolean."""
     doc = F.try_parse_json(raw)
@@ -84,11 +77,15 @@ def typed_number(raw: Column, path: str) -> tuple[Column, Column]:
 
 
 def zipped(a: DataFrame, b: DataFrame, key: str = "clip") -> DataFrame:
-    """(clip, n, apart): the n-th starts side by side, of clips where both sides have as many."""
-    w = Window.partitionBy(key).orderBy("time", "phase")
-    numbered = lambda df, name: df.select(key, F.col("time").alias(name), F.row_number().over(w).alias("n"), F.count("*").over(Window.partitionBy(key)).alias(f"n_{name}"))
-    both = numbered(a, "left").join(numbered(b, "right"), [key, "n"])
-    return both.where("n_left = n_right").select(key, "n", (F.col("right") - F.col("left")).alias("apart"))
+    """(clip, n, apart, error): the n-th starts side by side; a clip where one side has more is one row with the error."""
+    whole = Window.partitionBy(key)
+    both = a.select(key, "time", "phase", F.lit(0).alias("_s")).union(b.select(key, "time", "phase", F.lit(1)))
+    both = both.withColumn("n", F.row_number().over(Window.partitionBy(key, "_s").orderBy("time", "phase")))
+    both = both.withColumn("_l", F.count_if(F.col("_s") == 0).over(whole)).withColumn("_r", F.count_if(F.col("_s") == 1).over(whole))
+    apart = F.max(F.when(F.col("_s") == 1, F.col("time"))) - F.max(F.when(F.col("_s") == 0, F.col("time")))
+    even = both.where("_l = _r").groupBy(key, "n").agg(apart.alias("apart")).select(key, "n", "apart", F.lit(None).cast("string").alias("error"))
+    odd = both.where("_l <> _r").select(key, "_l", "_r").distinct()
+    return even.union(odd.select(key, F.lit(None).cast("int"), F.lit(None).cast("double"), F.format_string("%d against %d", "_l", "_r")))
 
 
 def report_line(tolerance: float, width: int) -> Column:
@@ -111,3 +108,23 @@ def banner(starts: DataFrame, cycles: DataFrame, instants: DataFrame, slack: flo
     idle = F.when(any_start, "LOOKING FOR DIG START").otherwise("NO PHASE FOUND")
     out = rows.withColumn("headline", F.coalesce(F.upper(now), idle)).withColumn("complete", F.count_if(F.col("kind") == 1).over(upto))
     return out.where("kind = 2").select("clip", (F.col("t") - slack).alias("t"), *names, "headline", "complete")
+
+
+def timers(starts: DataFrame, instants: DataFrame, slack: float = 1e-6) -> DataFrame:
+    """What a clock beside the banner shows at each instant (clip, t): the phase, how long it has run, and how long each phase has run in all.
+
+    A phase runs to the next start. All are running values over the union of instants and starts."""
+    names = [c for c in instants.columns if c not in ("clip", "t")]
+    blank = [F.lit(None).cast(instants.schema[c].dataType).alias(c) for c in names]
+    w = Window.partitionBy("clip").orderBy("time", "phase")
+    lasting = starts.select("clip", "time", "phase", F.lag("phase").over(w).alias("_before"), (F.col("time") - F.lag("time").over(w)).alias("_took"))
+    rows = instants.select("clip", (F.col("t") + slack).alias("t"), *names, F.lit(1).alias("_k"), F.lit(None).cast("string").alias("_p"), F.lit(None).cast("string").alias("_b"), F.lit(None).cast("double").alias("_took"))
+    rows = rows.union(lasting.select("clip", "time", *blank, F.lit(0), "phase", "_before", "_took"))
+    upto = Window.partitionBy("clip").orderBy("t", "_k", "_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    now = F.last(F.when(F.col("_k") == 0, F.struct(F.col("_p").alias("phase"), F.col("t").alias("since"))), True).over(upto)
+    out = rows.withColumn("_now", now)
+    for p in PHASES:  # what ended before, and what runs
+        ended = F.coalesce(F.sum(F.when((F.col("_k") == 0) & (F.col("_b") == p), F.col("_took"))).over(upto), F.lit(0.0))
+        out = out.withColumn(f"{p}_total", ended + F.when(F.col("_now.phase") == p, F.col("t") - slack - F.col("_now.since")).otherwise(0.0))
+    out = out.where("_k = 1").withColumn("t", F.col("t") - slack)
+    return out.select("clip", "t", *names, F.col("_now.phase").alias("phase"), (F.col("t") - F.col("_now.since")).alias("running_for"), *(f"{p}_total" for p in PHASES))

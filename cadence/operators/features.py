@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadence.functions.geometry import aspect_ratio, box, over_truck, overlap_fraction
@@ -60,3 +60,18 @@ def without_line(features: DataFrame) -> DataFrame:
     """(series, reason) of series that cannot be searched."""
     per = features.groupBy("series").agg(F.count("rel_truck_x").alias("n"), F.count_if((F.coalesce("over", F.lit(0.0)) <= 0) & F.col("height").isNotNull()).alias("off"))
     return per.select("series", F.when(F.col("n") == 0, "no truck").when(F.col("off") == 0, "no pile").alias("reason")).where("reason is not null")
+
+
+def checker_features(features: DataFrame, half: int, dt: float) -> DataFrame:
+    """The features that cues are checked on: those of `assemble`, with overlap read as standing over the truck.
+
+    Adds truck_box_overlap (the overlap of the boxes in the picture), dy_dt, d2x_dt2, the bucket
+    box's size, and the distance to the truck with its rate. Series without a truck are left
+    out; `without_line` names them."""
+    out = features.withColumn("truck_box_overlap", F.coalesce("truck_overlap", F.lit(0.0))).withColumn("truck_overlap", F.col("over"))
+    whole = F.col("bx1") - F.col("bx0"), F.col("by1") - F.col("by0")
+    out = out.withColumn("box_w", whole[0]).withColumn("box_h", whole[1]).withColumn("box_area", whole[0] * whole[1])
+    out = derivative(out, "dx_dt", "d2x_dt2", half, dt)
+    out = out.withColumn("truck_distance", F.hypot("rel_truck_x", "rel_truck_y"))
+    known = F.max(F.col("rel_truck_x").isNotNull()).over(Window.partitionBy("series"))
+    return derivative(out.withColumn("_known", known).where("_known").drop("_known"), "truck_distance", "truck_distance_dt", half, dt)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,9 +52,16 @@ def overlapping(left: DataFrame, right: DataFrame, bucket: float | None = None)
 
 
 def not_overlapping(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Intervals that overlap none of the others of their series."""
-    r = right.select(F.col(KEY).alias("_k"), F.col("a").alias("_a"), F.col("b").alias("_b"))
-    return left.join(r, (F.col(KEY) == F.col("_k")) & (F.col("a") <= F.col("_b")) & (F.col("b") >= F.col("_a")), "left_anti")
+    """Intervals that overlap none of the others of their series.
+
+    One that begins no later than mine ends overlaps me if the latest end of all such reaches my
+    beginning: a running value over the union, no range join."""
+    rest = [c for c in left.columns if c not in (KEY, "a", "b")]
+    mine = left.select(KEY, F.col("b").alias("_t"), F.lit(1).alias("_s"), F.struct("a", "b", *rest).alias("_row"), F.lit(None).cast(right.schema["b"].dataType).alias("_end"))
+    others = right.select(KEY, F.col("a").alias("_t"), F.lit(0).alias("_s"), F.lit(None).alias("_row"), F.col("b").alias("_end"))
+    upto = Window.partitionBy(KEY).orderBy("_t", "_s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = mine.unionByName(others).withColumn("_last", F.max("_end").over(upto)).where("_s = 1")
+    return met.where(F.col("_last").isNull() | (F.col("_last") < F.col("_row.a"))).select(KEY, "_row.*").select(*left.columns)
 
 
 def votes(samples: DataFrame, spans: DataFrame) -> DataFrame:
@@ -96,10 +101,6 @@ def widened(mode: Column, a: Column, b: Column, centre: Column, half: Column, le
     return F.greatest(lo, anchor), hi
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda x, y: x | y, conditions)
-
-
 def repeats_on_grid(samples: DataFrame, step: float, t: str = "t") -> DataFrame:
     """How many slots of a regular grid of `step` show each sample: those up to the next sample.
 

@@ -100,3 +100,12 @@ def reprocessed(rows: DataFrame, spans: DataFrame, again: DataFrame, most: int =
     first = spans.withColumn("_n", F.row_number().over(Window.partitionBy("series").orderBy("a"))).where(F.col("_n") <= most)
     inside = first.select("series", F.explode(F.sequence("a", "b")).alias("i")).withColumn("_in", F.lit(True))
     return rows.join(inside, ["series", "i"], "left").join(again.select("series", "i", F.col("v").alias("_new")), ["series", "i"], "left").select("series", "i", F.when(F.col("_in"), F.coalesce("_new", "v")).otherwise(F.col("v")).alias("v"), F.coalesce("_in", F.lit(False)).alias("redone"))
+
+
+def stability(boxes: DataFrame, half: int) -> DataFrame:
+    """How much each edge moves around a frame: deviation (of the whole window) and range over 2 * half + 1 frames."""
+    w = Window.partitionBy("clip").orderBy("sample").rowsBetween(-half, half)
+    whole = F.count("*").over(w) == 2 * half + 1
+    edges = ("x0", "y0", "x1", "y1")
+    deviation = [F.when(whole, F.stddev_pop(c).over(w)).alias(f"{c}_deviation") for c in edges]
+    return boxes.select(*FRAME, *deviation, *(F.when(whole, F.max(c).over(w) - F.min(c).over(w)).cast("double").alias(f"{c}_range") for c in edges))

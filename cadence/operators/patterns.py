@@ -45,6 +45,20 @@ def big_drops(df: DataFrame, v: str = "v", rest: float = 0.1, least: float = 0.5
     return out.where(F.col("steepest").isNotNull() & (F.col("drop") >= least * F.col("spread")) & (F.col("bottom") - F.col("onset") <= longest)).select(KEY, "onset", "steepest", "bottom", "drop")
 
 
+def drop_hits(rows: DataFrame, drops: DataFrame) -> DataFrame:
+    """Every sample (series, i), with `hit` where a drop sets on."""
+    onsets = drops.select(KEY, F.col("onset").alias(ORDER), F.lit(True).alias("hit")).distinct()
+    return rows.select(KEY, ORDER).join(onsets, [KEY, ORDER], "left").select(KEY, ORDER, F.coalesce("hit", F.lit(False)).alias("hit"))
+
+
+def one_of_each_start(*spans: DataFrame) -> DataFrame:
+    """Stretches of several kinds; of those that begin together the longest."""
+    both = spans[0].select(KEY, "a", "b")
+    for other in spans[1:]:
+        both = both.union(other.select(KEY, "a", "b"))
+    return both.groupBy(KEY, "a").agg(F.max("b").alias("b"))
+
+
 def knee(direction: str, turn: str = "take-off", flat: float = FLAT, steep: float = 0.25) -> Column:
     """Flat, then steep (take-off), or steep, then flat (landing). Needs `before` and `after`."""
     sign = 1 if direction == "rising" else -1

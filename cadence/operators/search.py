@@ -47,8 +47,10 @@ def movement_start(df: DataFrame, windows: DataFrame, rate: str, noise: DataFram
 
     The peak is the largest rate; if it is within `sigma` noises nothing moved (NULL). The start
     follows the last sample before the peak whose rate is inside the band or unknown; without
-    one it is the window's first sample."""
-    rows = df.select(KEY, ORDER, F.col(rate).alias("_v")).join(windows, KEY).where(F.col(ORDER).between(F.col("a"), F.col("b"))).join(noise, KEY)
+    one it is the window's first sample. A window is laid out by its own samples, so the join is on
+    equal samples and each window costs its length."""
+    laid = windows.select(KEY, "a", "b", F.explode(F.sequence("a", "b")).alias(ORDER))
+    rows = df.select(KEY, ORDER, F.col(rate).alias("_v")).join(laid, [KEY, ORDER]).join(noise, KEY)
     per = Window.partitionBy(KEY, "a", "b")
     best = F.max(F.when(F.col("_v").isNotNull(), F.struct("_v", (-F.col(ORDER)).alias("n")))).over(per)
     rows = rows.withColumn("_p", best).withColumn("_apex", -F.col("_p.n"))

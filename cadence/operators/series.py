@@ -194,3 +194,20 @@ def probe(df: DataFrame, rate_hz: float, t: str = "t") -> DataFrame:
 def clock(sample_time: Column, sample_frame_time: Column, frame_time: Column) -> Column:
     """A frame's time on the samples' clock."""
     return sample_time + (frame_time - sample_frame_time)
+
+
+def decoupled(df: DataFrame, v: str, every: int, out: str) -> DataFrame:
+    """Adds what a slower instrument sees of `v`: every `every`-th sample, NULL in between."""
+    return df.withColumn(out, F.when(F.col(ORDER) % every == 0, F.col(v)))
+
+
+def spacing(df: DataFrame, t: str = "t", tolerance: float = 0.05) -> DataFrame:
+    """(series, spacing, spread, uniform, error): the median distance in time, and how far distances range around it.
+
+    A series whose times do not increase, or with a single sample, has an error and no spacing."""
+    gap = (F.col(t) - F.lag(t).over(along())).cast("double")
+    out = df.withColumn("_d", gap).groupBy(KEY).agg(F.median("_d").alias("m"), (F.max("_d") - F.min("_d")).alias("range"), F.count(F.lit(1)).alias("n"))
+    error = F.when(F.col("n") < 2, "fewer than two samples").when(F.col("m").isNull() | ~(F.col("m") > 0), "times do not increase")
+    good = error.isNull()
+    spread = F.when(good, F.try_divide("range", "m"))
+    return out.select(KEY, F.when(good, F.col("m")).alias("spacing"), spread.alias("spread"), (spread <= tolerance).alias("uniform"), error.alias("error"))

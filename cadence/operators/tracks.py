@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadence.functions.geometry import box, iou
+
 
 def missing(has_mask: str = "has_mask", confidence: str = "confidence", floor: float = 0.35) -> Column:
     """No mask, or a known confidence below the floor; an unknown confidence counts as present."""
@@ -12,6 +14,23 @@ def missing(has_mask: str = "has_mask", confidence: str = "confidence", floor: f
     return ~F.coalesce(F.col(has_mask), F.lit(False)) | F.coalesce(conf < floor, F.lit(False))
 
 
+def confident(value: Column, present: Column, confidence: Column, floor: float = 0.35) -> Column:
+    """The value where its sample can be trusted: NULL where it is there with a known confidence below the floor."""
+    doubted = present & F.coalesce(F.nanvl(confidence, F.lit(None).cast("double")) < floor, F.lit(False))
+    return F.when(~F.coalesce(doubted, F.lit(False)), value)
+
+
+def pairs(left: DataFrame, right: DataFrame, keys: list[str], most_iou: float = 0.3) -> DataFrame:
+    """Two objects' detections of one sample side by side: keys, iou, clean (hardly overlapping) and merged (at least that much).
+
+    Of equality both hold: a seed asks for less, a merged frame for as much or more."""
+    edges = ("x0", "y0", "x1", "y1")
+    a = left.select(*keys, *(F.col(c).alias(f"l_{c}") for c in edges))
+    both = a.join(right.select(*keys, *(F.col(c).alias(f"r_{c}") for c in edges)), keys)
+    value = iou(box("l_"), box("r_"))
+    return both.select(*keys, value.alias("iou"), (value <= most_iou).alias("clean"), (value >= most_iou).alias("merged"))
+
+
 def median_box(detections: DataFrame, key: str = "clip", most_iou: float = 0.3) -> DataFrame:
     """Edge-wise median of the boxes that hardly overlap the other object."""
     clean = detections.where(F.coalesce("iou", F.lit(0.0)) <= most_iou)

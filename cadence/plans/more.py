@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadence.functions import geometry as geo
-from cadence.operators import checks, cycles, machine, patterns, search, series
+from cadence.functions import scalars
+from cadence.operators import checks, cycles, machine, patterns, search, series, tracks
 from cadence.plans.registry import ORACLES, _CORE, _CYCLES, _PIX, _PLACES, SHAPE, W, _trend, big_drops, g, grid, pixels, places, query, r6, runs_sql, starts, trends
+from cadence.sources import records
 from cadence.sources.tables import load
 
 # ---- cue checks --------------------------------------------------------------------------------
@@ -71,8 +73,7 @@ def context_words(spark, d):
 @query("drop_hits", f"{g()}, dr AS ({ORACLES['big_drops']}) SELECT g.series, g.i, EXISTS (SELECT 1 FROM dr WHERE dr.series = g.series AND dr.onset = g.i) AS hit FROM g")
 def drop_hits(spark, d):
     """Every sample, marked where a big drop sets on."""
-    onsets = big_drops(spark, d).select("series", F.col("onset").alias("i"), F.lit(True).alias("hit")).distinct()
-    return grid(spark, d).join(onsets, ["series", "i"], "left").select("series", "i", F.coalesce("hit", F.lit(False)).alias("hit"))
+    return patterns.drop_hits(grid(spark, d), big_drops(spark, d))
 
 
 _NINE = [f"{a} then {b}" for a in patterns.WORDS for b in patterns.WORDS]
@@ -105,26 +106,23 @@ _SAMPLES = "s AS (SELECT CAST(o_custkey % 20 AS BIGINT) AS clip, o_orderkey AS s
 def build_records(spark, d):
     line, orders = load(spark, d, "lineitem"), load(spark, d, "orders")
     samples = orders.select((F.col("o_custkey") % 20).cast("long").alias("clip"), F.col("o_orderkey").alias("sample"))
-    per = lambda rows, *aggs: samples.join(rows.groupBy(F.col("l_orderkey").alias("sample")).agg(*aggs), "sample").select("clip", "sample", *[a._jc.toString().split(" AS ")[-1] for a in aggs])
-    area = F.sum("l_quantity").alias("area")
+    per = lambda rows, **aggs: samples.join(rows.groupBy(F.col("l_orderkey").alias("sample")).agg(*(v.alias(n) for n, v in aggs.items())), "sample").select("clip", "sample", *aggs)
+    area = F.sum("l_quantity")
     got = machine.build_records(
-        samples, per(line.where("l_returnflag = 'R'"), area), per(line.where("l_linenumber > 2"), F.avg("l_discount").alias("sam_confidence")),
-        per(line.where("l_returnflag = 'A'"), area, F.max("l_tax").alias("bucket_confidence")),
+        samples, per(line.where("l_returnflag = 'R'"), area=area), per(line.where("l_linenumber > 2"), sam_confidence=F.avg("l_discount")),
+        per(line.where("l_returnflag = 'A'"), area=area, bucket_confidence=F.max("l_tax")),
         orders.where("o_orderstatus = 'F'").select((F.col("o_custkey") % 20).cast("long").alias("clip"), F.col("o_orderkey").alias("sample"), F.col("o_totalprice").alias("detection_score")), 5000.0,
     )
     return got.select("clip", "sample", "has_mask", *r6("mask_share", "sam_confidence"), "has_bucket", *r6("bucket_share"), F.col("bucket_confidence").cast("double").alias("bucket_confidence"), F.col("detection_score").cast("double").alias("detection_score"))
 
 
-@query("truck_pairs", "WITH e AS (SELECT l_orderkey AS sample, max(l_quantity) AS x0, max(l_quantity) + 10 AS x1 FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1), t AS (SELECT l_orderkey AS sample, max(l_quantity) AS x0, max(l_quantity) + 10 AS x1 FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), p AS (SELECT sample, greatest(least(e.x1, t.x1) - greatest(e.x0, t.x0), 0) * 10.0 AS common FROM e JOIN t USING (sample)) SELECT sample, round(common / (200.0 - common), 6) AS iou, common / (200.0 - common) <= 0.3 AS clean FROM p")
+@query("truck_pairs", "WITH e AS (SELECT l_orderkey AS sample, max(l_quantity) AS x0, max(l_quantity) + 10 AS x1 FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1), t AS (SELECT l_orderkey AS sample, max(l_quantity) AS x0, max(l_quantity) + 10 AS x1 FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), p AS (SELECT sample, greatest(least(e.x1, t.x1) - greatest(e.x0, t.x0), 0) * 10.0 AS common FROM e JOIN t USING (sample)) SELECT sample, round(common / (200.0 - common), 6) AS iou, common / (200.0 - common) <= 0.3 AS clean, common / (200.0 - common) >= 0.3 AS merged FROM p")
 def truck_pairs(spark, d):
-    def side(flag, prefix):
-        rows = load(spark, d, "lineitem").where(F.col("l_returnflag") == flag).groupBy(F.col("l_orderkey").alias("sample")).agg(F.max("l_quantity").cast("double").alias("q"))
-        edges = (F.col("q"), F.lit(0.0), F.col("q") + 10, F.lit(10.0))
-        return rows.select("sample", *(e.alias(f"{prefix}{n}") for e, n in zip(edges, ("x0", "y0", "x1", "y1"), strict=True)))
+    def side(flag):
+        rows = load(spark, d, "lineitem").where(F.col("l_returnflag") == flag).groupBy(F.col("l_orderkey").alias("sample")).agg(F.max("l_quantity").cast("double").alias("x0"))
+        return rows.select("sample", "x0", F.lit(0.0).alias("y0"), (F.col("x0") + 10).alias("x1"), F.lit(10.0).alias("y1"))
 
-    both = side("N", "e_").join(side("R", "t_"), "sample")
-    value = geo.iou(geo.box("e_"), geo.box("t_"))
-    return both.select("sample", F.round(value, 6).alias("iou"), (value <= 0.3).alias("clean"))
+    return tracks.pairs(side("N"), side("R"), ["sample"]).select("sample", *r6("iou"), "clean", "merged")
 
 
 @query("box_spine", f"{_PIX}, b AS (SELECT clip, sample, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM px WHERE x > 40 GROUP BY 1, 2), s AS (SELECT DISTINCT clip, sample FROM px) SELECT clip, sample, x0, y0, x1, y1 FROM s LEFT JOIN b USING (clip, sample)")
@@ -213,7 +211,7 @@ def reseed_counts(spark, d):
 @query("confidence_filter", "SELECT o_orderkey, CASE WHEN NOT (o_orderstatus <> 'P' AND coalesce((o_orderkey % 100) / 100.0 < 0.35, false)) THEN CAST(o_totalprice AS DOUBLE) END AS signal FROM orders")
 def confidence_filter(spark, d):
     sure = F.col("o_orderkey") % 100 / 100.0
-    return load(spark, d, "orders").select("o_orderkey", F.when(~((F.col("o_orderstatus") != "P") & F.coalesce(sure < 0.35, F.lit(False))), F.col("o_totalprice").cast("double")).alias("signal"))
+    return load(spark, d, "orders").select("o_orderkey", tracks.confident(F.col("o_totalprice").cast("double"), F.col("o_orderstatus") != "P", sure).alias("signal"))
 
 
 @query("minmax_panel", f"{g()} SELECT series, i, round(CASE WHEN max(v) OVER p > min(v) OVER p THEN (v - min(v) OVER p) / (max(v) OVER p - min(v) OVER p) END, 6) AS scaled FROM g WINDOW p AS (PARTITION BY series)")
@@ -228,41 +226,36 @@ def probe(spark, d):
 
 @query("decoupled_rate", f"{g()} SELECT a.series, a.i, a.v, b.v AS detected FROM g a LEFT JOIN g b ON b.series = a.series AND b.i = a.i AND a.i % 10 = 0")
 def decoupled_rate(spark, d):
-    rows = grid(spark, d)
-    return rows.select("series", "i", "v", F.when(F.col("i") % 10 == 0, F.col("v")).alias("detected"))
+    return series.decoupled(grid(spark, d), "v", 10, "detected")
 
 
 @query("unknown_keys", "SELECT DISTINCT event_type AS key FROM events EXCEPT SELECT unnest(['view', 'click', 'scroll'])")
 def unknown_keys(spark, d):
-    known = spark.createDataFrame([("view",), ("click",), ("scroll",)], "key string")
-    return load(spark, d, "events").select(F.col("event_type").alias("key")).distinct().join(known, "key", "left_anti")
+    return records.unknown_names(load(spark, d, "events").select(F.col("event_type").alias("key")), ["view", "click", "scroll"])
 
 
 @query("shared_features", "SELECT event_type AS feature FROM events WHERE user_id % 5 = 0 INTERSECT SELECT event_type FROM events WHERE user_id % 7 = 1 INTERSECT SELECT event_type FROM events WHERE value > 90")
 def shared_features(spark, d):
     e = load(spark, d, "events")
     pick = lambda c: e.where(c).select(F.col("event_type").alias("feature"))
-    return pick("user_id % 5 = 0").intersect(pick("user_id % 7 = 1")).intersect(pick("value > 90"))
+    return records.shared_names([pick(c) for c in ("user_id % 5 = 0", "user_id % 7 = 1", "value > 90")])
 
 
 @query("deduped_runs", f"{g()}, {runs_sql('r', 'g', 'v > 50')}, {runs_sql('e', 'g', 'v > 40')} SELECT series, a, max(b) AS b FROM (SELECT series, a, b FROM r UNION ALL SELECT series, a, b FROM e) GROUP BY 1, 2")
 def deduped_runs(spark, d):
     rows = grid(spark, d)
-    both = patterns.runs(rows, F.col("v") > 50).union(patterns.runs(rows, F.col("v") > 40))
-    return both.groupBy("series", "a").agg(F.max("b").alias("b"))
+    return patterns.one_of_each_start(patterns.runs(rows, F.col("v") > 50), patterns.runs(rows, F.col("v") > 40))
 
 
 @query("scalar_math", "SELECT o_orderkey, round(1 / (1 + exp(-(o_orderkey % 21 - 10.0))), 6) AS sigmoid, round(degrees(atan2(o_orderkey % 13 - 6.0, o_orderkey % 11 - 5.0)), 6) AS angle, round(sqrt((o_orderkey % 13) ** 2 + (o_orderkey % 11) ** 2), 6) AS reach FROM orders")
 def scalar_math(spark, d):
     k = F.col("o_orderkey")
-    sigmoid = 0.5 * (1 + F.tanh((k % 21 - 10.0) / 2))
-    return load(spark, d, "orders").select("o_orderkey", F.round(sigmoid, 6).alias("sigmoid"), F.round(F.degrees(F.atan2(k % 13 - 6.0, k % 11 - 5.0)), 6).alias("angle"), F.round(F.hypot(k % 13, k % 11), 6).alias("reach"))
+    return load(spark, d, "orders").select("o_orderkey", F.round(scalars.sigmoid(k % 21 - 10.0), 6).alias("sigmoid"), F.round(scalars.angle(k % 13 - 6.0, k % 11 - 5.0), 6).alias("angle"), F.round(scalars.reach(k % 13, k % 11), 6).alias("reach"))
 
 
 @query("prompt_text", "SELECT p_partkey, CASE WHEN lower(trim(p_name)) LIKE '%.' THEN lower(trim(p_name)) ELSE lower(trim(p_name)) || '.' END AS prompt, upper(p_brand) AS shout FROM part")
 def prompt_text(spark, d):
-    plain = F.lower(F.trim("p_name"))
-    return load(spark, d, "part").select("p_partkey", F.when(plain.endswith("."), plain).otherwise(F.concat(plain, F.lit("."))).alias("prompt"), F.upper("p_brand").alias("shout"))
+    return load(spark, d, "part").select("p_partkey", records.prompt_of(F.col("p_name")).alias("prompt"), F.upper("p_brand").alias("shout"))
 
 
 @query("sample_clock", "SELECT o_orderkey, round(o_orderkey / 10.0 + ((o_orderkey + 3) / 9.9 - o_orderkey / 9.9), 6) AS clock FROM orders")
@@ -282,14 +275,13 @@ def typed_fields(spark, d):
 @query("scene_lookup", "SELECT o_orderkey, CAST(s.x AS DOUBLE) AS pivot_x, CAST(s.scale AS DOUBLE) AS scale FROM orders LEFT JOIN (SELECT s_suppkey AS clip, s_suppkey % 17 + 0.5 AS x, s_suppkey % 5 + 1.0 AS scale FROM supplier WHERE s_suppkey % 3 > 0) s ON s.clip = o_custkey % 12")
 def scene_lookup(spark, d):
     scene = load(spark, d, "supplier").where("s_suppkey % 3 > 0").select(F.col("s_suppkey").alias("clip"), F.to_json(F.struct(F.array((F.col("s_suppkey") % 17 + 0.5).cast("double"), F.lit(0.0)).alias("pivot"), (F.col("s_suppkey") % 5 + 1.0).cast("double").alias("scale"))).alias("scene"))
-    found = load(spark, d, "orders").withColumn("clip", F.col("o_custkey") % 12).join(scene, "clip", "left").withColumn("s", F.from_json("scene", "pivot array<double>, scale double"))
-    return found.select("o_orderkey", F.col("s.pivot")[0].alias("pivot_x"), F.col("s.scale").alias("scale"))
+    return records.with_scene(load(spark, d, "orders").withColumn("clip", F.col("o_custkey") % 12), scene).select("o_orderkey", "pivot_x", "scale")
 
 
-@query("strict_zip", f"{_CYCLES}, a AS (SELECT clip, time, row_number() OVER (PARTITION BY clip ORDER BY time, phase) AS n FROM s), b AS (SELECT clip, time, row_number() OVER (PARTITION BY clip ORDER BY time, phase) AS n FROM s WHERE phase <> 'dumping'), cn AS (SELECT clip, count(*) AS na, count_if(phase <> 'dumping') AS nb FROM s GROUP BY 1) SELECT a.clip, a.n, round(b.time - a.time, 3) AS apart FROM a JOIN b USING (clip, n) JOIN cn USING (clip) WHERE na = nb")
+@query("strict_zip", f"{_CYCLES}, a AS (SELECT clip, time, row_number() OVER (PARTITION BY clip ORDER BY time, phase) AS n FROM s), b AS (SELECT clip, time, row_number() OVER (PARTITION BY clip ORDER BY time, phase) AS n FROM s WHERE phase <> 'dumping'), cn AS (SELECT clip, count(*) AS na, count_if(phase <> 'dumping') AS nb FROM s GROUP BY 1) SELECT a.clip, a.n, round(b.time - a.time, 3) AS apart, NULL AS error FROM a JOIN b USING (clip, n) JOIN cn USING (clip) WHERE na = nb UNION ALL SELECT clip, NULL, NULL, na || ' against ' || nb FROM cn WHERE na <> nb")
 def strict_zip(spark, d):
     rows = starts(spark, d)
-    return cycles.zipped(rows, rows.where("phase <> 'dumping'")).select("clip", "n", F.round("apart", 3).alias("apart"))
+    return cycles.zipped(rows, rows.where("phase <> 'dumping'")).select("clip", "n", F.round("apart", 3).alias("apart"), "error")
 
 
 @query("report_lines", "WITH r AS (SELECT o_orderkey AS k, CAST(o_orderkey % 7 AS DOUBLE) AS e, o_orderkey % 7 + (o_orderkey % 5 - 2) * 0.25 AS a FROM orders) SELECT k, printf('%-12s %9.3f %9.3f %+8.3f %s', 'field' || (k % 3), e, CAST(a AS DOUBLE), CAST(a - e AS DOUBLE), CASE WHEN abs(a - e) <= 0.3 THEN 'PASS' ELSE 'FAIL' END) AS line FROM r")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cadence.functions import geometry as geo
 from cadence.operators import cycles, intervals, masks, patterns, phases, search, series, tracks
+from cadence.sources import records
 from cadence.sources.tables import load, regular_grid, strided
 from cadence.streaming import online
 
@@ -339,7 +340,19 @@ def tolerance_score(spark, d):
     return cycles.score(expected, actual).withColumn("error", F.round("error", 6))
 
 
-@query("phase_search")
+_LEVELS = f"""{g(86400, 'user_id')}, {runs_sql('e1', 'g', 'v < 25')}, {runs_sql('e2', 'g', 'v >= 25 AND v < 45')}, {runs_sql('e3', 'g', 'v >= 70')}, {runs_sql('e4', 'g', 'v >= 45 AND v < 70')},
+ev AS (SELECT series, 0 AS k, a, b FROM e1 UNION ALL SELECT series, 1, a, b FROM e2 UNION ALL SELECT series, 2, a, b FROM e3 UNION ALL SELECT series, 3, a, b FROM e4)"""
+
+
+@query(
+    "phase_search",
+    f"""{_LEVELS.replace('WITH ', 'WITH RECURSIVE ', 1)}, r AS (SELECT DISTINCT series, -1 AS n, -1e9::DOUBLE AS pos, 0 AS step, -1 AS k, 0 AS a, 0 AS b, 0 AS back, false AS done FROM ev
+UNION ALL SELECT series, n + 1, CASE WHEN e IS NULL THEN pos ELSE e.b + 1e-3 END, CASE WHEN e IS NULL THEN step ELSE (t + 1) % 4 END, CASE WHEN e IS NULL THEN step ELSE t END, e.a, e.b, CASE WHEN again THEN step ELSE 0 END, e IS NULL
+FROM (SELECT *, CASE WHEN again THEN anew WHEN late THEN NULL ELSE mine END AS e, CASE WHEN again THEN 0 ELSE step END AS t FROM (SELECT *, anew IS NOT NULL AND (mine IS NULL OR late OR anew.a < mine.a) AS again FROM (SELECT *, coalesce(step > 0 AND mine.a - pos > 10, false) AS late
+FROM (SELECT r.*, (SELECT min({{'a': ev.a, 'b': ev.b}}) FROM ev WHERE ev.series = r.series AND ev.k = r.step AND ev.a >= r.pos) AS mine, CASE WHEN step > 0 THEN (SELECT min({{'a': ev.a, 'b': ev.b}}) FROM ev WHERE ev.series = r.series AND ev.k = 0 AND ev.a >= r.pos) END AS anew FROM r WHERE NOT done)))))
+SELECT series, CAST(n AS INTEGER) AS nth, ['digging', 'hauling', 'dumping', 'swinging'][k + 1] AS phase, CASE WHEN NOT done THEN (a + b) / 2 END AS time, CASE WHEN NOT done THEN CAST(a AS DOUBLE) END AS win_a, CASE WHEN NOT done THEN CAST(b AS DOUBLE) END AS win_b, CASE WHEN NOT done THEN false END AS weak,
+CASE WHEN NOT done THEN EXISTS (SELECT 1 FROM r o WHERE o.series = r.series AND o.n > r.n AND o.n - o.back <= r.n) END AS abandoned, CASE WHEN done THEN ['digging', 'hauling', 'dumping', 'swinging'][k + 1] END AS stop FROM r WHERE n >= 0""",
+)
 def phase_search(spark, d):
     rows = grid(spark, d, 86400, "user_id")
     levels = [("digging", F.col("v") < 25), ("hauling", (F.col("v") >= 25) & (F.col("v") < 45)), ("dumping", F.col("v") >= 70), ("swinging", (F.col("v") >= 45) & (F.col("v") < 70))]
@@ -596,6 +609,6 @@ def session_gaps(spark, d):
     return online.sessions(load(spark, d, "events"), "12 hours")
 
 
-@query("config_digest", "SELECT p_partkey, left(sha256(concat_ws('|', p_brand, p_name, p_type)), 16) AS digest FROM part")
+@query("config_digest", "SELECT p_partkey, left(sha256(CAST(to_json({'p_brand': p_brand, 'p_name': p_name, 'p_type': p_type}) AS VARCHAR)), 16) AS digest FROM part")
 def config_digest(spark, d):
-    return load(spark, d, "part").select("p_partkey", F.left(F.sha2(F.concat_ws("|", "p_brand", "p_name", "p_type"), 256), F.lit(16)).alias("digest"))
+    return load(spark, d, "part").select("p_partkey", records.digest("p_type", "p_brand", "p_name").alias("digest"))

@@ -18,8 +18,8 @@ FRAME = (
 
 
 def read_tracks(spark: SparkSession, path: str) -> DataFrame:
-    """One row per frame of each track file; fields that an older file lacks are NULL."""
-    files = spark.read.schema(f"clip string, frames array<struct<{FRAME}>>").option("multiLine", "true").json(path)
+    """One row per frame of each track file (or of the files below a folder); fields that an older file lacks are NULL."""
+    files = spark.read.schema(f"clip string, frames array<struct<{FRAME}>>").option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
     named = files.withColumn("clip", F.coalesce("clip", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)))
     return named.select("clip", F.posexplode("frames").alias("sample", "f")).select("clip", "sample", "f.*")
 
@@ -59,6 +59,62 @@ def merged(*layers: dict) -> dict:
     return out
 
 
+SCENE = "pivot array<double>, scale double, truck_box array<double>"
+
+
+def with_scene(rows: DataFrame, scenes: DataFrame, key: str = "clip") -> DataFrame:
+    """rows with pivot_x, pivot_y, scale and truck_box of their clip; NULL where the clip has no scene or the JSON is none.
+
+    scenes: key, scene (JSON text)."""
+    parsed = scenes.select(key, F.from_json("scene", SCENE).alias("_s"))
+    found = rows.join(parsed, key, "left")
+    return found.select(*rows.columns, F.get("_s.pivot", F.lit(0)).alias("pivot_x"), F.get("_s.pivot", F.lit(1)).alias("pivot_y"), F.col("_s.scale").alias("scale"), F.col("_s.truck_box").alias("truck_box"))
+
+
+def unknown_names(given: DataFrame, known: list[str], column: str = "key") -> DataFrame:
+    """The distinct names that are not among those known; a NULL is no name."""
+    return given.select(column).where(F.col(column).isNotNull() & ~F.col(column).isin(*known)).distinct()
+
+
+def shared_names(tables: list[DataFrame], column: str = "feature") -> DataFrame:
+    """The names that all tables have."""
+    out = tables[0].select(column)
+    for other in tables[1:]:
+        out = out.intersect(other.select(column))
+    return out.distinct()
+
+
+def read_expected(spark: SparkSession, path: str) -> DataFrame:
+    """(clip, field, value, error) of label files, and their tolerance as the field `tolerance_seconds`.
+
+    A file that is no JSON object, lacks the expected answer or the tolerance, or has something
+    else than a number in a field says so in `error`."""
+    from cadence.operators.cycles import PHASES, typed_number
+
+    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("value").alias("raw"))
+    doc = F.try_parse_json("raw")
+    kind = F.schema_of_variant(doc)
+    named = F.coalesce(F.try_variant_get(doc, "$.clip", "string"), F.col("file")).alias("clip")
+    paths = {"cycle_count": "$.expected_answer.cycle_count", "average_cycle_duration_seconds": "$.expected_answer.average_cycle_duration_seconds"}
+    paths |= {f"average_phase_duration_seconds.{p}": f"$.expected_answer.average_phase_duration_seconds.{p}" for p in PHASES}
+    paths["tolerance_seconds"] = "$.scoring.tolerance_seconds"
+    whole = F.when(doc.isNull(), "not JSON").when(~kind.startswith("OBJECT"), "not an object")
+    fields = []
+    for name, path_ in paths.items():
+        value, error = typed_number(F.col("raw"), path_)
+        fields.append(F.struct(F.lit(name).alias("field"), F.when(whole.isNull(), value).alias("value"), F.coalesce(whole, error).alias("error")))
+    return files.select(named, F.explode(F.array(*fields)).alias("f")).select("clip", "f.*")
+
+
+def write_tracks(frames: DataFrame, path: str) -> None:
+    """One JSON object per clip, its frames in order of sample; `read_tracks` reads them back. frames: clip, sample and FRAME's fields."""
+    names = [c.split()[0] for c in FRAME.split(", ")]
+    ordered = F.array_sort(F.collect_list(F.struct("sample", *names)))
+    rows = frames.groupBy("clip").agg(F.transform(ordered, lambda f: F.struct(*(f[c].alias(c) for c in names))).alias("frames"))
+    # a file a clip: a reader of whole objects takes one each
+    rows.withColumn("_clip", F.col("clip")).repartition("_clip").write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy("_clip").json(path)
+
+
 DETECTION = "array<struct<x0:float,y0:float,x1:float,y1:float,score:float,label:string>>"
 
 
@@ -82,6 +138,12 @@ def normal_prompt(prompt: str) -> str:
     return text if text.endswith(".") else f"{text}."
 
 
+def prompt_of(prompt: Column) -> Column:
+    """`normal_prompt` of a column."""
+    text = F.lower(F.trim(prompt))
+    return F.when(text.endswith("."), text).otherwise(F.concat(text, F.lit(".")))
+
+
 def answer_problems(answers: DataFrame) -> DataFrame:
     """Answers that break the rules: counts are whole and not negative, durations finite, and above 0 if anything was counted."""
     from cadence.operators.cycles import ANSWER, PHASES
