@@ -55,17 +55,22 @@ def restored(df: DataFrame, columns: list[str], *own: str, results: list[str] =
     return df.select(*back, *results)
 
 
+def kept_path(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which `release` deletes."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    spark._cadence_staged = [*getattr(spark, "_cadence_staged", []), path]
+    return path
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write `df` to the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = kept_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    spark._cadence_staged = [*getattr(spark, "_cadence_staged", []), path]
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Delete what `staged` wrote in this session; for when all results have been read."""
+    """Delete the tables and files that this session keeps in the shared folder; for when all results have been read."""
     for path in getattr(spark, "_cadence_staged", []):
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

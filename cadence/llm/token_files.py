@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parts_for, shared_dir, slices, table, tidy
+from .common import kept_path, parts_for, slices, table, tidy
 from .tokens import encoder, with_end
 
 MAGIC = b"CDNTOK1\n"
@@ -233,6 +232,6 @@ def document(spark: SparkSession, path: str, doc_id: int) -> list[np.ndarray]:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    path = kept_path(spark, "token-files")
     save(table(spark, sf_dir, "documents"), path)
     return read_tokens(*opened(spark, path))
