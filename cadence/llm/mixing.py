@@ -21,8 +21,8 @@ equi-join on a slice of [0, 1), not a range join. One window runs over the per-s
 single partition; its input is one row per source.
 
 Defined results: null text counts 0 words and is never taken; an empty table gives no rows;
-repeated rows each get their own places in the line; extra columns are ignored; a null doc_id
-keeps its row.
+repeated rows each get their own places in the line; documents of equal hash stand in order of
+doc_id, then size; extra columns are ignored; a null doc_id keeps its row.
 """
 
 from __future__ import annotations

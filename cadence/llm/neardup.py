@@ -2,8 +2,8 @@
 
 A document is the weighted set of its five-word shingles (weight: occurrences; a text of fewer
 words is one shingle). Exact copies fold into one row first, with the smallest doc_id. Bands of
-the DartMinHash signature propose pairs; a pair links if its weighted Jaccard similarity, exact
-on the shingles, is at least `threshold`. Classes are the connected components of the links.
+the DartMinHash signature propose pairs; a pair links if its weighted Jaccard similarity, counted
+on the shingles' 40-bit hashes, is at least `threshold`. Classes are the connected components of the links.
 
 Not all pairs of a bucket are looked at, yet no link between classes is lost:
 1. star rounds link each bucket's rows to one centre, which folds large groups of near copies;

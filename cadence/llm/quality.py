@@ -11,8 +11,10 @@ Scale: one map-only pass over the texts, written as a narrow table; per-host sum
 the map side; the verdicts join back by host (Spark splits a hot host at run time), and nothing
 is collected. Repeats are found by 64-bit window hashes within one document.
 
-Defined results: null text has no words and fails; a null source is one host of its own;
-repeated rows are judged alike; an empty table gives no rows; extra columns are ignored.
+Defined results: `source` stands for the host, as documents have no address; null text has no
+words and fails; a null source is one host of its own; a null doc_id keeps its row; very long
+texts are measured whole; repeated rows are judged alike; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
