@@ -7,20 +7,21 @@ the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cadence.llm import mixing, neardup, packing, passages, quality
-from cadence.llm.common import carried, restored, shared_dir, table
+from cadence.llm.common import carried, kept_path, restored, table
 
 #: Mixing and packing are not expressible in SQL together (tokenizers); see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and their host's verdict keep."""
+    """Documents that the rules and their host's verdict keep.
+
+    Null and empty texts fail; a null source is one host; repeated rows are judged alike; rows
+    without doc_id are judged like others; no rows give none."""
     own = ("doc_id", "text", "source")
     judged = quality.judge(carried(docs, *own), carry=["text", "carried"])
     return restored(judged.where("kept"), docs.columns, *own)
@@ -59,6 +60,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix reads them: whole rounds, and the rest of `taken` by a draw.
 
+    Texts without words are never taken, so null and empty ones go; repeated rows are read each by
+    its own place; rows without doc_id share one draw; no rows give none.
+
     A document whose words are taken k times and a part more stands k times, and once more with
     the chance of that part, drawn from its doc_id, so each source's words keep near its target.
     """
@@ -73,7 +77,9 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of at most 1024 tokens."""
+    """Pieces of sequences of at most 1024 tokens; a text that the mix repeats is packed as often.
+
+    Null and empty texts are one end id; very long ones fill windows of their own; no rows give none."""
     return packing.pack(docs)
 
 
@@ -89,7 +95,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        out = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+        out = kept_path(spark, "stage")
         made = stage(spark, docs, sf_dir)
         made.write.parquet(out)
         docs = spark.read.schema(made.schema).parquet(out)
