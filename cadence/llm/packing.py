@@ -11,9 +11,8 @@ sequences need no padding).
 
 Scale: map-only, no shuffle. Each input partition is a stream of its own with its own level
 array, so the work is linear in the tokens; sequence ids carry the partition number. What a task
-holds is the level array, one text's ids, and the pieces (not the ids) of its open windows; how
-many windows are open at a level is not bounded but by the partition, as the rule keeps them for
-partners. A stream's order is its input order, so a rerun of a lost task gives the same sequences.
+holds is the level array, one text's ids, and its open windows with their ids; how many windows
+are open at a level is bounded by the partition only, as the rule keeps them for partners. A stream's order is its input order, so a rerun of a lost task gives the same sequences.
 
 Defined results: null or empty text is one end id; repeated rows are packed as separate
 documents; very long texts are encoded whole and fill windows of their own; an empty table gives
