@@ -62,6 +62,12 @@ def stable_core(pixels: DataFrame, quantile: float = 0.9) -> DataFrame:
     return occ.join(cut, "clip").where(F.col("occ") >= F.col("cut")).select("clip", "y", "x", "occ")
 
 
+def core_areas(core: DataFrame, clips: DataFrame) -> DataFrame:
+    """(clip, area): pixels of each clip's core, 0 for a clip that has none."""
+    area = core.groupBy("clip").agg(F.count(F.lit(1)).alias("area"))
+    return clips.select("clip").distinct().join(area, "clip", "left").select("clip", F.coalesce("area", F.lit(0)).alias("area"))
+
+
 def rotation_centre(core: DataFrame) -> DataFrame:
     return core.groupBy("clip").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
 

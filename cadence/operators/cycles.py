@@ -59,6 +59,16 @@ def fields(answers: DataFrame, key: str = "clip", column: str = "answer") -> Dat
     return a.select(key, F.explode(pairs).alias("_f")).select(key, "_f.field", "_f.value")
 
 
+def typed_fields(answers: DataFrame, key: str = "clip", column: str = "answer") -> DataFrame:
+    """Answer JSON as rows (clip, field, value, error); each field says itself what is wrong with it."""
+    names = ["cycle_count", "average_cycle_duration_seconds", *(f"average_phase_duration_seconds.{p}" for p in PHASES)]
+    pairs = []
+    for n in names:
+        value, error = typed_number(F.col(column), f"$.{n}")
+        pairs.append(F.struct(F.lit(n).alias("field"), value.alias("value"), error.alias("error")))
+    return answers.select(key, F.explode(F.array(*pairs)).alias("_f")).select(key, "_f.*")
+
+
 def score(expected: DataFrame, actual: DataFrame, tolerance: float = 0.6, key: str = "clip") -> DataFrame:
     """Field by field: counts must be equal, durations within the tolerance."""
     both = expected.withColumnRenamed("value", "expected").join(actual.withColumnRenamed("value", "actual"), [key, "field"], "left")

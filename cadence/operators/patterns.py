@@ -23,6 +23,11 @@ def runs(df: DataFrame, hit: Column, order: str = ORDER, key: str = KEY) -> Data
     return rows.withColumn("_grp", grp).where("_hit").groupBy(key, "_grp").agg(F.min(order).alias("a"), F.max(order).alias("b"), F.count(F.lit(1)).alias("n")).drop("_grp")
 
 
+def runs_within(df: DataFrame, hit: Column, bounds: DataFrame) -> DataFrame:
+    """Runs that touch their series' [first, last], whole; bounds: one row per series."""
+    return runs(df, hit).join(bounds.select(KEY, "first", "last"), KEY).where((F.col("b") >= F.col("first")) & (F.col("a") <= F.col("last"))).select(KEY, "a", "b", "n")
+
+
 def lost_spans(df: DataFrame, missing: Column, least: float, step: float = 1.0) -> DataFrame:
     """Stretches of missing samples that last at least `least`."""
     return runs(df, missing).where((F.col("b") - F.col("a")) * step + step >= least)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cadence.functions import geometry as geo
 from cadence.operators import checks, cycles, features, intervals, machine, patterns, series
 from cadence.plans.more import _LABELS, labels
-from cadence.plans.registry import _CYCLES, _PIX, SHAPE, g, grid, pixels, query, r6, starts
+from cadence.plans.registry import _CORE, _CYCLES, _PIX, SHAPE, g, grid, pixels, query, r6, runs_sql, starts
 from cadence.sources.tables import load
 
 
@@ -99,3 +99,29 @@ def checker_sizes(spark, d):
     scene = boxes.select("series").distinct().select("series", F.lit(10.0).alias("px"), F.lit(60.0).alias("py"), F.lit(10.0).alias("reach"), F.lit(50.0).alias("tx0"), F.lit(30.0).alias("ty0"), F.lit(80.0).alias("tx1"), F.lit(60.0).alias("ty1"))
     out = features.checker_features(features.assemble(boxes, scene, 4, 1.0), 4, 1.0)
     return out.select("series", "i", "box_w", "box_h", "box_area", *r6("truck_distance", "truck_overlap"))
+
+
+@query("runs_within", f"{g()}, {runs_sql('ru', 'g', 'v > 50')} SELECT ru.series, a, b, n FROM ru JOIN (SELECT series, max(i) // 3 AS lo, max(i) // 2 AS hi FROM g GROUP BY 1) w ON w.series = ru.series WHERE b >= lo AND a <= hi")
+def runs_within(spark, d):
+    rows = grid(spark, d)
+    last = F.max("i")
+    return patterns.runs_within(rows, F.col("v") > 50, rows.groupBy("series").agg(F.floor(last / 3).alias("first"), F.floor(last / 2).alias("last")))
+
+
+_FIELD = "SELECT p_partkey AS clip, CASE p_partkey % 4 WHEN 0 THEN CAST(p_partkey % 50 AS DOUBLE) END AS n, CASE p_partkey % 4 WHEN 1 THEN 'not a number' WHEN 2 THEN 'missing' WHEN 3 THEN 'not JSON' END AS e FROM part"
+
+
+@query("answer_fields_typed", f"WITH f AS ({_FIELD}) SELECT clip, 'cycle_count' AS field, n AS value, e AS error FROM f UNION ALL SELECT clip, name, CASE clip % 4 WHEN 3 THEN NULL ELSE 1.5 END, CASE clip % 4 WHEN 3 THEN 'not JSON' END FROM f, (SELECT unnest({['average_cycle_duration_seconds', *(f'average_phase_duration_seconds.{p}' for p in cycles.PHASES)]!r}) AS name)")
+def answer_fields_typed(spark, d):
+    k = F.col("p_partkey")
+    rest = '"average_cycle_duration_seconds": 1.5, "average_phase_duration_seconds": {' + ", ".join(f'"{p}": 1.5' for p in cycles.PHASES) + "}}"
+    count = F.when(k % 4 == 0, F.concat(F.lit('"cycle_count": '), k % 50, F.lit(", "))).when(k % 4 == 1, '"cycle_count": "2", ').otherwise("")
+    raw = F.when(k % 4 == 3, "{").otherwise(F.concat(F.lit("{"), count, F.lit(rest)))
+    return cycles.typed_fields(load(spark, d, "part").select(k.alias("clip"), raw.alias("answer")))
+
+
+@query("core_areas", f"{_CORE}, cl AS (SELECT DISTINCT l_returnflag AS clip FROM lineitem UNION SELECT 'none') SELECT cl.clip, count(core.x) AS area FROM cl LEFT JOIN core ON core.clip = cl.clip GROUP BY 1")
+def core_areas(spark, d):
+    rows = pixels(spark, d)
+    clips = rows.select("clip").distinct().union(spark.createDataFrame([("none",)], "clip string"))
+    return geo.core_areas(geo.stable_core(rows), clips)

@@ -59,6 +59,23 @@ def merged(*layers: dict) -> dict:
     return out
 
 
+def layered(defaults: dict, *layers: dict) -> dict:
+    """Settings from the defaults up: a file, then what is given by hand. A key the defaults don't know is an error, wherever it stands."""
+
+    def check(known: dict, given: dict, where: str) -> None:
+        for k, v in given.items():
+            if k not in known:
+                raise ValueError(f"unknown setting {where}{k}")
+            if isinstance(known[k], dict):
+                if not isinstance(v, dict):
+                    raise ValueError(f"setting {where}{k} is a group")
+                check(known[k], v, f"{where}{k}.")
+
+    for layer in layers:
+        check(defaults, layer, "")
+    return merged(defaults, *layers)
+
+
 SCENE = "pivot array<double>, scale double, truck_box array<double>"
 
 

@@ -34,6 +34,14 @@ def test_expected_answers_say_what_is_wrong(spark, tmp_path):
     assert got["b.json", "cycle_count"] == (None, "not an object") and got["c.json", "cycle_count"] == (None, "not JSON")
 
 
+def test_settings_in_layers():
+    defaults = {"a": 1, "b": {"c": 2, "d": 3}}
+    assert records.layered(defaults, {"b": {"c": 5}}, {"a": 4}) == {"a": 4, "b": {"c": 5, "d": 3}}
+    for wrong in ({"x": 1}, {"b": {"x": 1}}, {"b": 2}):
+        with pytest.raises(ValueError, match="setting"):
+            records.layered(defaults, wrong)
+
+
 def test_unequal_clips_are_an_error_row(spark):
     rows = lambda n: [("a", float(k), "p") for k in range(3)] + [("b", float(k), "p") for k in range(n)]
     schema = "clip string, time double, phase string"
