@@ -7,8 +7,9 @@ find and route exactly those runs:
 
 0. whole texts that equal one with a smaller doc_id are known by their digest; they take no
    part, as the first of them stands for all;
-1. all anchor hashes, packed into byte blocks, meet by hash; each hash found in two different
-   documents is told to its documents (a hash collision only adds a candidate);
+1. each group of documents sends its anchor hashes, with the first and last document that has
+   each, packed into byte blocks; they meet by hash, and each hash found in two different
+   documents is told to the groups that have it (a hash collision only adds a candidate);
 2. documents emit the told runs, each a short stretch of text, to the shard of its anchor,
    where an exact method decides. Equal windows always meet in one shard.
 
@@ -111,7 +112,9 @@ def filled(answers: pa.Table, name: str) -> list[bytes]:
 
 
 def sent(grouped_docs: DataFrame, copy_rows: DataFrame, units: Units, sizes: Sizes) -> DataFrame:
-    """(part, docs, keys): all anchors with their owners, dealt out by anchor."""
+    """(part, docs, keys): a group's anchors, each with the first and the last document that has it, dealt out by anchor.
+
+    So an anchor that very many documents have comes from each group twice at most."""
     n_parts = sizes.parts
 
     def send(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -125,6 +128,12 @@ def sent(grouped_docs: DataFrame, copy_rows: DataFrame, units: Units, sizes: Siz
                 keys.append(runs.key >> U(16))
                 owners.append(np.asarray(ids.fill_null(0).cast(pa.int64()))[runs.doc].astype("<i8"))
         key, owner = np.concatenate(keys), np.concatenate(owners)
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
+        last = np.append(first[1:], len(key))[: len(first)] - 1
+        more = last[owner[last] != owner[first]]
+        key, owner = np.concatenate([key[first], key[more]]), np.concatenate([owner[first], owner[more]])
         part = (key % U(n_parts)).astype(np.int32)
         order = np.argsort(part, kind="stable")
         key, owner, part = key[order], owner[order], part[order]
@@ -151,19 +160,19 @@ def met(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def told(grouped_docs: DataFrame, copy_rows: DataFrame, units: Units, sizes: Sizes) -> DataFrame:
-    """(group, docs, keys): the anchors that stand in two or more documents, by document group."""
+    """(group, keys): the anchors that stand in two or more documents, for each group that has one."""
     n_groups = sizes.groups
 
     def meet(rows: pa.Table) -> pa.Table:
         key, owner = met(rows)
         group = group_of(owner, n_groups)
         order = np.argsort(group, kind="stable")
-        key, owner, group = key[order], owner[order], group[order]
+        key, group = key[order], group[order]
         cut = np.flatnonzero(np.diff(group)) + 1
-        got = [(int(g[0]), o.tobytes(), k.tobytes()) for g, o, k in zip(np.split(group, cut), np.split(owner, cut), np.split(key, cut), strict=True) if len(g)]
-        return pa.table({"_group": pa.array([g[0] for g in got], pa.int32()), "docs": pa.array([g[1] for g in got], pa.binary()), "keys": pa.array([g[2] for g in got], pa.binary())})
+        got = [(int(g[0]), np.unique(k).tobytes()) for g, k in zip(np.split(group, cut), np.split(key, cut), strict=True) if len(g)]
+        return pa.table({"_group": pa.array([g[0] for g in got], pa.int32()), "keys": pa.array([g[1] for g in got], pa.binary())})
 
-    return sent(grouped_docs, copy_rows, units, sizes).groupBy("part").applyInArrow(tidy(meet), "_group int, docs binary, keys binary")
+    return sent(grouped_docs, copy_rows, units, sizes).groupBy("part").applyInArrow(tidy(meet), "_group int, keys binary")
 
 
 #: Stretches packed by shard: doc_id, text checksum, first unit and number of windows of each, its size and its bytes.
@@ -328,13 +337,11 @@ def candidates(grouped_docs: DataFrame, told_rows: DataFrame, copy_rows: DataFra
     """The told runs as stretches for their shards, as rows of CANDIDATE."""
 
     def emit(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        blocks = filled(answers, "docs")
+        blocks = filled(answers, "keys")
         if not blocks or not docs.num_rows:
             return as_candidates([], [], [], sizes)
         known = copies_of(answers)
-        owner = np.concatenate([np.frombuffer(x, "<i8") for x in blocks])
-        key = np.concatenate([np.frombuffer(x, "<u8") for x in filled(answers, "keys")])
-        wanted = np.unique(key ^ spans.mix(owner.view(U)))
+        wanted = np.unique(np.concatenate([np.frombuffer(x, "<u8") for x in blocks]))
         parts, keys, shards = [], [], []
         for batch in docs.select(["doc_id", "text"]).to_batches():
             for part in slices(batch, "text", 600_000):
@@ -348,14 +355,14 @@ def candidates(grouped_docs: DataFrame, told_rows: DataFrame, copy_rows: DataFra
                     shards.append(at)
         return as_candidates(parts, keys, shards, sizes)
 
-    right = answers_and_copies(told_rows, copy_rows, "docs", "keys")
+    right = answers_and_copies(told_rows, copy_rows, "keys")
     return grouped_docs.groupBy("_group").cogroup(right.groupBy("_group")).applyInArrow(tidy(emit), CANDIDATE)
 
 
 def those(piece: Piece, wanted: np.ndarray) -> np.ndarray:
-    """The runs of a piece whose owner and anchor are wanted."""
-    code = (piece.runs.key >> U(16)) ^ spans.mix(piece.own.view(U))[piece.runs.doc]
-    return np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)] == code)
+    """The runs of a piece whose anchor is wanted."""
+    key = piece.runs.key >> U(16)
+    return np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key)
 
 
 def as_candidates(parts: list[Stretches], keys: list[np.ndarray], routes: list[np.ndarray], sizes: Sizes) -> pa.Table:

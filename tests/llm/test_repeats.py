@@ -160,3 +160,15 @@ def test_places_come_from_the_automaton_alone(spark):
         return passages.automaton_of([b" ".join(reversed(p.split())) + b" " for p in phrases], gram)
 
     assert gone(build=astray) == {0: 0, 1: 0, 2: 0, 3: 0}
+
+
+def test_a_phrase_repeated_in_later_documents_is_met(spark):
+    """Of each group only the first and the last document of an anchor are sent."""
+    text = " ".join(f"t{k}" for k in range(70))
+    docs = [(3 * k, f"x{k} {text} y{k}") for k in range(5)] + [(3, f"z {text} {text} z")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for remove, unit in ((passages.remove_passages, "n_removed"), (suffix.remove_strings, "n_removed")):
+        got = {}
+        for r in remove(df).collect():
+            got[r.doc_id] = min(r[unit], got.get(r.doc_id, 10**9))
+        assert got[0] == 0 and all(n > 60 for d, n in got.items() if d)
