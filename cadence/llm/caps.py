@@ -282,7 +282,7 @@ def linked(members: DataFrame, threshold: float, least_large: int = 65) -> DataF
     return members.mapInArrow(tidy(run), "kind int, a long, b long")
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, per_vector: int = 24, least: int = 16, block: int = 2048, recall: float = 0.99) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, per_vector: int = 24, least: int = 16, block: int = 2048, recall: float = 0.995) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     `per_vector` and `least` are where the search for the width that gives `recall` begins."""
