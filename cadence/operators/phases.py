@@ -601,3 +601,25 @@ def phase_gaps(signals: DataFrame) -> DataFrame:
         return pd.DataFrame([(pdf["series"].iloc[0], n, *g) for n, g in enumerate(_searched(pdf)[1])], columns=[c.split()[0] for c in GAPS.split(", ")])
 
     return signals.select("series", "t", *SIGNALS).groupBy("series").applyInPandas(run, GAPS.replace("from double", "`from` double").replace("to double", "`to` double"))
+
+
+EVENTS = "series string, cue string, nth int, a double, b double, centre double"
+
+
+def cue_events(signals: DataFrame) -> DataFrame:
+    """What each cue finds first in a series, with every gate open and no dig yet; of the tips every candidate.
+
+    signals (series, t and SIGNALS). A cue that finds nothing, or needs a dig, has no row."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        frame = pdf.sort_values("t")
+        name, s = frame["series"].iloc[0], Series(frame["t"].to_numpy(float), {c: frame[c].to_numpy(float) for c in SIGNALS})
+        cues, rows = Cues(s), []
+        with np.errstate(invalid="ignore"):
+            for cue in (c for weights in WEIGHTS.values() for c in weights if hasattr(cues, c)):
+                e = getattr(cues, cue)(s.t[0], None, np.ones(len(s.t), bool)) if len(s.t) > 4 else None
+                rows += [(name, cue, 0, e.a, e.b, e.centre)] if e is not None else []
+            rows += [(name, "tip", n, e.a, e.b, e.centre) for n, e in enumerate(cues.dump_candidates(s.t[0]) if len(s.t) > 4 else [])]
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in EVENTS.split(", ")])
+
+    return signals.select("series", "t", *SIGNALS).groupBy("series").applyInPandas(run, EVENTS)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from cadence.operators import patterns
-from cadence.plans import following, more, pieces, registry  # noqa: F401
+from cadence.plans import cues, following, more, pieces, registry  # noqa: F401
 from cadence.sources.tables import load
 from cadence.streaming import online
 
