@@ -623,3 +623,69 @@ def cue_events(signals: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=[c.split()[0] for c in EVENTS.split(", ")])
 
     return signals.select("series", "t", *SIGNALS).groupBy("series").applyInPandas(run, EVENTS)
+
+
+def _each(signals: DataFrame, schema: str, rows: Callable[[Series], list[tuple]]) -> DataFrame:
+    """`rows` of every series with more than four samples, its name in front."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        frame = pdf.sort_values("t")
+        s = Series(frame["t"].to_numpy(float), {c: frame[c].to_numpy(float) for c in SIGNALS})
+        with np.errstate(invalid="ignore"):
+            found = [(frame["series"].iloc[0], *r) for r in rows(s)] if len(s.t) > 4 else []
+        return pd.DataFrame(found, columns=[c.split()[0] for c in schema.split(", ")])
+
+    return signals.select("series", "t", *SIGNALS).groupBy("series").applyInPandas(run, schema)
+
+
+def open_readings(signals: DataFrame) -> DataFrame:
+    """Of every open stretch: its pile level, the height on arrival, when the lift begins, and when the bucket settled before it."""
+
+    def rows(s: Series) -> list[tuple]:
+        search = Search(s)
+        edges = [(s.t[0], s.t[0]), *search.visits(), (s.t[-1], s.t[-1])]
+        stretches = [(a[1], b[0]) for a, b in zip(edges, edges[1:], strict=False) if b[0] > a[1]]
+        out = []
+        for n, (lo, hi) in enumerate(stretches):
+            last = n == len(stretches) - 1
+            levels, top = search.levels(lo, hi, last), search.climb(lo, hi, last)
+            k = search.settled(lo, top, levels)
+            out.append((n, lo, hi, *levels, top, None if k is None else s.t[k]))
+        return out
+
+    return _each(signals, "series string, nth int, a double, b double, pile double, arrival double, climb double, settled double", rows)
+
+
+def gates(signals: DataFrame, first: float, last: float) -> DataFrame:
+    """Every sample with the gates of digging, hauling and dumping, the dig window reaching from `first` to `last` seconds."""
+
+    def rows(s: Series) -> list[tuple]:
+        search, dig = Search(s), Window(s.t[0] + first, s.t[0] + last)
+        open_ = [search.gate(p, s.t[0], dig) for p in PHASES[:3]]
+        return [(t, *(bool(g[k]) for g in open_)) for k, t in enumerate(s.t.tolist())]
+
+    return _each(signals, "series string, t double, digging boolean, hauling boolean, dumping boolean", rows)
+
+
+def half_widths(signals: DataFrame, key: str) -> DataFrame:
+    """The timing error of an event of the signal `key` at each sample."""
+
+    def rows(s: Series) -> list[tuple]:
+        cues = Cues(s)
+        return [(t, cues.half_width(Event(t, t, t, key=key))) for t in s.t.tolist()]
+
+    return _each(signals, "series string, t double, half double", rows)
+
+
+def window_starts(signals: DataFrame, length: float) -> DataFrame:
+    """When each phase would begin inside each window of `length` seconds, one behind the other."""
+
+    def rows(s: Series) -> list[tuple]:
+        search, out = Search(s), []
+        for a in np.arange(s.t[0], s.t[-1], length).tolist():
+            for phase in PHASES:
+                time, fallback = search.start(phase, Window(a, a + length))
+                out.append((phase, a, time, bool(fallback)))
+        return out
+
+    return _each(signals, "series string, phase string, a double, time double, fallback boolean", rows)

@@ -10,10 +10,10 @@ from cadence.plans.registry import g, grid, query, r6
 from cadence.sources.tables import load
 
 #: signal -> (event type whose daily mean it is, how it is scaled); fixed for these queries
-_SOURCES = {"height": ("view", "{} / 100"), "dh_dt": ("click", "({} - 50) / 100"), "speed_2d": ("purchase", "{} / 100"), "aspect_ratio": ("error", "0.5 + {} / 100"), "pile_truck_pos": ("signup", "{} / 60"), "pile_truck_pos_dt": ("view", "(50 - {}) / 100")}
+_SOURCES = {"height": ("view", "{} / 100"), "dh_dt": ("click", "({} - 50) / 100"), "speed_2d": ("purchase", "{} / 100"), "aspect_ratio": ("error", "0.5 + {} / 100"), "pile_truck_pos": ("signup", "{} / 60"), "pile_truck_pos_dt": ("view", "(50 - {}) / 100"), "over": ("purchase", "CASE WHEN {} > 60 THEN 1.0 ELSE 0.0 END"), "cabin_pile_truck_pos": ("click", "{} / 200"), "aspect_ratio_dt": ("signup", "(50 - {}) / 100")}
 
 
-def raw_signals(spark, d):
+def raw_signals(spark, d, step: float = 1.0):
     """Means of a user's event types by day, as they are: rates are signals of their own here."""
     rows = grid(spark, d, 86400, "user_id")
     day = F.floor(F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ))") / 86400).cast("long")
@@ -24,14 +24,14 @@ def raw_signals(spark, d):
     wide = rows.join(daily, ["series", "i"], "left").select("series", "i", *((F.coalesce(F.col(k), F.col("v"), F.lit(50.0)) + F.col("i") * 1e-4).alias(k) for k in kinds))
     made = {name: F.expr(scale.format(kind)).cast("double") for name, (kind, scale) in _SOURCES.items()}
     rest = {c: F.lit(0.0) for c in phases.SIGNALS if c not in made}
-    return wide.select("series", F.col("i").cast("double").alias("t"), *(v.alias(n) for n, v in {**made, **rest}.items()))
+    return wide.select("series", (F.col("i") * step).cast("double").alias("t"), *(v.alias(n) for n, v in {**made, **rest}.items()))
 
 
 def _signals() -> str:
     kinds = sorted({k for k, _ in _SOURCES.values()})
     means = ", ".join(f"round(avg(CASE WHEN event_type = '{k}' THEN value END), 6) AS \"{k}\"" for k in kinds)
     filled = ", ".join(f"coalesce(dy.\"{k}\", g.v, 50.0) + g.i * 1e-4 AS \"{k}\"" for k in kinds)
-    made = ", ".join(f"CAST({scale.format(chr(34) + kind + chr(34))} AS DOUBLE) AS {name}" for name, (kind, scale) in _SOURCES.items())
+    made = ", ".join(f"CAST({scale.format(chr(34) + kind + chr(34))} AS DOUBLE) AS \"{name}\"" for name, (kind, scale) in _SOURCES.items())
     return f"""{g(86400, 'user_id')}, dd AS (SELECT CAST(user_id AS VARCHAR) AS series, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS slot, {means} FROM events GROUP BY 1, 2),
 dy AS (SELECT *, slot - min(slot) OVER (PARTITION BY series) AS at FROM dd), wide AS (SELECT g.series, g.i, {filled} FROM g LEFT JOIN dy ON dy.series = g.series AND dy.at = g.i),
 sg AS (SELECT series, CAST(i AS DOUBLE) AS t, row_number() OVER (PARTITION BY series ORDER BY i) AS k, {made} FROM wide), sz AS (SELECT series, max(k) AS n, max(t) AS last FROM sg GROUP BY 1)"""
@@ -177,3 +177,56 @@ _cue(
     ],
     f"SELECT series, 0 AS nth, {_time('a')} AS a, {_time('b')} AS b, ({_time('a')} + {_time('b')}) / 2 AS centre FROM e",
 )
+
+
+# ---- gates, stretches, widths, starts ----------------------------------------------------------
+
+
+@query(
+    "phase_gates",
+    f"""{_signals()}, lv AS (SELECT series, median(CASE WHEN t BETWEEN 5 AND 12 THEN height END) AS level FROM sg GROUP BY 1)
+SELECT series, t, sg.over <= 0 AND pile_truck_pos < 1 AS digging, coalesce(height > level AND sg.over <= 0, false) AS hauling, coalesce(pile_truck_pos - cabin_pile_truck_pos > 0 AND height > level, false) AS dumping FROM sg JOIN lv USING (series)""".replace("sg.over", 'sg."over"'),
+)
+def phase_gates(spark, d):
+    return phases.gates(raw_signals(spark, d), 5, 12)
+
+
+_OPEN = f"""{_signals()}, {_noise('speed_2d')}, {_runs('vs', 'sg', '"over" > 0')}, vl AS (SELECT * FROM (SELECT *, max(b - a) OVER (PARTITION BY series) AS m FROM vs) WHERE b - a >= 0.5 * m),
+ed AS (SELECT series, a, b FROM vl UNION ALL SELECT series, 1, 1 FROM sz UNION ALL SELECT series, n, n FROM sz), st AS (SELECT * FROM (SELECT series, b AS lo, lead(a) OVER (PARTITION BY series ORDER BY a, b) AS hi FROM ed) WHERE hi > lo),
+nt AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY lo) - 1 AS nth, row_number() OVER (PARTITION BY series ORDER BY lo) = count(*) OVER (PARTITION BY series) AS final FROM st),
+le AS (SELECT nt.*, {_first('nt', 'x.k BETWEEN nt.lo AND nt.hi', 'quantile_cont(height, 0.05)')} AS pile, CASE WHEN final THEN {_first('nt', 'x.k BETWEEN nt.lo AND nt.hi', 'quantile_cont(height, 0.95)')} ELSE {_first('nt', 'x.k = greatest(nt.hi - 1, 1)', 'max(height)')} END AS arrival FROM nt),
+up AS (SELECT le.*, CASE WHEN NOT final AND arrival > pile THEN (SELECT max(x.k) FROM sg x JOIN sg y ON y.series = x.series AND y.k = x.k - 1 WHERE x.series = le.series AND x.k > le.lo AND x.k <= le.hi AND y.height < (pile + arrival) / 2 AND x.height >= (pile + arrival) / 2) END AS ups FROM le),
+cl AS (SELECT *, CASE WHEN ups IS NULL THEN hi ELSE coalesce({_first('up', 'x.k BETWEEN up.lo AND up.ups AND NOT x.height > pile + 0.1 * (arrival - pile)', 'max(k)')}, lo) END AS climb FROM up),
+ca AS (SELECT series, greatest(3 * noise, 0.02 * (max(speed_2d) - min(speed_2d))) AS calm FROM sg JOIN no_speed_2d USING (series) GROUP BY series, noise)
+SELECT cl.series, CAST(nth AS INTEGER) AS nth, {_time('lo')} AS a, {_time('hi')} AS b, round(pile, 6) AS pile, round(arrival, 6) AS arrival, {_time('climb')} AS climb, (SELECT min(t) FROM sg x WHERE x.series = cl.series AND x.k BETWEEN lo AND climb AND x.height <= pile + 0.25 * (arrival - pile) AND x.pile_truck_pos < 1 AND x."over" <= 0 AND x.speed_2d <= calm) AS settled FROM cl JOIN ca USING (series)"""
+
+
+@query("open_readings", _OPEN)
+def open_readings(spark, d):
+    return phases.open_readings(raw_signals(spark, d)).select("series", "nth", "a", "b", *r6("pile", "arrival"), "climb", "settled")
+
+
+_QUARTER = _signals().replace("CAST(i AS DOUBLE) AS t", "CAST(i * 0.25 AS DOUBLE) AS t")
+
+
+@query(
+    "half_widths",
+    f"""{_QUARTER}, {_noise('height')}, sl AS (SELECT series, k, t, CASE WHEN count(*) OVER l >= 3 THEN regr_slope(height, t) OVER l END AS before, CASE WHEN count(*) OVER r >= 3 THEN regr_slope(height, t) OVER r END AS after FROM sg WINDOW l AS (PARTITION BY series ORDER BY k ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), r AS (PARTITION BY series ORDER BY k ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))
+SELECT series, t, round(least(greatest(CASE WHEN abs(after - before) > 0 THEN noise / abs(after - before) ELSE 1e9 END, 0.75), 1.2), 6) AS half FROM sl JOIN no_height USING (series)""",
+)
+def half_widths(spark, d):
+    return phases.half_widths(raw_signals(spark, d, 0.25), "height").select("series", "t", *r6("half"))
+
+
+@query(
+    "window_starts",
+    f"""{_signals()}, wi AS (SELECT series, unnest(range(0, CAST(last AS BIGINT), 8)) AS a FROM sz), ph AS (SELECT series, k, t, 'digging' AS phase, -speed_2d AS v FROM sg UNION ALL SELECT series, k, t, 'hauling', dh_dt FROM sg UNION ALL SELECT series, k, t, 'dumping', -aspect_ratio_dt FROM sg UNION ALL SELECT series, k, t, 'swinging', abs(pile_truck_pos_dt) FROM sg),
+inn AS (SELECT wi.series, wi.a, phase, k, t, v, v - lag(v) OVER (PARTITION BY wi.series, wi.a, phase ORDER BY k) AS d FROM wi JOIN ph ON ph.series = wi.series AND t BETWEEN wi.a AND wi.a + 8),
+md AS (SELECT series, a, phase, median(d) AS m, count(*) AS n, max(v) AS peak, arg_max(k, v) AS apex, min(k) AS lo FROM inn GROUP BY 1, 2, 3),
+nz AS (SELECT md.*, 3 * 1.4826 * (SELECT median(abs(i.d - m)) FROM inn i WHERE i.series = md.series AND i.a = md.a AND i.phase = md.phase AND i.d IS NOT NULL) / sqrt(2.0) AS band FROM md),
+ap AS (SELECT nz.*, (SELECT min(k) FROM inn i WHERE i.series = nz.series AND i.a = nz.a AND i.phase = nz.phase AND i.v = peak) AS top FROM nz),
+go AS (SELECT ap.*, phase <> 'digging' AND (n < 5 OR band IS NULL OR peak <= band) AS fallback, coalesce((SELECT max(k) + 1 FROM inn i WHERE i.series = ap.series AND i.a = ap.a AND i.phase = ap.phase AND i.k < top AND NOT i.v > band), lo) AS began FROM ap)
+SELECT series, phase, CAST(a AS DOUBLE) AS a, CASE WHEN fallback THEN a + 4.0 WHEN phase = 'digging' THEN {_time('top')} ELSE {_time('began')} END AS time, fallback FROM go""",
+)
+def window_starts(spark, d):
+    return phases.window_starts(raw_signals(spark, d), 8.0)
