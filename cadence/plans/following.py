@@ -153,6 +153,19 @@ bd AS (SELECT q.clip, q.sample, q.y, q.x, d, reach, CASE WHEN d >= 0.82 * reach
 
 ORACLES["geodesic_bands"] = _recursive(f"{_PIX}, q AS (SELECT DISTINCT clip || ' ' || sample AS f, clip, sample, y, x FROM px), st AS (SELECT clip, min(y) AS sy, min(x) AS sx FROM px GROUP BY 1), {_WALK} SELECT clip, sample, y, x, d AS steps, band FROM bd WHERE band IS NOT NULL")
 
+_NEIGHBOURS = "nb AS (SELECT dy, dx, CASE WHEN dy <> 0 AND dx <> 0 THEN 1.3693 ELSE 0.955 END::DOUBLE AS w FROM range(-1, 2) a(dy), range(-1, 2) b(dx) WHERE dy <> 0 OR dx <> 0)"
+_FAR = "sqrt((q.y - {0}.y) ** 2 + (q.x - {0}.x) ** 2)"
+_PICK = "{0} AS (SELECT q.f, q.clip, q.sample, q.y, q.x FROM dep q {1} QUALIFY row_number() OVER (PARTITION BY q.f ORDER BY {2} DESC, q.y, q.x) = 1)"
+
+ORACLES["interior_points"] = _recursive(f"""{_PIX}, q0 AS (SELECT DISTINCT clip || ' ' || sample AS f, clip, sample, y, x FROM px), q AS (SELECT * FROM q0 QUALIFY count(*) OVER (PARTITION BY f) >= 25), {_NEIGHBOURS},
+ed AS (SELECT q.f, q.y, q.x, min(w) AS d FROM q CROSS JOIN nb LEFT JOIN q o ON o.f = q.f AND o.y = q.y + dy AND o.x = q.x + dx WHERE o.f IS NULL GROUP BY 1, 2, 3),
+de(f, y, x, d) USING KEY (f, y, x) AS (SELECT f, y, x, d FROM ed UNION SELECT n.f, n.y, n.x, min(de.d + w) FROM de CROSS JOIN nb JOIN q n ON n.f = de.f AND n.y = de.y + dy AND n.x = de.x + dx LEFT JOIN recurring.de AS o ON o.f = n.f AND o.y = n.y AND o.x = n.x WHERE o.d IS NULL OR de.d + w < o.d - 1e-12 GROUP BY 1, 2, 3),
+dep AS (SELECT q.*, round(de.d, 9) AS d FROM q JOIN de ON de.f = q.f AND de.y = q.y AND de.x = q.x),
+{_PICK.format('p1', '', 'q.d')},
+{_PICK.format('p2', 'JOIN p1 ON p1.f = q.f AND (p1.y, p1.x) <> (q.y, q.x)', f"round(q.d * (1 + {_FAR.format('p1')}), 9)")},
+{_PICK.format('p3', 'JOIN p1 ON p1.f = q.f AND (p1.y, p1.x) <> (q.y, q.x) JOIN p2 ON p2.f = q.f AND (p2.y, p2.x) <> (q.y, q.x)', f"round(q.d * (1 + least({_FAR.format('p1')}, {_FAR.format('p2')})), 9)")}
+SELECT clip, sample, 0 AS nth, y, x FROM p1 UNION ALL SELECT clip, sample, 1, y, x FROM p2 UNION ALL SELECT clip, sample, 2, y, x FROM p3""")
+
 _BASE = "u AS (SELECT clip, quantile_cont(y, 0.2) AS cut FROM core GROUP BY 1), bb AS (SELECT clip, avg(x) AS bx, avg(y) AS b_y FROM core JOIN u USING (clip) WHERE y <= u.cut GROUP BY 1)"
 _ARM = f"""{_CORE.replace("quantile_cont(occ, 0.9)", "quantile_cont(occ, 0.99)")}, {_BASE}, q AS (SELECT DISTINCT clip || ' ' || sample AS f, clip, sample, y, x FROM px), st AS (SELECT clip, CAST(round_even(b_y, 0) AS BIGINT) AS sy, CAST(round_even(bx, 0) AS BIGINT) AS sx FROM bb), {_WALK},
 dl AS (SELECT DISTINCT clip, y + dy AS y, x + dx AS x FROM core, range(-2, 3) a(dy), range(-2, 3) b(dx)), arm AS (SELECT * FROM bd WHERE band IS NOT NULL AND NOT EXISTS (SELECT 1 FROM dl WHERE dl.clip = bd.clip AND dl.y = bd.y AND dl.x = bd.x))"""

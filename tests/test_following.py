@@ -393,3 +393,33 @@ def test_only_what_is_out_of_date_runs(spark, tmp_path):
     assert said(chain().run()) == ["ran"] * 3
     with pytest.raises(ValueError, match="needs nothing before it"):
         Chain(spark, folder, {}, [Stage("a", doubled, ["nothing"])])
+
+
+def scored(spark, bands, masks_, truck=None, scale=120.0, clear=False):
+    """Scores of frames whose bucket band and whole mask are given as (y, x) boxes."""
+    cells = lambda boxes: [("c", k, y, x) for k, (y0, x0, y1, x1) in boxes for y in range(y0, y1) for x in range(x0, x1)]
+    schema = "clip string, sample long, y long, x long"
+    band = spark.createDataFrame(cells(bands), schema).withColumn("band", F.lit("far")).withColumn("reach", F.lit(100))
+    trucks = spark.createDataFrame([("c", *truck)] if truck else [], "clip string, tx0 double, ty0 double, tx1 double, ty1 double")
+    spans = spark.createDataFrame([("c", 0, 0, 99)], "clip string, span long, first long, last long")
+    scales = spark.createDataFrame([("c", scale)], "clip string, arm_reach double")
+    return {r.sample: r.score for r in seeding.frame_scores(band, spark.createDataFrame(cells(masks_), schema), scales, spans, trucks, clear).collect()}
+
+
+def test_what_makes_a_frame_good(spark):
+    body = (40, 0, 60, 30)
+    blob_ = (50, 100, 58, 108)
+    got = scored(spark, [(50, blob_), (99, blob_)], [(k, (10, 0, 60, 120)) for k in (50, 99)])
+    assert got[50] > got[99]  # the middle of the clip, as a tracker runs both ways
+    smear = (50, 40, 52, 72)  # as many pixels in a long strip with a corner
+    got = scored(spark, [(50, blob_), (49, smear), (49, (52, 40, 60, 41))], [(k, (10, 0, 60, 120)) for k in (49, 50)])
+    assert got[50] > got[49]
+    truck = (80.0, 20.0, 99.0, 70.0)
+    got = scored(spark, [(50, blob_), (51, (50, 200, 58, 208))], [(k, (10, 0, 60, 220)) for k in (50, 51)], truck)
+    assert got[51] > got[50]  # further from the truck
+    # a band on the top of the machine is the boom, one below it is not
+    got = scored(spark, [(50, (10, 140, 20, 165)), (51, (30, 140, 40, 165))], [(k, (10, 0, 60, 170)) for k in (50, 51)])
+    assert got[50] == 0 and got[51] > 0
+    split = [(50, (55, 60, 63, 68)), (50, (30, 90, 34, 94))]  # one piece clear of the truck, one inside its box
+    assert 50 in scored(spark, split, [(50, (10, *body[1:]))], truck) and scored(spark, split, [(50, (10, *body[1:]))], truck, clear=True) == {}
+    assert scored(spark, [(50, (50, 100, 54, 106))], [(50, body)]) == {}  # 24 pixels are too few
