@@ -43,7 +43,7 @@ def _ruled_sql(phase: str, allowed: str, soft: str) -> str:
 
 def _ruled(spark, d, phase):
     rows = places(spark, d)
-    wide = rows.join(F.broadcast(search.side(rows)), "series").select("series", "i", "height", "side", F.col("over").alias("truck_overlap"), *(F.col("x").alias(c) for c in ("bucket_x", "rel_cabin_x")), (F.col("x") - 5).alias("rel_truck_x"), *((F.col("y") - 8).alias(c) for c in ("rel_cabin_y", "rel_truck_y")))
+    wide = rows.join(search.side(rows), "series").select("series", "i", "height", "side", F.col("over").alias("truck_overlap"), *(F.col("x").alias(c) for c in ("bucket_x", "rel_cabin_x")), (F.col("x") - 5).alias("rel_truck_x"), *((F.col("y") - 8).alias(c) for c in ("rel_cabin_y", "rel_truck_y")))
     return checks.first_matches_ruled(wide, F.col("height") > 40, labels(rows), phase, 2)
 
 
