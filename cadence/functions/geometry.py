@@ -49,15 +49,15 @@ def bounding_boxes(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("clip", "sample").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"), F.count(F.lit(1)).alias("area"))
 
 
-def occupancy(pixels: DataFrame) -> DataFrame:
-    """Share of a clip's samples that hold each pixel."""
+def occupancy(pixels: DataFrame, framed: DataFrame | None = None) -> DataFrame:
+    """Share of a clip's samples that hold each pixel. framed: the same pixels by frame, where others share that shuffle."""
     n = pixels.groupBy("clip").agg(F.count_distinct("sample").alias("n"))
-    return pixels.select("clip", "sample", "y", "x").distinct().groupBy("clip", "y", "x").agg(F.count(F.lit(1)).alias("m")).join(n, "clip").select("clip", "y", "x", (F.col("m") / F.col("n")).alias("occ"))
+    return (pixels if framed is None else framed).select("clip", "sample", "y", "x").distinct().groupBy("clip", "y", "x").agg(F.count(F.lit(1)).alias("m")).join(n, "clip").select("clip", "y", "x", (F.col("m") / F.col("n")).alias("occ"))
 
 
-def stable_core(pixels: DataFrame, quantile: float = 0.9) -> DataFrame:
+def stable_core(pixels: DataFrame, quantile: float = 0.9, framed: DataFrame | None = None) -> DataFrame:
     """Pixels whose occupancy reaches the clip's quantile of occupancies."""
-    occ = occupancy(pixels)
+    occ = occupancy(pixels, framed)
     cut = occ.groupBy("clip").agg(F.percentile("occ", F.lit(quantile)).alias("cut"))
     return occ.join(cut, "clip").where(F.col("occ") >= F.col("cut")).select("clip", "y", "x", "occ")
 
@@ -75,7 +75,9 @@ def rotation_centre(core: DataFrame) -> DataFrame:
 def boom_base(core: DataFrame, upper: float = 0.2) -> DataFrame:
     """Mean place of the upper fifth of the core (y grows downwards)."""
     cut = core.groupBy("clip").agg(F.percentile("y", F.lit(upper)).alias("cut"))
-    return core.join(cut, "clip").where(F.col("y") <= F.col("cut")).groupBy("clip").agg(F.avg("x").alias("bx"), F.avg("y").alias("by"))
+    # no filter, which Spark would push below the core's shuffles and so make them anew
+    upper_part = lambda c: F.avg(F.when(F.col("y") <= F.col("cut"), F.col(c)))
+    return core.join(cut, "clip").groupBy("clip").agg(upper_part("x").alias("bx"), upper_part("y").alias("by")).where("by is not null")
 
 
 def farthest(pixels: DataFrame, centre: DataFrame) -> DataFrame:
@@ -85,6 +87,11 @@ def farthest(pixels: DataFrame, centre: DataFrame) -> DataFrame:
     return d.groupBy("clip", "sample").agg(best.alias("m")).select("clip", "sample", (-F.col("m.nx")).alias("x"), (-F.col("m.ny")).alias("y"), F.sqrt("m.d2").alias("reach"))
 
 
+def reaches(pixels: DataFrame) -> DataFrame:
+    """(clip, sample, reach) of `farthest`, without its place; pixels have their clip's centre (cx, cy)."""
+    return pixels.groupBy("clip", "sample").agg(F.sqrt(F.max((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2)).alias("reach"))
+
+
 def arm_reach(tips: DataFrame, percentile: float = 0.95) -> DataFrame:
     return tips.groupBy("clip").agg(F.percentile("reach", F.lit(percentile)).alias("arm_reach"))
 

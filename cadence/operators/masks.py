@@ -1,13 +1,18 @@
 """Per-frame mask operators that are not relational: components, geodesic distance, seed points.
 
 A frame's mask is small and whole; frames are many. So each runs as a grouped Pandas function
-with one group per (clip, sample), and NumPy works on the frame's pixels.
+with one group per (clip, sample), and NumPy works on the frame's pixels; the geodesic distance,
+which every frame needs, takes many frames at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,25 +139,131 @@ def large_components(pixels: DataFrame, least: float = 0.05) -> DataFrame:
     return pixels.select("clip", "sample", "y", "x").distinct().groupBy("clip", "sample").applyInPandas(run, pixels.select("clip", "sample", "y", "x").schema)
 
 
-def geodesic_distance(pixels: DataFrame, seeds: DataFrame) -> DataFrame:
-    """pixels with `steps` from the clip's seed (sy, sx) inside the mask; pixels out of reach are left out."""
+#: pixels that are walked at a time, or one frame if it has more
+WALKED = 200_000
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
-        grid, oy, ox = _grid(y, x)
-        pdf["steps"] = geodesic(grid, int(pdf["sy"].iloc[0]) - oy, int(pdf["sx"].iloc[0]) - ox)[y - oy, x - ox]
-        return pdf.loc[pdf["steps"] >= 0, ["clip", "sample", "y", "x", "steps"]]
+
+def few_clips(pixels: DataFrame, most: int = 100_000) -> bool:
+    """Whether a table with one row per clip is small, by count."""
+    return pixels.select("clip").distinct().limit(most + 1).count() <= most
+
+
+def with_clip(rows: DataFrame, facts: DataFrame, few: bool) -> DataFrame:
+    """rows with their clip's facts (one row per clip); those of few clips are sent to the rows, which would meet in few tasks."""
+    return rows.join(F.broadcast(facts) if few else facts, "clip")
+
+
+def _neighbours(at: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """For every pixel the numbers of the up to eight next to it, -1 where there is none; `at`: ascending places in bitmaps of `width`, borders empty."""
+    n = len(at)
+    ends = np.append(at, -1)
+    out = np.full((n, 8), -1, np.int64)
+    out[1:, 0][at[1:] - at[:-1] == 1] = np.flatnonzero(at[1:] - at[:-1] == 1)
+    out[:-1, 1][at[1:] - at[:-1] == 1] = np.flatnonzero(at[1:] - at[:-1] == 1) + 1
+    for column, row in ((2, at - width), (5, at + width)):
+        k = np.searchsorted(at, row - 1)
+        for dx in (-1, 0, 1):
+            hit = ends[k] == row + dx
+            out[hit, column + dx + 1] = k[hit]
+            k += hit
+    return out
+
+
+def walked(frame: np.ndarray, y: np.ndarray, x: np.ndarray, sy: np.ndarray, sx: np.ndarray, most: int = 1999) -> np.ndarray:
+    """`geodesic` in many masks: pixels in order of frame (numbered from 0), y, x, each once; every mask's walk takes its step at the same time."""
+    first = np.flatnonzero(np.diff(frame, prepend=-1))
+    low, width = np.minimum.reduceat(x, first) - 1, np.maximum.reduceat(x, first) - np.minimum.reduceat(x, first) + 3
+    top, height = y[first] - 1, y[np.append(first[1:], len(y)) - 1] - y[first] + 3
+    base = np.cumsum(width * height) - width * height
+    at = base[frame] + (y - top[frame]) * width[frame] + x - low[frame]
+    near = _neighbours(at, width[frame])
+    d = (y - sy) ** 2 + (x - sx) ** 2
+    nearest = np.flatnonzero(d == np.minimum.reduceat(d, first)[frame])
+    front = nearest[np.flatnonzero(np.diff(frame[nearest], prepend=-1))]
+    steps, mark = np.full(len(y), -1, np.int64), np.empty(len(y), np.int64)
+    steps[front] = 0
+    for step in range(1, most + 1):
+        new = near[front].ravel()
+        new = new[new >= 0]
+        new = new[steps[new] < 0]
+        if not len(new):
+            break
+        steps[new] = step
+        mark[new] = np.arange(len(new))
+        front = new[mark[new] == np.arange(len(new))]
+    return steps
+
+
+def _frames(rows: pa.Table) -> np.ndarray:
+    """The number of each row's frame, from 0, in rows sorted by frame."""
+    new = np.zeros(len(rows), bool)
+    for c in (rows["clip"], pc.is_null(rows["sample"]), pc.fill_null(rows["sample"], 0)):
+        c = c.combine_chunks()
+        new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    return np.cumsum(new)
+
+
+def _whole_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by frame, in tables of whole frames, with the frames' numbers."""
+    held, size, least = [], 0, WALKED
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= least:
+            rows = pa.Table.from_batches(held)
+            frame = _frames(rows)
+            last = int(np.searchsorted(frame, frame[-1]))
+            if last:
+                yield rows[:last], frame[:last]
+            held, size = rows[last:].combine_chunks().to_batches(), len(rows) - last
+            least = max(WALKED, 2 * size)
+    if size:
+        rows = pa.Table.from_batches(held)
+        yield rows, _frames(rows)
+
+
+def by_frame(pixels: DataFrame) -> DataFrame:
+    """The pixels shuffled by frame; all that starts from this shares one shuffle."""
+    return pixels.select("clip", "sample", "y", "x").repartition("clip", "sample")
+
+
+def geodesic_distance(pixels: DataFrame, seeds: DataFrame, few: bool | None = None, share: float = 0.0) -> DataFrame:
+    """pixels with `steps` from the clip's seed (sy, sx) inside the mask, and the frame's `reach`, the most steps; pixels out of reach are left out.
+
+    Frames are shuffled and sorted once, and walked some thousand at a time. few: whether the
+    clips are few, if that is known. share: only pixels at that share of the reach or beyond are wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, frame in _whole_frames(batches):
+            if rows["y"].null_count or rows["x"].null_count:
+                there = pc.and_(pc.is_valid(rows["y"]), pc.is_valid(rows["x"]))
+                rows, frame = rows.filter(there), frame[there.to_numpy()]
+            if not len(rows):
+                continue
+            y, x = rows["y"].to_numpy(), rows["x"].to_numpy()
+            once = np.ones(len(rows), bool)
+            once[1:] = (np.diff(frame) != 0) | (np.diff(y) != 0) | (np.diff(x) != 0)
+            rows, frame = rows.filter(pa.array(once)), np.cumsum(np.diff(frame[once], prepend=frame[0]) != 0)
+            steps = walked(frame, y[once], x[once], rows["sy"].to_numpy(), rows["sx"].to_numpy())
+            reach = np.maximum.reduceat(steps, np.flatnonzero(np.diff(frame, prepend=-1)))[frame]
+            out = rows.select(["clip", "sample", "y", "x"]).append_column("steps", pa.array(steps)).append_column("reach", pa.array(reach))
+            yield from out.filter(pa.array((steps >= 0) & (steps >= share * reach))).combine_chunks().to_batches()
 
     kind = pixels.schema["clip"].dataType.simpleString()
-    return pixels.select("clip", "sample", "y", "x").distinct().join(seeds, "clip").groupBy("clip", "sample").applyInPandas(run, f"clip {kind}, sample long, y long, x long, steps long")
+    long = [F.col(c).cast("long").alias(c) for c in ("sample", "y", "x", "sy", "sx")]
+    few = few_clips(pixels) if few is None else few
+    rows = with_clip(by_frame(pixels) if few else pixels, seeds, few).select("clip", *long)
+    if not few:  # the join may have dealt the rows out by clip
+        rows = rows.repartition("clip", "sample")
+    # by sample first: it tells more rows apart than the clip
+    return rows.sortWithinPartitions("sample", "clip", "y", "x").mapInArrow(run, f"clip {kind}, sample long, y long, x long, steps long, reach long")
 
 
 def bands(distances: DataFrame, far: float = 0.82, middle: tuple[float, float] = (0.5, 0.75)) -> DataFrame:
-    """Pixels of the far end and of the middle part of the reach, by geodesic distance."""
-    reach = distances.groupBy("clip", "sample").agg(F.max("steps").alias("reach")).where("reach > 0")
+    """Pixels of the far end and of the middle part of the frame's reach, by geodesic distance."""
     at = lambda share: F.col("steps") >= share * F.col("reach")
     name = F.when(at(far), "far").when(at(middle[0]) & ~at(middle[1]), "middle")
-    return distances.join(reach, ["clip", "sample"]).withColumn("band", name).where("band is not null").drop("reach")
+    return distances.where("reach > 0").withColumn("band", name).where("band is not null")
 
 
 def interior_points(pixels: DataFrame, k: int = 5, least: int = 25) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Everything but the walk through a frame's mask and the choice of its points is relational: core,
 pivot and scale are aggregates of a clip's pixels, the body is taken off by a join with the
-dilated core, frames are scored in one aggregation and chosen by one more. Only the frames that
-were chosen get points.
+dilated core, frames are scored in one aggregation and chosen by one more. Every frame is walked
+once, for its score; only the frames that were chosen get points.
 """
 
 from __future__ import annotations
@@ -36,16 +36,14 @@ def dilated(core: DataFrame, half: int = 2) -> DataFrame:
     return wide.select("clip", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x")).distinct()
 
 
-def arm_bands(pixels: DataFrame, core: DataFrame, base: DataFrame, bucket_from: float = 0.82, stick: tuple[float, float] = (0.5, 0.75)) -> DataFrame:
+def arm_bands(pixels: DataFrame, core: DataFrame, base: DataFrame, bucket_from: float = 0.82, stick: tuple[float, float] = (0.5, 0.75), few: bool | None = None) -> DataFrame:
     """Pixels with `band` ('far': the bucket, 'middle': the stick) and the frame's `reach`.
 
     The walk starts at the base and runs through the whole mask, body included, or it would be
     caught in one of the pieces the arm falls into; the body goes from the bands afterwards."""
     start = base.select("clip", F.bround("by").cast("long").alias("sy"), F.bround("bx").cast("long").alias("sx"))
-    walked = masks.geodesic_distance(pixels, start)
-    reach = walked.groupBy(*FRAME).agg(F.max("steps").alias("reach"))
-    found = masks.bands(walked, bucket_from, stick)
-    return found.join(dilated(core), ["clip", "y", "x"], "left_anti").join(reach, FRAME)
+    found = masks.bands(masks.geodesic_distance(pixels, start, few, min(bucket_from, stick[0])), bucket_from, stick)
+    return found.join(dilated(core), ["clip", "y", "x"], "left_anti").select(*PIXEL, "steps", "band", "reach")
 
 
 def clearance(centre: Column, left: Column, right: Column, scale: Column) -> Column:
@@ -61,9 +59,14 @@ def frame_scores(bands: DataFrame, pixels: DataFrame, scales: DataFrame, spans:
     near the middle of the span; 0 where the band is the boom's apex. With `clear`, a frame with
     a band pixel in the truck's box is out. spans: clip, span, first, last (samples).
     scales: clip, arm_reach. trucks: clip, tx0, ty0, tx1, ty1."""
+    far = bands.where("band = 'far'").select(*PIXEL, "reach").distinct()
+    return _scored(far.join(trucks, "clip", "left"), pixels, scales, spans, clear, least)
+
+
+def _scored(far: DataFrame, pixels: DataFrame, scales: DataFrame, spans: DataFrame, clear: bool, least: int) -> DataFrame:
+    """`frame_scores` of the bucket bands' pixels, each there once, with their clip's truck."""
     edges = [F.bround(c) for c in ("tx0", "ty0", "tx1", "ty1")]
     over = F.coalesce(F.col("x").between(edges[0], edges[2]) & F.col("y").between(edges[1], edges[3]), F.lit(False))
-    far = bands.where("band = 'far'").select(*PIXEL, "reach").distinct().join(trucks, "clip", "left")
     box = [F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1")]
     blob = far.groupBy(*FRAME, "reach", "tx0", "tx1").agg(*box, F.count(F.lit(1)).alias("area"), F.avg("x").alias("cx"), F.avg("y").alias("band_y"), F.bool_or(over).alias("touches")).where(F.col("area") >= least)
     if clear:
@@ -89,14 +92,16 @@ def bucket_seeds(pixels: DataFrame, samples: DataFrame, trucks: DataFrame, spans
     Core, pivot and scale come from all of a clip's pixels, the candidates from the span alone.
     Points (arrays of x, y) lie inside the bucket's band, negatives inside the stick's. A clip
     or span without a usable frame has no row. samples: clip, sample, all that were looked at."""
-    core = geo.stable_core(pixels, quantile)
+    core = geo.stable_core(pixels, quantile, masks.by_frame(pixels))
     base = geo.boom_base(core)
-    scales = geo.arm_reach(geo.farthest(pixels, geo.rotation_centre(core)), percentile)
-    bands = arm_bands(pixels, core, base)
+    few = masks.few_clips(pixels)
+    scales = geo.arm_reach(geo.reaches(masks.with_clip(pixels, geo.rotation_centre(core), few)), percentile)
     if spans is None:
         spans = samples.groupBy("clip").agg(F.lit(0).cast("long").alias("span"), F.min("sample").alias("first"), F.max("sample").alias("last"))
-    chosen = best_frames(frame_scores(bands, pixels, scales, spans, trucks, clear, least))
-    inside = bands.join(chosen.select(*FRAME).distinct(), FRAME)
+    far = arm_bands(pixels, core, base, few=few).where("band = 'far'").select(*PIXEL, "reach")
+    chosen = best_frames(_scored(far.join(F.broadcast(trucks) if few else trucks, "clip", "left"), pixels, scales, spans, clear, least))
+    # the chosen frames alone are walked again, for their points
+    inside = arm_bands(pixels.join(chosen.select(*FRAME).distinct(), FRAME, "left_semi"), core, base, few=few)
 
     def spots(band: str, count: int, name: str) -> DataFrame:
         found = masks.interior_points(inside.where(F.col("band") == band), count, least)

@@ -199,7 +199,7 @@ SELECT clip, sample, round(score, 6) AS score, reach, x0, y0, x1, y1 FROM z QUAL
 )
 def bucket_seeds(spark, d):
     rows = pixels(spark, d)
-    out = seeding.bucket_seeds(rows, rows.select("clip", "sample").distinct(), _trucks(spark), clear=True, quantile=0.99, least=3)
+    out = seeding.bucket_seeds(rows, rows.select("clip", "sample"), _trucks(spark), clear=True, quantile=0.99, least=3)
     return out.select("clip", "sample", *r6("score"), "reach", "x0", "y0", "x1", "y1")
 
 

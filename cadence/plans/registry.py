@@ -507,7 +507,7 @@ def mask_components(spark, d):
 @query("geodesic_bands")
 def geodesic_bands(spark, d):
     seeds = pixels(spark, d).groupBy("clip").agg(F.min("y").alias("sy"), F.min("x").alias("sx"))
-    return masks.bands(masks.geodesic_distance(pixels(spark, d), seeds))
+    return masks.bands(masks.geodesic_distance(pixels(spark, d), seeds)).drop("reach")
 
 
 @query("interior_points")

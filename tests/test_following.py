@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cadence.functions import splitting
 from cadence.operators import masks, reseed, seeding
+from cadence.plans import following
 from cadence.plans.chain import Chain, Stage
 from cadence.sources import frame_lists
 from cadence.streaming import endings, tracking
@@ -250,6 +251,11 @@ def test_the_best_frame_with_its_points(spark):
     assert seeded(spark, [np.zeros(SHAPE, bool)]).collect() == []
 
 
+def test_every_frame_is_walked_once(spark):
+    plan = following.bucket_seeds(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert sum(plan.count(node) for node in ("MapInArrow", "FlatMapGroupsInPandas", "MapInPandas")) == 1
+
+
 def test_over_the_truck_is_no_place_to_seed(spark):
     truck = (230.0, 100.0, 310.0, 200.0)
     over = [machine(elbow, (270, 130 + 10 * k))[0] for k, elbow in enumerate(((110, 100), (135, 75), (150, 150), (125, 190)))]

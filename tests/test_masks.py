@@ -21,6 +21,26 @@ def test_labels_and_geodesics():
     assert len(points) == 2 and abs(points[0][1] - points[1][1]) > 10
 
 
+def test_many_masks_are_walked_at_once(spark):
+    rng = np.random.default_rng(5)
+    shapes = [rng.random((int(h), int(w))) < share for h, w, share in zip(rng.integers(1, 14, 60), rng.integers(1, 30, 60), rng.uniform(0.2, 1, 60), strict=True)]
+    shapes = [m for m in shapes if m.any()] + [np.ones((700, 400), bool)]  # one with more pixels than are walked at a time
+    df = pixels(spark, *shapes)
+    df = df.union(df.where("sample < 9")).union(spark.createDataFrame([("c", 3, None, 1), ("c", 99, 2, None)], df.schema))  # copies, and pixels without a place
+    got = {}
+    for r in masks.geodesic_distance(df, spark.createDataFrame([("c", 4, 20)], "clip string, sy long, sx long")).collect():
+        assert got.setdefault((r.sample, r.y, r.x), (r.steps, r.reach)) is not None
+    far = 0
+    for k, m in enumerate(shapes):
+        want = masks.geodesic(m, 4, 20)
+        assert all(got[k, y, x] == (want[y, x], want.max()) for y, x in np.argwhere(want >= 0).tolist())
+        far += int((want >= 0).sum())
+    assert len(got) == far
+    for few in (True, False):
+        part = masks.geodesic_distance(df.where("sample < 20"), spark.createDataFrame([("c", 4, 20)], "clip string, sy long, sx long"), few, 0.82)
+        assert {(r.sample, r.y, r.x) for r in part.collect()} == {at for at, (steps, reach) in got.items() if at[0] < 20 and steps >= 0.82 * reach}
+
+
 def test_small_components_go(spark):
     big, far = np.zeros((40, 60), bool), np.zeros((40, 60), bool)
     big[:20, :20] = True
