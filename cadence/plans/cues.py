@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadence.operators import phases
-from cadence.plans.registry import g, grid, query, r6
+from cadence.plans.registry import as_sql, g, grid, query, r6
 from cadence.sources.tables import load
 
 #: signal -> (event type whose daily mean it is, how it is scaled); fixed for these queries
@@ -203,7 +203,7 @@ SELECT cl.series, CAST(nth AS INTEGER) AS nth, {_time('lo')} AS a, {_time('hi')}
 
 @query("open_readings", _OPEN)
 def open_readings(spark, d):
-    return phases.open_readings(raw_signals(spark, d)).select("series", "nth", "a", "b", *r6("pile", "arrival"), "climb", "settled")
+    return phases.open_readings(raw_signals(spark, d)).select("series", "nth", "a", "b", *as_sql("pile", "arrival"), "climb", "settled")
 
 
 _QUARTER = _signals().replace("CAST(i AS DOUBLE) AS t", "CAST(i * 0.25 AS DOUBLE) AS t")

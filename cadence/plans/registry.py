@@ -36,6 +36,11 @@ def r6(*columns: str) -> list:
     return [F.round(F.col(c), 6).alias(c) for c in columns]
 
 
+def as_sql(*columns: str) -> list:
+    """Rounded to six places in binary, as the SQL's round does: times a million, to the nearest, and back. `r6` rounds the decimal that a number is written as."""
+    return [(F.round(F.col(c) * 1e6) / 1e6).alias(c) for c in columns]
+
+
 def grid(spark: SparkSession, sf_dir: str, seconds: int = 10800, key: str = "event_type") -> DataFrame:
     return regular_grid(load(spark, sf_dir, "events"), key, seconds)
 

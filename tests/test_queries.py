@@ -45,6 +45,19 @@ def test_query_equals_oracle(spark, duck, name):
     assert got == sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall())
 
 
+@pytest.mark.parametrize("name", ["open_readings"])
+def test_places_on_a_rounding_edge(spark, name):
+    """All six places, where some values lie halfway between two of them."""
+    folder = SF.replace("0.001", "0.01")
+    c = duckdb.connect()
+    for path in glob.glob(f"{folder}/*.parquet"):
+        c.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{path}')")
+    df = registry.QUERIES[name](spark, folder)
+    want = c.execute(registry.ORACLES[name])
+    order = [[d[0] for d in want.description].index(x) for x in df.columns]
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(repr(tuple(r[k] for k in order)) for r in want.fetchall())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() >= 0
 
