@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cadence.functions import geometry as geo
 from cadence.functions import splitting
 from cadence.operators import patterns, reseed, seeding, series
-from cadence.plans.registry import _CORE, _DET, _PIX, ORACLES, W, _trend, detections, g, grid, pixels, query, r6, runs_sql
+from cadence.plans.registry import _CORE, _DET, _PIX, ORACLES, W, _trend, as_sql, detections, g, grid, pixels, query, r6, runs_sql
 from cadence.sources.tables import load
 from cadence.streaming import endings, tracking
 
@@ -58,7 +58,7 @@ def _reseeded(spark, d):
 @query("reseeded_samples", _recursive(f"{g()}, {_LOST} SELECT series, i, has_mask, CAST(round(confidence, 6) AS DOUBLE) AS confidence, round(y, 6) AS y FROM t"))
 def reseeded_samples(spark, d):
     out = _reseeded(spark, d)[0]
-    return out.select("series", "i", "has_mask", *r6("confidence"), F.round(F.get("output", F.lit(0)), 6).alias("y"))
+    return out.withColumn("y", F.get("output", F.lit(0))).select("series", "i", "has_mask", *as_sql("confidence", "y"))
 
 
 @query("reseed_records", _recursive(f"{g()}, {_LOST} SELECT series, CAST(a AS DOUBLE) AS start_seconds, CAST(b AS DOUBLE) AS end_seconds, count_if(gone) AS missing_before, seed AS seed_sample, CAST(seed AS DOUBLE) AS seed_seconds, CASE WHEN seed IS NOT NULL THEN count_if(NOT has_mask OR coalesce(confidence < 0.35, false)) END AS missing_after FROM t WHERE span IS NOT NULL GROUP BY series, span, a, b, seed"))

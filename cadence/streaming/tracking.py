@@ -16,6 +16,8 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import add
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -163,9 +165,9 @@ def blend(column: str, own: float = 0.5, late: float = 0.6) -> Tracker:
         value = None if value is None or value != value else float(value)
         if memory.anchor is None:
             return ([] if value is None else [value]), float(value is not None)
-        past = [x[0] for x in memory.recent if x]
+        past = [x[0] for x in memory.recent if x]  # added in order, without the compensation of sum()
         base = memory.anchor[0] if memory.anchor else 0.0
-        base = late * (sum(past) / len(past) if past else base) + (1 - late) * base
+        base = late * (reduce(add, past) / len(past) if past else base) + (1 - late) * base
         return [base if value is None else own * value + (1 - own) * base], 0.5 if value is None else 1 / (1 + abs(value - base))
 
     return follow
