@@ -35,8 +35,10 @@ def iou(a: Box, b: Box) -> Column:
 
 
 def over_truck(a: Box, truck: Box) -> Column:
-    """Share of a's width above the truck, if its centre is above the truck's middle."""
-    share = F.try_divide(_span(F.greatest(a[0], truck[0]), F.least(a[2], truck[2]), 0), a[2] - a[0])
+    """Share of a's width above the truck, if its centre is above the truck's middle.
+
+    The width is read to a billionth of a pixel, or what its edges lost as doubles would tip shares that lie on a rounding edge."""
+    share = F.try_divide(_span(F.greatest(a[0], truck[0]), F.least(a[2], truck[2]), 0), F.round(a[2] - a[0], 9))
     return F.when((a[1] + a[3]) / 2 < (truck[1] + truck[3]) / 2, F.coalesce(share, F.lit(0.0))).otherwise(F.lit(0.0))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cadence.functions import geometry as geo
 from cadence.operators import checks, cycles, features, intervals, machine, patterns, series
 from cadence.plans.more import _LABELS, labels
-from cadence.plans.registry import _CORE, _CYCLES, _PIX, SHAPE, g, grid, pixels, query, r6, runs_sql, starts
+from cadence.plans.registry import _CORE, _CYCLES, _PIX, SHAPE, as_sql, g, grid, pixels, query, r6, runs_sql, starts
 from cadence.sources.tables import load
 
 
@@ -98,7 +98,7 @@ def checker_sizes(spark, d):
     boxes = grid(spark, d).where("v is not null").select("series", "i", F.col("i").cast("double").alias("t"), v.alias("bx0"), F.lit(40.0).alias("by0"), (v + w).alias("bx1"), (40.0 + h).alias("by1"), F.lit(0.0).alias("cx0"), F.lit(50.0).alias("cy0"), F.lit(20.0).alias("cx1"), F.lit(70.0).alias("cy1"))
     scene = boxes.select("series").distinct().select("series", F.lit(10.0).alias("px"), F.lit(60.0).alias("py"), F.lit(10.0).alias("reach"), F.lit(50.0).alias("tx0"), F.lit(30.0).alias("ty0"), F.lit(80.0).alias("tx1"), F.lit(60.0).alias("ty1"))
     out = features.checker_features(features.assemble(boxes, scene, 4, 1.0), 4, 1.0)
-    return out.select("series", "i", "box_w", "box_h", "box_area", *r6("truck_distance", "truck_overlap"))
+    return out.select("series", "i", *as_sql("box_w", "box_h", "box_area", "truck_distance", "truck_overlap"))
 
 
 @query("runs_within", f"{g()}, {runs_sql('ru', 'g', 'v > 50')} SELECT ru.series, a, b, n FROM ru JOIN (SELECT series, max(i) // 3 AS lo, max(i) // 2 AS hi FROM g GROUP BY 1) w ON w.series = ru.series WHERE b >= lo AND a <= hi")

@@ -45,7 +45,7 @@ def test_query_equals_oracle(spark, duck, name):
     assert got == sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in result.fetchall())
 
 
-@pytest.mark.parametrize("name", ["open_readings", "reseeded_samples"])
+@pytest.mark.parametrize("name", ["open_readings", "reseeded_samples", "checker_sizes"])
 def test_places_on_a_rounding_edge(spark, name):
     """All six places, where some values lie halfway between two of them."""
     folder = SF.replace("0.001", "0.01")
